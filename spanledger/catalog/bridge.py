@@ -7,20 +7,31 @@ The SQL text states the same rules for the comparison engine.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 NOW_MS = 1_706_572_800_000  # 2024-01-30T00:00:00Z, the fixed "now" of every registered query
 
 
+SCHEMAS = {
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "pages": "page_id BIGINT, url STRING, html STRING",
+}
+EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; the stated schema saves the inference job."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
-    return table(spark, sf_dir, "events").select(
-        "event_id", "user_id", "event_type", "value",
-        F.get_json_object("props", "$.k").cast("int").alias("k"), F.floor(micros / 1000).cast("bigint").alias("ms"),
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id AS eid", "user_id AS uid", "event_type AS et", "value AS val",
+        "CAST(get_json_object(props, '$.k') AS INT) AS k", f"timestampdiff(MICROSECOND, {EPOCH}, ts) div 1000 AS ms",
     )
 
 
@@ -29,61 +40,44 @@ ev AS (SELECT event_id AS eid, user_id AS uid, event_type AS et, value AS val,
               CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, epoch_us(ts) // 1000 AS ms FROM events)"""
 
 
-def _id(prefix: str, value: Column) -> Column:
-    return F.concat(F.lit(prefix), value.cast("string"))
-
-
-def _unless(cond: Column, value: Column) -> Column:
-    return F.when(~cond, value)
-
-
-def _div(value: Column, n: int) -> Column:
-    return F.floor(value / n).cast("bigint")
-
-
-def _floor(value: Column) -> Column:
-    return F.floor(value).cast("bigint")
+SPAN_RULES = """
+SELECT concat('s', eid) AS span_id, eid AS ord,
+  CASE WHEN is_chat THEN 'chat' WHEN is_agent THEN 'invoke_agent' ELSE 'execute_tool' END AS operation,
+  coalesce(nat, conv) AS session_id, nat AS native_session_id, conv AS conversation_id,
+  CASE WHEN k % 17 <> 0 THEN concat('t', eid div 8) END AS trace_id,
+  CASE WHEN eid % 64 = 0 THEN concat('s', eid + 1) WHEN k = 97 THEN concat('gone', eid)
+       WHEN eid % 8 <> 0 THEN concat('s', eid - 1) END AS parent_span_id,
+  k % 13 <> 0 AS parent_known, CASE WHEN k % 19 <> 0 THEN concat('m', k % 6) END AS model,
+  ms AS start_ms, ms + 50 + floor(val) AS end_ms,
+  CASE WHEN k % 9 <> 0 THEN floor(val * 100) END AS input, CASE WHEN k % 14 <> 0 THEN floor(val * 10) END AS output,
+  CASE WHEN k % 4 <> 0 THEN CASE WHEN k % 23 = 0 THEN floor(val * 100) + 1 ELSE floor(val * 100) div 2 END END AS cached,
+  CASE WHEN k % 6 = 0 THEN floor(val) END AS cache_write, CASE WHEN k % 3 = 0 THEN floor(val * 2) END AS reasoning,
+  CASE WHEN k % 7 <> 0 THEN floor(val * 1e7) END AS nano, k % 8 = 0 AS sdk,
+  CASE WHEN k % 16 = 0 THEN floor(val * 1e6) END AS sdk_nano,
+  CASE WHEN is_chat AND k % 3 <> 0 THEN val * 3 END AS ttft_ms, CASE WHEN is_chat AND k % 5 = 1 THEN val * 7 END AS first_chunk_ms,
+  CASE WHEN is_agent AND k % 4 <> 1 THEN CAST(k % 10 AS BIGINT) END AS turns,
+  CASE WHEN is_tool AND k % 10 <> 0 THEN concat('tool', k % 9) END AS tool,
+  CASE WHEN k % 8 <> 3 THEN CAST(100000 + k * 10 AS DOUBLE) END AS prompt_limit,
+  k % 10 = 0 AS auxiliary, CASE WHEN k % 12 <> 0 THEN concat('agent', k % 8) END AS agent,
+  CASE WHEN is_chat AND k % 15 = 4 THEN concat('c', uid div 2) END AS parent_session_id,
+  CASE WHEN is_chat THEN CASE k % 5 WHEN 1 THEN 'high' WHEN 2 THEN 'low' WHEN 3 THEN 'medium' END END AS effort,
+  CASE WHEN et = 'purchase' AND k % 7 <> 0 THEN concat('o/r', k % 5) END AS repository,
+  CASE WHEN et = 'purchase' AND k % 6 <> 0 THEN concat('b', k % 4) END AS branch,
+  usr AS user_name, CASE WHEN usr IS NOT NULL THEN CASE WHEN k % 2 = 0 THEN 'span' ELSE 'resource' END END AS user_source,
+  CASE WHEN et = 'signup' AND k % 3 = 0 THEN concat('act', uid % 7) END AS actor_id,
+  CASE k % 3 WHEN 1 THEN FALSE WHEN 2 THEN TRUE END AS failed,
+  CASE WHEN is_chat THEN CASE k % 6 WHEN 0 THEN 'localhost' WHEN 1 THEN 'api.example.com' WHEN 2 THEN '127.0.0.1'
+       WHEN 3 THEN 'gpu-box.lan' END END AS host
+FROM (SELECT *, et IN ('click','view') AS is_chat, et IN ('purchase','signup') AS is_agent, et = 'error' AS is_tool,
+        CASE WHEN k % 11 <> 0 THEN concat('c', uid) END AS nat, CASE WHEN k % 5 <> 0 THEN concat('v', uid % 20) END AS conv,
+        CASE WHEN (et = 'signup' AND k % 9 <> 0) OR (et IN ('click','view') AND k = 50) THEN concat('u', uid % 12) END AS usr
+      FROM {events})
+"""
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical usage spans, one per event."""
-    eid, uid, et, val, k, ms = (F.col(c) for c in ("event_id", "user_id", "event_type", "value", "k", "ms"))
-    chat = et.isin("click", "view")
-    agent, tool = et.isin("purchase", "signup"), et == "error"
-    native = _unless(k % 11 == 0, _id("c", uid))
-    conversation = _unless(k % 5 == 0, _id("v", uid % 20))
-    user = F.when((et == "signup") & (k % 9 != 0), _id("u", uid % 12)).when(chat & (k == 50), _id("u", uid % 12))
-    tokens_in = _unless(k % 9 == 0, _floor(val * 100))
-    return events(spark, sf_dir).select(
-        _id("s", eid).alias("span_id"), eid.alias("ord"),
-        F.when(chat, "chat").when(agent, "invoke_agent").otherwise("execute_tool").alias("operation"),
-        F.coalesce(native, conversation).alias("session_id"), native.alias("native_session_id"),
-        conversation.alias("conversation_id"), _unless(k % 17 == 0, _id("t", _div(eid, 8))).alias("trace_id"),
-        F.when(eid % 64 == 0, _id("s", eid + 1)).when(k == 97, _id("gone", eid))
-        .when(eid % 8 != 0, _id("s", eid - 1)).alias("parent_span_id"),
-        (k % 13 != 0).alias("parent_known"), _unless(k % 19 == 0, _id("m", k % 6)).alias("model"),
-        ms.alias("start_ms"), (ms + 50 + _floor(val)).alias("end_ms"),
-        tokens_in.alias("input"), _unless(k % 14 == 0, _floor(val * 10)).alias("output"),
-        _unless(k % 4 == 0, F.when(k % 23 == 0, _floor(val * 100) + 1).otherwise(_div(_floor(val * 100), 2))).alias("cached"),
-        F.when(k % 6 == 0, _floor(val)).alias("cache_write"), F.when(k % 3 == 0, _floor(val * 2)).alias("reasoning"),
-        _unless(k % 7 == 0, _floor(val * 1e7)).alias("nano"), (k % 8 == 0).alias("sdk"),
-        F.when(k % 16 == 0, _floor(val * 1e6)).alias("sdk_nano"),
-        F.when(chat & (k % 3 != 0), val * 3).alias("ttft_ms"), F.when(chat & (k % 5 == 1), val * 7).alias("first_chunk_ms"),
-        F.when(agent & (k % 4 != 1), (k % 10).cast("bigint")).alias("turns"),
-        F.when(tool & (k % 10 != 0), _id("tool", k % 9)).alias("tool"),
-        F.when(k % 8 != 3, (100000 + k * 10).cast("double")).alias("prompt_limit"),
-        (k % 10 == 0).alias("auxiliary"), _unless(k % 12 == 0, _id("agent", k % 8)).alias("agent"),
-        F.when(chat & (k % 15 == 4), _id("c", _div(uid, 2))).alias("parent_session_id"),
-        F.when(chat & (k % 5 == 1), "high").when(chat & (k % 5 == 2), "low").when(chat & (k % 5 == 3), "medium").alias("effort"),
-        F.when((et == "purchase") & (k % 7 != 0), _id("o/r", k % 5)).alias("repository"),
-        F.when((et == "purchase") & (k % 6 != 0), _id("b", k % 4)).alias("branch"),
-        user.alias("user_name"),
-        F.when(user.isNotNull(), F.when(k % 2 == 0, "span").otherwise("resource")).alias("user_source"),
-        F.when((et == "signup") & (k % 3 == 0), _id("act", uid % 7)).alias("actor_id"),
-        F.when(k % 3 == 1, F.lit(False)).when(k % 3 == 2, F.lit(True)).alias("failed"),
-        F.when(chat & (k % 6 == 0), "localhost").when(chat & (k % 6 == 1), "api.example.com")
-        .when(chat & (k % 6 == 2), "127.0.0.1").when(chat & (k % 6 == 3), "gpu-box.lan").alias("host"),
-    )
+    return spark.sql(SPAN_RULES, events=events(spark, sf_dir))
 
 
 SPANS_SQL = EVENTS_SQL + """,
@@ -170,3 +164,105 @@ calls AS (SELECT c.*, wk.p.repository AS work_repository, wk.p.branch AS work_br
 
 def with_calls(body: str) -> str:
     return "WITH " + ATTRIBUTED_SQL.strip() + body
+
+
+POINT_RULES = """
+SELECT concat('f', uid % 4) AS feed, eid AS rec, eid AS seq, CASE WHEN k % 11 = 0 THEN '' ELSE concat('c', uid) END AS session,
+  CASE et WHEN 'purchase' THEN 'copilot_chat.edit.acceptance.count' WHEN 'signup' THEN 'copilot_chat.lines_of_code.count'
+          WHEN 'error' THEN 'copilot_chat.tool.call.count' ELSE 'gen_ai.client.token.usage' END AS metric,
+  CASE WHEN et = 'purchase' THEN map('copilot_chat.edit.outcome', CASE WHEN k % 3 <> 0 THEN 'accepted' ELSE 'rejected' END)
+       WHEN et = 'signup' THEN map('type', CASE WHEN k % 2 = 0 THEN 'added' ELSE 'removed' END)
+       WHEN et = 'error' THEN map('success', CASE WHEN k % 4 = 0 THEN 'false' ELSE 'true' END)
+       ELSE map_filter(map('gen_ai.token.type', CASE WHEN k = 33 THEN 'cached' WHEN et = 'click' THEN 'input' ELSE 'output' END,
+                           'gen_ai.response.model', CASE WHEN k % 7 <> 0 THEN concat('m', k % 3) END,
+                           'gen_ai.request.model', concat('q', k % 2)), (key, v) -> v IS NOT NULL) END AS attrs,
+  CASE WHEN uid % 2 = 0 THEN ms div 864000000 * 864000000 ELSE 0 END AS start_ms,
+  CASE WHEN k = 40 THEN 0 WHEN k % 10 = 3 THEN ms - 18000000 ELSE ms END AS at_ms,
+  CASE WHEN k = 77 THEN -1D WHEN k = 78 THEN double('Infinity') ELSE double(floor(val)) END AS value
+FROM {events}
+"""
+BOUNDARIES = [0, 5, 10, 25, 50, 75, 100, 250, 500, 750, 1000, 2500, 5000, 7500, 10000]
+HISTOGRAM_RULES = f"""
+SELECT concat('f', uid % 4) AS feed, eid AS rec, eid AS seq, concat('c', uid % 60) AS session,
+  CASE et WHEN 'purchase' THEN 'copilot_chat.agent.invocation.duration' WHEN 'signup' THEN 'copilot_chat.time_to_first_token'
+          WHEN 'error' THEN 'copilot_chat.tool.call.duration' ELSE 'gen_ai.client.operation.duration' END AS metric,
+  CASE WHEN et IN ('click', 'view') THEN map('gen_ai.operation.name', CASE WHEN k % 5 = 0 THEN 'invoke_agent' ELSE 'chat' END)
+       ELSE map('service', 'chat') END AS attrs,
+  CASE WHEN uid % 2 = 0 THEN ms div 864000000 * 864000000 ELSE 0 END AS start_ms,
+  CASE WHEN k = 40 THEN 0 WHEN k % 10 = 3 THEN ms - 18000000 ELSE ms END AS at_ms,
+  CASE WHEN k = 77 THEN -1D ELSE double(eid div 500 * 100 + floor(val)) END AS h_sum, double(eid div 500 + k % 3 + 1) AS h_count,
+  transform(array({", ".join(map(str, BOUNDARIES))}), b -> double(b)) AS boundaries,
+  transform(sequence(0, 15), i -> CASE WHEN i = k % 16 THEN eid div 500 + k % 3 + 1 ELSE i END) AS counts
+FROM {{events}}
+"""
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counter points, one export per event."""
+    return spark.sql(POINT_RULES, events=events(spark, sf_dir))
+
+
+def histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(HISTOGRAM_RULES, events=events(spark, sf_dir))
+
+
+POINTS_SQL = EVENTS_SQL + """,
+pts AS (SELECT 'f' || (uid % 4) AS feed, eid AS seq, CASE WHEN k % 11 = 0 THEN '' ELSE 'c' || uid END AS session,
+  CASE et WHEN 'purchase' THEN 'copilot_chat.edit.acceptance.count' WHEN 'signup' THEN 'copilot_chat.lines_of_code.count'
+          WHEN 'error' THEN 'copilot_chat.tool.call.count' ELSE 'gen_ai.client.token.usage' END AS metric,
+  CASE et WHEN 'purchase' THEN CASE WHEN k % 3 <> 0 THEN 'accepted' ELSE 'rejected' END
+          WHEN 'signup' THEN CASE WHEN k % 2 = 0 THEN 'added' ELSE 'removed' END
+          WHEN 'error' THEN CASE WHEN k % 4 = 0 THEN 'false' ELSE 'true' END
+          ELSE CASE WHEN k = 33 THEN 'cached' WHEN et = 'click' THEN 'input' ELSE 'output' END END AS tag,
+  CASE WHEN et IN ('click', 'view') AND k % 7 <> 0 THEN 'm' || (k % 3) END AS resp,
+  CASE WHEN et IN ('click', 'view') THEN 'q' || (k % 2) END AS req,
+  CASE WHEN uid % 2 = 0 THEN ms // 864000000 * 864000000 ELSE 0 END AS start_ms,
+  CASE WHEN k = 40 THEN 0 WHEN k % 10 = 3 THEN ms - 18000000 ELSE ms END AS at_ms,
+  CASE WHEN k = 77 THEN -1.0 WHEN k = 78 THEN 'Infinity'::DOUBLE ELSE floor(val) END AS value FROM ev),
+marked AS (SELECT *, value >= 0 AND value < 'Infinity'::DOUBLE AS ok, coalesce(at_ms > 0 AND at_ms < greatest(
+    max(CASE WHEN value >= 0 AND value < 'Infinity'::DOUBLE THEN at_ms END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    CASE WHEN row_number() OVER w > 1 THEN first_value(at_ms) OVER w END), FALSE) AS late
+  FROM pts WINDOW w AS (PARTITION BY feed, session, start_ms, metric, tag, resp, req ORDER BY seq)),
+stepped AS (SELECT *, lag(value) OVER w AS prev FROM marked WHERE ok AND NOT late
+  WINDOW w AS (PARTITION BY feed, session, start_ms, metric, tag, resp, req ORDER BY seq)),
+inc AS (SELECT *, CASE WHEN start_ms > 0 THEN greatest(0, value - coalesce(max(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    WHEN prev IS NULL OR value < prev THEN value ELSE value - prev END AS grown FROM stepped
+  WINDOW w AS (PARTITION BY feed, session, start_ms, metric, tag, resp, req ORDER BY seq)),
+series AS (SELECT feed, session, start_ms, metric, tag, resp, req, sum(grown) AS total, max(at_ms) AS updated_ms, min(seq) AS first_seq
+  FROM inc GROUP BY ALL)"""
+
+
+def with_points(body: str) -> str:
+    return "WITH " + POINTS_SQL.strip() + body
+
+
+# One recursive step per point of each series: accept or ignore it, as the rules read.
+HISTOGRAMS_SQL = EVENTS_SQL + """,
+hp AS (SELECT 'f' || (uid % 4) AS feed, eid AS seq, 'c' || (uid % 60) AS session,
+  CASE et WHEN 'purchase' THEN 'copilot_chat.agent.invocation.duration' WHEN 'signup' THEN 'copilot_chat.time_to_first_token'
+          WHEN 'error' THEN 'copilot_chat.tool.call.duration' ELSE 'gen_ai.client.operation.duration' END AS metric,
+  CASE WHEN et IN ('click', 'view') THEN CASE WHEN k % 5 = 0 THEN 'invoke_agent' ELSE 'chat' END ELSE 'none' END AS op,
+  CASE WHEN uid % 2 = 0 THEN ms // 864000000 * 864000000 ELSE 0 END AS start_ms,
+  CASE WHEN k = 40 THEN 0 WHEN k % 10 = 3 THEN ms - 18000000 ELSE ms END AS at_ms,
+  CASE WHEN k = 77 THEN -1.0 ELSE eid // 500 * 100 + floor(val) END AS s, CAST(eid // 500 + k % 3 + 1 AS DOUBLE) AS c, k % 16 AS slot FROM ev),
+hn AS (SELECT *, row_number() OVER (PARTITION BY feed, session, metric, op, start_ms ORDER BY seq) AS rn FROM hp),
+st AS (
+  SELECT feed, session, metric, op, start_ms, rn, seq, slot, at_ms AS mark, s >= 0 AS acc, NOT s >= 0 AS bad,
+         CASE WHEN s >= 0 THEN s ELSE 0 END AS last_s, CASE WHEN s >= 0 THEN c ELSE 0 END AS last_c, 0 AS run FROM hn WHERE rn = 1
+  UNION ALL
+  SELECT n.feed, n.session, n.metric, n.op, n.start_ms, n.rn, n.seq, n.slot,
+    CASE WHEN x.acc THEN greatest(t.mark, n.at_ms) ELSE t.mark END, x.acc, NOT x.late AND n.s < 0,
+    CASE WHEN x.acc THEN n.s ELSE t.last_s END,
+    CASE WHEN x.acc THEN CASE WHEN n.start_ms = 0 AND n.s < t.last_s THEN n.c ELSE greatest(n.c, t.last_c) END ELSE t.last_c END,
+    CASE WHEN x.acc AND n.start_ms = 0 AND n.s < t.last_s THEN t.run + 1 ELSE t.run END
+  FROM st t JOIN hn n ON n.feed = t.feed AND n.session = t.session AND n.metric = t.metric AND n.op = t.op AND n.start_ms = t.start_ms AND n.rn = t.rn + 1,
+  LATERAL (SELECT n.at_ms > 0 AND n.at_ms < t.mark AS late) y,
+  LATERAL (SELECT NOT y.late AND n.s >= 0 AND (n.start_ms = 0 OR (n.s >= t.last_s AND n.c >= t.last_c)) AS acc, y.late AS late) x),
+runs AS (SELECT feed, session, metric, op, start_ms, run, max(last_s) AS total, max(last_c) AS count, arg_max(slot, seq) AS slot,
+           arg_max(c_, seq) AS c_, min(seq) AS first_seq
+         FROM (SELECT st.*, hn.c AS c_ FROM st JOIN hn USING (feed, session, metric, op, start_ms, rn) WHERE acc) GROUP BY ALL),
+hs AS (SELECT feed, session, metric, op, start_ms, sum(total) AS total, sum(count) AS count, min(first_seq) AS first_seq FROM runs GROUP BY ALL)"""
+
+
+def with_histograms(body: str) -> str:
+    return "WITH RECURSIVE " + HISTOGRAMS_SQL.strip() + body

@@ -26,7 +26,10 @@ def _key(kind: str, value: Column, bucket: Column | None = None) -> Column:
 
 def _rows(df: DataFrame, keyed: list[tuple[int, Column]], keep: list[Column]) -> DataFrame:
     """One row per (priority, key); each entry of `keyed` is an array of keys."""
-    pairs = F.concat(*[F.transform(keys, lambda k, p=p: F.struct(F.lit(p).alias("pri"), k.alias("key"))) for p, keys in keyed])
+    def ranked(pri: int, keys: Column) -> Column:
+        return F.transform(keys, lambda k: F.struct(F.lit(pri).alias("pri"), k.alias("key")))
+
+    pairs = F.concat(*[ranked(pri, keys) for pri, keys in keyed])
     return df.select(*keep, F.explode(pairs).alias("_pk")).select(
         "*", F.col("_pk.pri").alias("pri"), F.col("_pk.key").alias("key")
     ).drop("_pk").where(F.col("key").isNotNull())

@@ -1,10 +1,10 @@
 """Ordered prefix scans that survive a hot key.
 
-A plain window sorts a whole key in one task. Here keys with more than
-`hot_rows` rows are cut into slices of their ordering column: each slice is
-scanned on its own, slices are summarised with map-side partial aggregates, and
-the running summary of earlier slices is joined back. Ordinary keys keep one
-slice and pay for no join of their own rows. Results equal the plain window.
+A plain window sorts a whole key in one task. A first small job counts rows per
+key (map-side combined). When no key exceeds `hot_rows`, the plain window runs.
+Otherwise the hot keys are cut into slices of their ordering column: each slice
+is scanned on its own, slices are summarised with partial aggregates, and the
+running summary of earlier slices is joined back. Both paths give equal results.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut
+
 HOT_ROWS = 2_000_000
 
 
@@ -34,68 +36,68 @@ def _merge(fn: str, earlier: Column, local: Column) -> Column:
         return F.coalesce(local, earlier)
     if fn == "sum":
         return F.when(earlier.isNull(), local).when(local.isNull(), earlier).otherwise(earlier + local)
+    # greatest / least skip NULL
     return F.greatest(earlier, local) if fn == "max" else F.least(earlier, local)
 
 
-def hot_slices(df: DataFrame, keys: list[str], at: str, hot_rows: int) -> DataFrame:
-    """Add `_slice`: 0 for ordinary keys, an equal-width cut of `at` for hot ones.
+class SlicedScan:
+    """Slices fixed once for `keys` (never NULL) along `order`, whose first column is numeric.
 
-    At most total_rows / hot_rows keys are hot, which bounds the broadcast.
-    Count, min and max are exact, so slices do not move when a task is re-run.
+    `rows` is the input with `_slice`. Later scans may run over a filtered or
+    widened `rows`: they keep the same partitioning, so Spark shuffles once.
     """
-    hot = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-        .where(F.col("_n") > hot_rows)
-        .withColumn("_pieces", F.ceil(F.col("_n") / hot_rows).cast("double"))
-        .withColumn("_width", F.greatest(F.lit(1.0), (F.col("_hi") - F.col("_lo") + 1).cast("double") / F.col("_pieces")))
-        .select(*keys, "_lo", "_width")
-    )
-    cut_at = F.floor((F.col(at) - F.col("_lo")).cast("double") / F.col("_width")) + 1
-    return (
-        df.join(F.broadcast(hot), keys, "left")
-        .withColumn("_slice", F.coalesce(cut_at, F.lit(0)).cast("bigint"))
-        .drop("_lo", "_width")
-    )
+
+    def __init__(self, df: DataFrame, keys: list[str], order: list[str], hot_rows: int = HOT_ROWS, reverse: bool = False):
+        self.keys, self.order, self.reverse = keys, order, reverse
+        at = order[0]
+        stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+        span = f"double(_hi - _lo + 1) / double(ceil(_n / {float(hot_rows)}))"
+        hot = stats.where(F.col("_n") > hot_rows).selectExpr(*keys, "_lo", f"greatest(1.0D, {span}) AS _width")
+        if hot.isEmpty():
+            self.hot = None
+            self.rows = df.withColumn("_slice", F.lit(0).cast("bigint"))
+            return
+        # At most total_rows / hot_rows keys are hot, which bounds the broadcast; fixing them on
+        # shared storage keeps slices the same when a task is re-run.
+        self.hot = cut(hot)
+        piece = f"coalesce(bigint(floor(double({at} - _lo) / _width)) + 1, 0L) AS _slice"
+        self.rows = df.join(F.broadcast(self.hot), keys, "left").selectExpr(*df.columns, piece)
+
+    def run(self, rows: DataFrame, specs: dict[str, Prefix]) -> DataFrame:
+        keys, order = self.keys, self.order
+        turn = F.desc if self.reverse else F.asc
+        cells = keys if self.hot is None else [*keys, "_slice"]
+        base = Window.partitionBy(*cells).orderBy(*[turn(c) for c in order])
+
+        def running(spec: Prefix) -> Column:
+            return _fold(spec.fn, spec.expr).over(base.rowsBetween(Window.unboundedPreceding, 0 if spec.inclusive else -1))
+
+        def total(spec: Prefix) -> Column:
+            if spec.fn != "last":
+                return getattr(F, spec.fn)(spec.expr)
+            place = F.when(spec.expr.isNotNull(), F.struct(*order))
+            return F.min_by(spec.expr, place) if self.reverse else F.max_by(spec.expr, place)
+
+        if self.hot is None:
+            return rows.select("*", *[running(s).alias(n) for n, s in specs.items()])
+        scanned = rows.select("*", *[running(s).alias(f"_w_{n}") for n, s in specs.items()])
+        slices = (
+            rows.where(F.col("_slice") > 0).groupBy(*keys, "_slice")
+            .agg(*[total(s).alias(f"_t_{n}") for n, s in specs.items()])
+        )
+        across = Window.partitionBy(*keys).orderBy(turn("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+        carry = slices.select(
+            *keys, "_slice", *[_fold(s.fn, F.col(f"_t_{n}")).over(across).alias(f"_c_{n}") for n, s in specs.items()]
+        )
+        return scanned.join(carry, [*keys, "_slice"], "left").select(
+            *rows.columns, *[_merge(s.fn, F.col(f"_c_{n}"), F.col(f"_w_{n}")).alias(n) for n, s in specs.items()]
+        )
 
 
 def prefix_scan(
     df: DataFrame, keys: list[str], order: list[str], specs: dict[str, Prefix],
     hot_rows: int = HOT_ROWS, reverse: bool = False,
 ) -> DataFrame:
-    """Append one running column per spec, by `keys` along `order` (its first column is numeric).
-
-    `keys` must not be NULL. With `reverse` the scan runs from the end.
-    """
-    staged = df
-    for name, spec in specs.items():
-        staged = staged.withColumn(f"_in_{name}", spec.expr)
-    sliced = hot_slices(staged, keys, order[0], hot_rows)
-    direction = [F.desc(c) if reverse else F.asc(c) for c in order]
-    base = Window.partitionBy(*keys, "_slice").orderBy(*direction)
-    scanned = sliced
-    for name, spec in specs.items():
-        frame = base.rowsBetween(Window.unboundedPreceding, 0 if spec.inclusive else -1)
-        scanned = scanned.withColumn(name, _fold(spec.fn, F.col(f"_in_{name}")).over(frame))
-
-    place = F.struct(*order)
-    totals = []
-    for name, spec in specs.items():
-        value = F.col(f"_in_{name}")
-        if spec.fn == "last":
-            where = F.when(value.isNotNull(), place)
-            totals.append((F.min_by(value, where) if reverse else F.max_by(value, where)).alias(f"_t_{name}"))
-        else:
-            totals.append(getattr(F, spec.fn)(value).alias(f"_t_{name}"))
-    slices = sliced.where(F.col("_slice") > 0).groupBy(*keys, "_slice").agg(*totals)
-    across = (
-        Window.partitionBy(*keys).orderBy(F.desc("_slice") if reverse else F.asc("_slice"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carry = slices.select(
-        *keys, "_slice", *[_fold(s.fn, F.col(f"_t_{n}")).over(across).alias(f"_c_{n}") for n, s in specs.items()]
-    )
-    joined = scanned.join(carry, [*keys, "_slice"], "left")
-    for name, spec in specs.items():
-        joined = joined.withColumn(name, _merge(spec.fn, F.col(f"_c_{name}"), F.col(name)))
-    helpers = [c for n in specs for c in (f"_in_{n}", f"_c_{n}")]
-    return joined.drop("_slice", *helpers)
+    """Append one running column per spec, by `keys` along `order`; `reverse` runs from the end."""
+    scan = SlicedScan(df, keys, order, hot_rows, reverse)
+    return scan.run(scan.rows, specs).drop("_slice")
