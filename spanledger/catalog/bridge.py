@@ -266,3 +266,71 @@ hs AS (SELECT feed, session, metric, op, start_ms, sum(total) AS total, sum(coun
 
 def with_histograms(body: str) -> str:
     return "WITH RECURSIVE " + HISTOGRAMS_SQL.strip() + body
+
+
+# ---- log events and chat transcripts ---------------------------------------------------------
+
+LOG_RULES = """
+SELECT concat('f', uid % 4) AS feed, eid AS seq, ms AS time_ms, name, attributes FROM (SELECT *,
+  CASE WHEN et = 'click' THEN 'copilot_chat.edit.feedback' WHEN et = 'view' AND k % 2 = 0 THEN 'copilot_chat.edit.hunk.action'
+       WHEN et = 'view' THEN 'copilot_chat.inline.done' WHEN et = 'purchase' THEN 'copilot_chat.edit.survival'
+       WHEN et = 'signup' THEN 'copilot_chat.user.feedback' WHEN k % 2 = 0 THEN 'copilot_chat.tool.call'
+       ELSE 'copilot_chat.cloud.session.invoke' END AS name,
+  CASE WHEN et = 'click' THEN concat('{{"outcome":"', CASE k % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'ignored' END, '"}}')
+       WHEN et = 'view' AND k % 2 = 0 THEN concat('{{"outcome":"', CASE WHEN k % 4 = 0 THEN 'accepted' ELSE 'rejected' END, '","lines_added":',
+            CASE WHEN k % 9 = 0 THEN -1 ELSE k END, ',"lines_removed":', CASE WHEN k % 8 = 0 THEN '"5"' WHEN k % 7 = 0 THEN '1.5' ELSE string(k % 5) END, '}}')
+       WHEN et = 'view' THEN concat('{{"accepted":', CASE k % 5 WHEN 0 THEN 'true' WHEN 1 THEN '"true"' WHEN 2 THEN 'false' WHEN 3 THEN '"false"' ELSE '"maybe"' END, '}}')
+       WHEN et = 'purchase' THEN concat('{{"survival_rate_four_gram":', (k * 2) / 100D, ',"survival_rate_no_revert":', k / 100D,
+            ',"did_branch_change":', CASE k % 4 WHEN 0 THEN 'true' WHEN 1 THEN '"true"' ELSE 'false' END, '}}')
+       WHEN et = 'signup' THEN concat('{{"rating":"', CASE k % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'none' END, '"}}')
+       WHEN k % 2 = 0 THEN concat('{{"success":', CASE k % 6 WHEN 0 THEN 'true' WHEN 2 THEN '"false"' ELSE 'null' END, '}}')
+       ELSE '{{}}' END AS attributes
+  FROM {events})
+"""
+
+
+def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log events with attributes as JSON text."""
+    return spark.sql(LOG_RULES, events=events(spark, sf_dir))
+
+
+SIGNALS_SQL = EVENTS_SQL + """,
+sig AS (
+  SELECT eid, 'copilot_chat.edit.acceptance.count' AS metric, 1.0::DOUBLE AS value,
+    'copilot_chat.edit.outcome=' || CASE WHEN et = 'click' THEN CASE k % 3 WHEN 0 THEN 'accepted' ELSE 'rejected' END
+      WHEN k % 2 = 0 THEN CASE WHEN k % 4 = 0 THEN 'accepted' ELSE 'rejected' END
+      ELSE CASE WHEN k % 5 IN (0, 1) THEN 'accepted' ELSE 'rejected' END END AS series_key
+  FROM ev WHERE (et = 'click' AND k % 3 < 2) OR (et = 'view' AND k % 2 = 0) OR (et = 'view' AND k % 2 = 1 AND k % 5 < 4)
+  UNION ALL SELECT eid, 'copilot_chat.lines_of_code.count', k, 'type=added' FROM ev WHERE et = 'view' AND k % 4 = 0 AND k % 9 <> 0
+  UNION ALL SELECT eid, 'copilot_chat.lines_of_code.count', k % 5, 'type=removed' FROM ev WHERE et = 'view' AND k % 4 = 0 AND k % 8 <> 0 AND k % 7 <> 0
+  UNION ALL SELECT eid, 'copilot_chat.edit.survival.four_gram', (k * 2) / 100.0::DOUBLE, '' FROM ev WHERE et = 'purchase' AND k % 4 > 1 AND k <= 50
+  UNION ALL SELECT eid, 'copilot_chat.edit.survival.no_revert', k / 100.0::DOUBLE, '' FROM ev WHERE et = 'purchase' AND k % 4 > 1
+  UNION ALL SELECT eid, 'copilot_chat.user.feedback.count', 1, 'rating=' || CASE k % 3 WHEN 0 THEN 'positive' ELSE 'negative' END FROM ev WHERE et = 'signup' AND k % 3 < 2
+  UNION ALL SELECT eid, 'copilot_chat.tool.call.count', 1, 'success=' || CASE k % 6 WHEN 0 THEN 'true' ELSE 'false' END FROM ev WHERE et = 'error' AND k % 2 = 0 AND k % 6 < 4
+  UNION ALL SELECT eid, 'copilot_chat.cloud.session.count', 1, '' FROM ev WHERE et = 'error' AND k % 2 = 1)"""
+
+REQUEST_RULES = """
+SELECT concat('c', conv_id) AS session_id, turn AS idx,
+  CASE WHEN role = 'assistant' THEN concat('m', length(text) % 6) END AS model,
+  CASE WHEN role = 'assistant' AND length(text) % 7 <> 0 THEN double(length(text) % 40) END AS credits,
+  CASE WHEN role = 'system' THEN double(length(text) % 300) END AS session_credits
+FROM {conversations}
+"""
+REQUESTS_SQL = """
+req AS (SELECT 'c' || conv_id AS session_id, turn AS idx, CASE WHEN role = 'assistant' THEN 'm' || (length(text) % 6) END AS model,
+  CASE WHEN role = 'assistant' AND length(text) % 7 <> 0 THEN CAST(length(text) % 40 AS DOUBLE) END AS credits,
+  CASE WHEN role = 'system' THEN CAST(length(text) % 300 AS DOUBLE) END AS session_credits FROM conversations),
+cost AS (SELECT session_id, greatest(sum(credits), max(session_credits)) AS credits, arg_max(model, idx) FILTER (model IS NOT NULL) AS model
+  FROM req GROUP BY 1)"""
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat request usage, one row per conversation turn."""
+    return spark.sql(REQUEST_RULES, conversations=table(spark, sf_dir, "conversations"))
+
+
+# Title and activity of a transcript session, by the number in its id.
+CHAT_NUMBER = "CAST(substring(session_id, 2) AS BIGINT)"
+CHAT_COLUMNS = [
+    f"CASE WHEN {CHAT_NUMBER} % 4 <> 0 THEN 'Chat ' || {CHAT_NUMBER} END AS title", f"{NOW_MS} - {CHAT_NUMBER} * 43200000 AS updated_ms",
+]
