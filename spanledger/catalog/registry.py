@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import metrics, sections, usage
+from . import delivery, metrics, sections, usage
 
-MODULES = [usage, metrics, sections]
+MODULES = [usage, metrics, sections, delivery]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .values import short_text
+from .values import let, short_text
 
 SPACE_EDGES = r"^\s+|\s+$"
 # scheme, user info, host, port, path, query
@@ -33,32 +33,42 @@ def url_host(url: Column) -> Column:
 
 def repository_name(value: Column) -> Column:
     """`owner/name` on github.com, `host/path` elsewhere; local paths and bare logins are NULL."""
-    raw = strip(short_text(value))
-    https = F.regexp_replace(raw, r"^git@([^:/]+):", "https://$1/")
-    https = F.regexp_replace(https, r"^ssh://(?:[^@/]+@)?", "https://")
-    host = url_host(https)
-    path = F.regexp_replace(_part(https, 5), r"^/+", "")
-    remote = F.when(F.lower(host) == "github.com", path).otherwise(F.concat(host, F.lit("/"), path))
-    named = F.when(https.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), remote).when(~https.contains("@"), https)
-    named = F.regexp_replace(F.regexp_replace(named, r"(?i)\.git$", ""), r"/+$", "")
-    local = raw.rlike(r"(?i)^(file:|[/\\~.]|[a-z]:)") | raw.contains("\\")
-    return F.when((raw != "") & ~local & (named != ""), named)
+    def remote(url: Column) -> Column:
+        path = F.regexp_replace(_part(url, 5), r"^/+", "")
+        return let(url_host(url), lambda host: F.when(F.lower(host) == "github.com", path).otherwise(F.concat(host, F.lit("/"), path)))
+
+    def named(url: Column) -> Column:
+        return F.when(url.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), remote(url)).when(~url.contains("@"), url)
+
+    def remote_name(raw: Column) -> Column:
+        local = raw.rlike(r"(?i)^(file:|[/\\~.]|[a-z]:)") | raw.contains("\\")
+        https = F.regexp_replace(F.regexp_replace(raw, r"^git@([^:/]+):", "https://$1/"), r"^ssh://(?:[^@/]+@)?", "https://")
+        tidy = F.regexp_replace(F.regexp_replace(let(https, named), r"(?i)\.git$", ""), r"/+$", "")
+        return F.when((raw != "") & ~local, F.nullif(tidy, F.lit("")))
+
+    return let(strip(short_text(value)), remote_name)
 
 
 def endpoint_host(value: Column) -> Column:
     """Bare lower-case host of an address or URL: no path, port or credentials."""
-    raw = F.lower(strip(short_text(value)))
-    raw = F.when(raw.contains("://"), url_host(raw)).otherwise(raw)
-    host = F.regexp_replace(raw, r"^\[([^\]]*)\](?::\d+)?$", "$1")
-    host = F.regexp_replace(host, r"\.$", "")
-    one_colon = F.size(F.split(host, ":")) == 2
-    host = F.when(one_colon, F.regexp_replace(F.regexp_replace(host, r":\d*$", ""), r"\.$", "")).otherwise(host)
-    return F.when((F.length(host) <= 253) & host.rlike(r"^[a-z0-9_.:%-]+$"), host)
+    def bare(raw: Column) -> Column:
+        return F.when(raw.contains("://"), url_host(raw)).otherwise(raw)
+
+    def portless(host: Column) -> Column:
+        one_colon = F.size(F.split(host, ":")) == 2
+        return F.when(one_colon, F.regexp_replace(F.regexp_replace(host, r":\d*$", ""), r"\.$", "")).otherwise(host)
+
+    def plain(host: Column) -> Column:
+        return F.when((F.length(host) <= 253) & host.rlike(r"^[a-z0-9_.:%-]+$"), host)
+
+    raw = let(F.lower(strip(short_text(value))), bare)
+    unbracketed = F.regexp_replace(F.regexp_replace(raw, r"^\[([^\]]*)\](?::\d+)?$", "$1"), r"\.$", "")
+    return let(let(unbracketed, portless), plain)
 
 
 def identity_name(value: Column) -> Column:
-    name = strip(value)
-    return F.when(F.length(name).between(1, 128) & ~name.rlike(r"[\x00-\x1f\x7f]"), name)
+    """An account name: one short line without control characters."""
+    return let(strip(value), lambda name: F.when(F.length(name).between(1, 128) & ~name.rlike(r"[\x00-\x1f\x7f]"), name))
 
 
 def clean_title(value: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .values import utc_day
+from .values import let, utc_day
 
 MAX_OPTIONS_CHARS = 64 * 1024
 BOARDS_ITEM = r"(?i)^ab#?([1-9][0-9]{0,17})(?:[^a-z0-9].*)?$"
@@ -18,12 +18,14 @@ def _number(value: Column, pattern: str) -> Column:
 
 def branch_item(branch: Column) -> Column:
     """Work item named by a branch's last segment: STRUCT<provider, id>, or NULL."""
-    leaf = F.when(~branch.rlike(r"\s"), F.element_at(F.split(branch, "/"), -1))
-    boards, issue = _number(leaf, BOARDS_ITEM), _number(leaf, ISSUE_ITEM)
-    return (
-        F.when(boards.isNotNull(), F.struct(F.lit("azure-boards").alias("provider"), boards.alias("id")))
-        .when(issue.isNotNull(), F.struct(F.lit("github").alias("provider"), issue.alias("id")))
-    )
+    def item(leaf: Column) -> Column:
+        boards, issue = _number(leaf, BOARDS_ITEM), _number(leaf, ISSUE_ITEM)
+        return (
+            F.when(boards.isNotNull(), F.struct(F.lit("azure-boards").alias("provider"), boards.alias("id")))
+            .when(issue.isNotNull(), F.struct(F.lit("github").alias("provider"), issue.alias("id")))
+        )
+
+    return let(F.when(~branch.rlike(r"\s"), F.element_at(F.split(branch, "/"), -1)), item)
 
 
 def item_reference(provider: Column, item_id: Column) -> Column:
@@ -80,9 +82,9 @@ def effort_word(value: Column) -> Column:
 
 def reasoning_effort(options: Column, level: Column) -> Column:
     """Effort word from an options blob, else from the level attribute. Oversized blobs are not parsed."""
-    def word(path: str) -> Column:
-        small = F.when(F.length(options) <= MAX_OPTIONS_CHARS, F.try_parse_json(options))
-        quoted = F.schema_of_variant(F.try_variant_get(small, path, "variant")) == "STRING"
-        return F.when(quoted, effort_word(F.try_variant_get(small, path, "string")))
+    def word(parsed: Column, path: str) -> Column:
+        quoted = F.schema_of_variant(F.try_variant_get(parsed, path, "variant")) == "STRING"
+        return F.when(quoted, effort_word(F.try_variant_get(parsed, path, "string")))
 
-    return F.coalesce(word("$.reasoning.effort"), word("$.reasoning_effort"), effort_word(level))
+    blob = F.when(F.length(options) <= MAX_OPTIONS_CHARS, F.try_parse_json(options))
+    return let(blob, lambda v: F.coalesce(word(v, "$.reasoning.effort"), word(v, "$.reasoning_effort"), effort_word(level)))

@@ -10,6 +10,11 @@ MAX_SAFE_INTEGER = 2**53 - 1
 MAX_TEXT = 512
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once and use it many times: body(value). Keeps generated code small."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def nonnegative(value: Column) -> Column:
     """A finite double >= 0, else NULL (NaN sorts above infinity, so it fails too)."""
     d = value.cast("double")
