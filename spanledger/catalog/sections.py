@@ -8,6 +8,7 @@ from ..functions import pace
 from ..operators import context, counters, ledger, quality, sessions, tally, transcripts
 from ..operators.quantile import exact_quantiles
 from ..plans import sections, speed
+from ..sources.once import computed_once
 from . import bridge, usage
 from .bridge import NOW_MS, with_events, with_histograms, with_points, with_spans
 from .metrics import BUCKETS_SQL, TOKENS_SQL
@@ -18,8 +19,8 @@ HALF = NOW_MS - 15 * DAY
 
 
 def _signals(spark, d):
-    events = bridge.logs(spark, d).select("name", F.parse_json("attributes").alias("attributes"))
-    return quality.quality_signals(events)
+    events = bridge.logs(spark, d).select("name", F.col("attributes").alias("text"))
+    return quality.quality_signals(computed_once(events, attributes=F.parse_json("text")))
 
 
 def _all_series(spark, d):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .values import hr_to_ms
+from .values import hr_to_ms, let
 
 # Attributes that carry captured content, and the longest text worth keeping.
 CONTENT_ATTRIBUTES = [
@@ -14,6 +14,7 @@ CONTENT_ATTRIBUTES = [
     "copilot_chat.prompt_instructions", "copilot_chat.reasoning_content", "copilot_chat.markdown_content",
 ]
 MAX_ATTRIBUTE_CHARS = 512
+NUMBER_KINDS = r"^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|FLOAT|DOUBLE)"
 
 
 def key_path(*names: str) -> str:
@@ -28,30 +29,38 @@ def kind_of(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
+def string_of(found: Column) -> Column:
+    """The text of a JSON string of any length."""
+    return F.when(kind_of(found) == "STRING", F.try_variant_get(found, "$", "string"))
+
+
 def text(v: Column, *names: str) -> Column:
     """A JSON string no longer than retained text may be."""
-    found = item(v, *names)
-    value = F.when(kind_of(found) == "STRING", F.try_variant_get(v, key_path(*names), "string"))
-    return F.when(F.length(value) <= MAX_ATTRIBUTE_CHARS, value)
+    return let(let(item(v, *names), string_of), lambda t: F.when(F.length(t) <= MAX_ATTRIBUTE_CHARS, t))
 
 
 def number(v: Column, *names: str) -> Column:
-    is_number = kind_of(item(v, *names)).rlike(r"^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|FLOAT|DOUBLE)")
-    return F.when(is_number, F.try_variant_get(v, key_path(*names), "double"))
+    def read(found: Column) -> Column:
+        return F.when(kind_of(found).rlike(NUMBER_KINDS), F.try_variant_get(found, "$", "double"))
+
+    return let(item(v, *names), read)
 
 
 def present(v: Column, *names: str) -> Column:
     """The key survives redaction: it exists (even as null) and is no over-long string."""
-    found = item(v, *names)
-    long = (kind_of(found) == "STRING") & (F.length(F.try_variant_get(v, key_path(*names), "string")) > MAX_ATTRIBUTE_CHARS)
-    return found.isNotNull() & ~F.coalesce(long, F.lit(False))
+    def kept(found: Column) -> Column:
+        return found.isNotNull() & ~F.coalesce(F.length(string_of(found)) > MAX_ATTRIBUTE_CHARS, F.lit(False))
+
+    return let(item(v, *names), kept)
 
 
 def flag(v: Column, *names: str) -> Column:
     """true / false given as boolean or as the words, else NULL."""
-    found = F.try_variant_get(v, key_path(*names), "string")
-    allowed = kind_of(item(v, *names)).isin("BOOLEAN", "STRING")
-    return F.when(allowed & (found == "true"), F.lit(True)).when(allowed & (found == "false"), F.lit(False))
+    def read(found: Column) -> Column:
+        word = F.when(kind_of(found).isin("BOOLEAN", "STRING"), F.try_variant_get(found, "$", "string"))
+        return let(word, lambda w: F.when(w == "true", F.lit(True)).when(w == "false", F.lit(False)))
+
+    return let(item(v, *names), read)
 
 
 def truthy(v: Column, *names: str) -> Column:

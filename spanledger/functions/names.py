@@ -6,7 +6,9 @@ from pyspark.sql import Column, functions as F
 
 from .values import let, short_text
 
-SPACE_EDGES = r"^\s+|\s+$"
+# White space as the producers' runtime defines it.
+SPACE = r"[\s\x0B\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+SPACE_EDGES = rf"^{SPACE}+|{SPACE}+$"
 # scheme, user info, host, port, path, query
 URL = (
     r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#]*)@)?"
@@ -72,8 +74,8 @@ def identity_name(value: Column) -> Column:
 
 
 def clean_title(value: Column) -> Column:
-    title = strip(F.regexp_replace(value, r"\s+", " "))
-    return F.when((F.length(value) <= 512) & (title != ""), title)
+    """Collapsed title of at most 512 characters as given; blank is NULL."""
+    return F.nullif(F.when(F.length(value) <= 512, strip(F.regexp_replace(value, SPACE + "+", " "))), F.lit(""))
 
 
 def redact_url(value: Column) -> Column:

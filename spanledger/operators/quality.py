@@ -58,7 +58,8 @@ def quality_signals(events: DataFrame) -> DataFrame:
     for field, metric in (("survival_rate_four_gram", SURVIVAL_FOUR_GRAM), ("survival_rate_no_revert", SURVIVAL_NO_REVERT)):
         rate = j.number(a, field)
         signals.append(_signal(named("copilot_chat.edit.survival") & kept_branch & rate.between(0, 1), metric, rate))
-    return events.select(F.explode(F.filter(F.array(*signals), lambda s: s.isNotNull())).alias("s")).select("s.*")
+    # The outer form keeps the optimizer from evaluating the whole array a second time as a filter.
+    return events.select(F.explode_outer(F.array(*signals)).alias("s")).where(F.col("s").isNotNull()).select("s.*")
 
 
 def tool_status(spans: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import json as j
+from .once import computed_once
 
 ITEM_NUMBERS = [
     "pricePerUnit", "grossQuantity", "grossAmount", "discountQuantity", "discountAmount", "netQuantity", "netAmount",
@@ -29,9 +30,8 @@ def billing_parse(reports: DataFrame, product: str = "Copilot") -> DataFrame:
     A report whose scope disagrees or with any unusable line is an error as a
     whole: status `error`, no amounts. An explicit empty list is valid.
     """
-    body = F.try_parse_json("body")
     echoed = {"organization": "organization", "enterprise": "enterprise", "user": "user"}
-    r = reports.withColumn("b", body)
+    r = computed_once(reports, b=F.try_parse_json("body"))
     b = F.col("b")
     items = F.try_variant_get(b, "$.usageItems", "array<variant>")
 
@@ -57,7 +57,8 @@ def billing_parse(reports: DataFrame, product: str = "Copilot") -> DataFrame:
         )
 
     valid = head_ok & F.coalesce(F.forall(items, item_ok), F.lit(False))
-    rows = r.select("report_id", "level", "account", "user", "day", valid.alias("ok"), F.explode_outer(F.when(valid, items)).alias("v"))
+    checked = computed_once(r, ok=valid)
+    rows = checked.select("report_id", "level", "account", "user", "day", "ok", F.explode_outer(F.when(F.col("ok"), items)).alias("v"))
     v = F.col("v")
     snake = {"pricePerUnit": "price", "grossQuantity": "gross_quantity", "grossAmount": "gross_amount", "discountQuantity": "discount_quantity",
              "discountAmount": "discount_amount", "netQuantity": "net_quantity", "netAmount": "net_amount"}

@@ -11,6 +11,7 @@ from ..functions import json as j
 from ..functions.names import endpoint_host, identity_name, repository_name
 from ..functions.parsing import reasoning_effort
 from ..functions.values import nonnegative, short_text, span_failed, token_count
+from .once import computed_once
 
 TOKEN_USAGE = "gen_ai.client.token.usage"
 
@@ -45,12 +46,15 @@ def classify(record: Column) -> Column:
 def feed_scan(lines: DataFrame) -> DataFrame:
     """Input columns plus kind and record. Lines that do not open an object are `ignored`; `{}` needs no parsing."""
     trimmed = F.regexp_replace("line", r"^\s+|\s+$", "")
-    record = F.when(trimmed.startswith("{") & (trimmed != "{}"), F.try_parse_json(trimmed))
-    return lines.withColumn("record", record).withColumn(
-        "kind",
-        F.when(~trimmed.startswith("{"), F.lit("ignored")).when(trimmed == "{}", F.lit("span"))
-        .when(F.col("record").isNull(), F.lit("malformed")).otherwise(F.coalesce(classify(F.col("record")), F.lit("unknown"))),
-    ).drop("line")
+    text = computed_once(lines, text=trimmed)
+    t = F.col("text")
+    parsed = computed_once(text, record=F.when(t.startswith("{") & (t != "{}"), F.try_parse_json(t)))
+    r = F.col("record")
+    kind = (
+        F.when(~t.startswith("{"), F.lit("ignored")).when(t == "{}", F.lit("span")).when(r.isNull(), F.lit("malformed"))
+        .otherwise(F.coalesce(classify(r), F.lit("unknown")))
+    )
+    return computed_once(parsed, kind=kind).drop("line", "text")
 
 
 def metric_points(records: DataFrame) -> DataFrame:

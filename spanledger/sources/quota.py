@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import json as j
 from ..functions.parsing import date_only, timestamp_ms
 from ..functions.values import DAY_MS, nonnegative
+from .once import computed_once
 
 MAX_DATE_MS = 8_640_000_000_000_000
 
@@ -23,21 +24,20 @@ def _boolean(v: Column, *names: str) -> Column:
 
 def quota_parse(responses: DataFrame) -> DataFrame:
     """responses: login, fetched_ms, body. One row each, status ready or error with a reason."""
-    data = F.try_parse_json("body")
+    parsed = computed_once(responses.select("login", "fetched_ms", "body"), d=F.try_parse_json("body"))
+    data = F.col("d")
 
     def snapshot(name: str) -> Column:
         found = j.item(data, "quota_snapshots", name)
         return F.when(j.kind_of(found).startswith("OBJECT"), found)
 
-    staged = responses.select(
-        "login", "fetched_ms", data.alias("d"),
-        F.coalesce(snapshot("premium_interactions"), snapshot("premium_models")).alias("premium"), snapshot("chat").alias("chat"),
-    )
+    staged = computed_once(
+        parsed, premium=F.coalesce(snapshot("premium_interactions"), snapshot("premium_models")), chat=snapshot("chat"))
     premium = F.col("premium")
     use_premium = premium.isNotNull() & (
         F.coalesce(_boolean(premium, "unlimited"), F.lit(False)) | F.coalesce(_decimal(premium, "entitlement") != 0, F.lit(True)))
     d, s = F.col("d"), F.col("s")
-    chosen = staged.withColumn("paid", use_premium).withColumn("s", F.when(use_premium, premium).otherwise(F.col("chat")))
+    chosen = computed_once(staged, paid=use_premium, s=F.when(use_premium, premium).otherwise(F.col("chat")))
     day = F.coalesce(*[F.try_variant_get(d, f"$.{n}", "string") for n in ("quota_reset_date_utc", "quota_reset_date", "limited_user_reset_date")])
     day_ms = F.unix_date(date_only(day).cast("date")).cast("double") * DAY_MS
     reset = _decimal(s, "quota_reset_at")

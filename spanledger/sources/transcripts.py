@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import json as j
 from ..functions.names import clean_title
-from ..functions.values import nonnegative
+from ..functions.values import let, nonnegative
+from .once import computed_once
 
 # Record field and the name it is kept under.
 REQUEST_FIELDS = {"modelId": "model", "copilotCredits": "credits", "sessionCopilotCredits": "session_credits"}
@@ -30,7 +31,7 @@ def transcript_scan(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _string(v: Column, *names: str) -> Column:
-    return F.when(j.kind_of(j.item(v, *names)) == "STRING", F.try_variant_get(v, j.key_path(*names), "string"))
+    return let(j.item(v, *names), j.string_of)
 
 
 def _request(v: Column, off: Column) -> Column:
@@ -42,84 +43,74 @@ def _request(v: Column, off: Column) -> Column:
     )
 
 
-def _requests(list_: Column) -> Column:
-    return F.transform(list_, _request)
-
-
 def parse_ops(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ops, headers) of log lines keyed by session_id (the file), with unreadable lines as op `bad`."""
-    r = F.try_parse_json("line")
-    rows = lines.where(F.trim("line") != "").select(F.col("file_id").alias("session_id"), "seq", r.alias("r"))
-    r = F.col("r")
-    kind = j.number(r, "kind")
-    path = F.try_variant_get(r, "$.k", "array<variant>")
-    depth = F.coalesce(F.size(path), F.lit(0))
+    kept = lines.where(F.trim("line") != "").select(F.col("file_id").alias("session_id"), "seq", "line")
+    parsed = computed_once(kept, r=F.try_parse_json("line")).drop("line")
+    r, v, path = F.col("r"), F.col("v"), F.col("path")
+
+    def whole_number(d: Column) -> Column:
+        return let(d, lambda x: F.when(x == F.floor(x), x.cast("bigint")))
 
     def step(i: int) -> Column:
         return F.get(path, F.lit(i))
 
-    def word(i: int) -> Column:
-        return F.when(j.kind_of(step(i)) == "STRING", step(i).cast("string"))
-
-    def whole_number(v: Column, *names: str) -> Column:
-        d = j.number(v, *names) if names else F.when(j.kind_of(v).rlike("INT|DECIMAL|DOUBLE"), v.cast("double"))
-        return F.when(d == F.floor(d), d.cast("bigint"))
-
-    snapshot = kind == 0
-    on_requests = F.coalesce(word(0) == "requests", F.lit(False)) & ~F.coalesce(snapshot, F.lit(False))
-    v = j.item(r, "v")
-    v_list = F.when(j.kind_of(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
-    doc_list = F.when(j.kind_of(j.item(v, "requests")).startswith("ARRAY"), F.try_variant_get(v, "$.requests", "array<variant>"))
-    given_i = j.item(r, "i").isNotNull()
-    deletes = F.coalesce(kind == 3, F.lit(False))
-    empty = F.array().cast("array<variant>")
-    field = word(2)
+    def listed(found: Column) -> Column:
+        return F.when(j.kind_of(found).startswith("ARRAY"), F.try_variant_get(found, "$", "array<variant>"))
+
+    heads = computed_once(
+        parsed, kind=j.number(r, "kind"), v=j.item(r, "v"), path=F.try_variant_get(r, "$.k", "array<variant>"),
+        given_i=j.item(r, "i").isNotNull(), i=j.number(r, "i"))
+    rows = computed_once(
+        heads, depth=F.coalesce(F.size("path"), F.lit(0)), root=j.string_of(step(0)), slot=j.number(step(1)),
+        field=j.string_of(step(2)), deletes=F.coalesce(F.col("kind") == 3, F.lit(False)))
+    kind, depth, field = F.col("kind"), F.col("depth"), F.col("field")
+    deletes, snapshot = F.col("deletes"), F.coalesce(kind == 0, F.lit(False))
+    on_requests = F.coalesce(F.col("root") == "requests", F.lit(False)) & ~snapshot
     op = (
-        F.when(~j.kind_of(r).rlike("^(OBJECT|ARRAY)"), F.lit("bad")).when(r.isNull(), F.lit("bad"))
+        F.when(F.coalesce(~j.kind_of(r).rlike("^(OBJECT|ARRAY)"), F.lit(True)), F.lit("bad"))
         .when(snapshot, F.lit("reset"))
-        .when(on_requests & (depth == 1) & (kind == 2) & given_i, F.lit("splice"))
-        .when(on_requests & (depth == 1) & (kind == 2), F.lit("push"))
+        .when(on_requests & (depth == 1) & (kind == 2), F.when(F.col("given_i"), F.lit("splice")).otherwise(F.lit("push")))
         .when(on_requests & (depth == 1) & kind.isin(1, 3), F.lit("reset"))
-        .when(on_requests & (depth == 2), F.lit("set"))
-        .when(on_requests & (depth == 3) & field.isin(*REQUEST_FIELDS), F.lit("set"))
+        .when(on_requests & ((depth == 2) | ((depth == 3) & field.isin(*REQUEST_FIELDS))), F.lit("set"))
         .when(on_requests & (depth > 1), F.lit("check"))
     )
-    written = (
-        F.when(snapshot, F.coalesce(doc_list, empty)).when(deletes, empty).otherwise(F.coalesce(v_list, empty))
+    empty = F.array().cast("array<variant>")
+    written = F.when(deletes, empty).otherwise(F.coalesce(let(F.when(snapshot, j.item(v, "requests")).otherwise(v), listed), empty))
+    index = F.when(F.col("op") == "splice", F.col("i")).when(F.col("op").isin("set", "check"), F.col("slot"))
+    staged = computed_once(rows, op=op).where(F.col("op").isNotNull()).select(
+        "session_id", "seq", "op", "v", "depth", "field", "deletes", whole_number(index).alias("idx"),
+        F.when(F.col("op").isin("reset", "push", "splice"), written).alias("written"),
     )
+
+    def own(name: str, value: Column) -> Column:
+        return F.when(~deletes & (field == name), value)
+
     one_field = F.struct(
         F.lit(0).cast("bigint").alias("off"), F.lit(False).alias("whole"),
         F.coalesce(*[F.when(field == k, F.lit(n)) for k, n in REQUEST_FIELDS.items()]).alias("field"),
-        F.when(~deletes & (field == "modelId"), j.text(r, "v")).alias("model"),
-        F.when(~deletes & (field == "copilotCredits"), nonnegative(j.number(r, "v"))).alias("credits"),
-        F.when(~deletes & (field == "sessionCopilotCredits"), nonnegative(j.number(r, "v"))).alias("session_credits"),
+        own("modelId", j.text(v)).alias("model"), own("copilotCredits", nonnegative(j.number(v))).alias("credits"),
+        own("sessionCopilotCredits", nonnegative(j.number(v))).alias("session_credits"),
     )
-    nothing = F.parse_json(F.lit("{}"))
-    slot = _request(F.when(deletes | v.isNull(), nothing).otherwise(v), F.lit(0))
-    ops = rows.select(
-        "session_id", "seq", op.alias("op"),
-        F.when(op == "splice", whole_number(r, "i")).when(op.isin("set", "check"), whole_number(step(1))).alias("idx"),
-        F.size(written).cast("bigint").alias("n"),
-        F.when((op == "set") & (depth == 3), F.array(one_field)).when(op == "set", F.array(slot))
-        .when(op.isin("reset", "push", "splice"), _requests(written)).alias("slots"),
-    ).where(F.col("op").isNotNull())
-    named = (depth == 1) & (word(0) == "customTitle")
-    headers = rows.where(snapshot | named).select(
-        "session_id", "seq", F.lit(True).alias("touches_title"),
-        clean_title(F.when(snapshot, _string(v, "customTitle")).when(~deletes, _string(r, "v"))).alias("title"),
+    slot = _request(F.when(deletes | v.isNull(), F.parse_json(F.lit("{}"))).otherwise(v), F.lit(0))
+    ops = staged.select(
+        "session_id", "seq", "op", "idx", F.coalesce(F.size("written"), F.lit(0)).cast("bigint").alias("n"),
+        F.when((F.col("op") == "set") & (depth == 3), F.array(one_field)).when(F.col("op") == "set", F.array(slot))
+        .when(F.col("written").isNotNull(), F.transform("written", _request)).alias("slots"),
     )
+    named = (depth == 1) & (F.col("root") == "customTitle")
+    title = F.when(snapshot, _string(v, "customTitle")).when(~deletes, j.string_of(v))
+    headers = rows.where(snapshot | F.coalesce(named, F.lit(False))).select(
+        "session_id", "seq", F.lit(True).alias("touches_title"), clean_title(title).alias("title"))
     return ops, headers
 
 
-INDEX_ENTRY = "STRUCT<sessionId: VARIANT, title: VARIANT, lastMessageDate: VARIANT>"
-
-
 def history_index_scan(blobs: DataFrame) -> DataFrame:
     """Sessions of chat-history index blobs (source, value). Only version 1 is readable.
 
     An entry counts when its activity time is a number >= 0; its own id wins over the map key.
     """
-    parsed = blobs.select("source", F.try_parse_json("value").alias("i")).where(j.number(F.col("i"), "version") == 1)
+    parsed = computed_once(blobs.select("source", "value"), i=F.try_parse_json("value")).where(j.number(F.col("i"), "version") == 1)
     entries = parsed.select("source", F.explode(F.try_variant_get("i", "$.entries", "map<string,variant>")).alias("id", "e"))
     e = F.col("e")
     return entries.select(
