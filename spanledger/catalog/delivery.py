@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import parsing
 from ..operators import actors, billing, context, coverage, cycles, tally
 from ..sources import stores
+from ..session import cut
 from ..sources.billing import billing_parse
 from . import bridge
 from .bridge import with_calls, with_events, with_spans
@@ -216,14 +217,21 @@ def _items(spark, d):
 
 
 def _cycles(spark, d):
-    return cycles.delivery_cycles(_cycle_calls(spark, d))
+    """Cycles feed several joins of one query, so they are written once."""
+    return cut(cycles.delivery_cycles(_cycle_calls(spark, d)))
 
 
-def _steps(spark, d):
-    found = _cycles(spark, d)
+def _steps(spark, d, found=None):
+    found = found or _cycles(spark, d)
     return cycles.cycle_steps(found, cycles.recorded_refs(_refs(spark, d)), cycles.pr_match(found, _pulls(spark, d)), cycles.work_item_match(found, _items(spark, d)))
 
 
+def _kpis(spark, d):
+    found = _cycles(spark, d)
+    matches = cut(cycles.pr_match(found, _pulls(spark, d)))
+    return _round(cycles.delivery_kpis(found, matches, _steps(spark, d, found)), "median_open_to_merge_hours", "median_lead_hours")
+
+
 def _candidates(spark, d):
     """Owner candidates: the matched pull request's author, and the reviewer of the branch at its start."""
     found = _cycles(spark, d)
@@ -349,8 +357,7 @@ QUERIES = {
     "step_stations": lambda spark, d: cycles.step_stations(_steps(spark, d)),
     "convention_adherence": lambda spark, d: cycles.convention_adherence(_cycles(spark, d)),
     "adherence_credits": lambda spark, d: _round(cycles.adherence_credits(cycles.cycle_sources(_cycle_calls(spark, d))), "credits"),
-    "delivery_kpis": lambda spark, d: _round(cycles.delivery_kpis(_cycles(spark, d), cycles.pr_match(_cycles(spark, d), _pulls(spark, d)), _steps(spark, d)),
-                                             "median_open_to_merge_hours", "median_lead_hours"),
+    "delivery_kpis": _kpis,
     "credits_per_merged_pr": lambda spark, d: _round(cycles.credits_per_merged_pr(
         cycles.cycle_sources(_cycle_calls(spark, d)), cycles.pr_match(_cycles(spark, d), _pulls(spark, d))), "credits", "credits_per_pr"),
     "assignment_asof": _assignment,

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import pace
 from ..operators import context, counters, ledger, quality, sessions, tally, transcripts
 from ..operators.quantile import exact_quantiles
-from ..plans import sections, speed
+from ..plans import sections, snapshot, speed
 from ..sources.once import computed_once
-from . import bridge, usage
+from . import bridge, ingest, usage
 from .bridge import NOW_MS, with_events, with_histograms, with_points, with_spans
 from .metrics import BUCKETS_SQL, TOKENS_SQL
 
@@ -101,7 +101,34 @@ def _gauge(spark, d):
     return sections.gauge_basis(newest, _account(spark), ledger.meter_totals(_ledgers(spark, d)), NOW_MS, 1_000_000_000)
 
 
-def _pace(spark, d, now=None):
+def _snapshot(spark, d):
+    spans, points = bridge.spans(spark, d), bridge.points(spark, d)
+    return snapshot.snapshot(
+        spans, counters.counter_series(points), _runs(spark, d), _signals(spark, d), counters.token_series(points, NOW_MS),
+        ledger.meter_totals(_ledgers(spark, d)), _compared(spark, d), NOW_MS)
+
+
+def _diagnostics(spark, d):
+    return sections.telemetry_diagnostics(ingest._records(spark, d), bridge.spans(spark, d), ledger.meter_totals(_ledgers(spark, d)))
+
+
+def _growth(spark, d):
+    """Chats seen before the middle of the month against all of them now."""
+    now = chats(spark, d)
+    seen = now.where(F.col("updated_ms") < HALF).select("session_id", (F.col("credits") / 2).alias("credits"))
+    return transcripts.transcript_growth(seen, now, now)
+
+
+def _stale(spark, d):
+    """Which readings a report at the end of the period may still use."""
+    latest = sessions.latest_call(bridge.spans(spark, d))
+    now = NOW_MS - DAY
+    return latest.select(
+        "session_id", "at_ms", snapshot.is_fresh(F.col("at_ms"), now, sections.CONTEXT_STALE_MS).alias("context"),
+        snapshot.is_fresh(F.col("at_ms"), now, sections.ACCOUNT_STALE_MS).alias("account"), snapshot.is_fresh(F.col("at_ms"), now, pace.STALE_MS).alias("pace"))
+
+
+def _pace(spark, d):
     """Pace of every session's latest call, each judged right after it."""
     spans = bridge.spans(spark, d)
     latest = sessions.latest_call(spans).where(F.col("session_id") != "")
@@ -235,6 +262,10 @@ QUERIES = {
         ledger.meter_totals(_ledgers(spark, d)), chats(spark, d).agg(F.sum("credits").alias("transcript_credits"))),
     "gauge_basis": _gauge,
     "model_pace": _pace,
+    "transcript_growth": _growth,
+    "staleness": _stale,
+    "snapshot_sink": _snapshot,
+    "telemetry_diagnostics": _diagnostics,
 }
 
 ORACLES = {
@@ -303,4 +334,11 @@ SELECT session_id, model, cc AS sample_calls, round(pc, 9) AS credits_per_call,
   CASE WHEN loc IS NOT NULL THEN 'aurora' WHEN wgt < 1.0/3 THEN 'snowy' WHEN wgt < 2.0/3 THEN 'mild' ELSE 'thawing' END AS band, loc AS local,
   CASE WHEN loc IS NOT NULL THEN host END AS host, CAST(CASE effort WHEN 'high' THEN 0.8 WHEN 'low' THEN 0.2 WHEN 'medium' THEN 0.5 END AS DOUBLE) AS effort_level,
   CASE WHEN prompt_limit > 0 THEN round(greatest(0.0, least(1.0, ln(prompt_limit / 32000) / ln(31.25)))::DOUBLE, 9) END AS context_level FROM wt"""),
+    "transcript_growth": "WITH " + bridge.REQUESTS_SQL.strip() + f""",
+ch AS (SELECT session_id, credits, {", ".join(bridge.CHAT_COLUMNS)} FROM cost),
+sn AS (SELECT session_id, credits / 2 AS p FROM ch WHERE updated_ms < {HALF})
+SELECT session_id, CASE WHEN credits IS NOT NULL THEN greatest(p, credits) ELSE coalesce(p, 0.0) END AS credits,
+  CASE WHEN sn.session_id IS NOT NULL AND p IS NOT NULL AND credits IS NOT NULL THEN greatest(0.0, credits - p) ELSE 0.0 END AS growth FROM ch LEFT JOIN sn USING (session_id)""",
+    "staleness": with_spans("," + usage.LATEST_SQL + f"""
+SELECT session_id, at_ms, {NOW_MS - DAY} - at_ms BETWEEN 0 AND 1800000 AS context, {NOW_MS - DAY} - at_ms BETWEEN 0 AND 900000 AS account, {NOW_MS - DAY} - at_ms BETWEEN 0 AND 1800000 AS pace FROM latest"""),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.values import NANO, credit_sum
 
@@ -27,39 +27,37 @@ def credits_by(calls: DataFrame, key: str) -> DataFrame:
     return tally(chat(calls), F.col(key)).drop("nano")
 
 
-def topk_with_remainder(rows: DataFrame, unknown: str, k: int = ROWS_SHOWN) -> DataFrame:
-    """Top `k` by credits then calls, the rest folded into one "N more" row.
+def topk_by(rows: DataFrame, groups: list[str], k: int = ROWS_SHOWN) -> DataFrame:
+    """Per group, the top `k` rows by credits then calls, the rest folded into one "N more" row.
 
-    With at most k + 1 rows nothing is folded. The top is a distributed
-    limit; the remainder is the grand total minus the top, so no key set is
-    ever ordered in one task.
+    rows: groups..., key, unknown, calls, credit_calls, nano. With at most k + 1
+    rows nothing is folded. The rank filter is applied before the shuffle, and
+    the remainder is the group total minus the top, so no key set is ordered whole.
     """
-    best = [F.desc("nano"), F.desc("calls"), F.asc_nulls_last("key")]
-    labelled = F.coalesce(F.col("key"), F.lit(unknown)).alias("label")
     measures = ["calls", "credit_calls", "nano"]
-    total = rows.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(c) for c in measures])
-    head = rows.orderBy(*best).limit(k + 1).select(F.lit(False).alias("rest"), labelled, F.lit(1).cast("bigint").alias("rows"), *measures)
-    # head has at most k + 1 rows, so numbering it in one task is bounded
-    numbered = head.withColumn("place", F.expr("row_number() over (order by nano desc, calls desc, label)"))
-    everything = total.select(F.lit(True).alias("rest"), F.lit(None).cast("string").alias("label"), "rows", *measures,
-                              F.lit(0).alias("place"))
-    both = numbered.unionByName(everything)
-    n_all = F.expr("max(case when rest then rows end) over ()")
-    marked = both.withColumn("n_all", n_all)
-    less_top = [
-        F.expr(f"sum(case when rest then {c} when place <= {k} then -{c} else 0 end) over ()").alias(f"r_{c}") for c in measures
-    ]
-    out = marked.select("*", *less_top)
-    small = F.col("n_all") <= k + 1
-    fold = F.col("rest") & ~small
-    return (
-        out.where((~F.col("rest") & (small | (F.col("place") <= k))) | fold)
-        .select(
-            F.when(fold, F.concat((F.col("n_all") - k).cast("string"), F.lit(" more"))).otherwise(F.col("label")).alias("label"),
-            *[F.when(fold, F.col(f"r_{c}")).otherwise(F.col(c)).alias(c) for c in measures],
-        )
-        .withColumn("credits", F.col("nano").cast("double") / F.lit(float(NANO))).drop("nano")
-    )
+    best = Window.partitionBy(*groups).orderBy(F.desc("nano"), F.desc("calls"), F.asc_nulls_last("key"))
+    top = rows.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
+    totals = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"t_{c}") for c in measures])
+    few = Window.partitionBy(*groups)
+
+    def beyond(c: str) -> Column:
+        return F.col(f"t_{c}") - F.sum(F.when(F.col("place") <= k, F.col(c)).otherwise(0)).over(few)
+
+    marked = top.join(totals, groups).select("*", *[beyond(c).alias(f"r_{c}") for c in measures])
+    folds = F.col("n") > k + 1
+    nano_type = "decimal(38,0)"
+    own = F.struct(F.coalesce("key", "unknown").alias("label"), "calls", "credit_calls", F.col("nano").cast(nano_type).alias("nano"))
+    rest = F.struct(
+        F.concat((F.col("n") - k).cast("string"), F.lit(" more")).alias("label"), F.col("r_calls").alias("calls"),
+        F.col("r_credit_calls").alias("credit_calls"), F.col("r_nano").cast(nano_type).alias("nano"))
+    shown = F.array_compact(F.array(F.when(~folds | (F.col("place") <= k), own), F.when(folds & (F.col("place") == 1), rest)))
+    return marked.select(*groups, F.explode(shown).alias("r")).select(
+        *groups, "r.label", "r.calls", "r.credit_calls", (F.col("r.nano").cast("double") / F.lit(float(NANO))).alias("credits"))
+
+
+def topk_with_remainder(rows: DataFrame, unknown: str, k: int = ROWS_SHOWN) -> DataFrame:
+    """`topk_by` over one tally."""
+    return topk_by(rows.select(F.lit(0).alias("all"), "*", F.lit(unknown).alias("unknown")), ["all"], k).drop("all")
 
 
 def chat_totals(spans: DataFrame) -> DataFrame:

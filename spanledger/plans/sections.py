@@ -108,19 +108,21 @@ CREDIT_KEYS = {
 
 
 def trace_credits(spans: DataFrame) -> DataFrame:
-    """(breakdown, label, calls, credit_calls, credits): totals, sessionless calls, user calls and six top-k breakdowns."""
-    calls = attributed_calls(spans)
-    columns = ["breakdown", "label", "calls", "credit_calls", "credits"]
-
-    def row(name: str, frame: DataFrame) -> DataFrame:
-        return frame.select(F.lit(name).alias("breakdown"), F.lit(None).cast("string").alias("label"), "calls", "credit_calls", "credits")
+    """(breakdown, label, calls, credit_calls, credits): totals, sessionless calls, user calls and six top-k breakdowns.
 
-    parts = [row("total", tally.chat_totals(spans)), row("sessionless", tally.sessionless_credits(spans)),
-             row("with user", tally.chat_totals(calls.where(F.col("user_by").isNotNull())))]
-    for name, (key, unknown) in CREDIT_KEYS.items():
-        top = tally.topk_with_remainder(tally.tally(calls, F.col(key)), unknown)
-        parts.append(top.withColumn("breakdown", F.lit(name)).select(*columns))
-    return union(*parts)
+    Calls are attributed once and counted under all breakdowns in one aggregate.
+    """
+    def under(name: str, key: Column, unknown: str | None) -> Column:
+        return F.struct(F.lit(name).alias("breakdown"), key.alias("key"), F.lit(unknown).cast("string").alias("unknown"))
+
+    none = F.lit(None).cast("string")
+    keys = [under("total", none, None)] + [under(n, F.col(c), u) for n, (c, u) in CREDIT_KEYS.items()]
+    keys += [F.when(F.col("session_id").isNull(), under("sessionless", none, None)), F.when(F.col("user_by").isNotNull(), under("with user", none, None))]
+    each = attributed_calls(spans).select("nano", F.explode(F.array_compact(F.array(*keys))).alias("b"))
+    rows = each.groupBy("b.breakdown", "b.key", "b.unknown").agg(
+        F.count(F.lit(1)).alias("calls"), F.count("nano").alias("credit_calls"),
+        F.coalesce(F.sum(F.col("nano").cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)")).alias("nano"))
+    return tally.topk_by(rows, ["breakdown"])
 
 
 def period_rollup(sessions: DataFrame, now_ms: int) -> DataFrame:
