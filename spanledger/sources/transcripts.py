@@ -25,7 +25,7 @@ def transcript_scan(spark: SparkSession, path: str) -> DataFrame:
     row = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     logs = spark.read.option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").text(path).select(
         *meta, row.alias("seq"), F.col("value").alias("line"))
-    whole = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").option("wholetext", "true").text(path).select(
+    whole = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").text(path, wholetext=True).select(
         *meta, F.lit(0).cast("bigint").alias("seq"), F.concat(F.lit('{"kind":0,"v":'), F.col("value"), F.lit("}")).alias("line"))
     return logs.unionByName(whole.join(logs.select("file_id").distinct(), "file_id", "left_anti"))
 

@@ -9,10 +9,10 @@ from ..operators.quality import quality_signals
 from ..sources import feed
 
 
-def feed_stream(spark: SparkSession, path: str, max_bytes: str = "8m") -> DataFrame:
+def feed_stream(spark: SparkSession, path: str, max_bytes: int = 1 << 30) -> DataFrame:
     """Lines of immutable, rotated segments `<feed>/<n>.jsonl` as they land; a bounded amount per trigger."""
     return (
-        spark.readStream.schema("value STRING").option("recursiveFileLookup", "true").option("maxBytesPerTrigger", max_bytes).text(path)
+        spark.readStream.schema("value STRING").option("recursiveFileLookup", "true").option("maxBytesPerTrigger", str(max_bytes)).text(path)
         .select(
             F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("feed"),
             F.coalesce(F.regexp_extract("_metadata.file_name", r"(\d+)\D*$", 1).try_cast("bigint"), F.lit(0)).alias("segment"),
