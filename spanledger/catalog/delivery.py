@@ -13,6 +13,7 @@ from ..operators import actors, billing, context, coverage, cycles, tally
 from ..sources import stores
 from ..session import cut
 from ..sources.billing import billing_parse
+from ..sources.once import computed_once
 from . import bridge
 from .bridge import with_calls, with_events, with_spans
 
@@ -57,6 +58,11 @@ def _store(spark, d):
     }
 
 
+def _dated(spark, d):
+    events = spark.sql(STORE_EVENTS, orders=bridge.table(spark, d, "orders")).select("id", "created_at")
+    return computed_once(events, at_ms=parsing.timestamp_ms(F.col("created_at")), date_only=parsing.date_only(F.col("created_at")))
+
+
 def _usage(spark, d):
     return stores.usage_context(_store(spark, d), STORE_CUTOFF)
 
@@ -216,9 +222,9 @@ def _items(spark, d):
     return spark.sql(ITEMS, customer=bridge.table(spark, d, "customer"))
 
 
-def _cycles(spark, d):
+def _cycles(spark, d, calls=None):
     """Cycles feed several joins of one query, so they are written once."""
-    return cut(cycles.delivery_cycles(_cycle_calls(spark, d)))
+    return cut(cycles.delivery_cycles(calls or _cycle_calls(spark, d)))
 
 
 def _steps(spark, d, found=None):
@@ -232,15 +238,22 @@ def _kpis(spark, d):
     return _round(cycles.delivery_kpis(found, matches, _steps(spark, d, found)), "median_open_to_merge_hours", "median_lead_hours")
 
 
-def _candidates(spark, d):
-    """Owner candidates: the matched pull request's author, and the reviewer of the branch at its start."""
-    found = _cycles(spark, d)
+def _candidates(spark, d, found):
+    """Owner candidates: the author of each cycle's matched pull request."""
     match = cycles.pr_match(found, _pulls(spark, d)).where(F.col("number").isNotNull())
     return match.select("cycle_key", actors.github_actor(F.col("author")).alias("actor"), F.lit("author").alias("role"), (F.col("author_kind") == "Bot").alias("is_bot"))
 
 
-def _attributed(spark, d):
-    return actors.attributed_usage(cycles.keyed_calls(_cycle_calls(spark, d)), actors.cycle_owners(_candidates(spark, d)))
+def _attributed(spark, d, calls=None):
+    """Attribution of calls is the costly part and both sides need it, so the calls are written once."""
+    calls = calls or cut(_cycle_calls(spark, d))
+    owners = actors.cycle_owners(_candidates(spark, d, _cycles(spark, d, calls)))
+    return actors.attributed_usage(cycles.keyed_calls(calls), owners)
+
+
+def _work(spark, d):
+    calls = cut(_cycle_calls(spark, d))
+    return actors.work_balance(_attributed(spark, d, calls), cycles.shown_cycles(_cycles(spark, d, calls), 10))
 
 
 BALANCE_SQL = REFS_SQL + PULLS_SQL + """,
@@ -289,7 +302,8 @@ def _lines(spark, d):
 
 
 def _day_usage(spark, d):
-    return actors.usage_by_day(cycles.keyed_calls(_cycle_calls(spark, d)))
+    """Usage at billing grain serves several joins of one query, so it is written once."""
+    return cut(actors.usage_by_day(cycles.keyed_calls(_cycle_calls(spark, d))))
 
 
 BILLING_SQL = """,
@@ -327,11 +341,10 @@ def _concepts(spark, d):
 
 
 QUERIES = {
-    "session_store_window": lambda spark, d: spark.sql(STORE_EVENTS, orders=bridge.table(spark, d, "orders"))
-        .where(parsing.in_rolling_window(F.col("created_at"), STORE_CUTOFF)).select("id", "created_at"),
-    "parse_timestamp": lambda spark, d: spark.sql(STORE_EVENTS, orders=bridge.table(spark, d, "orders")).select(
-        "id", parsing.timestamp_ms(F.col("created_at")).alias("ms"), parsing.date_only(F.col("created_at")).alias("date_only"),
-        parsing.usage_day(F.col("created_at")).alias("day")),
+    "session_store_window": lambda spark, d: _dated(spark, d).where(
+        parsing.in_rolling_window(F.col("at_ms"), F.col("date_only"), STORE_CUTOFF)).select("id", "created_at"),
+    "parse_timestamp": lambda spark, d: _dated(spark, d).select(
+        "id", F.col("at_ms").alias("ms"), "date_only", parsing.usage_day(F.col("at_ms"), F.col("date_only")).alias("day")),
     "reported_credits": lambda spark, d: spark.sql(STORE_EVENTS, orders=bridge.table(spark, d, "orders")).select(
         "id", stores.reported_nano(F.col("total_nano_aiu")).alias("nano")),
     "usage_context_join": lambda spark, d: _usage(spark, d).groupBy("repository", "branch", "has_work_ref", "has_pr").agg(
@@ -365,7 +378,7 @@ QUERIES = {
     "developer_balance": lambda spark, d: actors.developer_balance(_attributed(spark, d)),
     "actor_usage": lambda spark, d: actors.actor_usage(_attributed(spark, d)),
     "owned_work": lambda spark, d: actors.owned_work(_attributed(spark, d)),
-    "work_balance": lambda spark, d: actors.work_balance(_attributed(spark, d), cycles.shown_cycles(_cycles(spark, d), 10)),
+    "work_balance": _work,
     "billing_parse": lambda spark, d: _lines(spark, d).groupBy("status").agg(
         F.count_distinct("report_id").alias("reports"), F.count("model").alias("lines"), F.round(F.sum("gross_quantity").cast("double"), 6).alias("gross")),
     "billing_match": lambda spark, d: _round(billing.model_match(_lines(spark, d), _day_usage(spark, d), "traces"), "gross", "net", "observed"),

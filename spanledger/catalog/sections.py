@@ -259,7 +259,8 @@ QUERIES = {
     "ledger_transfer": _transfer,
     "cost_section": lambda spark, d: sections.cost_section(
         bridge.spans(spark, d), counters.counter_series(bridge.points(spark, d)), counters.token_series(bridge.points(spark, d), NOW_MS),
-        ledger.meter_totals(_ledgers(spark, d)), chats(spark, d).agg(F.sum("credits").alias("transcript_credits"))),
+        ledger.meter_totals(_ledgers(spark, d)), chats(spark, d).agg(F.sum("credits").alias("transcript_credits"))).withColumn(
+        "value", F.when(F.col("measure") == "burn_per_hour", F.round("value", 6)).otherwise(F.col("value"))),
     "gauge_basis": _gauge,
     "model_pace": _pace,
     "transcript_growth": _growth,
@@ -268,6 +269,48 @@ QUERIES = {
     "telemetry_diagnostics": _diagnostics,
 }
 
+# Bucket estimates in ms per name, after the same quantile rules as `hist_quantile`.
+ESTIMATE_SQL = """,
+tagged AS (
+  SELECT 'agent' AS name, 0 AS rnk, 1000.0::DOUBLE AS scale, slot, c_ FROM runs WHERE metric = 'copilot_chat.agent.invocation.duration'
+  UNION ALL SELECT 'agent', 2, 1000.0, slot, c_ FROM runs WHERE metric = 'gen_ai.client.operation.duration' AND op = 'invoke_agent'
+  UNION ALL SELECT 'llm', 0, 1000.0, slot, c_ FROM runs WHERE metric = 'gen_ai.client.operation.duration' AND op = 'chat'
+  UNION ALL SELECT 'ttft', 0, 1000.0, slot, c_ FROM runs WHERE metric = 'copilot_chat.time_to_first_token'
+  UNION ALL SELECT 'tool', 0, 1.0, slot, c_ FROM runs WHERE metric = 'copilot_chat.tool.call.duration'),
+tcell AS (SELECT name, rnk, scale, i AS idx, sum(CASE WHEN i = slot THEN c_ ELSE i END)::DOUBLE AS n FROM tagged, range(0, 16) r(i) GROUP BY 1, 2, 3, 4),
+tcum AS (SELECT *, sum(n) OVER (PARTITION BY name, rnk ORDER BY idx) AS upto, sum(n) OVER (PARTITION BY name, rnk) AS all_ FROM tcell),
+thit AS (SELECT *, CASE WHEN idx = 0 THEN 0.0::DOUBLE ELSE (@B::DOUBLE[])[idx] END AS lo, coalesce((@B::DOUBLE[])[idx + 1], (@B::DOUBLE[])[idx] * 2) AS hi
+  FROM tcum, (VALUES (0.5::DOUBLE), (0.95::DOUBLE)) v(q) WHERE n > 0 AND upto >= q * all_ QUALIFY row_number() OVER (PARTITION BY name, rnk, q ORDER BY idx) = 1),
+est AS (SELECT name, q, arg_min((lo + (hi - lo) * greatest(0, least(1, (q * all_ - (upto - n)) / n))) * scale, rnk) AS value FROM thit GROUP BY 1, 2),
+pref AS (SELECT coalesce(p.name, e.name) AS name, coalesce(p.q, e.q) AS q, coalesce(p.value, e.value) AS value, CASE WHEN p.value IS NOT NULL THEN 'spans' ELSE 'metrics' END AS source
+  FROM pct p FULL OUTER JOIN est e ON e.name = p.name AND e.q = p.q)""".replace("@B", str([float(b) for b in bridge.BOUNDARIES]))
+HIST_TAIL = bridge.HISTOGRAMS_SQL[len(bridge.EVENTS_SQL):]
+SILENT_SQL = """,
+spans AS (SELECT * REPLACE (CAST(NULL AS DOUBLE) AS ttft_ms) FROM every_span WHERE operation = 'chat')"""
+PREFER_SQL = (
+    "WITH RECURSIVE " + bridge.SPANS_SQL.strip().replace("\nspans AS (", "\nevery_span AS (") + SILENT_SQL + HIST_TAIL + LATENCY_SQL + ESTIMATE_SQL)
+SPEED_SQL = (
+    "WITH RECURSIVE " + bridge.SPANS_SQL.strip() + HIST_TAIL + LATENCY_SQL + ESTIMATE_SQL + """
+SELECT name || CASE q WHEN 0.5 THEN '_median_ms' ELSE '_p95_ms' END AS measure, value, source FROM pref WHERE q = 0.5 OR name IN ('session', 'llm')
+UNION ALL SELECT 'sessions', count(DISTINCT session_id)::DOUBLE, 'spans' FROM spans
+UNION ALL SELECT 'llm_calls', count(*)::DOUBLE, 'spans' FROM spans WHERE operation = 'chat'
+UNION ALL SELECT 'tool_calls', count(*)::DOUBLE, 'spans' FROM spans WHERE operation = 'execute_tool' AND session_id IS NOT NULL
+UNION ALL SELECT 'turns_per_invocation', sum(turns)::DOUBLE / count(turns), 'spans' FROM spans WHERE operation = 'invoke_agent'
+UNION ALL SELECT 'tokens_per_minute', sum(output)::DOUBLE / (sum(end_ms - start_ms)::DOUBLE / 60000.0::DOUBLE), 'spans' FROM spans WHERE operation = 'chat'""")
+CHAT = "FROM spans WHERE operation = 'chat'"
+COST_SQL = LEDGERS_SQL + TOKENS_SQL + BUCKETS_SQL + "," + bridge.REQUESTS_SQL + f""",
+burn AS (SELECT CASE WHEN max(t_ms) > min(t_ms) THEN (sum(input + output) - arg_min(input + output, t_ms))::DOUBLE / ((max(t_ms) - min(t_ms)) / 3600000.0::DOUBLE) ELSE 0.0 END AS b FROM bk GROUP BY feed),
+one AS (SELECT (input + output)::DOUBLE AS total_tokens, input::DOUBLE AS input, output::DOUBLE AS output, total::DOUBLE AS counted_tokens, manual_tokens::DOUBLE AS manual_tokens,
+  delta_tokens::DOUBLE AS delta_tokens, delta_percent, (abs(delta_percent) <= 2)::INT::DOUBLE AS agreeing, 0.0::DOUBLE AS pending,
+  (SELECT sum(cached)::DOUBLE {CHAT}) AS cached, (SELECT sum(reasoning)::DOUBLE {CHAT}) AS reasoning, (SELECT sum(cache_write)::DOUBLE {CHAT}) AS cache_write,
+  (SELECT sum(cached) FILTER (cached <= input)::DOUBLE / sum(input) FILTER (cached <= input)::DOUBLE {CHAT}) AS cache_read_ratio,
+  (SELECT count(*) FILTER (cached <= input)::DOUBLE / count(*) {CHAT}) AS cache_read_coverage, (SELECT round(sum(b), 6) FROM burn) AS burn_per_hour,
+  (SELECT sum(credits) FROM cost)::DOUBLE AS transcript_credits FROM dr)
+SELECT 'cost' AS section, measure, value, NULL AS text FROM (UNPIVOT one ON COLUMNS(*) INTO NAME measure VALUE value)
+UNION ALL SELECT 'cost', 'source', NULL, 'otel'
+{"".join(f" UNION ALL SELECT 'cost', 'coverage_{c}', count({c})::DOUBLE / count(*), NULL {CHAT}" for c in tally.TOKEN_FIELDS)}
+UNION ALL SELECT 'cost', 'share_' || model, total::DOUBLE / (SELECT sum(total) FROM tk)::DOUBLE, NULL FROM tk"""
+
 ORACLES = {
     "latency_percentiles": with_spans(LATENCY_SQL + " SELECT name, q, value, n FROM pct"),
     "slowest_tools": with_spans("""
@@ -341,4 +384,7 @@ SELECT session_id, CASE WHEN credits IS NOT NULL THEN greatest(p, credits) ELSE
   CASE WHEN sn.session_id IS NOT NULL AND p IS NOT NULL AND credits IS NOT NULL THEN greatest(0.0, credits - p) ELSE 0.0 END AS growth FROM ch LEFT JOIN sn USING (session_id)""",
     "staleness": with_spans("," + usage.LATEST_SQL + f"""
 SELECT session_id, at_ms, {NOW_MS - DAY} - at_ms BETWEEN 0 AND 1800000 AS context, {NOW_MS - DAY} - at_ms BETWEEN 0 AND 900000 AS account, {NOW_MS - DAY} - at_ms BETWEEN 0 AND 1800000 AS pace FROM latest"""),
+    "prefer_exact": PREFER_SQL + " SELECT * FROM pref",
+    "speed_section": SPEED_SQL,
+    "cost_section": COST_SQL,
 }

@@ -9,7 +9,8 @@ from .values import let, utc_day
 MAX_OPTIONS_CHARS = 64 * 1024
 BOARDS_ITEM = r"(?i)^ab#?([1-9][0-9]{0,17})(?:[^a-z0-9].*)?$"
 ISSUE_ITEM = r"(?i)^#?([1-9][0-9]{0,17})(?:[^a-z0-9].*)?$"
-INSTANT = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)\s*(Z|z|[+-]\d{2}:?\d{2})?$"
+CLOCK = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?"
+ZONE = r"\s*(?:[Zz]|[+-]\d{2}:?\d{2})$"
 
 
 def _number(value: Column, pattern: str) -> Column:
@@ -56,9 +57,10 @@ def is_github_repository(repository: Column) -> Column:
 
 def timestamp_ms(value: Column) -> Column:
     """Instant of an ISO text; no offset means UTC. Date-only and unreadable text give NULL."""
-    day, clock, zone = (F.regexp_extract(value, INSTANT, g) for g in (1, 2, 3))
-    iso = F.concat(day, F.lit("T"), clock, F.when(zone == "", F.lit("Z")).otherwise(F.upper(zone)))
-    return F.when(value.rlike(INSTANT), F.unix_millis(iso.try_cast("timestamp")))
+    zoned = F.when(value.rlike(CLOCK + ZONE), F.regexp_replace(value, r"([+-]\d{2})(\d{2})$", "$1:$2"))
+    utc = F.when(value.rlike(CLOCK + "$"), F.concat(value, F.lit("Z")))
+    full = F.regexp_replace(F.coalesce(zoned, utc), r"^(.{10}[T ]\d{2}:\d{2})(?!:)", "$1:00")
+    return F.unix_millis(full.try_cast("timestamp"))
 
 
 def date_only(value: Column) -> Column:
@@ -66,14 +68,15 @@ def date_only(value: Column) -> Column:
     return F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), value.try_cast("date")).cast("string")
 
 
-def usage_day(value: Column) -> Column:
-    return F.coalesce(utc_day(timestamp_ms(value)), date_only(value))
+def usage_day(instant_ms: Column, day: Column) -> Column:
+    """UTC day of a parsed instant, else the day of a date-only text."""
+    return F.coalesce(utc_day(instant_ms), day)
 
 
-def in_rolling_window(value: Column, cutoff_ms: int) -> Column:
+def in_rolling_window(instant_ms: Column, day: Column, cutoff_ms: int) -> Column:
     """Exact cutoff for instants; a date-only row counts only on a later day than the cutoff's."""
     cutoff_day = utc_day(F.lit(cutoff_ms).cast("bigint"))
-    return F.coalesce(timestamp_ms(value) >= F.lit(cutoff_ms), date_only(value) > cutoff_day, F.lit(False))
+    return F.coalesce(instant_ms >= F.lit(cutoff_ms), day > cutoff_day, F.lit(False))
 
 
 def effort_word(value: Column) -> Column:

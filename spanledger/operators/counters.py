@@ -60,8 +60,10 @@ def settle_histograms(points: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[Slic
     """
     dims = ["at_ms", "v", "h_count"]
     scan, first = judged(points, hot_rows, histogram=True)
-    restartable = (F.col("start_ms") == 0)
-    rows = first.withColumn("accepted", F.when(~F.col("ok"), F.lit(False)).when(restartable, ~F.col("late"))).drop("late")
+    restartable = F.col("start_ms") == 0
+    verdict = F.when(~F.col("ok"), F.lit(False)).when(restartable, ~F.col("late"))
+    # The loop carries keys and levels only; buckets and attributes rejoin at the end.
+    rows = first.select(*SERIES, "_slice", "seq", "opened", *dims, verdict.alias("accepted"))
     plain = [c for c in rows.columns if c != "accepted"]
     while True:
         bounds = {}
@@ -81,7 +83,8 @@ def settle_histograms(points: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[Slic
         if rows.where(F.col("accepted").isNull()).isEmpty():
             break
     final = scan.run(rows, {"mark": Prefix("max", F.when(F.col("accepted"), F.col("at_ms")), inclusive=False)})
-    return scan, final.withColumn("late", _late(F.col("mark"))).drop("mark")
+    judgement = final.select(*SERIES, "seq", "accepted", _late(F.col("mark")).alias("late"))
+    return scan, scan.rows.join(judgement, [*SERIES, "seq"])
 
 
 def _runs(scan: SlicedScan, accepted: DataFrame) -> DataFrame:

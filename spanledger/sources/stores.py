@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .feed import span_columns, valid_spans
-from ..functions.parsing import MAX_OPTIONS_CHARS, in_rolling_window, timestamp_ms, usage_day
+from .once import computed_once
+from ..functions.parsing import MAX_OPTIONS_CHARS, date_only, in_rolling_window, timestamp_ms, usage_day
 from ..functions.names import repository_name
 from ..functions.values import reported_nano, short_text, span_failed, token_count
 
@@ -126,22 +127,23 @@ def store_status(tables: dict[str, DataFrame]) -> tuple[str, list[str]]:
 def usage_context(tables: dict[str, DataFrame], cutoff_ms: int | None) -> DataFrame:
     """Usage events with their session's work context and reference flags, never fanned out."""
     raw = tables["assistant_usage_events"]
-    events = select_or_null(raw, EVENT_COLUMNS)
+    created = F.col("created_at")
+    events = computed_once(select_or_null(raw, EVENT_COLUMNS), at_ms=timestamp_ms(created), dated=date_only(created))
     if "created_at" in raw.columns and cutoff_ms is not None:
-        events = events.where(in_rolling_window(F.col("created_at"), cutoff_ms))
-    sessions = select_or_null(tables["sessions"], {"id": "string", "repository": "string", "branch": "string"}) if "sessions" in tables else None
+        events = events.where(in_rolling_window(F.col("at_ms"), F.col("dated"), cutoff_ms))
     refs = tables.get("session_refs")
     out = events.select(
         "session_id", "agent_id", "model", *[token_count(F.col(c)).alias(o) for c, o in (
             ("input_tokens", "input"), ("output_tokens", "output"), ("cache_read_tokens", "cached"),
             ("cache_write_tokens", "cache_write"), ("reasoning_tokens", "reasoning"))],
         reported_nano(F.col("total_nano_aiu")).alias("nano"), "initiator", "reasoning_effort",
-        timestamp_ms(F.col("created_at")).alias("at_ms"), usage_day(F.col("created_at")).alias("day"),
+        "at_ms", usage_day(F.col("at_ms"), F.col("dated")).alias("day"),
     )
-    if sessions is not None:
-        one = sessions.groupBy("id").agg(F.any_value("repository").alias("r"), F.any_value("branch").alias("b"))
-        out = out.join(one, out.session_id == one.id, "left").select(
-            *out.columns, repository_name(F.col("r")).alias("repository"), short_text(F.col("b")).alias("branch"))
+    if "sessions" in tables:
+        sessions = select_or_null(tables["sessions"], {"id": "string", "repository": "string", "branch": "string"})
+        one = sessions.groupBy(F.col("id").alias("session_id")).agg(F.any_value("repository").alias("r"), F.any_value("branch").alias("b"))
+        work = one.select("session_id", repository_name(F.col("r")).alias("repository"), short_text(F.col("b")).alias("branch"))
+        out = out.join(work, "session_id", "left")
     else:
         out = out.selectExpr("*", "CAST(NULL AS STRING) AS repository", "CAST(NULL AS STRING) AS branch")
     if refs is not None and {"session_id", "ref_type"} <= set(refs.columns):

@@ -88,3 +88,8 @@ def test_measures(spark):
     assert apply(spark, values.span_failed, ["1", " 2 ", "0", "", "x", None]) == [False, True, None, None, None, None]
     assert apply(spark, names.clean_title, ["  a \n b ", " ", "x" * 513, None]) == ["a b", None, None, None]
     assert apply(spark, names.short_session_id, ["short", "0123456789abcdef"]) == ["short", "01234567…"]
+
+
+def test_offsets_without_colon(spark):
+    assert apply(spark, parsing.timestamp_ms, ["2026-09-23T18:00:00+0100", "2026-09-23 18:00:00 +01:00", "2026-09-23T18:00Z", "2026-09-23T18"]) == [
+        1790182800000, 1790182800000, 1790186400000, None]
