@@ -28,13 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(
+def event_columns(rows: DataFrame) -> DataFrame:
+    return rows.selectExpr(
         "event_id AS eid", "user_id AS uid", "event_type AS et", "value AS val",
         "CAST(get_json_object(props, '$.k') AS INT) AS k", f"timestampdiff(MICROSECOND, {EPOCH}, ts) div 1000 AS ms",
     )
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_columns(table(spark, sf_dir, "events"))
+
+
 EVENTS_SQL = """
 ev AS (SELECT event_id AS eid, user_id AS uid, event_type AS et, value AS val,
               CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, epoch_us(ts) // 1000 AS ms FROM events)"""

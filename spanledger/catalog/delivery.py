@@ -340,7 +340,16 @@ def _concepts(spark, d):
     return coverage.concept_intersection(cells, cells.select("surface"))
 
 
+def _older_store(spark, d):
+    """A store of an older version: no creation times, no credits column, no references table."""
+    tables = _store(spark, d)
+    events = tables["assistant_usage_events"].drop("created_at", "total_nano_aiu", "cache_read_tokens")
+    usage = stores.usage_context({"assistant_usage_events": events, "sessions": tables["sessions"]}, STORE_CUTOFF)
+    return coverage.coverage_metrics(coverage.store_calls(usage), False, False)
+
+
 QUERIES = {
+    "session_store_scan": _older_store,
     "session_store_window": lambda spark, d: _dated(spark, d).where(
         parsing.in_rolling_window(F.col("at_ms"), F.col("date_only"), STORE_CUTOFF)).select("id", "created_at"),
     "parse_timestamp": lambda spark, d: _dated(spark, d).select(
@@ -389,6 +398,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "session_store_scan": """
+SELECT count(*) AS calls, 0 AS credited_calls, CAST(NULL AS DOUBLE) AS credits, 0.0::DOUBLE AS credit_coverage, CAST(NULL AS DOUBLE) AS credits_to_repo_share,
+  CAST(NULL AS DOUBLE) AS credits_to_pr_share, CAST(NULL AS DOUBLE) AS credits_to_actor_share, CAST(NULL AS DOUBLE) AS sub_agent_share, CAST(NULL AS DOUBLE) AS cache_read_ratio, 0 AS cache_pairs FROM orders""",
     "session_store_window": with_store(f"""
 SELECT ok AS id, CASE ok % 6 WHEN 0 THEN d || 'T' || c || '.000Z' WHEN 1 THEN d || ' ' || c WHEN 2 THEN d || 'T' || c || '+02:00' WHEN 3 THEN d WHEN 4 THEN 'garbage' ELSE d || 'T' || c || '-05:00' END AS created_at
 FROM (SELECT *, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(make_timestamp(clk * 1000), '%H:%M:%S') AS c FROM o1)
@@ -463,4 +475,8 @@ FROM cmpd c LEFT JOIN oms USING (report_id) LEFT JOIN unk USING (day)"""),
     "unallocated_net": with_cycles(BILLING_SQL + """
 SELECT t.report_id, t.actor, t.day, round(t.net, 9) AS net, round(coalesce(a, 0.0), 9) AS allocated, round(t.net - coalesce(a, 0.0), 9) AS unallocated
 FROM (SELECT report_id, actor, day, sum(net) AS net FROM okl GROUP BY 1, 2, 3) t LEFT JOIN (SELECT report_id, sum(net_amount) AS a FROM al GROUP BY 1) USING (report_id)"""),
+    "cycle_story_check": with_cycles(DELIVERY_SQL + BILLING_SQL + """
+, sa AS (SELECT *, place * 1000 - CASE WHEN step = 'review' THEN length(cycle_key) % 3 * 1500 ELSE 0 END AS at_ms FROM sp),
+od AS (SELECT *, lag(at_ms) OVER (PARTITION BY cycle_key ORDER BY place) AS prev FROM sa)
+SELECT DISTINCT cycle_key, CASE WHEN state <> 'yes' THEN 'step not done' WHEN prev > at_ms THEN 'step precedes the one before' END AS rule FROM od WHERE state <> 'yes' OR prev > at_ms"""),
 }

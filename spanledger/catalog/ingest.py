@@ -217,6 +217,23 @@ QUERIES = {
         F.round(pace.context_level(F.col("o_totalprice") * 3), 9).alias("context_level"), pace.effort_level(F.lower(F.substring_index("o_orderpriority", "-", -1))).alias("effort_level")),
 }
 
+# One recursive step per log line, on a list of request slots.
+REPLAY_SQL = """
+WITH RECURSIVE t AS (SELECT conv_id, turn, length(text) AS n, (conv_id + turn) % 6 AS op, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
+r AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS rn, []::STRUCT(m VARCHAR, c DOUBLE, s DOUBLE)[] AS l FROM t
+  UNION ALL
+  SELECT t.conv_id, t.rn, CASE
+    WHEN turn = 0 THEN [{'m': 'm' || (n % 6), 'c': (n % 40)::DOUBLE, 's': NULL::DOUBLE}, {'m': NULL, 'c': NULL, 's': NULL}]
+    WHEN op = 0 THEN list_append(l, {'m': 'm' || (n % 6), 'c': (n % 40)::DOUBLE, 's': NULL::DOUBLE})
+    WHEN op = 1 AND n % 5 <= len(l) THEN l[1:n % 5] || [{'m': NULL::VARCHAR, 'c': (n % 30)::DOUBLE, 's': NULL::DOUBLE}, {'m': NULL, 'c': NULL, 's': (n % 300)::DOUBLE}]
+    WHEN op = 2 AND n % 4 <= len(l) THEN l[1:n % 4] || [{'m': l[n % 4 + 1].m, 'c': (n % 50)::DOUBLE, 's': l[n % 4 + 1].s}] || l[n % 4 + 2:]
+    WHEN op = 3 AND n % 3 <= len(l) THEN l[1:n % 3] || [{'m': NULL::VARCHAR, 'c': NULL::DOUBLE, 's': NULL::DOUBLE}] || l[n % 3 + 2:]
+    ELSE l END
+  FROM r JOIN t ON t.conv_id = r.conv_id AND t.rn = r.rn + 1),
+fin AS (SELECT conv_id, l FROM r QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY rn DESC) = 1),
+slots AS (SELECT conv_id, idx, l[idx] AS x FROM fin, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS idx))"""
+
 ORACLES = {
     "feed_scan": with_events(KIND_SQL + " SELECT feed, eid AS seq, kind FROM ln"),
     "classify_records": with_events(KIND_SQL + " SELECT kind, count(*) AS records FROM ln GROUP BY 1"),
@@ -292,4 +309,7 @@ SELECT o_orderkey, round(w, 9) AS weight, CASE WHEN w < 1.0/3 THEN 'snowy' WHEN
   round(greatest(0.0, least(1.0, ln(o_totalprice * 3 / 32000) / ln(31.25)))::DOUBLE, 9) AS context_level,
   CAST(CASE lower(split_part(o_orderpriority, '-', 2)) WHEN 'low' THEN 0.2 WHEN 'high' THEN 0.8 WHEN 'medium' THEN 0.5 END AS DOUBLE) AS effort_level
 FROM (SELECT *, CASE WHEN o_totalprice / 10000 >= 25 THEN 1.0 WHEN o_totalprice / 10000 > 0.05 THEN ln(o_totalprice / 10000 / 0.05) / ln(500) ELSE 0.0 END::DOUBLE AS w FROM orders)""",
+    "transcript_replay": REPLAY_SQL + " SELECT 'c' || conv_id AS session_id, idx - 1 AS idx, x.m AS model, x.c AS credits, x.s AS session_credits FROM slots",
+    "transcript_session_cost": REPLAY_SQL + """
+SELECT 'c' || conv_id AS session_id, greatest(sum(x.c), max(x.s)) AS credits, arg_max(x.m, idx) FILTER (x.m IS NOT NULL) AS model FROM slots GROUP BY 1""",
 }

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import pace
 from ..operators import context, counters, ledger, quality, sessions, tally, transcripts
 from ..operators.quantile import exact_quantiles
 from ..plans import sections, snapshot, speed
+from ..session import shared_dir
 from ..sources.once import computed_once
+from ..streaming import metering
 from . import bridge, ingest, usage
 from .bridge import NOW_MS, with_events, with_histograms, with_points, with_spans
 from .metrics import BUCKETS_SQL, TOKENS_SQL
@@ -119,6 +123,17 @@ def _growth(spark, d):
     return transcripts.transcript_growth(seen, now, now)
 
 
+def _change_feed(spark, d):
+    """The given events as a stream of spans, metered statefully; changes are summed per ledger."""
+    stream = spark.readStream.schema(bridge.SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(d)
+    spans = spark.sql(bridge.SPAN_RULES, events=bridge.event_columns(stream))
+    landed = spans.withColumn("origin", F.when(F.col("auxiliary"), "agent_host").otherwise("feed"))
+    out = f"{shared_dir(spark)}/changes-{uuid.uuid4()}"
+    query = metering.usage_change_feed(metering.span_metering(landed, NOW_MS - 28 * DAY), f"{out}/feed", f"{out}/state")
+    query.awaitTermination()
+    return spark.read.parquet(f"{out}/feed").groupBy("ledger").agg(*[F.sum(c).alias(c) for c in ("input", "output", "requests")])
+
+
 def _stale(spark, d):
     """Which readings a report at the end of the period may still use."""
     latest = sessions.latest_call(bridge.spans(spark, d))
@@ -265,6 +280,7 @@ QUERIES = {
     "model_pace": _pace,
     "transcript_growth": _growth,
     "staleness": _stale,
+    "usage_change_feed": _change_feed,
     "snapshot_sink": _snapshot,
     "telemetry_diagnostics": _diagnostics,
 }
@@ -311,6 +327,25 @@ UNION ALL SELECT 'cost', 'source', NULL, 'otel'
 {"".join(f" UNION ALL SELECT 'cost', 'coverage_{c}', count({c})::DOUBLE / count(*), NULL {CHAT}" for c in tally.TOKEN_FIELDS)}
 UNION ALL SELECT 'cost', 'share_' || model, total::DOUBLE / (SELECT sum(total) FROM tk)::DOUBLE, NULL FROM tk"""
 
+_MEASURES = [
+    ("traces", "calls", "(SELECT count(*) FROM calls)"), ("traces", "credit_calls", "(SELECT count(nano) FROM calls)"),
+    ("traces", "credits", "(SELECT CAST(sum(nano) AS DOUBLE) / 1e9 FROM calls)"), ("traces", "sessionless_calls", "(SELECT count(*) FROM calls WHERE session_id IS NULL)"),
+    ("traces", "tool_status_calls", "(SELECT count(failed) FROM spans WHERE operation = 'execute_tool')"),
+    ("traces", "tool_failures", "(SELECT count(*) FROM spans WHERE operation = 'execute_tool' AND failed)"),
+    ("traces", "user_calls", "(SELECT count(user_by) FROM calls)"), ("traces", "users", "(SELECT count(DISTINCT user_by) FROM calls)"),
+    *[("reconciliation", c, f"(SELECT {c} FROM dr)") for c in ("input", "output", "delta_tokens", "delta_percent")],
+    ("reconciliation", "pending", "0"), ("reconciliation", "agreeing", "(SELECT (abs(delta_percent) <= 2)::INT FROM dr)"),
+    ("invocations", "model_calls", "(SELECT count(*) FROM spans WHERE sdk AND operation = 'chat')"),
+    ("invocations", "invocations", "(SELECT count(*) FROM roots WHERE root = 'root')"), ("invocations", "unclassified", "(SELECT count(*) FROM roots WHERE root = 'unknown')"),
+    ("invocations", "reported_invocations", "(SELECT count(sdk_nano) FROM roots JOIN spans USING (span_id) WHERE root = 'root')"),
+    ("invocations", "credits", "(SELECT coalesce(CAST(sum(sdk_nano) AS DOUBLE) / 1e9, 0.0) FROM roots JOIN spans USING (span_id) WHERE root = 'root')"),
+]
+DIAGNOSTICS_SQL = (
+    "WITH RECURSIVE " + bridge.ATTRIBUTED_SQL.strip() + usage.ROOTS_SQL + bridge.POINTS_SQL[len(bridge.EVENTS_SQL):] + LEDGER_SQL + ingest.KIND_SQL
+    + " SELECT 'records' AS section, kind AS measure, count(*)::DOUBLE AS value, NULL AS text FROM ln GROUP BY 2"
+    + "".join(f" UNION ALL SELECT '{s}', '{m}', {e}::DOUBLE, NULL" for s, m, e in _MEASURES)
+    + " UNION ALL SELECT 'reconciliation', 'source', NULL, 'otel'")
+
 ORACLES = {
     "latency_percentiles": with_spans(LATENCY_SQL + " SELECT name, q, value, n FROM pct"),
     "slowest_tools": with_spans("""
@@ -387,4 +422,8 @@ SELECT session_id, at_ms, {NOW_MS - DAY} - at_ms BETWEEN 0 AND 1800000 AS contex
     "prefer_exact": PREFER_SQL + " SELECT * FROM pref",
     "speed_section": SPEED_SQL,
     "cost_section": COST_SQL,
+    "telemetry_diagnostics": DIAGNOSTICS_SQL,
+    "usage_change_feed": with_spans(f"""
+SELECT CASE WHEN auxiliary THEN 'harness' ELSE 'traces' END AS ledger, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, count(*) AS requests
+FROM spans WHERE operation = 'chat' AND start_ms >= {NOW_MS - 28 * DAY} AND (input IS NOT NULL OR output IS NOT NULL) GROUP BY 1"""),
 }

@@ -36,7 +36,25 @@ def string_of(found: Column) -> Column:
 
 def text(v: Column, *names: str) -> Column:
     """A JSON string no longer than retained text may be."""
-    return let(let(item(v, *names), string_of), lambda t: F.when(F.length(t) <= MAX_ATTRIBUTE_CHARS, t))
+    def read(found: Column) -> Column:
+        word = F.try_variant_get(found, "$", "string")
+        return F.when((kind_of(found) == "STRING") & (F.length(word) <= MAX_ATTRIBUTE_CHARS), word)
+
+    return let(item(v, *names), read)
+
+
+def absent(v: Column, *names: str) -> Column:
+    """Missing or null."""
+    return let(item(v, *names), lambda found: found.isNull() | F.is_variant_null(found))
+
+
+def is_array(v: Column, *names: str) -> Column:
+    """Cheaper than describing the whole array."""
+    return F.try_variant_get(v, key_path(*names), "array<variant>").isNotNull()
+
+
+def is_object(v: Column, *names: str) -> Column:
+    return F.try_variant_get(v, key_path(*names), "map<string,variant>").isNotNull()
 
 
 def number(v: Column, *names: str) -> Column:

@@ -65,12 +65,12 @@ def settle_histograms(points: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[Slic
     # The loop carries keys and levels only; buckets and attributes rejoin at the end.
     rows = first.select(*SERIES, "_slice", "seq", "opened", *dims, verdict.alias("accepted"))
     plain = [c for c in rows.columns if c != "accepted"]
-    while True:
+
+    def narrowed(rows: DataFrame) -> DataFrame:
         bounds = {}
         for d in dims:
             bounds[f"hi_{d}"] = Prefix("max", F.when(F.coalesce("accepted", F.lit(True)), F.col(d)), inclusive=False)
             bounds[f"lo_{d}"] = Prefix("max", F.when(F.coalesce("accepted", F.lit(False)), F.col(d)), inclusive=False)
-        seen = scan.run(rows, bounds)
 
         def below(side: str) -> Column:
             return (
@@ -79,7 +79,14 @@ def settle_histograms(points: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[Slic
             )
 
         verdict = F.coalesce("accepted", F.when(~below("hi"), F.lit(True)).when(below("lo"), F.lit(False)))
-        rows = cut(seen.select(*plain, verdict.alias("accepted")))
+        return scan.run(rows, bounds).select(*plain, verdict.alias("accepted"))
+
+    # Without hot keys a pass is one more window over the same partitions, so several share a round.
+    passes = 4 if scan.hot is None else 1
+    while True:
+        for _ in range(passes):
+            rows = narrowed(rows)
+        rows = cut(rows)
         if rows.where(F.col("accepted").isNull()).isEmpty():
             break
     final = scan.run(rows, {"mark": Prefix("max", F.when(F.col("accepted"), F.col("at_ms")), inclusive=False)})

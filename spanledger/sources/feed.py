@@ -31,15 +31,12 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def classify(record: Column) -> Column:
-    """Structural kind of a parsed record."""
-    whole = j.kind_of(record)
+    """Structural kind of a parsed, non-empty object. Containers are tested by cast, not by describing their schema."""
+    logged = j.is_object(record, "attributes") | j.present(record, "attributes") | j.present(record, "_body") | j.present(record, "body")
     return (
-        F.when(~whole.startswith("OBJECT"), F.lit("unknown"))
-        .when(j.kind_of(j.item(record, "scopeMetrics")).startswith("ARRAY"), F.lit("metrics"))
-        .when(whole == "OBJECT<>", F.lit("span"))
+        F.when(j.is_array(record, "scopeMetrics"), F.lit("metrics"))
         .when(j.text(record, "spanId").isNotNull() & j.truthy(record, "startTime") & j.truthy(record, "endTime"), F.lit("span"))
-        .when(j.present(record, "attributes") | j.present(record, "_body") | j.present(record, "body"), F.lit("log"))
-        .otherwise(F.lit("unknown"))
+        .when(logged, F.lit("log")).otherwise(F.lit("unknown"))
     )
 
 
@@ -48,10 +45,11 @@ def feed_scan(lines: DataFrame) -> DataFrame:
     trimmed = F.regexp_replace("line", r"^\s+|\s+$", "")
     text = computed_once(lines, text=trimmed)
     t = F.col("text")
-    parsed = computed_once(text, record=F.when(t.startswith("{") & (t != "{}"), F.try_parse_json(t)))
+    empty = t.rlike(r"^\{\s*\}$")
+    parsed = computed_once(text, record=F.when(t.startswith("{") & ~empty, F.try_parse_json(t)))
     r = F.col("record")
     kind = (
-        F.when(~t.startswith("{"), F.lit("ignored")).when(t == "{}", F.lit("span")).when(r.isNull(), F.lit("malformed"))
+        F.when(~t.startswith("{"), F.lit("ignored")).when(empty, F.lit("span")).when(r.isNull(), F.lit("malformed"))
         .otherwise(F.coalesce(classify(r), F.lit("unknown")))
     )
     return computed_once(parsed, kind=kind).drop("line", "text")
@@ -71,7 +69,7 @@ def metric_points(records: DataFrame) -> DataFrame:
     p = F.col("p")
     attrs = F.coalesce(j.redacted_attributes(j.item(p, "attributes")), F.create_map().cast("map<string,string>"))
     value = j.item(p, "value")
-    is_hist = j.kind_of(value).startswith("OBJECT") & j.item(value, "sum").isNotNull()
+    is_hist = j.item(value, "sum").isNotNull()
     listed = j.item(value, "buckets", "boundaries").isNotNull() & j.item(value, "buckets", "counts").isNotNull()
     return points.select(
         "feed", "rec", (F.col("rec") * 65536 + F.col("mpos") * 256 + F.col("ppos")).alias("seq"), "session", "metric",
@@ -156,7 +154,7 @@ def file_spans(records: DataFrame) -> DataFrame:
     """Canonical spans of the feed. The span's own user wins over a configured resource user."""
     r = F.col("record")
     spans = records.where(
-        (F.col("kind") == "span") & j.kind_of(j.item(r, "attributes")).startswith("OBJECT")
+        (F.col("kind") == "span") & j.is_object(r, "attributes")
         & ~F.coalesce((j.kind_of(j.item(r, "ended")) == "BOOLEAN") & ~F.try_variant_get(r, "$.ended", "boolean"), F.lit(False))
     )
     own_user = j.present(r, "attributes", "user.name")
@@ -168,17 +166,16 @@ def file_spans(records: DataFrame) -> DataFrame:
         return j.text(r, "attributes", name)
 
     def absent_or_text(*names: str) -> Column:
-        gone = F.coalesce(j.kind_of(j.item(r, *names)), F.lit("VOID")) == "VOID"
-        return gone | short_text(j.text(r, *names)).isNotNull()
+        return j.absent(r, *names) | short_text(j.text(r, *names)).isNotNull()
 
-    context = F.coalesce(j.kind_of(j.item(r, "parentSpanContext")), F.lit("VOID"))
+    no_context = j.absent(r, "parentSpanContext")
     operation = short_text(read_text("gen_ai.operation.name"))
     parent = F.coalesce(j.text(r, "parentSpanId"), j.text(r, "parentSpanContext", "spanId"))
     start, end = j.clock(r, "startTime"), j.clock(r, "endTime")
     out = spans.select(
         short_text(j.text(r, "spanId")).alias("span_id"), F.col("seq").alias("ord"), operation.alias("operation"),
         short_text(j.text(r, "traceId")).alias("trace_id"), short_text(parent).alias("parent_span_id"),
-        (((context == "VOID") | short_text(j.text(r, "parentSpanContext", "spanId")).isNotNull()) & absent_or_text("parentSpanId")).alias("parent_known"),
+        ((no_context | short_text(j.text(r, "parentSpanContext", "spanId")).isNotNull()) & absent_or_text("parentSpanId")).alias("parent_known"),
         start.alias("start_ms"), end.alias("end_ms"),
         *span_columns(read_text, lambda n: j.number(r, "attributes", n), operation),
         span_failed(F.try_variant_get(r, "$.status.code", "string")).alias("failed"),
