@@ -84,12 +84,14 @@ def pr_match(cycles: DataFrame, prs: DataFrame) -> DataFrame:
     """
     p = prs.select(F.lower("repository").alias("p_repo"), F.col("head").alias("p_head"), "number", "created_ms", "merged_ms", "closed_ms",
                    "author", "author_kind", "reviews", "commits")
+    # An inner join may split a hot branch on either side; cycles without a match rejoin afterwards.
     joined = cycles.select("cycle_key", "first_ms", F.lower("repository").alias("c_repo"), "branch").join(
-        p, (F.col("c_repo") == F.col("p_repo")) & (F.col("branch") == F.col("p_head")), "left")
-    alive = F.col("number").isNotNull() & (F.col("closed_ms").isNull() | (F.col("closed_ms") >= F.col("first_ms")))
+        p, (F.col("c_repo") == F.col("p_repo")) & (F.col("branch") == F.col("p_head")))
+    alive = F.col("closed_ms").isNull() | (F.col("closed_ms") >= F.col("first_ms"))
     fields = ["number", "created_ms", "merged_ms", "closed_ms", "author", "author_kind", "reviews", "commits"]
     best = F.max_by(F.struct(*fields), F.when(alive, F.struct("created_ms", "number")))
-    return joined.groupBy("cycle_key").agg(F.count("number").alias("candidates"), best.alias("m")).select("cycle_key", "candidates", "m.*")
+    found = joined.groupBy("cycle_key").agg(F.count(F.lit(1)).alias("n"), best.alias("m"))
+    return cycles.select("cycle_key").join(found, "cycle_key", "left").select("cycle_key", F.coalesce("n", F.lit(0)).alias("candidates"), "m.*")
 
 
 def work_item_match(cycles: DataFrame, items: DataFrame) -> DataFrame:
@@ -98,10 +100,11 @@ def work_item_match(cycles: DataFrame, items: DataFrame) -> DataFrame:
                      F.col("closed_ms").alias("item_closed_ms"))
     same = (F.col("provider") == F.col("i_provider")) & (F.col("item_id") == F.col("i_id")) & (
         (F.col("provider") == "azure-boards") | (F.lower("repository") == F.col("i_repo")))
-    matched = cycles.where(F.col("item_id").isNotNull()).join(i, same, "left")
-    return matched.groupBy("cycle_key").agg(
-        F.max("i_id").alias("item_id"), F.max("type").alias("type"),
+    named = cycles.where(F.col("item_id").isNotNull())
+    found = named.join(i, same).groupBy("cycle_key").agg(
+        F.max("i_id").alias("found_id"), F.max("type").alias("type"),
         F.bool_or((F.col("category") == "Completed") | F.col("item_closed_ms").isNotNull()).alias("item_closed"))
+    return named.select("cycle_key").join(found, "cycle_key", "left").select("cycle_key", F.col("found_id").alias("item_id"), "type", "item_closed")
 
 
 def cycle_steps(cycles: DataFrame, refs: DataFrame, matches: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
