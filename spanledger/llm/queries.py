@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, packing, simhash, toxicity
+from . import decontam, embeddings, langid, licences, packing, simhash, toxicity, warc
 from .common import crc_of_id, read, settle
 
 
@@ -29,5 +29,49 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_language": op2_language, "op3_packing": op3_packing, "op8_simhash": op8_simhash}
+def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A full response for each page, and two later revisits under other spellings of its URL.
+
+    Of the revisits some carry a stale entity tag, some only a date, some no validator at all.
+    """
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", F.md5("html").alias("digest"))
+    turn = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("turn")
+    rows = pages.select("page_id", "url", "digest", turn).withColumn("r", F.pmod(F.col("page_id") + F.col("turn"), F.lit(7)))
+    again = F.col("turn") > 0
+    date = F.concat(F.lit("day "), F.pmod("page_id", F.lit(28)))
+    tag = F.concat(F.lit('"'), F.substring("digest", 1, 12), F.lit('"'))
+    return rows.select(
+        (F.col("page_id") * 3 + F.col("turn")).alias("record_id"),
+        F.when(F.col("turn") == 1, F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#again"))).when(F.col("turn") == 2, F.regexp_replace("url", "^https?:", "HTTP:")).otherwise(F.col("url")).alias("url"),
+        (F.col("page_id") + F.col("turn") * 1000).alias("at"), F.when(again, "revisit").otherwise("response").alias("kind"),
+        F.when(again & (F.col("r") == 3), '"stale"').when(again & F.col("r").isin(4, 5), None).otherwise(tag).alias("etag"),
+        F.when(again & (F.col("r") == 5), None).otherwise(date).alias("last_modified"),
+        F.when(again, F.create_map(F.lit("Date"), F.col("turn").cast("string"), F.lit("Content-Length"), F.lit("0"), F.lit("Cache-Control"), F.lit("max-age=60")))
+        .otherwise(F.create_map(F.lit("date"), F.lit("0"), F.lit("content-length"), F.lit("9"), F.lit("content-type"), F.lit("text/html"))).alias("headers"),
+        "digest",
+    )
+
+
+def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = F.array_join(F.transform(F.array_sort(F.map_entries("merged")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return warc.resolve(captures(spark, sf_dir)).select("record_id", "canonical_url", "at", "kind", "outcome", "response_id", "response_digest", merged.alias("merged_headers"))
+
+
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.train(docs))
+
+
+QUERIES = {
+    "op1_toxicity": op1_toxicity, "op2_language": op2_language, "op3_packing": op3_packing, "op6_decontam": op6_decontam,
+    "op7_revisits": op7_revisits, "op8_simhash": op8_simhash, "op9_embeddings": op9_embeddings, "op10_licences": op10_licences,
+}
 ORACLES: dict[str, str] = {}
