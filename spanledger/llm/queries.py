@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, embeddings, langid, licences, packing, simhash, toxicity, warc
+from . import decontam, embeddings, html, langid, licences, lm, packing, simhash, toxicity, warc
 from .common import crc_of_id, read, settle
 
 
@@ -29,6 +29,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held = crc_of_id(F.col("doc_id")) % 7 == 2
+    scored = lm.score(docs, *lm.fit(docs, ~held))
+    return scored.withColumn("held_out", F.coalesce(held, F.lit(False))).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -71,7 +82,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_toxicity": op1_toxicity, "op2_language": op2_language, "op3_packing": op3_packing, "op6_decontam": op6_decontam,
+    "op1_toxicity": op1_toxicity, "op2_language": op2_language, "op3_packing": op3_packing, "op4_html": op4_html, "op5_lm": op5_lm, "op6_decontam": op6_decontam,
     "op7_revisits": op7_revisits, "op8_simhash": op8_simhash, "op9_embeddings": op9_embeddings, "op10_licences": op10_licences,
 }
 ORACLES: dict[str, str] = {}
