@@ -168,8 +168,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def identified(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
     """The rows of `docs`, columns as they are, whose language is known with a score of `least` or more."""
-    at = docs.columns.index("text")
-    flagged = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
+    names = list(docs.columns)
+    at = names.index("text")
+    flagged = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,6 +179,6 @@ def identified(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
                 pred, score = model.predict(piece.column(at), letter)
                 keep = letter & (score >= least)
                 cols = [piece.column(i) for i in range(piece.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays(cols, list(docs.columns)).filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep))
 
     return flagged.mapInArrow(run, docs.schema)

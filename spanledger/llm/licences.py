@@ -59,7 +59,6 @@ def _shingles(words: str) -> str:
 
 def template_match(df: DataFrame, templates: dict[str, list[str]], cover: float) -> DataFrame:
     """Adds `similarity`: for each family the largest share of a template's shingles that `words` holds."""
-    spark = df.sparkSession
     made = {}
     for family, texts in templates.items():
         made[family] = [sorted({" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))}) for w in (_plain_words(t) for t in texts)]
@@ -72,7 +71,12 @@ def template_match(df: DataFrame, templates: dict[str, list[str]], cover: float)
         return F.size(F.array_intersect("own", F.array(*[F.lit(g) for g in grams]))) / float(len(grams))
 
     best = [F.struct(F.greatest(*[share(g) for g in grams], F.lit(0.0)).alias("share"), F.lit(family).alias("family")) for family, grams in made.items()]
-    return out.withColumn("similarity", F.array(*best)).drop("own")
+    every = sorted({g for texts in made.values() for grams in texts for g in grams})
+    short = [F.contains(joined, F.lit(f" {g} ")) for g in every if g.count(" ") < 4]
+    some = reduce(Column.__or__, short, F.arrays_overlap("own", F.array(*[F.lit(g) for g in every])))
+    none = F.array(*[F.struct(F.lit(0.0).alias("share"), F.lit(family).alias("family")) for family in made])
+    # most lines hold no shingle of any template
+    return out.withColumn("similarity", F.when(some, F.array(*best)).otherwise(none)).drop("own")
 
 
 def _plain_words(text: str) -> list[str]:

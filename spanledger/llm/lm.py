@@ -47,7 +47,7 @@ def tail_of(word: bytes, tails: int) -> int:
     return zlib.crc32(word[-3:]) % tails
 
 
-def word_counts(rows: DataFrame, flush: int = 400_000) -> DataFrame:
+def word_counts(rows: DataFrame, flush: int = 250_000) -> DataFrame:
     """(word, c) over all `rows` (text); counted in each task first, in tables of bounded size."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter = Counter()
@@ -100,8 +100,10 @@ class Network:
     def class_of(self, y: np.ndarray) -> np.ndarray:
         return np.where(y < self.frequent, y // self.width, self.heads + y - self.frequent)
 
-    def score(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Natural log probability of codes `y` at states `h`; of a tail, that of its class."""
+    def score(self, h: np.ndarray, y: np.ndarray, most: int = 1 << 15) -> np.ndarray:
+        """Natural log probability of codes `y` at states `h`; of a tail, that of its class. At most `most` rows at once."""
+        if len(y) > most:
+            return np.concatenate([self.score(h[at:at + most], y[at:at + most], most) for at in range(0, len(y), most)])
         c = self.class_of(y)
         z = h @ self.p["cls"] + self.p["cls_b"]
         out = z[np.arange(len(y)), c] - np.log(np.exp(z).sum(1))
@@ -313,7 +315,7 @@ def score(docs: DataFrame, model: Model, others: DataFrame) -> DataFrame:
         seen = np.concatenate([model.log_c > 0, np.zeros(model.net.tails, bool)])
         unit = np.log10(model.n + model.v + 1)
         for batch in batches:
-            for piece in pieces(batch, most=24 << 20):
+            for piece in pieces(batch, most=12 << 20):
                 codes, n_tokens, n_known, base, part, rare, times = [], [], [], [], [], [], []
                 for text in piece.column(1).cast(pa.binary()).to_pylist():
                     words = tokens(text)
