@@ -98,7 +98,17 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def ftrl(x: np.ndarray, y: np.ndarray, n_langs: int, epochs: int = 4, batch: int = 32, alpha: float = 1.0, l1: float = 0.05, l2: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+Sparse = list[tuple[np.ndarray, np.ndarray]]
+
+
+def dense(rows: Sparse) -> np.ndarray:
+    out = np.zeros((len(rows), DIM), np.float32)
+    for i, (at, value) in enumerate(rows):
+        out[i, at] = value
+    return out
+
+
+def ftrl(x: Sparse, y: np.ndarray, n_langs: int, epochs: int = 4, batch: int = 32, alpha: float = 1.0, l1: float = 0.05, l2: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights and bias by FTRL-proximal steps on small batches; the bias has no penalty."""
     z, n = np.zeros((DIM, n_langs), np.float32), np.zeros((DIM, n_langs), np.float32)
     w, bias = np.zeros((DIM, n_langs), np.float32), np.zeros(n_langs, np.float32)
@@ -107,8 +117,9 @@ def ftrl(x: np.ndarray, y: np.ndarray, n_langs: int, epochs: int = 4, batch: int
         order = rng.permutation(len(y))
         for at in range(0, len(y), batch):
             rows = order[at:at + batch]
-            wrong = softmax(x[rows] @ w + bias) - one[y[rows]]
-            g = x[rows].T @ wrong
+            some = dense([x[i] for i in rows])
+            wrong = softmax(some @ w + bias) - one[y[rows]]
+            g = some.T @ wrong
             sigma = (np.sqrt(n + g * g) - np.sqrt(n)) / alpha
             z += g - sigma * w
             n += g * g
@@ -121,36 +132,22 @@ def fit(texts: pa.Array, langs: list[str], idf: np.ndarray) -> Model:
     names = sorted(set(langs))
     if not names:
         return Model([], idf, np.zeros((DIM, 0), np.float32), np.zeros(0, np.float32))
-    x, y = vectors(texts, idf), np.array([names.index(v) for v in langs])
+    x: Sparse = []
+    for at in range(0, len(texts), 64):
+        x += [(np.flatnonzero(row).astype(np.int32), row[row != 0]) for row in vectors(texts.slice(at, 64), idf)]
+    y = np.array([names.index(v) for v in langs])
     order = np.random.default_rng(3).permutation(len(y))
-    aside = order[: len(y) // 5]
-    w, bias = ftrl(x[order[len(aside):]], y[order[len(aside):]], len(names))
+    aside, rest = order[: len(y) // 5], order[len(y) // 5:]
+    w, bias = ftrl([x[i] for i in rest], y[rest], len(names))
     model = Model(names, idf, w, bias)
     if len(aside):
-        logits = x[aside] @ w + bias
+        logits = np.concatenate([dense([x[i] for i in aside[at:at + 64]]) @ w + bias for at in range(0, len(aside), 64)])
         grid = np.geomspace(0.05, 20, 120)
         loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(aside)), y[aside]], 1e-12)).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
     return model
 
 
-def train(docs: DataFrame, learn: Column, per_lang: int = 500, max_langs: int = 64, max_bytes: int = 32768) -> Model:
-    """Learn from the rows of `docs` (text, lang) where `learn` holds and neither is NULL.
-
-    The sample holds `per_lang` rows of each of the `max_langs` most frequent languages.
-    """
-    rows = docs.where(learn & F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("doc_id"), F.col("text"), F.col("lang"))
-    df, n = frequencies(rows)
-    idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    near = rows.where(F.octet_length("text").between(1, max_bytes))
-    order = [F.xxhash64(F.lit("language"), "doc_id"), F.col("doc_id"), F.xxhash64("text")]
-    # one small top-k for each language: partial results are cut in every task
-    parts = [near.where(F.col("lang") == name).orderBy(*order).limit(per_lang).select("text", "lang").toArrow() for name in langs]
-    parts = pa.concat_tables(parts) if parts else pa.table({"text": pa.array([], pa.string()), "lang": pa.array([], pa.string())})
-    return fit(parts.column("text").combine_chunks(), parts.column("lang").to_pylist(), idf)
-
-
 def _with_letter(docs: DataFrame) -> DataFrame:
     return id_text(docs).withColumn("letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 

@@ -120,7 +120,7 @@ def fit(sample: pa.Table, columns: int = 8192, min_rows: int = 10, l1: float = 2
     for batch in sample.combine_chunks().to_batches():
         for piece in pieces(batch):
             r, h = distinct(*features(piece.column(piece.schema.get_field_index("text"))))
-            rows.append(r + at)
+            rows.append((r + at).astype(np.int32))
             hashes.append(h)
             at += piece.num_rows
     rows, hashes = np.concatenate(rows), np.concatenate(hashes)
@@ -161,7 +161,7 @@ def labelled(docs: DataFrame, labels: DataFrame, per_class: int, max_bytes: int)
     ])
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, max_bytes: int = 32768) -> Ordinal:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_bytes: int = 32768) -> Ordinal:
     return fit(labelled(docs, labels, per_class, max_bytes))
 
 
