@@ -13,7 +13,7 @@ from spanledger.llm.common import read, settle
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of any severity above 0 is under one half."""
+    """Documents whose probability of any severity above 0 is under the threshold."""
     return toxicity.without_toxic(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 

@@ -110,7 +110,7 @@ def fit_ordinal(x_rows: np.ndarray, x_cols: np.ndarray, n_cols: int, grade: np.n
     return w, cuts
 
 
-def fit(sample: pa.Table, columns: int = 8192, min_rows: int = 10, l1: float = 2e-4, l2: float = 1e-5, steps: int = 300) -> Ordinal:
+def fit(sample: pa.Table, columns: int = 4096, min_rows: int = 10, l1: float = 3e-3, l2: float = 1e-4, steps: int = 300) -> Ordinal:
     """`sample`: text and toxic (0/1)."""
     toxic = sample.column("toxic").to_numpy().astype(int)
     if not len(toxic) or toxic.min() == toxic.max():
@@ -138,11 +138,15 @@ def fit(sample: pa.Table, columns: int = 8192, min_rows: int = 10, l1: float = 2
     used = place[cols] >= 0
     rows, cols = rows[used], place[cols[used]]
     weight = np.ones(len(toxic))
-    w, cuts = fit_ordinal(rows, cols, len(chosen), toxic, l1, l2, steps, weight)
+    # the L1 penalty chooses the features; what is chosen is fitted again without it, so that scores lie apart
+    w, _ = fit_ordinal(rows, cols, len(chosen), toxic, l1, l2, steps, weight)
+    chosen, used = chosen[w != 0], (w != 0)[cols]
+    rows, cols = rows[used], (np.cumsum(w != 0) - 1)[cols[used]]
+    w, cuts = fit_ordinal(rows, cols, len(chosen), toxic, 0.0, l2, steps, weight)
     marked = np.bincount(rows, (w > 0.1)[cols], len(toxic))
     grade = toxic + ((toxic == 1) & (marked > np.median(marked[toxic == 1])))
     if grade.max() == 2 and (grade == 1).any():
-        w, cuts = fit_ordinal(rows, cols, len(chosen), grade, l1, l2, steps, weight)
+        w, cuts = fit_ordinal(rows, cols, len(chosen), grade, 0.0, l2, steps, weight)
     kept = w != 0
     return Ordinal(keys[chosen][kept], w[kept], cuts)
 
@@ -165,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_bytes:
     return fit(labelled(docs, labels, per_class, max_bytes))
 
 
-def score(docs: DataFrame, model: Ordinal, threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: Ordinal, threshold: float = 0.25) -> DataFrame:
     """doc_id, severity (expected grade), grade (most probable), p_toxic and toxic for every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,7 +184,7 @@ def score(docs: DataFrame, model: Ordinal, threshold: float = 0.5) -> DataFrame:
     return id_text(docs).mapInArrow(run, SCHEMA)
 
 
-def without_toxic(docs: DataFrame, model: Ordinal, threshold: float = 0.5) -> DataFrame:
+def without_toxic(docs: DataFrame, model: Ordinal, threshold: float = 0.25) -> DataFrame:
     """The rows of `docs`, columns as they are, that the model does not reject."""
     at = docs.columns.index("text")
 
