@@ -238,7 +238,8 @@ def deduplicate(docs: DataFrame, bits: int = 3) -> DataFrame:
         F.min("component_id").alias("first"), F.count(F.lit(1)).alias("times")
     ).where("first = doc_id OR first IS NULL").select(F.col("doc_id").alias("kept_id"), F.col("times").alias("kept_times")))
     inside = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    once = inside.join(found.where("kept_times = 1"), F.col("row.doc_id") == F.col("kept_id"), "left_semi")
+    # the list of kept ids grows with the documents, so it is never broadcast
+    once = inside.join(found.where("kept_times = 1").hint("merge"), F.col("row.doc_id") == F.col("kept_id"), "left_semi")
     again = found.where("kept_times > 1")
     parts = [once, inside.where(F.col("row.doc_id").isNull())]
     if not again.isEmpty():
