@@ -96,8 +96,11 @@ def lines_of(docs: DataFrame) -> DataFrame:
 def training_lines(docs: DataFrame, templates: dict[str, list[str]], sample: int, cover: float, max_bytes: int) -> DataFrame:
     """Lines of the bounded sample and the templates, each with its class `label`."""
     spark = docs.sparkSession
+    # ids first: a top-k that carried texts would send `sample` texts from every task
     near = id_text(docs).where(F.octet_length("text") <= max_bytes)
-    picked = near.orderBy(F.xxhash64(F.lit("licence"), "doc_id"), "doc_id", F.xxhash64("text")).limit(sample)
+    order = [F.xxhash64(F.lit("licence"), "doc_id"), F.col("doc_id")]
+    ids = near.select("doc_id").distinct().orderBy(*order).limit(sample)
+    picked = near.join(F.broadcast(ids), "doc_id", "left_semi").orderBy(*order, F.xxhash64("text")).limit(sample)
     lines = lines_of(picked).select("line").where("line != ''").distinct()
     given = json.dumps([{"line": t} for texts in templates.values() for t in texts])
     told = spark.range(1).select(F.explode(F.from_json(F.lit(given), "array<struct<line:string>>")).alias("t")).select("t.line")
