@@ -8,8 +8,8 @@ fitted on a held-out part of the sample. A predicted family stands only if the
 line holds at least `cover` of the 5-word shingles of one of its templates (all
 words of a shorter template); otherwise the licence is unknown.
 
-A line without any feature of positive weight cannot leave class none, so only
-lines with a word of such a feature are scored; equal lines are scored once.
+Only lines holding a feature that the weights make necessary for leaving class none
+are scored (see `required`); equal lines are scored once.
 
 Defined results: a NULL or empty text has no licence; a line may be of any
 length; ties between classes go to the first by name; repeated rows are reported
@@ -20,6 +20,7 @@ model; an empty table gives no rows; further columns are not read.
 from __future__ import annotations
 
 import json
+import math
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
@@ -158,16 +159,36 @@ def scored(lines: DataFrame, model: Model) -> DataFrame:
     return lines.join(sums, "line", "left").withColumn("z", z).drop(*[f"z{c}" for c in range(len(model.classes))])
 
 
+def required(model: Model, least: float = 0.5) -> list[str] | None:
+    """Features of which a line must hold one to leave class none; None if the intercepts alone suffice.
+
+    A class can only win if its margin over none exceeds a gap. The features of least positive margin whose
+    margins add up to no more than that gap cannot close it, even all together: every other one is listed.
+    """
+    none = {x["f"]: x["w"] for x in model.weights if x["c"] == 0}
+    others = range(1, len(model.classes))
+    slack = model.temperature * math.log(len(others) * least / (1 - least))
+    found: set[str] = set()
+    for c in others:
+        own = {x["f"]: x["w"] for x in model.weights if x["c"] == c}
+        gap = model.intercepts[0] - model.intercepts[c] - slack
+        if gap <= 0:
+            return None
+        total = 0.0
+        for margin, f in sorted((own.get(f, 0.0) - none.get(f, 0.0), f) for f in own.keys() | none.keys()):
+            total += max(0.0, margin)
+            if margin > 0 and total > gap * (1 - 1e-9):
+                found.add(f)
+    return sorted(found)
+
+
 def licence_lines(docs: DataFrame, model: Model, templates: dict[str, list[str]] = TEMPLATES, cover: float = 0.8, least: float = 0.5) -> DataFrame:
     """doc_id, h (text hash), line, licence (a family or `unknown`), probability, similarity for each licence line."""
-    positive = sorted({w for x in model.weights if x["c"] > 0 and x["w"] > 0 for w in x["f"].split(" ")})
     lines = lines_of(docs)
-    # a raw-text test first: a line lacking all of these words has no feature of positive weight
-    if positive:
-        pattern = r"(?<![a-z0-9])(" + "|".join(positive) + r")(?![a-z0-9])"
-        lines = lines.where(F.lower("line").rlike(pattern))
-    else:
-        lines = lines.where(F.lit(False))
+    needed = required(model, least)
+    if needed is not None:
+        phrase = [r"[^a-z0-9]+".join(f.split(" ")) for f in needed]
+        lines = lines.where(F.lower("line").rlike(r"(?<![a-z0-9])(?:" + "|".join(phrase) + r")(?![a-z0-9])")) if phrase else lines.where(F.lit(False))
     lines = settle(lines)
     distinct = scored(settle(with_features(lines.select("line").distinct()).select("line", "words", "features")), model)
     p = F.expr(f"transform(z, v -> exp((v - array_max(z)) / {model.temperature}D))")
