@@ -43,8 +43,12 @@ TEMPLATES = {
 TALK = r"\b(licen[cs]ed?|copyright|all rights reserved)\b"
 
 
+#: Letters and digits; characters beyond ASCII belong to words.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
+
+
 def word_list(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD + "+"), F.lit(0))
 
 
 def with_features(lines: DataFrame) -> DataFrame:
@@ -122,6 +126,7 @@ def train(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, sample:
     classes = ["none", *sorted(templates), "unknown"]
     place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - 1
     rows = settle(training_lines(docs, templates, sample, cover, max_bytes).withColumn("y", place.cast("double")).withColumn("aside", (F.pmod(F.xxhash64("line"), F.lit(5)) == 0)))
+    spark = docs.sparkSession
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return Model(classes, [], [0.0] * len(classes), 1.0)
@@ -132,7 +137,10 @@ def train(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, sample:
     x = words.transform(rows.withColumn("weight", weight))
     model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", family="multinomial", maxIter=steps, regParam=2e-4, elasticNetParam=0.5, standardization=False).fit(x)
     matrix, terms = model.coefficientMatrix.toArray(), words.vocabulary
-    weights = [{"f": t, "c": int(c), "w": float(matrix[c, i])} for i, t in enumerate(terms) for c in range(matrix.shape[0]) if matrix[c, i] != 0]
+    named = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(terms)), "array<string>")).alias("f"))
+    plain = rows.where("label = 'none'").select(F.explode("features").alias("f")).join(F.broadcast(named), "f").groupBy("f").count()
+    common = {r["f"]: r["count"] for r in plain.collect()}  # at most `vocabulary` rows
+    weights = [{"f": t, "c": int(c), "w": float(matrix[c, i]), "n": common.get(t, 0)} for i, t in enumerate(terms) for c in range(matrix.shape[0]) if matrix[c, i] != 0]
     intercepts = [float(v) for v in model.interceptVector.toArray()] + [-50.0] * (len(classes) - matrix.shape[0])
     fitted = Model(classes, weights, intercepts, 1.0)
     aside = scored(rows.where("aside").select("line", "features", "y"), fitted)
@@ -162,12 +170,14 @@ def scored(lines: DataFrame, model: Model) -> DataFrame:
 def required(model: Model, least: float = 0.5) -> list[str] | None:
     """Features of which a line must hold one to leave class none; None if the intercepts alone suffice.
 
-    A class can only win if its margin over none exceeds a gap. The features of least positive margin whose
+    A class can only win if its margin over none exceeds a gap. Features whose
     margins add up to no more than that gap cannot close it, even all together: every other one is listed.
+    The gap is filled with the features that are most frequent in lines without a licence.
     """
     none = {x["f"]: x["w"] for x in model.weights if x["c"] == 0}
     others = range(1, len(model.classes))
     slack = model.temperature * math.log(len(others) * least / (1 - least))
+    common = {x["f"]: x["n"] for x in model.weights}
     found: set[str] = set()
     for c in others:
         own = {x["f"]: x["w"] for x in model.weights if x["c"] == c}
@@ -175,10 +185,12 @@ def required(model: Model, least: float = 0.5) -> list[str] | None:
         if gap <= 0:
             return None
         total = 0.0
-        for margin, f in sorted((own.get(f, 0.0) - none.get(f, 0.0), f) for f in own.keys() | none.keys()):
-            total += max(0.0, margin)
-            if margin > 0 and total > gap * (1 - 1e-9):
+        for f in sorted(own.keys() | none.keys(), key=lambda f: (-common[f], f)):
+            margin = max(0.0, own.get(f, 0.0) - none.get(f, 0.0))
+            if margin > 0 and total + margin > gap * (1 - 1e-9):
                 found.add(f)
+            else:
+                total += margin
     return sorted(found)
 
 
@@ -187,8 +199,8 @@ def licence_lines(docs: DataFrame, model: Model, templates: dict[str, list[str]]
     lines = lines_of(docs)
     needed = required(model, least)
     if needed is not None:
-        phrase = [r"[^a-z0-9]+".join(f.split(" ")) for f in needed]
-        lines = lines.where(F.lower("line").rlike(r"(?<![a-z0-9])(?:" + "|".join(phrase) + r")(?![a-z0-9])")) if phrase else lines.where(F.lit(False))
+        phrase = [r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+".join(f.split(" ")) for f in needed]
+        lines = lines.where(F.lower("line").rlike(f"(?<!{WORD})(?:" + "|".join(phrase) + f")(?!{WORD})")) if phrase else lines.where(F.lit(False))
     lines = settle(lines)
     distinct = scored(settle(with_features(lines.select("line").distinct()).select("line", "words", "features")), model)
     p = F.expr(f"transform(z, v -> exp((v - array_max(z)) / {model.temperature}D))")
