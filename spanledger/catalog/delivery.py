@@ -17,7 +17,8 @@ from ..sources.once import computed_once
 from . import bridge
 from .bridge import with_calls, with_events, with_spans
 
-STORE_CUTOFF = 959_860_800_000  # 2000-06-01T12:00:00Z
+STORE_CUTOFF = 0  # the whole store
+WINDOW_CUTOFF = 959_860_800_000  # 2000-06-01T12:00:00Z
 CLOCK = "concat_ws(':', lpad(string(o_orderkey % 24), 2, '0'), lpad(string(o_orderkey % 60), 2, '0'), lpad(string(o_orderkey % 59), 2, '0'))"
 STORE_EVENTS = f"""
 SELECT o_orderkey AS id, concat('s', o_custkey) AS session_id, concat('m', o_orderkey % 6) AS model,
@@ -351,7 +352,7 @@ def _older_store(spark, d):
 QUERIES = {
     "session_store_scan": _older_store,
     "session_store_window": lambda spark, d: _dated(spark, d).where(
-        parsing.in_rolling_window(F.col("at_ms"), F.col("date_only"), STORE_CUTOFF)).select("id", "created_at"),
+        parsing.in_rolling_window(F.col("at_ms"), F.col("date_only"), WINDOW_CUTOFF)).select("id", "created_at"),
     "parse_timestamp": lambda spark, d: _dated(spark, d).select(
         "id", F.col("at_ms").alias("ms"), "date_only", parsing.usage_day(F.col("at_ms"), F.col("date_only")).alias("day")),
     "reported_credits": lambda spark, d: spark.sql(STORE_EVENTS, orders=bridge.table(spark, d, "orders")).select(
@@ -404,7 +405,7 @@ SELECT count(*) AS calls, 0 AS credited_calls, CAST(NULL AS DOUBLE) AS credits,
     "session_store_window": with_store(f"""
 SELECT ok AS id, CASE ok % 6 WHEN 0 THEN d || 'T' || c || '.000Z' WHEN 1 THEN d || ' ' || c WHEN 2 THEN d || 'T' || c || '+02:00' WHEN 3 THEN d WHEN 4 THEN 'garbage' ELSE d || 'T' || c || '-05:00' END AS created_at
 FROM (SELECT *, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(make_timestamp(clk * 1000), '%H:%M:%S') AS c FROM o1)
-WHERE at_ms >= {STORE_CUTOFF} OR (ok % 6 = 3 AND dms > {STORE_CUTOFF // 86_400_000 * 86_400_000})"""),
+WHERE at_ms >= {WINDOW_CUTOFF} OR (ok % 6 = 3 AND dms > {WINDOW_CUTOFF // 86_400_000 * 86_400_000})"""),
     "parse_timestamp": with_store("""
 SELECT ok AS id, at_ms AS ms, CASE WHEN ok % 6 = 3 THEN strftime(o_orderdate, '%Y-%m-%d') END AS date_only,
   strftime(CASE WHEN ok % 6 = 3 THEN o_orderdate ELSE make_timestamp(at_ms * 1000) END, '%Y-%m-%d') AS day FROM o1"""),

@@ -80,7 +80,7 @@ c AS (SELECT *, sum(gi) OVER w AS ci, sum(go) OVER w AS co, max(t_ms) OVER (w RO
    FROM g WINDOW w AS (PARTITION BY feed ORDER BY seq)),
 b AS (SELECT feed, t_ms, CAST(sum(greatest(0, floor(ci + 0.5) - floor(ci - gi + 0.5))) AS BIGINT) AS input,
    CAST(sum(greatest(0, floor(co + 0.5) - floor(co - go + 0.5))) AS BIGINT) AS output FROM c WHERE newer IS NULL OR t_ms >= newer GROUP BY 1, 2),
-bk AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY feed ORDER BY t_ms DESC) <= 240)"""
+bk AS (SELECT * FROM b)"""
 BOUNDS = str([float(b) for b in bridge.BOUNDARIES])
 
 

@@ -17,7 +17,6 @@ from ..session import cut
 from .scan import HOT_ROWS, Prefix, SlicedScan, prefix_scan
 
 SERIES = ["feed", "session", "start_ms", "metric", "series_key"]
-MAX_BUCKETS = 240
 TOKEN_USAGE = "gen_ai.client.token.usage"
 
 
@@ -81,12 +80,9 @@ def settle_histograms(points: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[Slic
         verdict = F.coalesce("accepted", F.when(~below("hi"), F.lit(True)).when(below("lo"), F.lit(False)))
         return scan.run(rows, bounds).select(*plain, verdict.alias("accepted"))
 
-    # Without hot keys a pass is one more window over the same partitions, so several share a round.
-    passes = 4 if scan.hot is None else 1
     while True:
-        for _ in range(passes):
-            rows = narrowed(rows)
-        rows = cut(rows)
+        # two passes over the same partitions share a round
+        rows = cut(narrowed(narrowed(rows)))
         if rows.where(F.col("accepted").isNull()).isEmpty():
             break
     final = scan.run(rows, {"mark": Prefix("max", F.when(F.col("accepted"), F.col("at_ms")), inclusive=False)})
@@ -212,7 +208,7 @@ def token_totals(series: DataFrame) -> DataFrame:
 
 
 def token_series(points: DataFrame, now_ms: int, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(feed, t_ms, input, output): growth of the rounded totals per export, newest 240 per feed.
+    """(feed, t_ms, input, output): growth of the rounded totals per export.
 
     Exports with equal time merge; one older than an earlier bucket is dropped.
     """
@@ -234,13 +230,11 @@ def token_series(points: DataFrame, now_ms: int, hot_rows: int = HOT_ROWS) -> Da
         after = F.col(f"c_{kind}")
         return F.greatest(F.lit(0), round_half_up(after) - round_half_up(after - F.col(f"g_{kind}"))).alias(kind)
 
-    buckets = (
+    return (
         running.where(F.col("newer").isNull() | (F.col("t_ms") >= F.col("newer")))
         .select("feed", "t_ms", step("input"), step("output"))
         .groupBy("feed", "t_ms").agg(F.sum("input").alias("input"), F.sum("output").alias("output"))
     )
-    newest_first = F.row_number().over(Window.partitionBy("feed").orderBy(F.desc("t_ms")))
-    return buckets.withColumn("place", newest_first).where(F.col("place") <= MAX_BUCKETS).drop("place")
 
 
 def burn_rate(buckets: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 """Ordered prefix scans that survive a hot key.
 
-A plain window sorts a whole key in one task. A first small job counts rows per
-key (map-side combined). When no key exceeds `hot_rows`, the plain window runs.
-Otherwise the hot keys are cut into slices of their ordering column: each slice
-is scanned on its own, slices are summarised with partial aggregates, and the
-running summary of earlier slices is joined back. Both paths give equal results.
+A small job counts rows per key (map-side combined). Rows of keys above
+`hot_rows` are range-partitioned over key and full order, so that slices hold
+about equal numbers of rows whatever the order values look like; rows that are
+equal in key and order stay together. Each slice is scanned on its own, slices
+are summarised with partial aggregates, and the running summary of earlier
+slices is joined back. A key that is not hot is one slice.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def _merge(fn: str, earlier: Column, local: Column) -> Column:
 
 
 class SlicedScan:
-    """Slices fixed once for `keys` (never NULL) along `order`, whose first column is numeric.
+    """Slices fixed once for `keys` (never NULL) along `order`, columns of any ordered type.
 
     `rows` is the input with `_slice`. Later scans may run over a filtered or
     widened `rows`: they keep the same partitioning, so Spark shuffles once.
@@ -49,24 +50,24 @@ class SlicedScan:
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str], hot_rows: int = HOT_ROWS, reverse: bool = False):
         self.keys, self.order, self.reverse = keys, order, reverse
-        at = order[0]
-        stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-        span = f"double(_hi - _lo + 1) / double(ceil(_n / {float(hot_rows)}))"
-        hot = stats.where(F.col("_n") > hot_rows).selectExpr(*keys, "_lo", f"greatest(1.0D, {span}) AS _width")
-        if hot.isEmpty():
-            self.hot = None
-            self.rows = df.withColumn("_slice", F.lit(0).cast("bigint"))
+        hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+        found = hot.agg(F.sum("_n").alias("rows")).first()["rows"]
+        self.hot = bool(found)
+        whole = df.withColumn("_slice", F.lit(0))
+        if not found:
+            self.rows = whole
             return
-        # At most total_rows / hot_rows keys are hot, which bounds the broadcast; fixing them on
-        # shared storage keeps slices the same when a task is re-run.
-        self.hot = cut(hot)
-        piece = f"coalesce(bigint(floor(double({at} - _lo) / _width)) + 1, 0L) AS _slice"
-        self.rows = df.join(F.broadcast(self.hot), keys, "left").selectExpr(*df.columns, piece)
+        # the list of hot keys grows with the rows, so the optimiser chooses the join by its size
+        listed = cut(hot.select(*keys))
+        ranges = 2 * -(-int(found) // hot_rows)
+        # the slice is a column of a stored table: it stays the same when a task runs again
+        sliced = df.join(listed, keys, "left_semi").repartitionByRange(ranges, *keys, *order).withColumn("_slice", F.spark_partition_id() + 1)
+        self.rows = whole.join(listed, keys, "left_anti").unionByName(cut(sliced))
 
     def run(self, rows: DataFrame, specs: dict[str, Prefix]) -> DataFrame:
         keys, order = self.keys, self.order
         turn = F.desc if self.reverse else F.asc
-        cells = keys if self.hot is None else [*keys, "_slice"]
+        cells = keys if not self.hot else [*keys, "_slice"]
         base = Window.partitionBy(*cells).orderBy(*[turn(c) for c in order])
 
         def running(spec: Prefix) -> Column:
@@ -78,7 +79,7 @@ class SlicedScan:
             place = F.when(spec.expr.isNotNull(), F.struct(*order))
             return F.min_by(spec.expr, place) if self.reverse else F.max_by(spec.expr, place)
 
-        if self.hot is None:
+        if not self.hot:
             return rows.select("*", *[running(s).alias(n) for n, s in specs.items()])
         scanned = rows.select("*", *[running(s).alias(f"_w_{n}") for n, s in specs.items()])
         slices = (

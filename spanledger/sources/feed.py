@@ -19,14 +19,14 @@ TOKEN_USAGE = "gen_ai.client.token.usage"
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
     """(feed, seq, line). Feeds are directories of rotated segments, `<feed>/<n>.jsonl`.
 
-    seq follows segment number, then byte block, then row order inside the
-    block: one read partition holds no more rows than a block has bytes.
+    seq holds segment number, byte block and row order inside the block as
+    fields that order by themselves; nothing is packed into one number.
     """
-    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    row = F.monotonically_increasing_id()
     segment = F.coalesce(F.regexp_extract("_metadata.file_name", r"(\d+)\D*$", 1).try_cast("bigint"), F.lit(0))
     return spark.read.option("recursiveFileLookup", "true").text(path).select(
         F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("feed"),
-        (segment * F.lit(1 << 40) + F.col("_metadata.file_block_start") + row).alias("seq"), F.col("value").alias("line"),
+        F.struct(segment.alias("segment"), F.col("_metadata.file_block_start").alias("block"), row.alias("row")).alias("seq"), F.col("value").alias("line"),
     )
 
 
@@ -60,19 +60,19 @@ def metric_points(records: DataFrame) -> DataFrame:
     metrics = (
         records.where(F.col("kind") == "metrics")
         .select("feed", F.col("seq").alias("rec"), F.coalesce(j.resource_attribute(F.col("record"), "session.id"), F.lit("")).alias("session"),
-                F.explode(F.try_variant_get("record", "$.scopeMetrics", "array<variant>")).alias("scope"))
-        .select("feed", "rec", "session", F.posexplode(F.try_variant_get("scope", "$.metrics", "array<variant>")).alias("mpos", "m"))
-        .select("feed", "rec", "session", "mpos", j.text(F.col("m"), "descriptor", "name").alias("metric"),
+                F.posexplode(F.try_variant_get("record", "$.scopeMetrics", "array<variant>")).alias("spos", "scope"))
+        .select("feed", "rec", "session", "spos", F.posexplode(F.try_variant_get("scope", "$.metrics", "array<variant>")).alias("mpos", "m"))
+        .select("feed", "rec", "session", "spos", "mpos", j.text(F.col("m"), "descriptor", "name").alias("metric"),
                 F.try_variant_get("m", "$.dataPoints", "array<variant>").alias("points"))
     )
-    points = metrics.where(F.col("metric") != "").select("feed", "rec", "session", "metric", "mpos", F.posexplode("points").alias("ppos", "p"))
+    points = metrics.where(F.col("metric") != "").select("feed", "rec", "session", "metric", "spos", "mpos", F.posexplode("points").alias("ppos", "p"))
     p = F.col("p")
     attrs = F.coalesce(j.redacted_attributes(j.item(p, "attributes")), F.create_map().cast("map<string,string>"))
     value = j.item(p, "value")
     is_hist = j.item(value, "sum").isNotNull()
     listed = j.item(value, "buckets", "boundaries").isNotNull() & j.item(value, "buckets", "counts").isNotNull()
     return points.select(
-        "feed", "rec", (F.col("rec") * 65536 + F.col("mpos") * 256 + F.col("ppos")).alias("seq"), "session", "metric",
+        "feed", "rec", F.struct("rec", "spos", "mpos", "ppos").alias("seq"), "session", "metric",
         F.map_filter(attrs, lambda k, v: v.isNotNull()).alias("attrs"), j.clock(p, "startTime").alias("start_ms"), j.clock(p, "endTime").alias("at_ms"),
         F.coalesce(is_hist, F.lit(False)).alias("is_hist"), j.number(p, "value").alias("value"),
         j.number(value, "sum").alias("h_sum"), j.number(value, "count").alias("h_count"),

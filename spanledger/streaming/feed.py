@@ -22,8 +22,7 @@ def feed_stream(spark: SparkSession, path: str, max_bytes: int = 1 << 30) -> Dat
 
 def silver_tables(batch: DataFrame) -> dict[str, DataFrame]:
     """Typed tables of one micro-batch; no raw text or content leaves here."""
-    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    lines = batch.select("feed", (F.col("segment") * F.lit(1 << 40) + F.col("block") + row).alias("seq"), "line")
+    lines = batch.select("feed", F.struct("segment", "block", F.monotonically_increasing_id().alias("row")).alias("seq"), "line")
     records = feed.feed_scan(lines)
     points, events = feed.metric_points(records), feed.log_events(records)
     return {

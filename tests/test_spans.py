@@ -184,3 +184,14 @@ def test_duplicates_and_order_change_nothing(spark):
     again = merge.span_dedup(spans.unionByName(spans.withColumn("ord", F.col("ord") + 10**9)).orderBy(F.rand(1)))
     for calc in (tally.chat_totals, sessions.session_rollup):
         assert rows(calc(again), *calc(spans).columns) == rows(calc(spans), *calc(spans).columns)
+
+
+@pytest.mark.parametrize("odd", [None, 10**15])
+def test_slices_hold_about_equal_rows_whatever_the_order_values(spark, odd):
+    """Order fields that jump, and one wrong clock, leave no slice above twice the target."""
+    from spanledger.operators.scan import SlicedScan
+
+    df = spark.range(4000).select(F.lit("k").alias("k"), F.when(F.col("id") == 7, F.lit(odd)).otherwise(F.col("id")).alias("t"), F.col("id").alias("v"))
+    ordered = df.select("k", F.struct((F.col("t") % 3).alias("segment"), F.coalesce("t", F.lit(0)).alias("row")).alias("seq"), "v")
+    scan = SlicedScan(ordered, ["k"], ["seq"], 500)
+    assert scan.rows.groupBy("_slice").count().agg(F.max("count")).first()[0] <= 1000
