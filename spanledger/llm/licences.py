@@ -206,8 +206,9 @@ def licence_lines(docs: DataFrame, model: Model, templates: dict[str, list[str]]
     p = F.expr(f"transform(z, v -> exp((v - array_max(z)) / {model.temperature}D))")
     probable = distinct.select("line", "words", F.explode(F.array(p)).alias("e")).withColumn("total", F.expr("aggregate(e, 0D, (s, v) -> s + v)"))
     licence = probable.withColumn("p_none", F.col("e")[0] / F.col("total")).where(F.col("p_none") < least)
-    families = F.slice("e", 2, len(model.classes) - 1)
-    named = licence.withColumn("predicted", F.element_at(F.array(*[F.lit(c) for c in model.classes[1:]]), F.array_position(families, F.array_max(families)).cast("int")))
+    # the most probable family, which its template confirms or not; what stays unconfirmed is unknown
+    families = F.slice("e", 2, len(model.classes) - 2)
+    named = licence.withColumn("predicted", F.element_at(F.array(*[F.lit(c) for c in model.classes[1:-1]]), F.array_position(families, F.array_max(families)).cast("int")))
     named = template_match(named, templates, cover).withColumn("same", F.expr("filter(similarity, s -> s.family = predicted)"))
     similarity = F.coalesce(F.expr("get(same, 0).share"), F.lit(0.0))
     found = named.select(

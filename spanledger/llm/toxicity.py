@@ -59,11 +59,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Ordinal:
-    """Weights by feature hash (sorted) and the ordered cuts; without cuts every row is grade 0."""
+    """Weights by feature hash (sorted), the ordered cuts and the least probability that flags a row; without cuts every row is grade 0."""
 
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     cuts: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    threshold: float = 0.5
 
     def grades(self, column: pa.Array) -> np.ndarray:
         """Probability of each grade, a row per text."""
@@ -110,6 +111,15 @@ def fit_ordinal(x_rows: np.ndarray, x_cols: np.ndarray, n_cols: int, grade: np.n
     return w, cuts
 
 
+def copy_weights(rows: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """One over the number of rows with the same two least feature hashes: copies of a text count about once together."""
+    sketch = np.full((n, 2), np.iinfo(np.uint64).max, np.uint64)
+    for i, odd in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
+        np.minimum.at(sketch[:, i], rows, hashes * np.uint64(odd))
+    _, group, size = np.unique(sketch, axis=0, return_inverse=True, return_counts=True)
+    return 1 / size[group.ravel()]
+
+
 def fit(sample: pa.Table, columns: int = 4096, min_rows: int = 10, l1: float = 3e-3, l2: float = 1e-4, steps: int = 300) -> Ordinal:
     """`sample`: text and toxic (0/1)."""
     toxic = sample.column("toxic").to_numpy().astype(int)
@@ -124,11 +134,13 @@ def fit(sample: pa.Table, columns: int = 4096, min_rows: int = 10, l1: float = 3
             hashes.append(h)
             at += piece.num_rows
     rows, hashes = np.concatenate(rows), np.concatenate(hashes)
-    keys, cols, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    weight = copy_weights(rows, hashes, len(toxic))
+    keys, cols = np.unique(hashes, return_inverse=True)
+    count = np.bincount(cols, weight[rows], len(keys))
     # keep the features that tell most: difference of the shares of rows, in standard errors
-    in_toxic = np.bincount(cols, toxic[rows], len(keys))
-    n1, n0 = toxic.sum(), (1 - toxic).sum()
-    p = count / len(toxic)
+    in_toxic = np.bincount(cols, (toxic * weight)[rows], len(keys))
+    n1, n0 = (toxic * weight).sum(), ((1 - toxic) * weight).sum()
+    p = np.minimum(count / weight.sum(), 1)
     z = np.abs(in_toxic / n1 - (count - in_toxic) / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
     able = (count >= min(min_rows, max(2, len(toxic) // 50))) & (z > 2)
     chosen = np.flatnonzero(able)[np.argsort(-z[able], kind="stable")[:columns]]
@@ -137,7 +149,6 @@ def fit(sample: pa.Table, columns: int = 4096, min_rows: int = 10, l1: float = 3
     place[chosen] = np.arange(len(chosen))
     used = place[cols] >= 0
     rows, cols = rows[used], place[cols[used]]
-    weight = np.ones(len(toxic))
     # the L1 penalty chooses the features; what is chosen is fitted again without it, so that scores lie apart
     w, _ = fit_ordinal(rows, cols, len(chosen), toxic, l1, l2, steps, weight)
     chosen, used = chosen[w != 0], (w != 0)[cols]
@@ -148,7 +159,10 @@ def fit(sample: pa.Table, columns: int = 4096, min_rows: int = 10, l1: float = 3
     if grade.max() == 2 and (grade == 1).any():
         w, cuts = fit_ordinal(rows, cols, len(chosen), grade, 0.0, l2, steps, weight)
     kept = w != 0
-    return Ordinal(keys[chosen][kept], w[kept], cuts)
+    # between a quarter and a half: as low as 99.8 % of the sample's clean rows allow
+    over = 1 - _sigmoid(cuts[0] - np.bincount(rows, w[cols], len(toxic)))
+    threshold = float(np.clip(np.quantile(over[toxic == 0], 0.998), 0.25, 0.5))
+    return Ordinal(keys[chosen][kept], w[kept], cuts, threshold)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, per_class: int, max_bytes: int) -> pa.Table:
@@ -169,8 +183,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_bytes:
     return fit(labelled(docs, labels, per_class, max_bytes))
 
 
-def score(docs: DataFrame, model: Ordinal, threshold: float = 0.25) -> DataFrame:
+def score(docs: DataFrame, model: Ordinal, threshold: float | None = None) -> DataFrame:
     """doc_id, severity (expected grade), grade (most probable), p_toxic and toxic for every row."""
+    least = model.threshold if threshold is None else threshold
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
@@ -178,19 +194,20 @@ def score(docs: DataFrame, model: Ordinal, threshold: float = 0.25) -> DataFrame
                 over = 1 - p[:, 0]
                 yield pa.RecordBatch.from_arrays([
                     piece.column(0).cast(pa.int64()), pa.array(p @ np.arange(p.shape[1])), pa.array(p.argmax(1).astype(np.int32)),
-                    pa.array(over), pa.array(over >= threshold),
+                    pa.array(over), pa.array(over >= least),
                 ], ["doc_id", "severity", "grade", "p_toxic", "toxic"])
 
     return id_text(docs).mapInArrow(run, SCHEMA)
 
 
-def without_toxic(docs: DataFrame, model: Ordinal, threshold: float = 0.25) -> DataFrame:
+def without_toxic(docs: DataFrame, model: Ordinal, threshold: float | None = None) -> DataFrame:
     """The rows of `docs`, columns as they are, that the model does not reject."""
     at = docs.columns.index("text")
+    least = model.threshold if threshold is None else threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
-                yield piece.filter(pa.array(1 - model.grades(piece.column(at))[:, 0] < threshold))
+                yield piece.filter(pa.array(1 - model.grades(piece.column(at))[:, 0] < least))
 
     return docs.mapInArrow(run, docs.schema)

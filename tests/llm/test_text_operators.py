@@ -258,7 +258,7 @@ def test_licences_of_whole_documents(spark):
         if i % 4 < 3 and i % 2:
             lines.insert(1, list(notice.values())[i % 3])
         given.append((i, "\n".join(lines)))
-    given += [*ODD, (200, "licensed to kill " + sentences(rng, words, 5)), (201, "Released under the MIT License.\nAll rights reserved."), (201, "Released under the MIT License.\nAll rights reserved.")]
+    given += [*[(i and i + 1000, t) for i, t in ODD], (200, "licensed to kill " + sentences(rng, words, 5)), (201, "Released under the MIT License.\nAll rights reserved."), (201, "Released under the MIT License.\nAll rights reserved.")]
     docs = docs_of(spark, given)
     model = licences.train(docs, sample=150)
     got = licences.scan(docs, model).collect()
