@@ -59,7 +59,7 @@ class SlicedScan:
             return
         # the list of hot keys grows with the rows, so the optimiser chooses the join by its size
         listed = cut(hot.select(*keys))
-        ranges = 2 * -(-int(found) // hot_rows)
+        ranges = -(-int(found) // hot_rows) + 1
         # the slice is a column of a stored table: it stays the same when a task runs again
         sliced = df.join(listed, keys, "left_semi").repartitionByRange(ranges, *keys, *order).withColumn("_slice", F.spark_partition_id() + 1)
         self.rows = whole.join(listed, keys, "left_anti").unionByName(cut(sliced))
