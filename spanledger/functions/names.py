@@ -15,6 +15,13 @@ URL = (
     r"(\[[0-9A-Fa-f:.]+\]|[^\s/?#:@\[\]<>^|\\]+)(?::([0-9]{0,5}))?"
     r"(/[^?#\s]*)?(?:\?([^#\s]*))?(?:#\S*)?$"
 )
+# the short form of an ssh remote: host, path
+SCP = r"^git@([^\s:/?#@]+):([^?#\s]*)(?:[?#]\S*)?$"
+# file URLs, absolute, home and relative paths, drive letters, and whatever holds a backslash
+LOCAL = r"(?i)^file:|^[/~.]|^[a-z]:|\\"
+# [IPv6] with a port, a name with a port, or an IPv6 address as it is; a last dot is no part of it
+ADDRESS = r"^(?:\[([^\]]*)\](?::\d+)?|([^:]*?)\.?(?::\d*)?|(.*?))\.?$"
+HOST = r"^[a-z0-9_.:%-]{1,253}$"
 WEB_SCHEMES = ("http", "https", "ftp", "ws", "wss")
 
 
@@ -34,38 +41,36 @@ def url_host(url: Column) -> Column:
 
 
 def repository_name(value: Column) -> Column:
-    """`owner/name` on github.com, `host/path` elsewhere; local paths and bare logins are NULL."""
-    def remote(url: Column) -> Column:
-        path = F.regexp_replace(_part(url, 5), r"^/+", "")
-        return let(url_host(url), lambda host: F.when(F.lower(host) == "github.com", path).otherwise(F.concat(host, F.lit("/"), path)))
+    """`owner/name` on github.com, `host/path` elsewhere; local paths and bare logins are NULL.
 
-    def named(url: Column) -> Column:
-        return F.when(url.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), remote(url)).when(~url.contains("@"), url)
+    A remote reads as a URL, as git@host:path, or as a plain name. The first two
+    give a host and a path, so credentials, ports and queries fall away there.
+    """
+    def at(host: Column, path: Column) -> Column:
+        home = F.lower(host) == "github.com"
+        return F.concat(F.when(home, F.lit("")).otherwise(F.concat(host, F.lit("/"))), F.ltrim(path, F.lit("/")))
 
-    def remote_name(raw: Column) -> Column:
-        local = raw.rlike(r"(?i)^(file:|[/\\~.]|[a-z]:)") | raw.contains("\\")
-        https = F.regexp_replace(F.regexp_replace(raw, r"^git@([^:/]+):", "https://$1/"), r"^ssh://(?:[^@/]+@)?", "https://")
-        tidy = F.regexp_replace(F.regexp_replace(let(https, named), r"(?i)\.git$", ""), r"/+$", "")
-        return F.when((raw != "") & ~local, F.nullif(tidy, F.lit("")))
+    def name(remote: Column) -> Column:
+        host = F.when(F.lower(_part(remote, 1)) == "ssh", F.lower(_part(remote, 3))).otherwise(url_host(remote))
+        short = F.when(remote.rlike(SCP), at(F.lower(F.regexp_extract(remote, SCP, 1)), F.regexp_extract(remote, SCP, 2)))
+        plain = F.when(~remote.contains("@") & ~remote.contains("://"), remote)
+        full = F.coalesce(F.when(remote.rlike(URL), at(host, _part(remote, 5))), short, plain)
+        return F.when(~remote.rlike(LOCAL), F.nullif(F.regexp_replace(full, r"(?i)/*(?:\.git)?$", ""), F.lit("")))
 
-    return let(strip(short_text(value)), remote_name)
+    return let(strip(short_text(value)), name)
 
 
 def endpoint_host(value: Column) -> Column:
     """Bare lower-case host of an address or URL: no path, port or credentials."""
-    def bare(raw: Column) -> Column:
-        return F.when(raw.contains("://"), url_host(raw)).otherwise(raw)
+    def checked(host: Column) -> Column:
+        return F.when(host.rlike(HOST), host)
 
-    def portless(host: Column) -> Column:
-        one_colon = F.size(F.split(host, ":")) == 2
-        return F.when(one_colon, F.regexp_replace(F.regexp_replace(host, r":\d*$", ""), r"\.$", "")).otherwise(host)
+    def host_of(address: Column) -> Column:
+        # one alternative of ADDRESS matches; the groups of the others are empty
+        return let(F.concat(*[F.regexp_extract(address, ADDRESS, g) for g in (1, 2, 3)]), checked)
 
-    def plain(host: Column) -> Column:
-        return F.when((F.length(host) <= 253) & host.rlike(r"^[a-z0-9_.:%-]+$"), host)
-
-    raw = let(F.lower(strip(short_text(value))), bare)
-    unbracketed = F.regexp_replace(F.regexp_replace(raw, r"^\[([^\]]*)\](?::\d+)?$", "$1"), r"\.$", "")
-    return let(let(unbracketed, portless), plain)
+    text = F.lower(strip(short_text(value)))
+    return let(let(text, lambda t: F.when(t.contains("://"), url_host(t)).otherwise(t)), host_of)
 
 
 def identity_name(value: Column) -> Column:
@@ -78,6 +83,10 @@ def clean_title(value: Column) -> Column:
     return F.nullif(F.when(F.length(value) <= 512, strip(F.regexp_replace(value, SPACE + "+", " "))), F.lit(""))
 
 
+# What stands for the missing, the masked and the unreadable.
+NO_URL, MASKED, WITHHELD = "(none)", "<redacted>", "(unparseable, withheld)"
+
+
 def redact_url(value: Column) -> Column:
     """Scheme, host and path only; user info and query are masked, the unreadable withheld."""
     scheme = F.lower(_part(value, 1))
@@ -87,16 +96,16 @@ def redact_url(value: Column) -> Column:
     usual = ((scheme.isin("https", "wss")) & (port == "443")) | ((scheme.isin("http", "ws")) & (port == "80"))
     shown = F.concat(
         scheme, F.lit("://"),
-        F.when(_part(value, 2) != "", F.lit("<redacted>@")).otherwise(F.lit("")),
+        F.when(_part(value, 2) != "", F.lit(f"{MASKED}@")).otherwise(F.lit("")),
         url_host(value),
         F.when((port == "") | usual, F.lit("")).otherwise(F.concat(F.lit(":"), port)),
         path,
-        F.when(_part(value, 6) != "", F.lit("?<redacted>")).otherwise(F.lit("")),
+        F.when(_part(value, 6) != "", F.lit(f"?{MASKED}")).otherwise(F.lit("")),
     )
     return (
-        F.when(value.isNull() | (value == ""), F.lit("(none)"))
+        F.when(value.isNull() | (value == ""), F.lit(NO_URL))
         .when(value.rlike(URL), shown)
-        .otherwise(F.lit("(unparseable, withheld)"))
+        .otherwise(F.lit(WITHHELD))
     )
 
 
