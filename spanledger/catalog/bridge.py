@@ -272,6 +272,10 @@ def with_histograms(body: str) -> str:
     return "WITH RECURSIVE " + HISTOGRAMS_SQL.strip() + body
 
 
+def with_both(body: str) -> str:
+    return "WITH RECURSIVE " + POINTS_SQL.strip() + HISTOGRAMS_SQL.removeprefix(EVENTS_SQL) + body
+
+
 # ---- log events and chat transcripts ---------------------------------------------------------
 
 LOG_RULES = """

@@ -17,6 +17,14 @@ def _series(spark, d):
     return counters.counter_series(bridge.points(spark, d))
 
 
+def _mixed(spark, d):
+    """Token usage of both kinds: counters as they are, histograms as usage of a model named after their metric."""
+    kind = F.when(F.col("metric").contains("tool"), "output").otherwise("input")
+    named = F.map_concat("attrs", F.create_map(F.lit("gen_ai.response.model"), "metric", F.lit("gen_ai.token.type"), kind))
+    usage = bridge.histograms(spark, d).withColumns({"attrs": named, "metric": F.lit(counters.TOKEN_USAGE), "is_hist": F.lit(True)})
+    return bridge.points(spark, d).withColumn("is_hist", F.lit(False)).unionByName(usage, allowMissingColumns=True)
+
+
 def _tag():
     return F.coalesce(*[F.col("attrs")[k] for k in ("gen_ai.token.type", "copilot_chat.edit.outcome", "type", "success")])
 
@@ -55,6 +63,7 @@ QUERIES = {
                                F.try_divide(F.sum("total"), F.sum("count")).alias("mean")),
     "metric_has_attr": lambda spark, d: counters.has_attribute(_series(spark, d), "gen_ai.response.model"),
     "tokens_by_model": lambda spark, d: counters.tokens_by_model(_series(spark, d)).drop("share"),
+    "tokens_by_model_both_kinds": lambda spark, d: counters.tokens_by_model(counters.series(_mixed(spark, d))).drop("share"),
     "model_token_share": lambda spark, d: counters.tokens_by_model(_series(spark, d)).select("model", "share"),
     "token_totals": lambda spark, d: counters.token_totals(_series(spark, d)),
     "token_series": lambda spark, d: counters.token_series(bridge.points(spark, d), bridge.NOW_MS),
@@ -105,6 +114,10 @@ ORACLES = {
     "metric_mean": with_histograms(" SELECT metric, sum(total) AS total, sum(count) AS observations, sum(total) / sum(count) AS mean FROM hs GROUP BY 1"),
     "metric_has_attr": with_points(" SELECT metric, bool_or(resp IS NOT NULL) AS has_attribute FROM series GROUP BY 1"),
     "tokens_by_model": with_points(TOKENS_SQL + " SELECT * FROM tk"),
+    "tokens_by_model_both_kinds": bridge.with_both(TOKENS_SQL + """
+SELECT model, input, output, total FROM tk UNION ALL
+SELECT metric, CAST(coalesce(sum(total) FILTER (NOT contains(metric, 'tool')), 0) AS BIGINT) AS input, CAST(coalesce(sum(total) FILTER (contains(metric, 'tool')), 0) AS BIGINT) AS output,
+  CAST(sum(total) AS BIGINT) FROM hs GROUP BY 1"""),
     "model_token_share": with_points(TOKENS_SQL + " SELECT model, total::DOUBLE / (SELECT sum(total) FROM tk)::DOUBLE AS share FROM tk"),
     "token_totals": with_points(
         " SELECT CAST(floor(sum(total) FILTER (tag = 'input') + 0.5) AS BIGINT) AS input, CAST(floor(sum(total) FILTER (tag = 'output') + 0.5) AS BIGINT) AS output"

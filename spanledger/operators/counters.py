@@ -3,7 +3,7 @@
 Points: feed, rec (export sequence within the landed data), seq (arrival
 sequence), session, metric, attrs MAP<STRING,STRING>, start_ms (0 = none),
 at_ms (0 = none), and either `value` or the histogram columns h_sum, h_count,
-boundaries, counts. A series is (feed, session, start, metric, attrs).
+boundaries, counts. A table with both kinds tells them apart by `is_hist`. A series is (feed, session, start, metric, attrs).
 """
 
 from __future__ import annotations
@@ -138,6 +138,36 @@ def histogram_series(runs: DataFrame) -> DataFrame:
     )
 
 
+def histogram_growth(points: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Accepted histogram points with `growth` of the sum; after a restart the whole sum is new."""
+    scan, rows = settle_histograms(points, hot_rows)
+    seen = scan.run(rows.where(F.col("accepted")), {"prev": Prefix("last", F.col("v"), inclusive=False)})
+    fresh = F.col("v") - F.coalesce("prev", F.lit(0.0))
+    return seen.withColumn("growth", F.when(fresh >= 0, fresh).otherwise(F.col("v"))).drop("prev")
+
+
+def by_kind(points: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Counter points and histogram points; a table without `is_hist` holds counters only."""
+    if "is_hist" not in points.columns:
+        return points, None
+    return points.where(~F.col("is_hist")), points.where("is_hist")
+
+
+def series(points: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """One row per series of either kind: total and observations, restarts banked."""
+    plain, histograms = by_kind(points)
+    found = counter_series(plain, hot_rows)
+    return found if histograms is None else found.unionByName(histogram_series(histogram_runs(histograms, hot_rows)))
+
+
+def growth(points: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(feed, rec, metric, attrs, growth): what every accepted point of either kind adds."""
+    columns = ["feed", "rec", "metric", "attrs", "growth"]
+    plain, histograms = by_kind(points)
+    found = counter_growth(plain, hot_rows).select(*columns)
+    return found if histograms is None else found.unionByName(histogram_growth(histograms, hot_rows).select(*columns))
+
+
 def matching(series: DataFrame, metric: str, where: dict[str, str] | None = None) -> DataFrame:
     """Series of a metric whose attributes equal `where`; a missing attribute counts as ''."""
     tests = [F.coalesce(F.col("attrs")[k], F.lit("")) == v for k, v in (where or {}).items()]
@@ -159,12 +189,14 @@ def has_attribute(series: DataFrame, key: str) -> DataFrame:
 def hist_quantiles(runs: DataFrame, qs: list[float], by: list[str] | None = None) -> DataFrame:
     """(by..., q, value) from merged bucket counts; linear inside a bucket, NULL without samples.
 
-    Boundaries are those of the earliest series; runs with another bucket count
-    are left out. Bucket rows per group are few, so the running sum is small.
+    Boundaries are those of the newest run of the earliest series; runs with another
+    bucket count are left out. Bucket rows per group are few, so the running sum is small.
     """
     by = by or ["metric"]
-    held = runs.where(F.col("buckets").isNotNull()).select(*by, "first_seq", "buckets.boundaries", "buckets.counts")
-    first = held.groupBy(*by).agg(F.min_by("boundaries", "first_seq").alias("bounds"), F.min_by(F.size("counts"), "first_seq").alias("width"))
+    one = list(dict.fromkeys([*by, *SERIES]))
+    held = runs.where(F.col("buckets").isNotNull()).select(*one, "run", "first_seq", "buckets.boundaries", "buckets.counts")
+    layouts = held.groupBy(*one).agg(F.min("first_seq").alias("opened"), F.max_by(F.struct("boundaries", F.size("counts").alias("width")), "run").alias("last"))
+    first = layouts.groupBy(*by).agg(F.min_by("last", "opened").alias("last")).select(*by, F.col("last.boundaries").alias("bounds"), "last.width")
     summed = (
         held.select(*by, F.size("counts").alias("width"), F.posexplode("counts").alias("idx", "n"))
         .groupBy(*by, "width", "idx").agg(F.sum("n").cast("double").alias("n")).join(first, [*by, "width"])
@@ -213,7 +245,7 @@ def token_series(points: DataFrame, now_ms: int, hot_rows: int = HOT_ROWS) -> Da
     Exports with equal time merge; one older than an earlier bucket is dropped.
     """
     kind = F.coalesce(F.col("attrs")["gen_ai.token.type"], F.lit(""))
-    by_type = counter_growth(points.where(F.col("metric") == TOKEN_USAGE), hot_rows).groupBy("feed", "rec").agg(
+    by_type = growth(points.where(F.col("metric") == TOKEN_USAGE), hot_rows).groupBy("feed", "rec").agg(
         *[F.coalesce(F.sum(F.when(kind == k, F.col("growth"))), F.lit(0.0)).alias(f"g_{k}") for k in ("input", "output")],
     )
     exports = points.groupBy("feed", "rec").agg(F.max("at_ms").alias("newest"))

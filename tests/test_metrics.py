@@ -149,6 +149,45 @@ def test_feed_records_points_and_stats(spark):
     assert rows(signals, "metric", "value") == [(quality.USER_FEEDBACK, 1.0)]
 
 
+def _landed(spark, *exports):
+    lines = spark.createDataFrame([("f", i, json.dumps(e)) for i, e in enumerate(exports)], "feed STRING, seq BIGINT, line STRING")
+    return feed.metric_points(feed.feed_scan(lines))
+
+
+def _usage(total, count, kind, model, at=1790190103, bounds=(0, 5)):
+    value = {"sum": total, "count": count, "buckets": {"boundaries": list(bounds), "counts": [0] * len(bounds) + [count]}}
+    return _export(USAGE, value, {"gen_ai.token.type": kind, "gen_ai.response.model": model}, end=(at, 0))
+
+
+def test_histograms_count_as_tokens(spark):
+    first = [_usage(2380, 2, "input", "gpt-4o"), _usage(4200, 1, "input", "claude"), _usage(250, 1, "output", "gpt-4o"), _usage(140, 1, "output", "claude")]
+    for exports in (first, first * 3):
+        totals = counters.token_totals(counters.series(_landed(spark, *exports))).first()
+        assert (totals.input, totals.output) == (6580, 390)
+    plain = _export(USAGE, 20, {"gen_ai.token.type": "input", "gen_ai.response.model": "gpt-4o"}, session="w2")
+    both = counters.series(_landed(spark, *first, plain))
+    assert {(r.model, r.input, r.output) for r in counters.tokens_by_model(both).collect()} == {("gpt-4o", 2400, 250), ("claude", 4200, 140)}
+
+
+def test_histogram_growth_fills_token_buckets(spark):
+    landed = _landed(spark, _usage(1000, 1, "input", "m", 10), _usage(2500, 2, "input", "m", 20), _export(USAGE, 7, {"gen_ai.token.type": "output"}, end=(20, 0)))
+    assert rows(counters.token_series(landed, 0), "t_ms", "input", "output") == [(10_000, 1000, 0), (20_000, 1500, 7)]
+
+
+def test_histogram_turns_answer_without_spans(spark):
+    value = {"sum": 9, "count": 3, "buckets": {"boundaries": [5], "counts": [3, 0]}}
+    spans = spark.createDataFrame([], "operation STRING, turns BIGINT")
+    got = speed.turns_per_invocation(spans, counters.series(_landed(spark, _export(speed.AGENT_TURNS, value)))).first()
+    assert tuple(got) == (3.0, "metrics")
+
+
+def test_quantile_takes_the_current_layout_of_the_first_series(spark):
+    given = [("f", 1, 1, "s", "m", {}, 0, 1, 50.0, 5.0, [100.0], [5.0, 0.0]), ("f", 2, 2, "s", "m", {}, 0, 2, 5.0, 1.0, [10.0], [1.0, 0.0])]
+    columns = POINT.replace("value DOUBLE", "h_sum DOUBLE, h_count DOUBLE, boundaries ARRAY<DOUBLE>, counts ARRAY<DOUBLE>")
+    runs = counters.histogram_runs(spark.createDataFrame(given, columns))
+    assert counters.hist_quantiles(runs, [0.5]).first().value == 5.0
+
+
 def test_file_span_identity_and_links(spark):
     base = {"startTime": [10, 0], "endTime": [11, 500000000], "attributes": {"gen_ai.operation.name": "chat", "gen_ai.usage.input_tokens": 5.5, "gen_ai.usage.output_tokens": 7}}
     resource = {"_rawAttributes": [["user.name", "configured"]]}
