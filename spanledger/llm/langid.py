@@ -159,8 +159,14 @@ def train(docs: DataFrame, learn: Column, per_lang: int = 500, max_langs: int =
     langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
     near = rows.where(F.octet_length("text").between(1, max_bytes))
     order = [F.xxhash64(F.lit("language"), "doc_id"), F.col("doc_id"), F.xxhash64("text")]
-    # one small top-k for each language: partial results are cut in every task
-    parts = [near.where(F.col("lang") == name).orderBy(*order).limit(per_lang).select("text", "lang").toArrow() for name in langs]
+
+    def sample(name: str) -> pa.Table:
+        # the bound comes from hashes alone, so that the texts of one sample move, not those of every task's best rows
+        own = near.where(F.col("lang") == name)
+        bound = own.select(order[0].alias("h")).orderBy("h").limit(per_lang).agg(F.max("h")).first()[0]
+        return own.where(order[0] <= F.lit(bound)).orderBy(*order).limit(per_lang).select("text", "lang").toArrow()
+
+    parts = [sample(name) for name in langs]
     parts = pa.concat_tables(parts) if parts else pa.table({"text": pa.array([], pa.string()), "lang": pa.array([], pa.string())})
     return fit(parts.column("text").combine_chunks(), parts.column("lang").to_pylist(), idf)
 
