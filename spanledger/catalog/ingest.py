@@ -6,12 +6,16 @@ SQL states what the parse must yield.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import json as j, names, pace, parsing, values
 from ..operators import counters, merge, transcripts
+from ..session import shared_dir
 from ..sources import feed, quota, stores
 from ..sources import transcripts as transcript_source
+from ..streaming import feed as stream_feed
 from . import bridge
 from .bridge import with_events, with_spans
 
@@ -58,6 +62,18 @@ def _records(spark, d):
     return feed.feed_scan(lines(spark, d))
 
 
+def _landed(spark, d):
+    """The feed as text segments on shared storage, landed by the stream and read back from its typed tables."""
+    root = f"{shared_dir(spark).rstrip('/')}/feed-{uuid.uuid4()}"
+    lines(spark, d).select("feed", F.col("line").alias("value")).write.partitionBy("feed").text(f"{root}/in")
+    stream_feed.land(stream_feed.feed_stream(spark, f"{root}/in"), f"{root}/out", f"{root}/state").awaitTermination()
+    name = F.regexp_replace("feed", "^feed=", "").alias("feed")
+    # a feed may be spread over several batches
+    kinds = spark.read.parquet(f"{root}/out/stats").groupBy(name).agg(*[F.sum(c).alias(c) for c in ("metrics", "log", "span", "unknown", "malformed", "ignored")])
+    points = spark.read.parquet(f"{root}/out/points").groupBy(name).agg(F.count(F.lit(1)).alias("points"))
+    return kinds.join(points, "feed", "left").withColumn("points", F.coalesce("points", F.lit(0)).cast("bigint"))
+
+
 KIND_SQL = """,
 ln AS (SELECT *, CASE WHEN k % 10 = 0 THEN 'span' WHEN k = 1 THEN 'ignored' WHEN k = 11 THEN 'malformed' WHEN k = 21 THEN 'unknown' WHEN k = 31 THEN 'ignored'
   WHEN et IN ('click', 'view') THEN 'span' WHEN et IN ('purchase', 'signup') THEN 'metrics' ELSE 'log' END AS kind, 'f' || (uid % 4) AS feed, k % 10 <> 0 AS full_ FROM ev),
@@ -172,6 +188,7 @@ def _customers(spark, d):
 QUERIES = {
     "feed_scan": lambda spark, d: _records(spark, d).select("feed", "seq", "kind"),
     "classify_records": lambda spark, d: _records(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("records")),
+    "feed_stream": _landed,
     "feed_record_stats": lambda spark, d: feed.record_stats(_records(spark, d), feed.metric_points(_records(spark, d)), feed.log_events(_records(spark, d))),
     "metric_points": lambda spark, d: feed.metric_points(_records(spark, d)).select(
         "feed", "rec", "session", "metric", F.nullif(counters.series_key(F.col("attrs")), F.lit("")).alias("series_key"), "start_ms", "at_ms", "value"),
@@ -237,6 +254,10 @@ slots AS (SELECT conv_id, idx, l[idx] AS x FROM fin, LATERAL (SELECT unnest(rang
 ORACLES = {
     "feed_scan": with_events(KIND_SQL + " SELECT feed, eid AS seq, kind FROM ln"),
     "classify_records": with_events(KIND_SQL + " SELECT kind, count(*) AS records FROM ln GROUP BY 1"),
+    "feed_stream": with_events(KIND_SQL + """
+      SELECT ln.feed, count(*) FILTER (kind = 'metrics') AS metrics, count(*) FILTER (kind = 'log') AS log, count(*) FILTER (kind = 'span') AS span, count(*) FILTER (kind = 'unknown') AS unknown,
+        count(*) FILTER (kind = 'malformed') AS malformed, count(*) FILTER (kind = 'ignored') AS ignored, coalesce(max(n), 0) AS points
+      FROM ln LEFT JOIN (SELECT feed, count(*) AS n FROM pt GROUP BY feed) p ON p.feed = ln.feed GROUP BY ln.feed"""),
     "feed_record_stats": with_events(KIND_SQL + """
 SELECT feed, count(*) FILTER (kind = 'metrics') AS metrics, count(*) FILTER (kind = 'log') AS log, count(*) FILTER (kind = 'span') AS span, count(*) FILTER (kind = 'unknown') AS unknown,
   count(*) FILTER (kind = 'malformed') AS malformed, count(*) FILTER (kind = 'ignored') AS ignored, max(ms) FILTER (kind IN ('metrics', 'log')) AS last_record_ms,

@@ -1,23 +1,32 @@
 """Exact percentiles without gathering a group.
 
-Values are first counted (map-side combine), counts are summed into ranges of
-`WIDTH`, and the range holding each wanted rank is found on that small table.
-Only the distinct values of those ranges are then ranked.
+Values are first counted (map-side combine). The distinct values are range-partitioned
+over group and value, so that ranges hold about equal numbers of them however the
+values lie; the range holding each wanted rank is found on the small table of range
+totals, and only the values of those ranges are then ranked.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-WIDTH = 1024.0
+from ..session import cut
 
 
-def exact_quantiles(df: DataFrame, groups: list[str], value: str, qs: list[float]) -> DataFrame:
+def ranged_values(df: DataFrame, groups: list[str], value: str, ranges: int | None = None) -> DataFrame:
+    """Distinct values `_v` of each group with their count `_n` and a `_range` that rises with the value.
+
+    `ranges` is the number of ranges over all groups, the shuffle partitions unless given.
+    """
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    # the range is a column of a stored table: it stays the same when a task runs again
+    return cut(counted.repartitionByRange(n, *groups, "_v").withColumn("_range", F.spark_partition_id()))
+
+
+def exact_quantiles(df: DataFrame, groups: list[str], value: str, qs: list[float], ranges: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles as rows (groups..., q, value, n). NULL values are left out."""
-    counted = (
-        df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n")).withColumn("_range", F.floor(F.col("_v") / WIDTH))
-    )
+    counted = ranged_values(df, groups, value, ranges)
     ranges = counted.groupBy(*groups, "_range").agg(F.sum("_n").alias("_rn"))
     by = [F.col(g) for g in groups] or [F.lit(0)]
     upto = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)

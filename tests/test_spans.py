@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from conftest import SF, rows
 from spanledger.catalog import bridge
 from spanledger.operators import ancestry, context, merge, sessions, tally
-from spanledger.operators.quantile import exact_quantiles
+from spanledger.operators.quantile import exact_quantiles, ranged_values
 from spanledger.operators.scan import Prefix, prefix_scan
 from spanledger.plans import speed
 
@@ -174,6 +174,21 @@ def test_exact_quantiles(spark, values):
     assert [got[q] for q in (0.0, 0.5, 0.95, 1.0)] == pytest.approx(list(want))
 
 
+def test_quantile_ranges_hold_about_equal_counts(spark):
+    """A million distinct values between 0 and 1,024, and one outlier: no range holds more than twice its share."""
+    df = spark.range(1_000_000).select(F.lit("g").alias("g"), F.when(F.col("id") == 5, 1e12).otherwise(F.col("id") / 1000).alias("v"))
+    assert ranged_values(df, ["g"], "v", 16).groupBy("_range").count().agg(F.max("count")).first()[0] <= 125_000
+    want = df.agg(F.expr("percentile(v, 0.5)")).first()[0]
+    got = exact_quantiles(df, ["g"], "v", [0.5], 16).first()
+    assert (got.value, got.n) == (pytest.approx(want), 1_000_000)
+
+
+def test_quantiles_without_groups_or_rows(spark):
+    df = spark.createDataFrame([(None,), (3.0,), (1.0,)], "v DOUBLE")
+    assert rows(exact_quantiles(df, [], "v", [0.5]), "q", "value", "n") == [(0.5, 2.0, 2)]
+    assert exact_quantiles(df.where("v > 5"), [], "v", [0.5]).count() == 0
+
+
 def test_throughput(make_spans):
     spans = make_spans({"span_id": "a", "output": 400, "start_ms": 1, "end_ms": 2001})
     assert speed.output_throughput(spans).first()[0] == 12000.0
