@@ -9,11 +9,15 @@ probability is its smoothed share of the class, and one share is kept for
 unknown words, so probabilities sum to one.
 
 Counts cover all training rows and stay distributed; the `table` words with most
-tokens are broadcast (their number and length are bounded), counts of the others
-are joined to the rare words of each document. The network is fitted by truncated
-backpropagation on a bounded sample of training documents (`sample` rows of up to
-`max_bytes`), with state carried from window to window and reset at document
-starts. Scoring carries each document's state over all its windows.
+tokens (at least the frequent ones) are broadcast, counts of the others are joined
+to the rare words of each document. `frequent` is the vocabulary's size to the power
+0.75 unless given. The network is started by truncated backpropagation on a bounded
+sample of training documents (`sample` rows of up to `max_bytes`) and then trained
+for an epoch over all training rows as whole texts: each task trains a copy, and the
+changes are averaged, weighted by how often a task saw the word or class they belong
+to. State is carried from window to window and reset at document starts, in training
+and in scoring. Which rows share a task follows the input's partitions, and with it
+the last digits of `score`.
 
 Defined results: a NULL, empty or blank text is one end token; a NULL id is not
 held out and not learned from; without training rows N = V = 0 and base scores
@@ -23,6 +27,8 @@ empty table gives no rows; further columns are not read.
 
 from __future__ import annotations
 
+import heapq
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -71,9 +77,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(-1, keepdims=True)
-    return z - np.log(np.exp(z).sum(-1, keepdims=True))
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """In place."""
+    z -= z.max(-1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(-1, keepdims=True)
+    return z
 
 
 @dataclass
@@ -100,7 +109,7 @@ class Network:
     def class_of(self, y: np.ndarray) -> np.ndarray:
         return np.where(y < self.frequent, y // self.width, self.heads + y - self.frequent)
 
-    def score(self, h: np.ndarray, y: np.ndarray, most: int = 1 << 15) -> np.ndarray:
+    def score(self, h: np.ndarray, y: np.ndarray, most: int = 1 << 13) -> np.ndarray:
         """Natural log probability of codes `y` at states `h`; of a tail, that of its class. At most `most` rows at once."""
         if len(y) > most:
             return np.concatenate([self.score(h[at:at + most], y[at:at + most], most) for at in range(0, len(y), most)])
@@ -134,75 +143,180 @@ def start(counts: np.ndarray, frequent: int, width: int, tails: int, hidden: int
     }, frequent, width, tails)
 
 
-def train_network(net: Network, docs: list[np.ndarray], lanes: int = 64, window: int = 16, epochs: int = 3, rate: float = 0.01) -> None:
-    """Truncated backpropagation: documents laid end to end on lanes, state kept between windows, reset at starts."""
-    hidden = net.p["rec"].shape[0]
-    first = net.frequent + net.tails
-    rng = np.random.default_rng(9)
-    m1 = {k: np.zeros_like(v) for k, v in net.p.items()}
-    m2 = {k: np.zeros_like(v) for k, v in net.p.items()}
-    t = 0
-    steps_in_all = max(1, epochs * (sum(len(d) for d in docs) // (lanes * window)))
-    for _ in range(epochs):
-        order = rng.permutation(len(docs))
-        stream = np.concatenate([docs[i] for i in order]) if len(docs) else np.zeros(0, np.int64)
-        fresh = np.zeros(len(stream), bool)
-        fresh[np.cumsum([0, *(len(docs[i]) for i in order)])[:-1]] = True
-        span = len(stream) // lanes
-        if not span:
+def lay(docs: list[np.ndarray], lanes: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Whole documents dealt to lanes of about equal length: codes lane after lane, where a document starts, and starts and lengths of the lanes, longest first."""
+    heap = [(0, k) for k in range(lanes)]
+    held: list[list[int]] = [[] for _ in range(lanes)]
+    for i in sorted(range(len(docs)), key=lambda i: (-len(docs[i]), i)):
+        n, k = heapq.heappop(heap)
+        held[k].append(i)
+        heapq.heappush(heap, (n + len(docs[i]), k))
+    held = sorted(([own[j] for j in rng.permutation(len(own))] for own in held if own), key=lambda own: -sum(len(docs[i]) for i in own))
+    order = [i for own in held for i in own]
+    fresh = np.zeros(sum(len(docs[i]) for i in order), bool)
+    fresh[np.cumsum([0, *(len(docs[i]) for i in order)])[:-1]] = True
+    lengths = np.array([sum(len(docs[i]) for i in own) for own in held])
+    return np.concatenate([docs[i] for i in order]), fresh, np.cumsum([0, *lengths[:-1]]), lengths
+
+
+@dataclass
+class Learner:
+    """A network in training: sums of squared gradients (Adagrad), and how often each input row and each class was seen."""
+
+    net: Network
+    squares: dict[str, np.ndarray]
+    inputs: np.ndarray
+    classes: np.ndarray
+
+    @classmethod
+    def of(cls, net: Network, squares: dict[str, np.ndarray] | None = None) -> Learner:
+        """A learner on copies of what is given, which has seen nothing."""
+        own = Network({k: v.copy() for k, v in net.p.items()}, net.frequent, net.width, net.tails)
+        made = {k: squares[k].copy() if squares else np.zeros_like(v) for k, v in net.p.items()}
+        return cls(own, made, np.zeros(len(net.p["in"])), np.zeros(net.heads + net.tails))
+
+    def move(self, name: str, at, g: np.ndarray, rate: float) -> None:
+        square = self.squares[name][at] + g * g
+        self.squares[name][at] = square
+        self.net.p[name][at] -= (rate * g / (np.sqrt(square) + 1e-8)).astype(np.float32)
+
+    def learn(self, docs: list[np.ndarray], lanes: int = 512, window: int = 16, epochs: int = 1, rate: float = 0.05) -> None:
+        """Truncated backpropagation over whole documents on lanes, state kept between windows, reset at starts."""
+        net, hidden = self.net, self.net.p["rec"].shape[0]
+        total = sum(len(d) for d in docs)
+        if not total:
             return
-        y_all = stream[:span * lanes].reshape(lanes, span)
-        new = fresh[:span * lanes].reshape(lanes, span)
-        new[:, 0] = True
-        x_all = np.where(new, first, np.roll(y_all, 1, axis=1))
-        h = np.zeros((lanes, hidden), np.float32)
-        for at in range(0, span, window):
-            x, y, reset = x_all[:, at:at + window].T, y_all[:, at:at + window].T, new[:, at:at + window].T
-            held, states = [], []
-            for i in range(len(x)):
-                before = np.where(reset[i][:, None], np.float32(0), h)
-                h, r, z, m, u = net.step(x[i], before)
-                held.append((before, r, z, m, u))
-                states.append(h)
-            s, target = np.concatenate(states), y.reshape(-1)
-            grad = {k: np.zeros_like(v) for k, v in net.p.items()}
-            rows = np.arange(len(target))
-            c = net.class_of(target)
-            d = np.exp(_log_softmax(s @ net.p["cls"] + net.p["cls_b"]))
-            d[rows, c] -= 1
-            grad["cls"], grad["cls_b"] = s.T @ d, d.sum(0)
-            ds = d @ net.p["cls"].T
-            by = np.argsort(c, kind="stable")
-            cuts = np.searchsorted(c[by], np.arange(net.heads + 1))
-            for k in range(net.heads):
-                own = by[cuts[k]:cuts[k + 1]]
-                if len(own):
-                    d = np.exp(_log_softmax(s[own] @ net.p["out"][k] + net.p["out_b"][k]))
-                    d[np.arange(len(own)), target[own] % net.width] -= 1
-                    grad["out"][k], grad["out_b"][k] = s[own].T @ d, d.sum(0)
-                    ds[own] += d @ net.p["out"][k].T
-            ds = ds.reshape(len(x), -1, hidden)
-            back = np.zeros_like(h)
-            inputs = []
-            for i in range(len(x) - 1, -1, -1):
-                before, r, z, m, u = held[i]
-                g = ds[i] + back
-                gm = g * (1 - z) * (1 - m * m)
-                gz = g * (before - m) * z * (1 - z)
-                gr = gm * u * r * (1 - r)
-                gu = np.concatenate([gr, gz, gm * r], axis=1)
-                grad["rec"] += before.T @ gu
-                inputs.append((x[i], np.concatenate([gr, gz, gm], axis=1)))
-                back = np.where(reset[i][:, None], np.float32(0), g * z + gu @ net.p["rec"].T)
-            which, rows_in = np.concatenate([a for a, _ in inputs]), np.concatenate([b for _, b in inputs])
-            np.add.at(grad["in"], which, rows_in)
-            t += 1
-            now = rate * (1 - 0.9 * t / steps_in_all)
-            for k, g in grad.items():
-                g = np.clip(g / lanes, -1, 1)
-                m1[k] += 0.1 * (g - m1[k])
-                m2[k] += 0.01 * (g * g - m2[k])
-                net.p[k] -= (now * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+        lanes = min(lanes, max(1, total // (16 * window)))
+        rng = np.random.default_rng(9)
+        for _ in range(epochs):
+            flat, fresh, starts, lengths = lay(docs, lanes, rng)
+            h = np.zeros((len(lengths), hidden), np.float32)
+            for at in range(0, int(lengths[0]), window):
+                held, states, targets = [], [], []
+                for i in range(at, min(at + window, int(lengths[0]))):
+                    n = int(np.searchsorted(-lengths, -i, "left"))  # lanes longer than i
+                    place = starts[:n] + i
+                    reset = fresh[place]
+                    x = np.where(reset, net.frequent + net.tails, flat[np.maximum(place - 1, 0)])
+                    before = np.where(reset[:, None], np.float32(0), h[:n])
+                    h, r, z, m, u = net.step(x, before)
+                    held.append((x, reset, before, r, z, m, u))
+                    states.append(h)
+                    targets.append(flat[place])
+                self._update(held, states, np.concatenate(targets), rate)
+
+    def _update(self, held: list[tuple], states: list[np.ndarray], target: np.ndarray, rate: float) -> None:
+        net, p, hidden = self.net, self.net.p, self.net.p["rec"].shape[0]
+        s, scale = np.concatenate(states), np.float32(1 / len(target))
+        c = net.class_of(target)
+        self.classes += np.bincount(c, minlength=len(self.classes))
+        ds = np.empty_like(s)
+        g, g_b = np.zeros_like(p["cls"]), np.zeros_like(p["cls_b"])
+        for at in range(0, len(s), 1024):  # parts that stay in the cache
+            part = slice(at, at + 1024)
+            d = _softmax(s[part] @ p["cls"] + p["cls_b"])
+            d[np.arange(len(d)), c[part]] -= 1
+            ds[part] = d @ p["cls"].T
+            g += s[part].T @ d
+            g_b += d.sum(0)
+        self.move("cls", slice(None), g * scale, rate)
+        self.move("cls_b", slice(None), g_b * scale, rate)
+        by = np.argsort(c, kind="stable")
+        cuts = np.searchsorted(c[by], np.arange(net.heads + 1))
+        for k in np.flatnonzero(np.diff(cuts)):
+            g, g_b = 0, 0
+            for at in range(cuts[k], cuts[k + 1], 1024):
+                own = by[at:min(at + 1024, cuts[k + 1])]
+                d = _softmax(s[own] @ p["out"][k] + p["out_b"][k])
+                d[np.arange(len(own)), target[own] % net.width] -= 1
+                ds[own] += d @ p["out"][k].T
+                g, g_b = g + s[own].T @ d, g_b + d.sum(0)
+            self.move("out", k, g * scale, rate)
+            self.move("out_b", k, g_b * scale, rate)
+        ds *= scale
+        rec, moved = np.zeros_like(p["rec"]), []
+        back = np.zeros((0, hidden), np.float32)
+        end = len(s)
+        for x, reset, before, r, z, m, u in reversed(held):
+            g = ds[end - len(x):end].copy()
+            g[:len(back)] += back
+            end -= len(x)
+            gm = g * (1 - z) * (1 - m * m)
+            gz = g * (before - m) * z * (1 - z)
+            gr = gm * u * r * (1 - r)
+            gu = np.concatenate([gr, gz, gm * r], axis=1)
+            rec += before.T @ gu
+            moved.append((x, np.concatenate([gr, gz, gm], axis=1)))
+            back = np.where(reset[:, None], np.float32(0), g * z + gu @ p["rec"].T)
+        self.move("rec", slice(None), rec, rate)
+        x, g = np.concatenate([a for a, _ in moved]), np.concatenate([b for _, b in moved])
+        order = np.argsort(x, kind="stable")
+        rows, first = np.unique(x[order], return_index=True)
+        self.inputs[rows] += np.diff(np.append(first, len(x)))
+        self.move("in", rows, np.add.reduceat(g[order], first, axis=0), rate)
+
+    def weights(self) -> dict[str, np.ndarray]:
+        """How much was seen by what each parameter belongs to, in the parameters' shapes or ones that broadcast to them."""
+        every, heads = np.array(self.classes.sum()), self.classes[:self.net.heads]
+        return {"in": self.inputs[:, None], "rec": every, "cls": every, "cls_b": every, "out": heads[:, None, None], "out_b": heads[:, None]}
+
+    def told(self, base: Network) -> np.ndarray:
+        """Changes since `base` times their weights, then the weights: sums over learners give averages."""
+        changes = [((v - base.p[k]) * self.weights()[k]).ravel() for k, v in self.net.p.items()]
+        return np.concatenate([*changes, self.inputs, self.classes]).astype(np.float32)
+
+
+def averaged(base: Network, told: np.ndarray) -> Network:
+    """`base` plus the weighted mean of the learners' changes, from the sum of what they `told`."""
+    sums = Learner.of(base)
+    sums.classes = told[len(told) - len(sums.classes):]
+    sums.inputs = told[len(told) - len(sums.classes) - len(sums.inputs):len(told) - len(sums.classes)]
+    at, weights = 0, sums.weights()
+    for k, v in sums.net.p.items():
+        v += (told[at:at + v.size].reshape(v.shape) / np.maximum(weights[k], 1)).astype(np.float32)
+        at += v.size
+    return sums.net
+
+
+def train_all(rows: DataFrame, net: Network, squares: dict[str, np.ndarray], words: list[bytes], codes: np.ndarray, n_tokens: int, block: int = 1 << 14) -> Network:
+    """One epoch over all `rows` (text), whole texts: a learner in each task, then the mean of the learners.
+
+    A task reads at least four tokens for each parameter, so that what is shuffled stays a share of the input.
+    """
+    sc = rows.sparkSession.sparkContext
+    shared = sc.broadcast((net, squares, words, codes))
+    size = sum(v.size for v in net.p.values()) + len(net.p["in"]) + net.heads + net.tails
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, squares, words, codes = shared.value
+        table, own = _Lookup(zip(words, range(len(words)))), None
+        table.tails, table.size = base.tails, len(words)
+        for batch in batches:
+            for piece in pieces(batch, most=6 << 20):
+                own = own or Learner.of(base, squares)
+                cut = [tokens(t) for t in piece.column(0).cast(pa.binary()).to_pylist()]
+                own.learn([codes[np.fromiter(map(table.__getitem__, w), np.int64, len(w))] for w in cut])
+        told = own.told(base) if own else np.zeros(0, np.float32)
+        for at in range(0, len(told), block):
+            yield pa.RecordBatch.from_arrays([pa.array([at // block], pa.int32()), pa.array([told[at:at + block].tobytes()], pa.binary())], ["block", "part"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[k] = sums.get(k, 0.0) + np.frombuffer(part, np.float32).astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in sums.values()], pa.binary())], ["block", "part"])
+
+    kind = "block int, part binary"
+    tasks = max(sc.defaultParallelism, n_tokens // (4 * size))
+    found = rows.select("text").coalesce(tasks).mapInArrow(learn, kind).repartition("block").mapInArrow(add, kind).toArrow()
+    shared.unpersist()
+    if not found.num_rows:
+        return net
+    told = np.zeros(size)
+    for k, part in zip(found.column(0).to_pylist(), found.column(1).to_pylist()):
+        told[k * block:k * block + len(part) // 4] = np.frombuffer(part, np.float32)
+    return averaged(net, told)
 
 
 def document_scores(net: Network, docs: list[np.ndarray], window: int = 32) -> np.ndarray:
@@ -266,18 +380,22 @@ def _lookup(shared) -> tuple[Model, _Lookup]:
     return _loaded[getattr(shared, "id", 0)]
 
 
-def fit(docs: DataFrame, learn: Column, frequent: int = 4096, width: int = 64, tails: int = 32, table: int = 131072, hidden: int = 16, sample: int = 1500, max_bytes: int = 16384) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, learn: Column, frequent: int | None = None, width: int | None = None, tails: int = 32, table: int = 131072, hidden: int = 16, sample: int = 1500, max_bytes: int = 16384) -> tuple[Model, DataFrame]:
     """The model, and the settled counts (word, c) of the training words that are not in its table."""
     rows = id_text(docs).where(F.coalesce(learn, F.lit(False)))
     counts = settle(word_counts(rows))
     whole = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(whole["n"] or 0), int(whole["v"])
+    # by default the words with an output follow the vocabulary, somewhat slower than it grows
+    frequent = frequent or max(4096, math.ceil(v**0.75))
+    table = max(table, frequent)
     short = F.octet_length("word") <= LONGEST
     top = counts.where(short & (F.col("word") != END.decode())).orderBy(F.desc("c"), "word").limit(table - 1).toArrow()
     ends = counts.where(F.col("word") == END.decode()).first()
     words = [END, *(w.encode() for w in top.column("word").to_pylist())]
     c = np.concatenate([[ends["c"] if ends else 0], top.column("c").to_numpy()]).astype(np.int64)
     frequent = min(frequent, len(words))
+    width = width or max(64, math.isqrt(frequent))
     by_tail = F.pmod(F.crc32(F.substring(F.col("word").cast("binary"), -3, 3)), F.lit(tails))
     classes = {r["t"]: (r["c"], r["v"]) for r in counts.groupBy(by_tail.alias("t")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()}
     tail_c = np.array([classes.get(j, (0, 0))[0] for j in range(tails)], np.int64)
@@ -293,7 +411,9 @@ def fit(docs: DataFrame, learn: Column, frequent: int = 4096, width: int = 64, t
     texts = near.orderBy(F.xxhash64(F.lit("lm"), "doc_id"), "doc_id", F.xxhash64("text")).limit(sample).select("text").toArrow().column("text").cast(pa.binary()).to_pylist()
     ids = _Lookup(zip(words, range(len(words))))
     ids.tails, ids.size = tails, len(words)
-    train_network(net, [codes[[ids[w] for w in tokens(t)]] for t in texts])
+    first = Learner.of(net)
+    first.learn([codes[[ids[w] for w in tokens(t)]] for t in texts], lanes=128, epochs=3)
+    net = train_all(rows, first.net, first.squares, words, codes, n)
     # the least in the table: words after it by (count, word), and long ones, are found by a join
     in_table = F.lit(False)
     if top.num_rows:

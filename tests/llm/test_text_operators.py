@@ -269,3 +269,17 @@ def test_licences_of_whole_documents(spark):
             assert named[i] == ",".join(sorted(k for k, t in notice.items() if t in (text or "")))
     assert [r.n_licence_lines for r in got if r.doc_id == 201] == [2, 2]
     assert licences.scan(docs.limit(0), licences.train(docs.limit(0))).count() == 0
+
+
+def test_language_model_learns_from_long_texts_and_more_rows(spark):
+    """Texts beyond the starting sample's bounds teach what follows what; more words get outputs of their own."""
+    rng = random.Random(8)
+    after = {f"p{k}": f"q{k}" for k in range(20)}
+    chain = lambda n: " ".join(f"{w} {after[w]}" for w in rng.choices(list(after), k=n))
+    given = [(i, chain(3000)) for i in range(24)] + [(100, chain(200)), (101, " ".join(rng.choices([*after, *after.values()], k=400)))]
+    assert all(len(t) > 16384 for i, t in given if i < 100)
+    docs = docs_of(spark, given)
+    score = {r.doc_id: r.score / r.n_tokens for r in lm.score(docs, *lm.fit(docs, F.col("doc_id") < 100)).collect()}
+    assert score[100] > score[101] + 0.5 and score[100] > np.log10(1 / 40) + 0.5
+    many = docs_of(spark, [(i, " ".join(f"w{k}" for k in range(i * 900, i * 900 + 900))) for i in range(100)])
+    assert lm.fit(many, F.lit(True))[0].net.frequent == int(np.ceil(90001**0.75))
