@@ -87,7 +87,7 @@ def _table(base: int, n: int) -> np.ndarray:
         row = np.full(size, base, np.uint64)
         row[0] = 1
         _powers[base] = np.multiply.accumulate(row)
-    return _powers[base][:n]
+    return _powers[base][:n] if n else np.zeros(0, np.uint64)
 
 
 class Rolling:

@@ -3,8 +3,10 @@
 Features are hashed n-grams of 2 to 4 bytes of the lower-cased whole text, with
 logarithmic counts, inverse document frequencies over all training rows, and
 unit length. Weights come from follow-the-regularised-leader with L1 and L2
-penalties on a bounded sample (`per_lang` rows a language of texts up to
-`max_bytes`, smallest id hashes); a temperature is fitted on its last fifth.
+penalties on a sample of every language: `per_lang` texts each (fewer if there are
+so many languages that the sample would exceed `most` texts, but at least `least`),
+smallest id hashes; longer texts than `max_bytes` are cut into several. A temperature
+is fitted on a fifth of the sample. Weights travel sparse.
 
 Defined results: a NULL text or one without a letter is `und` with score 0;
 without any labelled row every text is `und`; a NULL language teaches nothing;
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import LOWER, Rolling, id_text, pieces, utf8
 
@@ -77,6 +79,16 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
 
+    def __getstate__(self) -> dict:
+        at = np.flatnonzero(self.weights)
+        return self.__dict__ | {"weights": (self.weights.shape, at, self.weights.ravel()[at])}
+
+    def __setstate__(self, state: dict) -> None:
+        shape, at, value = state["weights"]
+        weights = np.zeros(shape, np.float32)
+        weights.ravel()[at] = value
+        self.__dict__.update(state | {"weights": weights})
+
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return softmax((x @ self.weights + self.bias) / self.temperature)
 
@@ -119,11 +131,13 @@ def ftrl(x: Sparse, y: np.ndarray, n_langs: int, epochs: int = 4, batch: int = 3
             rows = order[at:at + batch]
             some = dense([x[i] for i in rows])
             wrong = softmax(some @ w + bias) - one[y[rows]]
-            g = some.T @ wrong
-            sigma = (np.sqrt(n + g * g) - np.sqrt(n)) / alpha
-            z += g - sigma * w
-            n += g * g
-            w = np.where(np.abs(z) <= l1, 0, -(z - np.sign(z) * l1) / ((1 + np.sqrt(n)) / alpha + l2)).astype(np.float32)
+            for k in range(0, DIM, 4096):  # parts, so that with many languages no further full tables are held
+                part = slice(k, k + 4096)
+                g = some[:, part].T @ wrong
+                sigma = (np.sqrt(n[part] + g * g) - np.sqrt(n[part])) / alpha
+                z[part] += g - sigma * w[part]
+                n[part] += g * g
+                w[part] = np.where(np.abs(z[part]) <= l1, 0, -(z[part] - np.sign(z[part]) * l1) / ((1 + np.sqrt(n[part])) / alpha + l2))
             bias -= 0.05 * wrong.sum(0)
     return w, bias
 
@@ -148,27 +162,27 @@ def fit(texts: pa.Array, langs: list[str], idf: np.ndarray) -> Model:
     return model
 
 
-def train(docs: DataFrame, learn: Column, per_lang: int = 500, max_langs: int = 64, max_bytes: int = 32768) -> Model:
-    """Learn from the rows of `docs` (text, lang) where `learn` holds and neither is NULL.
-
-    The sample holds `per_lang` rows of each of the `max_langs` most frequent languages.
-    """
+def train(docs: DataFrame, learn: Column, per_lang: int = 500, most: int = 32000, least: int = 20, max_bytes: int = 32768) -> Model:
+    """Learn every language of the rows of `docs` (text, lang) where `learn` holds and neither is NULL."""
     rows = docs.where(learn & F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("doc_id"), F.col("text"), F.col("lang"))
     df, n = frequencies(rows)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    near = rows.where(F.octet_length("text").between(1, max_bytes))
-    order = [F.xxhash64(F.lit("language"), "doc_id"), F.col("doc_id"), F.xxhash64("text")]
-
-    def sample(name: str) -> pa.Table:
-        # the bound comes from hashes alone, so that the texts of one sample move, not those of every task's best rows
-        own = near.where(F.col("lang") == name)
-        bound = own.select(order[0].alias("h")).orderBy("h").limit(per_lang).agg(F.max("h")).first()[0]
-        return own.where(order[0] <= F.lit(bound)).orderBy(*order).limit(per_lang).select("text", "lang").toArrow()
-
-    parts = [sample(name) for name in langs]
-    parts = pa.concat_tables(parts) if parts else pa.table({"text": pa.array([], pa.string()), "lang": pa.array([], pa.string())})
-    return fit(parts.column("text").combine_chunks(), parts.column("lang").to_pylist(), idf)
+    # texts up to `max_bytes` are one sample; longer ones are cut after so many characters that no part exceeds it
+    chars = max(1, max_bytes // 4)
+    last = F.when(F.octet_length("text") <= max_bytes, 0).otherwise(F.expr(f"(char_length(text) - 1) div {chars}"))
+    cut = rows.where(F.octet_length("text") > 0).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))).alias("k"))
+    cut = cut.withColumn("h", F.when(F.col("k") == 0, F.xxhash64(F.lit("language"), "doc_id")).otherwise(F.xxhash64(F.lit("language"), "doc_id", "k")))
+    n_langs = rows.select("lang").distinct().count()
+    each = max(least, min(per_lang, most // max(1, n_langs)))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    # the bounds come from hashes alone, so that the texts of one sample move, not those of every task's best rows
+    bounds = cut.select("lang", "h").withColumn("place", place).where(F.col("place") <= each).groupBy("lang").agg(F.max("h").alias("bound"))
+    own = cut.join(F.broadcast(bounds), "lang").where(F.col("h") <= F.col("bound")).withColumn("th", F.xxhash64("text"))
+    part = F.when(F.octet_length("text") <= max_bytes, F.col("text")).otherwise(F.expr(f"substring(text, int(k * {chars} + 1), {chars})"))
+    own = own.select("lang", "h", "doc_id", "th", "k", part.alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "th", "k"))
+    found = own.withColumn("place", place).where(F.col("place") <= each).toArrow().sort_by([("lang", "ascending"), ("place", "ascending")])
+    return fit(found.column("text").combine_chunks(), found.column("lang").to_pylist(), idf)
 
 
 def _with_letter(docs: DataFrame) -> DataFrame:

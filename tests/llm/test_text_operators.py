@@ -283,3 +283,17 @@ def test_language_model_learns_from_long_texts_and_more_rows(spark):
     assert score[100] > score[101] + 0.5 and score[100] > np.log10(1 / 40) + 0.5
     many = docs_of(spark, [(i, " ".join(f"w{k}" for k in range(i * 900, i * 900 + 900))) for i in range(100)])
     assert lm.fit(many, F.lit(True))[0].net.frequent == int(np.ceil(90001**0.75))
+
+
+def test_every_language_is_learned(spark):
+    """More languages than 64, and one whose training texts are all longer than a sample."""
+    rng = random.Random(12)
+    own = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(10)] for k in range(70)}
+    given = [(i, sentences(rng, own[f"l{i % 69:02}"], 50), f"l{i % 69:02}") for i in range(69 * 10)]
+    given += [(1000 + i, sentences(rng, own["l69"], 12000), "l69") for i in range(2)]
+    assert all(len(t) > 32768 for i, t, _ in given if i >= 1000)
+    train = spark.createDataFrame(given, "doc_id BIGINT, text STRING, lang STRING")
+    model = langid.train(train, F.lit(True))
+    new = spark.createDataFrame([(k, sentences(rng, own[f"l{k:02}"], 50)) for k in range(70)], "doc_id BIGINT, text STRING")
+    assert model.langs == sorted(own)
+    assert [r.lang_pred for r in langid.predict(new, model).orderBy("doc_id").collect()] == sorted(own)
