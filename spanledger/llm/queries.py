@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, embeddings, html, langid, licences, lm, packing, simhash, toxicity, warc
+from . import covertree, decontam, embeddings, html, langid, licences, lm, packing, runs, simhash, topk, toxicity, warc
 from .common import crc_of_id, read, settle
 
 
@@ -81,8 +81,54 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(docs, licences.train(docs))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = runs.runs(docs.select("doc_id", runs.periodised(F.col("doc_id"), F.col("text")).alias("text")))
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    longest = found.withColumn("top", top).withColumns({"length": F.col("top").getField("length"), "start": -F.col("top").getField("col2"), "period": -F.col("top").getField("col3")})
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return longest.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "start", "length", "period", F.floor(F.col("length") * 1000 / F.col("period")).cast("bigint").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return covertree.hard_negatives(read(spark, sf_dir, "embeddings").withColumn("label", shifted), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity, "op2_language": op2_language, "op3_packing": op3_packing, "op4_html": op4_html, "op5_lm": op5_lm, "op6_decontam": op6_decontam,
     "op7_revisits": op7_revisits, "op8_simhash": op8_simhash, "op9_embeddings": op9_embeddings, "op10_licences": op10_licences,
+    "op11_runs": op11_runs, "op12_topk": op12_topk, "op13_negatives": op13_negatives,
+}
+_WHOLE = """
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+"""
+ORACLES: dict[str, str] = {
+    "op12_topk": f"""
+        WITH e AS ({_WHOLE}), pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM e q JOIN e c ON q.vec_id != c.vec_id WHERE q.vec_id % 50 = 0
+        )
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM pairs QUALIFY rank <= 5
+    """,
+    "op13_negatives": f"""
+        WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v FROM ({_WHOLE}) WHERE label IS NOT NULL), pairs AS (
+            SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS own, list_dot_product(q.v, c.v)::BIGINT AS score
+            FROM e q JOIN e c ON q.vec_id != c.vec_id WHERE q.vec_id % 100 = 0
+        ), near AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE own
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT n.anchor_id, n.positive_id, row_number() OVER (PARTITION BY n.anchor_id, n.positive_id ORDER BY p.score DESC, p.vec_id)::INTEGER AS rank,
+            p.vec_id AS negative_id, n.positive_score, p.score AS negative_score
+        FROM near n JOIN pairs p ON p.anchor_id = n.anchor_id AND NOT p.own AND 30 * n.positive_score <= 100 * p.score AND 100 * p.score <= 90 * n.positive_score
+        QUALIFY rank <= 10
+    """,
 }
-ORACLES: dict[str, str] = {}
