@@ -246,7 +246,7 @@ def find(symbols: np.ndarray, bounds: np.ndarray, least: int = 12) -> tuple[np.n
     if not len(symbols):
         return empty, empty, empty
     grammar = Grammar(symbols, bounds)
-    found = list(crossing(symbols, grammar, Matches(symbols, bounds), least))
+    found = [part for part in crossing(symbols, grammar, Matches(symbols, bounds), least) if len(part[0])]
     if not found:
         return empty, empty, empty
     node, start, end, period = (np.concatenate(x) for x in zip(*found))

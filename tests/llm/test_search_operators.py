@@ -82,6 +82,9 @@ def test_runs_of_odd_rows(spark):
     assert [tuple(r) for r in of[None].runs] == [(0, 16, 2)] and [tuple(r) for r in of[6].runs] == [(0, 60000, 977)]
     assert of[6].collapsed == " ".join(f"v{i}" for i in range(977)) and of[7].collapsed == "a b" and of[1].collapsed == ""
     assert runs.runs(docs.limit(0)).count() == 0
+    # words that come again without any run
+    again = spark.createDataFrame([(1, " ".join(f"a{i} the" for i in range(40)))], "doc_id BIGINT, text STRING")
+    assert [r.runs for r in runs.runs(again).collect()] == [[]]
 
 
 def test_runs_query_matches_brute_force(spark):
