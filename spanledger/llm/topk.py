@@ -45,9 +45,19 @@ class Postings:
         self.bounds = np.append(start, len(held))
         self.longest = int(lengths.max()) if len(lengths) else 0
 
-    def lists(self, dtype: type) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    def lists(self, dtype: type) -> dict[int, tuple[np.ndarray | None, np.ndarray]]:
+        """(rows, weights) by term; rows None: all of them."""
         weight = np.array([int(w) for w in self.weight], object) if dtype is object else self.weight.astype(dtype)
-        return {int(t): (self.row[a:b], weight[a:b]) for t, a, b in zip(self.terms, self.bounds, self.bounds[1:])}
+        out = {}
+        for t, a, b in zip(self.terms.tolist(), self.bounds, self.bounds[1:]):
+            rows, held = self.row[a:b], weight[a:b]
+            if 4 * len(rows) > self.n:
+                # a term that many rows hold: a weight for every row, so that sums run straight through
+                full = np.zeros(self.n, dtype) if dtype is not object else np.full(self.n, 0, object)
+                full[rows] = held
+                rows, held = None, full
+            out[t] = (rows, held)
+        return out
 
 
 def accumulate(index: dict, n: int, queries: dict, m: int, dtype: type) -> np.ndarray:
@@ -55,13 +65,15 @@ def accumulate(index: dict, n: int, queries: dict, m: int, dtype: type) -> np.nd
     scores = np.zeros((m, n), dtype) if dtype is not object else np.full((m, n), 0, object)
     room = np.empty_like(scores)
     for term, (asked, weight) in queries.items():
-        rows, weights = index.get(term, ((), ()))
-        if not len(rows):
+        if term not in index:
             continue
-        if len(rows) == n and len(asked) == m:
+        rows, weights = index[term]
+        if asked is None and rows is None:
             scores += np.multiply.outer(weight, weights, out=room)
-        elif len(rows) == n:
+        elif rows is None:
             scores[asked] += np.multiply.outer(weight, weights)
+        elif asked is None:
+            scores[:, rows] += np.multiply.outer(weight, weights)
         else:
             scores[np.ix_(asked, rows)] += np.multiply.outer(weight, weights)
     return cells.held(scores) if dtype is object else scores
