@@ -28,8 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def event_columns(rows: DataFrame) -> DataFrame:
+def event_columns(rows: DataFrame, *further: str) -> DataFrame:
     return rows.selectExpr(
+        *further,
         "event_id AS eid", "user_id AS uid", "event_type AS et", "value AS val",
         "CAST(get_json_object(props, '$.k') AS INT) AS k", f"timestampdiff(MICROSECOND, {EPOCH}, ts) div 1000 AS ms",
     )
@@ -79,6 +80,12 @@ FROM (SELECT *, et IN ('click','view') AS is_chat, et IN ('purchase','signup') A
 """
 
 
+def spans_of(spark: SparkSession, rows: DataFrame, *further: str) -> DataFrame:
+    """Canonical spans of event rows, a table or a stream, which may carry further columns."""
+    rules = SPAN_RULES.replace("SELECT ", "SELECT " + "".join(f"{c}, " for c in further), 1)
+    return spark.sql(rules, events=event_columns(rows, *further))
+
+
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical usage spans, one per event."""
     return spark.sql(SPAN_RULES, events=events(spark, sf_dir))

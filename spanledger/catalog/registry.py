@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import delivery, ingest, metrics, sections, usage
+from . import delivery, ingest, metrics, sections, streams, usage
 
-MODULES = [usage, metrics, sections, delivery, ingest]
+MODULES = [usage, metrics, sections, delivery, ingest, streams]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import pace
 from ..operators import context, counters, ledger, quality, sessions, tally, transcripts
 from ..operators.quantile import exact_quantiles
 from ..plans import sections, snapshot, speed
-from ..session import shared_dir
 from ..sources.once import computed_once
-from ..streaming import metering
 from . import bridge, ingest, usage
 from .bridge import NOW_MS, with_events, with_histograms, with_points, with_spans
 from .metrics import BUCKETS_SQL, TOKENS_SQL
@@ -123,17 +119,6 @@ def _growth(spark, d):
     return transcripts.transcript_growth(seen, now, now)
 
 
-def _change_feed(spark, d):
-    """The given events as a stream of spans, metered statefully; changes are summed per ledger."""
-    stream = spark.readStream.schema(bridge.SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(d)
-    spans = spark.sql(bridge.SPAN_RULES, events=bridge.event_columns(stream))
-    landed = spans.withColumn("origin", F.when(F.col("auxiliary"), "agent_host").otherwise("feed"))
-    out = f"{shared_dir(spark)}/changes-{uuid.uuid4()}"
-    query = metering.usage_change_feed(metering.span_metering(landed, NOW_MS - 28 * DAY), f"{out}/feed", f"{out}/state")
-    query.awaitTermination()
-    return spark.read.parquet(f"{out}/feed").groupBy("ledger").agg(*[F.sum(c).alias(c) for c in ("input", "output", "requests")])
-
-
 def _stale(spark, d):
     """Which readings a report at the end of the period may still use."""
     latest = sessions.latest_call(bridge.spans(spark, d))
@@ -280,7 +265,6 @@ QUERIES = {
     "model_pace": _pace,
     "transcript_growth": _growth,
     "staleness": _stale,
-    "usage_change_feed": _change_feed,
     "snapshot_sink": _snapshot,
     "telemetry_diagnostics": _diagnostics,
 }
@@ -423,7 +407,4 @@ SELECT session_id, at_ms, {NOW_MS - DAY} - at_ms BETWEEN 0 AND 1800000 AS contex
     "speed_section": SPEED_SQL,
     "cost_section": COST_SQL,
     "telemetry_diagnostics": DIAGNOSTICS_SQL,
-    "usage_change_feed": with_spans(f"""
-SELECT CASE WHEN auxiliary THEN 'harness' ELSE 'traces' END AS ledger, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, count(*) AS requests
-FROM spans WHERE operation = 'chat' AND start_ms >= {NOW_MS - 28 * DAY} AND (input IS NOT NULL OR output IS NOT NULL) GROUP BY 1"""),
 }

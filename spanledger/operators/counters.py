@@ -47,6 +47,20 @@ def judged(points: DataFrame, hot_rows: int = HOT_ROWS, histogram: bool = False)
     return scan, rows.withColumn("late", _late(F.col("mark"))).drop("mark")
 
 
+def judged_after(points: DataFrame, before: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Counter rows with `late` and `opened_at`, after earlier batches. before: SERIES, opened_at, mark (newest well-formed time)."""
+    scan = SlicedScan(keyed(points, False), SERIES, ["seq"], hot_rows)
+    rows = scan.run(scan.rows, {
+        "opened": Prefix("min", F.struct("seq", "at_ms"), inclusive=False),
+        "newest": Prefix("max", F.when(F.col("ok"), F.col("at_ms")), inclusive=False),
+    })
+    earlier = before.select(*SERIES, F.col("opened_at").alias("_opened"), F.col("mark").alias("_mark"))
+    opened = F.coalesce("_opened", "opened.at_ms")
+    late = (F.col("at_ms") > 0) & (F.col("at_ms") < F.greatest("newest", "_mark", opened))
+    return rows.join(earlier, SERIES, "left").select(
+        *SERIES, "seq", "at_ms", "v", "ok", F.coalesce(late, F.lit(False)).alias("late"), F.coalesce(opened, "at_ms").alias("opened_at"))
+
+
 def settle_histograms(points: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[SlicedScan, DataFrame]:
     """Histogram rows with `late` and `accepted`.
 
