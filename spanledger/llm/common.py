@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,17 @@ def forget(*frames: DataFrame) -> None:
             place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def fitted(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object | None:
+    """`fit` over all rows of a bounded sample, in one task of an executor; None without rows. Only the model comes to the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.Table.from_batches(held)))], pa.binary())], ["model"])
+
+    rows = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(bytes(rows[0]["model"])) if rows else None
+
+
 def crc_of_id(doc_id: Column) -> Column:
     """The CRC32 of the id's decimal text; NULL for a NULL id."""
     return F.crc32(doc_id.cast("string").cast("binary"))

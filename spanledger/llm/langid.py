@@ -1,15 +1,18 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Features are hashed n-grams of 2 to 4 bytes of the lower-cased whole text, with
+Features are hashed n-grams of 2 to 4 characters of the lower-cased whole text, with
 logarithmic counts, inverse document frequencies over all training rows, and
 unit length. Weights come from follow-the-regularised-leader with L1 and L2
 penalties on a sample of every language: `per_lang` texts each (fewer if there are
 so many languages that the sample would exceed `most` texts, but at least `least`),
-smallest id hashes; longer texts than `max_bytes` are cut into several. A temperature
-is fitted on a fifth of the sample. Weights travel sparse.
+smallest id hashes; longer texts than `max_bytes` are cut into several. Hashes are
+compared with a bound that the language's number of rows gives, so the rows that are
+ranked do not grow with the table. A temperature is fitted on a fifth of the sample.
+One executor fits the model; weights travel sparse.
 
 Defined results: a NULL text or one without a letter is `und` with score 0;
-without any labelled row every text is `und`; a NULL language teaches nothing;
+without any labelled row every text is `und`; of equally probable languages the first
+by name is taken; a NULL language teaches nothing;
 a NULL id is never held out and never learned from; repeated rows count each; an
 empty table gives no rows; further columns are not read.
 """
@@ -23,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import LOWER, Rolling, id_text, pieces, utf8
+from .common import LOWER, Rolling, fitted, id_text, pieces, settle, utf8
 
 DIM = 1 << 15
 ORDERS = (2, 3, 4)
@@ -34,8 +37,11 @@ def counts(column: pa.Array) -> Iterator[np.ndarray]:
     """Counts by n-gram bucket, text after text."""
     data, bounds = utf8(column)
     rolling = Rolling(LOWER[data])
-    n = len(data)
-    buckets = [(rolling.spans(np.arange(max(0, n - k + 1)), np.arange(k, max(k, n + 1)), k) & np.uint64(DIM - 1)).astype(np.int32) for k in ORDERS]
+    # bytes that start a character, and the end of the last one
+    start = np.append(np.flatnonzero(data & 0xC0 != 0x80), len(data))
+    bounds = np.searchsorted(start, bounds)
+    n = len(start) - 1
+    buckets = [(rolling.spans(start[:max(0, n - k + 1)], start[k:max(k, n + 1)], k) & np.uint64(DIM - 1)).astype(np.int32) for k in ORDERS]
     for a, b in zip(bounds[:-1], bounds[1:]):
         total = np.zeros(DIM, np.int64)
         for k, of in zip(ORDERS, buckets):
@@ -171,18 +177,40 @@ def train(docs: DataFrame, learn: Column, per_lang: int = 500, most: int = 32000
     chars = max(1, max_bytes // 4)
     last = F.when(F.octet_length("text") <= max_bytes, 0).otherwise(F.expr(f"(char_length(text) - 1) div {chars}"))
     cut = rows.where(F.octet_length("text") > 0).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))).alias("k"))
-    cut = cut.withColumn("h", F.when(F.col("k") == 0, F.xxhash64(F.lit("language"), "doc_id")).otherwise(F.xxhash64(F.lit("language"), "doc_id", "k")))
-    n_langs = rows.select("lang").distinct().count()
+    # rows without an id are told apart by their texts
+    id = F.coalesce("doc_id", F.xxhash64("text"))
+    cut = cut.withColumn("h", F.when(F.col("k") == 0, F.xxhash64(F.lit("language"), id)).otherwise(F.xxhash64(F.lit("language"), id, "k")))
+    per = settle(cut.groupBy("lang").agg(F.count(F.lit(1)).alias("parts")))
+    n_langs = per.count()
     each = max(least, min(per_lang, most // max(1, n_langs)))
+    keyed = cut.select("lang", "h")
+    wide = 4.0
+    while True:
+        # a share of the range of hashes that holds `wide` times the rows wanted; more where copies share hashes
+        share = F.least(F.lit(1.0), F.lit(wide * each) / F.col("parts"))
+        upto = per.select("lang", "parts", F.when(share == 1.0, F.lit((1 << 63) - 1)).otherwise((share * 2.0**64 - 2.0**63).cast("bigint")).alias("upto"))
+        near = keyed.join(upto, "lang").where(F.col("h") <= F.col("upto"))
+        short = upto.join(near.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang", "left").where(F.coalesce("n", F.lit(0)) < F.least(F.lit(each), F.col("parts")))
+        if short.isEmpty():
+            break
+        wide *= 8
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    # the bounds come from hashes alone, so that the texts of one sample move, not those of every task's best rows
-    bounds = cut.select("lang", "h").withColumn("place", place).where(F.col("place") <= each).groupBy("lang").agg(F.max("h").alias("bound"))
-    own = cut.join(F.broadcast(bounds), "lang").where(F.col("h") <= F.col("bound")).withColumn("th", F.xxhash64("text"))
+    # the bounds come from hashes alone, so that only the texts of one sample move
+    several = F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(each).cast("bigint"), F.col("n"))))
+    ranked = near.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n")).select("lang", "h", several.alias("copy"))
+    bounds = ranked.withColumn("place", place).where(F.col("place") <= each).groupBy("lang").agg(F.max("h").alias("bound"))
+    own = cut.join(bounds, "lang").where(F.col("h") <= F.col("bound")).withColumn("th", F.xxhash64("text"))
     part = F.when(F.octet_length("text") <= max_bytes, F.col("text")).otherwise(F.expr(f"substring(text, int(k * {chars} + 1), {chars})"))
     own = own.select("lang", "h", "doc_id", "th", "k", part.alias("text"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "th", "k"))
-    found = own.withColumn("place", place).where(F.col("place") <= each).toArrow().sort_by([("lang", "ascending"), ("place", "ascending")])
-    return fit(found.column("text").combine_chunks(), found.column("lang").to_pylist(), idf)
+    # copies meet before they are ranked, so that a text that a third of all rows repeat is a few rows here
+    own = own.groupBy("lang", "h", "doc_id", "th", "k").agg(F.any_value("text").alias("text"), F.count(F.lit(1)).alias("n")).select("*", several.alias("copy"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "th", "k", "copy"))
+
+    def run(sample: pa.Table) -> Model:
+        sample = sample.sort_by([("lang", "ascending"), ("place", "ascending")])
+        return fit(sample.column("text").combine_chunks(), sample.column("lang").to_pylist(), idf)
+
+    return fitted(own.withColumn("place", place).where(F.col("place") <= each).select("lang", "place", "text"), run) or fit(pa.array([], pa.string()), [], idf)
 
 
 def _with_letter(docs: DataFrame) -> DataFrame:

@@ -63,15 +63,18 @@ def fingerprint_batch(texts: list[bytes | None], size: int = 3) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id and the fingerprint `fp` as a signed 64-bit integer, for every row."""
+def fingerprints(docs: DataFrame, size: int = 3, also: list[str] | None = None) -> DataFrame:
+    """doc_id, the fingerprint `fp` as a signed 64-bit integer and the bigint columns `also`, for every row."""
+    names = [*(also or [])]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
                 fp = fingerprint_batch(piece.column(1).cast(pa.binary()).to_pylist(), size)
-                yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int64()), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int64()), pa.array(fp.view(np.int64)), *piece.columns[2:]], ["doc_id", "fp", *names])
 
-    return id_text(docs).mapInArrow(run, "doc_id bigint, fp bigint")
+    given = docs.select("doc_id", "text", *names) if names else id_text(docs)
+    return given.mapInArrow(run, "doc_id bigint, fp bigint" + "".join(f", {c} bigint" for c in names))
 
 
 def trie_pairs(groups: np.ndarray, fps: np.ndarray, bits: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -213,13 +216,18 @@ def links(rows: DataFrame, bits: int = 3, most: int = 8192, many: int = MANY) ->
     return found
 
 
-def near_duplicates(prints: DataFrame, bits: int = 3) -> DataFrame:
-    """doc_id, fp and component_id for every row of settled `prints` (doc_id, fp)."""
+def grouped(prints: DataFrame, bits: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The settled distinct fingerprints (fp, id), and for each of them (fp, component, id); components without any id are negative."""
     classes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
     # fingerprints without any id still link others: they take part under negative numbers of their own
     spare = F.coalesce("id", -1 - F.pmod(F.xxhash64("fp"), F.lit(1 << 62)))
     found = components(links(classes.select(spare.alias("id"), "fp"), bits))
-    named = classes.select("fp", spare.alias("id")).join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component"), "id")
+    return classes, classes.select("fp", spare.alias("id")).join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component"), "id")
+
+
+def near_duplicates(prints: DataFrame, bits: int = 3) -> DataFrame:
+    """doc_id, fp and component_id for every row of settled `prints` (doc_id, fp)."""
+    classes, named = grouped(prints, bits)
     if classes.where("id IS NULL").isEmpty():
         out = named.select("fp", F.col("component").alias("component_id"))
     else:
@@ -229,23 +237,25 @@ def near_duplicates(prints: DataFrame, bits: int = 3) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, bits: int = 3) -> DataFrame:
-    """The rows of `docs`, columns as they are, with one document of each component: its smallest doc_id.
+    """The rows of `docs`, columns as they are, with one row of each component: the one with the smallest doc_id.
 
-    Rows that repeat one doc_id stay as one row; rows without a doc_id stay as they are.
+    Rows count by (doc_id, text): of several texts under one doc_id each is a member of its own component, and rows
+    without a doc_id are members like any other, kept only where no member has one. Of rows that repeat both, one stays.
     """
-    prints = settle(fingerprints(docs))
-    found = settle(near_duplicates(prints, bits).where("doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.min("component_id").alias("first"), F.count(F.lit(1)).alias("times")
-    ).where("first = doc_id OR first IS NULL").select(F.col("doc_id").alias("kept_id"), F.col("times").alias("kept_times")))
-    inside = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    # the list of kept ids grows with the documents, so it is never broadcast
-    once = inside.join(found.where("kept_times = 1").hint("merge"), F.col("row.doc_id") == F.col("kept_id"), "left_semi")
-    again = found.where("kept_times > 1")
-    parts = [once, inside.where(F.col("row.doc_id").isNull())]
+    keyed = id_text(docs).withColumn("th", F.xxhash64("text"))
+    prints = settle(fingerprints(keyed, also=["th"]))
+    member = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("th").alias("th"))
+    _, named = grouped(prints, bits)
+    best = prints.groupBy("fp").agg(F.min(member).alias("best")).join(named.select("fp", "component"), "fp").groupBy("component").agg(F.min("best").alias("best"))
+    times = prints.groupBy(member.alias("best")).agg(F.count(F.lit(1)).alias("times"))
+    kept = settle(best.select("best").join(times, "best").select("best.*", "times"))
+    key = ["unnamed", "id", "th"]
+    inside = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
+        "row", F.col("row.doc_id").isNull().alias("unnamed"), F.coalesce(F.col("row.doc_id").cast("bigint"), F.lit(0)).alias("id"), F.xxhash64("row.text").alias("th"))
+    # the list of kept rows grows with the documents, so it is never broadcast
+    rows = inside.join(kept.where("times = 1").hint("merge"), key, "left_semi").select("row")
+    again = kept.where("times > 1")
     if not again.isEmpty():
-        parts.append(inside.join(again, F.col("row.doc_id") == F.col("kept_id")).groupBy("kept_id").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row"))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
+        rows = rows.unionByName(inside.join(again, key, "left_semi").groupBy(*key).agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row"))
     forget(prints)
     return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER, Rolling, id_text, pieces, utf8, words
+from .common import LOWER, Rolling, fitted, id_text, pieces, utf8, words
 
 SCHEMA = "doc_id bigint, severity double, grade int, p_toxic double, toxic boolean"
 
@@ -165,7 +165,7 @@ def fit(sample: pa.Table, columns: int = 4096, min_rows: int = 10, l1: float = 3
     return Ordinal(keys[chosen][kept], w[kept], cuts, threshold)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, per_class: int, max_bytes: int) -> pa.Table:
+def labelled(docs: DataFrame, labels: DataFrame, per_class: int, max_bytes: int) -> DataFrame:
     """The bounded sample: for each label the rows with the smallest id hashes."""
     known = labels.select(F.col("doc_id").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -174,13 +174,16 @@ def labelled(docs: DataFrame, labels: DataFrame, per_class: int, max_bytes: int)
     picked = [known.where(F.col("toxic") == c).orderBy(order).limit(2 * per_class) for c in (0, 1)]
     near = id_text(docs).where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
     both = near.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
-    return pa.concat_tables([
-        both.where(F.col("toxic") == c).orderBy(order, "doc_id", F.xxhash64("text")).limit(per_class).select("text", "toxic").toArrow() for c in (0, 1)
-    ])
+    of = [both.where(F.col("toxic") == c).select("text", "toxic", "doc_id", order.alias("h"), F.xxhash64("text").alias("th")).orderBy("h", "doc_id", "th").limit(per_class) for c in (0, 1)]
+    return of[0].unionByName(of[1])
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_bytes: int = 32768) -> Ordinal:
-    return fit(labelled(docs, labels, per_class, max_bytes))
+    """The model of a bounded sample, fitted by one executor."""
+    def run(sample: pa.Table) -> Ordinal:
+        return fit(sample.sort_by([(c, "ascending") for c in ("toxic", "h", "doc_id", "th")]).select(["text", "toxic"]))
+
+    return fitted(labelled(docs, labels, per_class, max_bytes), run) or Ordinal()
 
 
 def score(docs: DataFrame, model: Ordinal, threshold: float | None = None) -> DataFrame:

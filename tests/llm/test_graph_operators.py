@@ -68,7 +68,13 @@ def test_simhash_of_odd_rows(spark):
     assert {v for (i, _), v in of.items() if i in (5, 3)} == {3} and {v for (i, _), v in of.items() if i in (7, 8)} == {7}
     assert sorted(str(v) for (i, _), v in of.items() if i is None) == ["3", "None"]
     kept = simhash.deduplicate(docs)
-    assert kept.columns == docs.columns and kept.where("doc_id = 3").count() == 1 and kept.where("doc_id IN (5, 8)").count() == 0 and kept.where("doc_id IS NULL").count() == 2
+    assert kept.columns == docs.columns and kept.where("doc_id = 3").count() == 1 and kept.where("doc_id IN (5, 8)").count() == 0
+    # a row without an id goes with its component, and stays where it is alone
+    assert [r.text for r in kept.where("doc_id IS NULL").collect()] == ["quite alone here today"]
+    # texts under one id are members of their own components
+    other = " ".join(f"other{i}" for i in range(200))
+    twice = spark.createDataFrame([(1, text), (5, text), (5, other), (7, other + " end"), (None, "no id here at all"), (None, "no id here at all")], "doc_id BIGINT, text STRING")
+    assert sorted((r.doc_id or 0, r.text) for r in simhash.deduplicate(twice).collect()) == [(0, "no id here at all"), (1, text), (5, other)]
     assert simhash.deduplicate(docs.limit(0)).count() == 0
 
 
@@ -154,3 +160,33 @@ def test_toxic_documents_are_caught(spark):
     docs, labels = read(spark, "/root/testdata/sf0.01", "documents"), read(spark, "/root/testdata/sf0.01", "labels")
     scored = toxicity.score(docs, toxicity.train(docs, labels)).withColumnRenamed("toxic", "found").join(labels, "doc_id").toPandas()
     assert scored.found[scored.toxic == 0].mean() < 0.02 and scored.found[scored.toxic == 1].mean() > 0.8
+
+
+def odd_corpus(spark, root, documents):
+    """Documents with clashing further columns, labels and benchmark items, as tables under `root`."""
+    known = spark.read.parquet(f"{SF}/labels.parquet").join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id")
+    extra = {c: F.lit(1) for c in ("row", "letter", "fp", "th", "kept_id", "batch", "toxic", "h")}
+    documents.withColumns(extra).write.parquet(f"{root}/documents.parquet")
+    known.select("doc_id", "toxic").unionByName(spark.createDataFrame([(None, 1), (1, None)], "doc_id BIGINT, toxic INT")).write.parquet(f"{root}/labels.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").write.parquet(f"{root}/benchmark.parquet")
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    plain = spark.read.parquet(f"{SF}/documents.parquet")
+    top = plain.agg(F.max("doc_id")).first()[0]
+    names = ["doc_id", "text", "lang", "source"]
+    word = "plain words about rivers and the long road to the sea with many stones "
+    odd = spark.createDataFrame(
+        [(top + 1, None, "en", "s"), (top + 2, "", "en", "s"), (top + 3, "  \n ", None, None), (None, word * 3 + "unnamed", "en", "s"), (top + 4, word * 4000, "en", "s"), (top + 4, word * 4000, "en", "s")],
+        ", ".join(f"{c} {'BIGINT' if c == 'doc_id' else 'STRING'}" for c in names))
+    given = plain.select(*names).unionByName(odd)
+    odd_corpus(spark, str(tmp_path), given)
+    out = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()
+    # texts without a letter have no language; a repeated row stays once
+    ids = [r.doc_id for r in out]
+    assert len(ids) == len(set(ids)) and not {top + 1, top + 2, top + 3} & set(ids) and len(ids) > 100
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    odd_corpus(spark, str(tmp_path), spark.read.parquet(f"{SF}/documents.parquet").limit(0))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

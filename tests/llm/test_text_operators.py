@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -97,12 +98,14 @@ def test_language_held_out_accuracy_and_odd_rows(spark):
 
 
 def test_ngram_counts_match_a_plain_count():
-    text = "Straße AB ab"
+    text = "Straße AB ab 日本語の文 ж"
     got = next(langid.counts(pa.array([text])))
-    data = text.encode().lower()
-    assert got.sum() == sum(len(data) - k + 1 for k in langid.ORDERS)
-    apart = list(langid.counts(pa.array(["xy", None, text])))
-    assert (apart[2] == got).all() and apart[1].sum() == 0 and apart[0].sum() == 1
+    assert got.sum() == sum(len(text) - k + 1 for k in langid.ORDERS)
+    apart = list(langid.counts(pa.array(["xy", None, text, "日本", "ж"])))
+    assert (apart[2] == got).all() and apart[1].sum() == 0 and apart[0].sum() == 1 and apart[3].sum() == 1 and apart[4].sum() == 0
+    # equal grams of characters share a bucket wherever they stand
+    grams = [t[i:i + k] for t in (text.replace("A", "a").replace("B", "b").replace("S", "s"),) for k in langid.ORDERS for i in range(len(t) - k + 1)]
+    assert sorted(got[got > 0]) == sorted(Counter(grams).values())
 
 
 def test_bounds_are_optimal():
