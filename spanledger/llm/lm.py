@@ -1,17 +1,17 @@
 """Log-likelihood of whole documents under a gated recurrent language model in numpy.
 
 Tokens are words between ASCII white space, A-Z lower-cased, and one end. The
-`frequent` words with most tokens (and the end) make classes of `width` words by
-rank; all others fall into `tails` classes by their last bytes. The model is
-P(class | state) P(word | class, state): both are softmax layers over the state of
-a gated recurrent unit; within a tail class, where states tell little, the word's
-probability is its smoothed share of the class, and one share is kept for
-unknown words, so probabilities sum to one.
+`frequent` words with most tokens (and the end) have an output each; all others
+share `tails` outputs by their last bytes. Outputs make classes of `width` by rank,
+and the model is P(class | state) P(output | class, state): both are softmax layers
+over the state of a gated recurrent unit. A tail's outputs depend on the state like
+any other; among the words that share one, a word has its smoothed share of their
+counts, and one share is kept for unknown words, so probabilities sum to one.
 
 Counts cover all training rows and stay distributed; the `table` words with most
 tokens (at least the frequent ones) are broadcast, counts of the others are joined
-to the rare words of each document. `frequent` is the vocabulary's size to the power
-0.75 unless given. The network is started by truncated backpropagation on a bounded
+to the rare words of each document. `frequent` bounds the network, which every task
+holds and sends back once, so that tasks follow the input's splits. The network is started by truncated backpropagation on a bounded
 sample of training documents (`sample` rows of up to `max_bytes`) and then trained
 for an epoch over all training rows as whole texts: each task trains a copy, and the
 changes are averaged, weighted by how often a task saw the word or class they belong
@@ -30,7 +30,6 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +37,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import id_text, pieces, settle
+from .common import LOWER, id_text, pieces, settle, utf8
+from .runs import split
 
 END = b"\n"
 LONGEST = 64
@@ -53,22 +53,21 @@ def tail_of(word: bytes, tails: int) -> int:
     return zlib.crc32(word[-3:]) % tails
 
 
-def word_counts(rows: DataFrame, flush: int = 250_000) -> DataFrame:
-    """(word, c) over all `rows` (text); counted in each task first, in tables of bounded size."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter = Counter()
+def laid(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct tokens of a text column (the end last), the index of every token among them, and the row bounds in tokens."""
+    data, offsets = utf8(column)
+    words, index, bounds = split(LOWER[data], offsets)
+    names = [*words.to_pylist(), END]
+    return names, np.insert(index, bounds[1:], len(names) - 1), bounds + np.arange(len(bounds))
 
-        def told() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()).cast(pa.string()), pa.array(list(count.values()), pa.int64())], ["word", "c"])
 
+def word_counts(rows: DataFrame, most: int = 12 << 20) -> DataFrame:
+    """(word, c) over all `rows` (text); counted in pieces of `most` bytes first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch):
-                for text in piece.column(0).cast(pa.binary()).to_pylist():
-                    count.update(tokens(text))
-                if len(count) > flush:
-                    yield told()
-                    count.clear()
-        yield told()
+            for piece in pieces(batch, most=most):
+                names, index, _ = laid(piece.column(0))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()).cast(pa.string()), pa.array(np.bincount(index, minlength=len(names)))], ["word", "c"])
 
     return rows.select("text").mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -87,7 +86,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Network:
-    """Parameters by name; words are 0..frequent-1, then a code for each tail class, then the start."""
+    """Parameters by name; codes are frequent words, then tails, then the start; `width` codes in a row are a class."""
 
     p: dict[str, np.ndarray]
     frequent: int
@@ -96,7 +95,7 @@ class Network:
 
     @property
     def heads(self) -> int:
-        return -(-self.frequent // self.width)
+        return -(-(self.frequent + self.tails) // self.width)
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         n = h.shape[1]
@@ -107,10 +106,10 @@ class Network:
         return m + z * (h - m), r, z, m, u[:, 2 * n:]
 
     def class_of(self, y: np.ndarray) -> np.ndarray:
-        return np.where(y < self.frequent, y // self.width, self.heads + y - self.frequent)
+        return y // self.width
 
     def score(self, h: np.ndarray, y: np.ndarray, most: int = 1 << 13) -> np.ndarray:
-        """Natural log probability of codes `y` at states `h`; of a tail, that of its class. At most `most` rows at once."""
+        """Natural log probability of codes `y` at states `h`. At most `most` rows at once."""
         if len(y) > most:
             return np.concatenate([self.score(h[at:at + most], y[at:at + most], most) for at in range(0, len(y), most)])
         c = self.class_of(y)
@@ -129,16 +128,16 @@ class Network:
 def start(counts: np.ndarray, frequent: int, width: int, tails: int, hidden: int) -> Network:
     """A network whose output biases are the logarithms of the counts (frequent words, then tails)."""
     rng = np.random.default_rng(5)
-    heads = -(-frequent // width)
+    heads = -(-(frequent + tails) // width)
     words = np.zeros(heads * width)
-    words[:frequent] = counts[:frequent] + 1
+    words[:frequent + tails] = counts + 1
     words = words.reshape(heads, width)
-    mass = np.concatenate([words.sum(1), counts[frequent:] + 1])
+    mass = words.sum(1)
     f = np.float32
     small = lambda *s: rng.normal(0, 0.1, s).astype(f)
     return Network({
         "in": small(frequent + tails + 1, 3 * hidden), "rec": rng.normal(0, hidden**-0.5, (hidden, 3 * hidden)).astype(f),
-        "cls": small(hidden, heads + tails), "cls_b": np.log(mass / mass.sum()).astype(f),
+        "cls": small(hidden, heads), "cls_b": np.log(mass / mass.sum()).astype(f),
         "out": small(heads, hidden, width), "out_b": np.where(words > 0, np.log(np.maximum(words, 1e-9) / words.sum(1, keepdims=True)), -40).astype(f),
     }, frequent, width, tails)
 
@@ -173,15 +172,19 @@ class Learner:
         """A learner on copies of what is given, which has seen nothing."""
         own = Network({k: v.copy() for k, v in net.p.items()}, net.frequent, net.width, net.tails)
         made = {k: squares[k].copy() if squares else np.zeros_like(v) for k, v in net.p.items()}
-        return cls(own, made, np.zeros(len(net.p["in"])), np.zeros(net.heads + net.tails))
+        return cls(own, made, np.zeros(len(net.p["in"])), np.zeros(net.heads))
 
     def move(self, name: str, at, g: np.ndarray, rate: float) -> None:
         square = self.squares[name][at] + g * g
         self.squares[name][at] = square
         self.net.p[name][at] -= (rate * g / (np.sqrt(square) + 1e-8)).astype(np.float32)
 
-    def learn(self, docs: list[np.ndarray], lanes: int = 512, window: int = 16, epochs: int = 1, rate: float = 0.05) -> None:
-        """Truncated backpropagation over whole documents on lanes, state kept between windows, reset at starts."""
+    def learn(self, docs: list[np.ndarray], lanes: int = 512, window: int = 16, epochs: int = 1, rate: float = 0.1, most: int = 8192) -> None:
+        """Truncated backpropagation over whole documents on lanes, state kept between windows, reset at starts.
+
+        A window is `window` steps long, and longer where fewer lanes are left, so that an update sees about `most` tokens
+        and the longest documents do not take an update for every few tokens.
+        """
         net, hidden = self.net, self.net.p["rec"].shape[0]
         total = sum(len(d) for d in docs)
         if not total:
@@ -191,9 +194,12 @@ class Learner:
         for _ in range(epochs):
             flat, fresh, starts, lengths = lay(docs, lanes, rng)
             h = np.zeros((len(lengths), hidden), np.float32)
-            for at in range(0, int(lengths[0]), window):
+            at = 0
+            while at < lengths[0]:
                 held, states, targets = [], [], []
-                for i in range(at, min(at + window, int(lengths[0]))):
+                left = int(np.searchsorted(-lengths, -at, "left"))
+                upto = min(at + max(window, min(most // left, 512)), int(lengths[0]))
+                for i in range(at, upto):
                     n = int(np.searchsorted(-lengths, -i, "left"))  # lanes longer than i
                     place = starts[:n] + i
                     reset = fresh[place]
@@ -204,6 +210,7 @@ class Learner:
                     states.append(h)
                     targets.append(flat[place])
                 self._update(held, states, np.concatenate(targets), rate)
+                at = upto
 
     def _update(self, held: list[tuple], states: list[np.ndarray], target: np.ndarray, rate: float) -> None:
         net, p, hidden = self.net, self.net.p, self.net.p["rec"].shape[0]
@@ -285,17 +292,18 @@ def train_all(rows: DataFrame, net: Network, squares: dict[str, np.ndarray], wor
     """
     sc = rows.sparkSession.sparkContext
     shared = sc.broadcast((net, squares, words, codes))
-    size = sum(v.size for v in net.p.values()) + len(net.p["in"]) + net.heads + net.tails
+    size = sum(v.size for v in net.p.values()) + len(net.p["in"]) + net.heads
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, squares, words, codes = shared.value
         table, own = _Lookup(zip(words, range(len(words)))), None
         table.tails, table.size = base.tails, len(words)
         for batch in batches:
-            for piece in pieces(batch, most=6 << 20):
+            for piece in pieces(batch, most=12 << 20):
                 own = own or Learner.of(base, squares)
-                cut = [tokens(t) for t in piece.column(0).cast(pa.binary()).to_pylist()]
-                own.learn([codes[np.fromiter(map(table.__getitem__, w), np.int64, len(w))] for w in cut])
+                names, index, bounds = laid(piece.column(0))
+                coded = codes[np.fromiter(map(table.__getitem__, names), np.int64, len(names))][index]
+                own.learn([coded[a:b] for a, b in zip(bounds, bounds[1:])])
         told = own.told(base) if own else np.zeros(0, np.float32)
         for at in range(0, len(told), block):
             yield pa.RecordBatch.from_arrays([pa.array([at // block], pa.int32()), pa.array([told[at:at + block].tobytes()], pa.binary())], ["block", "part"])
@@ -331,9 +339,13 @@ def document_scores(net: Network, docs: list[np.ndarray], window: int = 32) -> n
     x = np.full(len(docs), net.frequent + net.tails)
     h = np.zeros((len(docs), net.p["rec"].shape[0]), np.float32)
     total = np.zeros(len(docs))
-    for at in range(0, int(lengths[0]), window):
+    at = 0
+    while at < lengths[0]:
         states, targets, owners = [], [], []
-        for i in range(at, min(at + window, int(lengths[0]))):
+        # longer windows where fewer sequences are left
+        left = int(np.searchsorted(-lengths, -at, "left"))
+        upto = min(at + max(window, min(8192 // left, 512)), int(lengths[0]))
+        for i in range(at, upto):
             n = int(np.searchsorted(-lengths, -i, "left"))  # sequences longer than i
             h = net.step(x[:n], h[:n])[0]
             y = flat[starts[:n] + i]
@@ -346,6 +358,7 @@ def document_scores(net: Network, docs: list[np.ndarray], window: int = 32) -> n
         for n in owners:
             total[:n] += score[k:k + n]
             k += n
+        at = upto
     out[order] = total
     return out
 
@@ -380,14 +393,12 @@ def _lookup(shared) -> tuple[Model, _Lookup]:
     return _loaded[getattr(shared, "id", 0)]
 
 
-def fit(docs: DataFrame, learn: Column, frequent: int | None = None, width: int | None = None, tails: int = 32, table: int = 131072, hidden: int = 16, sample: int = 1500, max_bytes: int = 16384) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, learn: Column, frequent: int = 4096, width: int | None = None, tails: int = 2048, table: int = 131072, hidden: int = 16, sample: int = 1500, max_bytes: int = 16384) -> tuple[Model, DataFrame]:
     """The model, and the settled counts (word, c) of the training words that are not in its table."""
     rows = id_text(docs).where(F.coalesce(learn, F.lit(False)))
     counts = settle(word_counts(rows))
     whole = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(whole["n"] or 0), int(whole["v"])
-    # by default the words with an output follow the vocabulary, somewhat slower than it grows
-    frequent = frequent or max(4096, math.ceil(v**0.75))
     table = max(table, frequent)
     short = F.octet_length("word") <= LONGEST
     top = counts.where(short & (F.col("word") != END.decode())).orderBy(F.desc("c"), "word").limit(table - 1).toArrow()
@@ -436,22 +447,22 @@ def score(docs: DataFrame, model: Model, others: DataFrame) -> DataFrame:
         unit = np.log10(model.n + model.v + 1)
         for batch in batches:
             for piece in pieces(batch, most=12 << 20):
-                codes, n_tokens, n_known, base, part, rare, times = [], [], [], [], [], [], []
-                for text in piece.column(1).cast(pa.binary()).to_pylist():
-                    words = tokens(text)
-                    at = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
-                    codes.append(model.codes[at])
-                    n_tokens.append(len(at))
-                    n_known.append(int(seen[at].sum()))
-                    base.append(float(log_c[at].sum() - len(at) * unit))
-                    part.append(float(share[at].sum()))
-                    count = Counter([words[i] for i in np.flatnonzero(at >= known)])
-                    rare.append(list(count))
-                    times.append(list(count.values()))
-                part = np.array(part) + document_scores(model.net, codes) / np.log(10)
+                names, index, bounds = laid(piece.column(1))
+                of = np.fromiter(map(table.__getitem__, names), np.int64, len(names))
+                at, first, n_tokens = of[index], bounds[:-1], np.diff(bounds)
+                # every row has its end, so no sum is over nothing
+                sums = lambda x: np.add.reduceat(x, first)
+                codes = model.codes[at]
+                part = sums(share[at]) + document_scores(model.net, [codes[a:b] for a, b in zip(bounds, bounds[1:])]) / np.log(10)
+                # words that the table lacks, with their counts in each row
+                rare = np.flatnonzero(at >= known)
+                row = np.searchsorted(bounds, rare, "right") - 1
+                pair, times = np.unique(row * np.int64(len(names)) + index[rare], return_counts=True)
+                cuts = pa.array(np.searchsorted(pair, np.arange(piece.num_rows + 1) * np.int64(len(names))), pa.int32())
+                words = pa.array(names, pa.binary()).cast(pa.string()).take(pa.array(pair % len(names)))
                 yield pa.RecordBatch.from_arrays([
-                    piece.column(0).cast(pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(part, pa.float64()),
-                    pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32())),
+                    piece.column(0).cast(pa.int64()), pa.array(n_tokens), pa.array(sums(seen[at].astype(np.int64))), pa.array(sums(log_c[at]) - n_tokens * unit), pa.array(part),
+                    pa.ListArray.from_arrays(cuts, words), pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int32))),
                 ], ["doc_id", "n_tokens", "n_known", "base", "part", "words", "times"])
 
     kind = "doc_id bigint, n_tokens bigint, n_known bigint, base double, part double, words array<string>, times array<int>"

@@ -275,7 +275,7 @@ def test_licences_of_whole_documents(spark):
 
 
 def test_language_model_learns_from_long_texts_and_more_rows(spark):
-    """Texts beyond the starting sample's bounds teach what follows what; more words get outputs of their own."""
+    """Texts beyond the starting sample's bounds teach what follows what; the network's size is bounded."""
     rng = random.Random(8)
     after = {f"p{k}": f"q{k}" for k in range(20)}
     chain = lambda n: " ".join(f"{w} {after[w]}" for w in rng.choices(list(after), k=n))
@@ -285,7 +285,63 @@ def test_language_model_learns_from_long_texts_and_more_rows(spark):
     score = {r.doc_id: r.score / r.n_tokens for r in lm.score(docs, *lm.fit(docs, F.col("doc_id") < 100)).collect()}
     assert score[100] > score[101] + 0.5 and score[100] > np.log10(1 / 40) + 0.5
     many = docs_of(spark, [(i, " ".join(f"w{k}" for k in range(i * 900, i * 900 + 900))) for i in range(100)])
-    assert lm.fit(many, F.lit(True))[0].net.frequent == int(np.ceil(90001**0.75))
+    model, _ = lm.fit(many, F.lit(True))
+    assert model.v == 90001 and model.net.frequent == 4096 and len(model.net.p["in"]) == 4096 + 2048 + 1
+
+
+def test_rare_words_depend_on_the_state(spark):
+    rng = random.Random(9)
+    pair = lambda a, b, i: " ".join(f"{x} r{rng.randrange(10**6)}{e}" for x, e in ((a, "aaa"), (b, "zzz")) * 200)
+    docs = docs_of(spark, [(i, pair("p0", "p1", i)) for i in range(60)] + [(100, pair("p0", "p1", 0)), (101, pair("p1", "p0", 0))])
+    model, others = lm.fit(docs, F.col("doc_id") < 100, frequent=4, width=8, tails=64)
+    score = {r.doc_id: r.score / r.n_tokens for r in lm.score(docs, model, others).collect()}
+    assert score[100] > score[101] + 0.5
+
+
+def small_network():
+    rng = np.random.default_rng(1)
+    net = lm.start(rng.integers(1, 9, 13), 9, 4, 4, 5)
+    net.p = {k: v.astype(np.float64) + rng.normal(0, 0.3, v.shape) * (k != "out_b") for k, v in net.p.items()}
+    return net
+
+
+def test_scores_match_a_plain_loop():
+    net = small_network()
+    docs = [np.array([3, 12, 0, 7, 7, 9, 1]), np.array([0]), np.array([5, 5])]
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    for doc, got in zip(docs, lm.document_scores(net, docs, window=3)):
+        h, x, total = np.zeros(5), 13, 0.0
+        for y in doc:
+            a, u = net.p["in"][x], h @ net.p["rec"]
+            r, z = sig(a[:5] + u[:5]), sig(a[5:10] + u[5:10])
+            h = (1 - z) * np.tanh(a[10:] + r * u[10:]) + z * h
+            cls = h @ net.p["cls"] + net.p["cls_b"]
+            own = h @ net.p["out"][y // 4] + net.p["out_b"][y // 4]
+            total += cls[y // 4] - np.log(np.exp(cls).sum()) + own[y % 4] - np.log(np.exp(own).sum())
+            x = y
+        assert np.isclose(got, total, rtol=1e-5)
+
+
+def test_gradients_match_differences():
+    net = small_network()
+    docs = [np.array([3, 12, 0, 7, 7, 9, 1]), np.array([5, 5, 2])]
+    own = lm.Learner.of(net)
+    told = {}
+    own.move = lambda name, at, g, rate: told.setdefault(name, []).append((at, np.array(g, float)))
+    own.learn(docs, window=32)
+    for name, of in told.items():
+        g = np.zeros_like(net.p[name])
+        for at, part in of:
+            g[at] += part
+        flat = net.p[name].reshape(-1)
+        for i in np.random.default_rng(2).choice(flat.size, min(40, flat.size), replace=False):
+            keep, loss = flat[i], []
+            for step in (1e-5, -1e-5):
+                flat[i] = keep + step
+                loss.append(-lm.document_scores(net, docs).sum() / 10)
+            flat[i] = keep
+            assert np.isclose((loss[0] - loss[1]) / 2e-5, g.reshape(-1)[i], atol=2e-5), (name, i)
+    assert set(told) == set(net.p)
 
 
 def test_every_language_is_learned(spark):
