@@ -198,7 +198,8 @@ def train(docs: DataFrame, learn: Column, per_lang: int = 500, most: int = 32000
     # the bounds come from hashes alone, so that only the texts of one sample move
     several = F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(each).cast("bigint"), F.col("n"))))
     ranked = near.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n")).select("lang", "h", several.alias("copy"))
-    bounds = ranked.withColumn("place", place).where(F.col("place") <= each).groupBy("lang").agg(F.max("h").alias("bound"))
+    # stored, so that the size of a row for each language is known and no text moves to meet them
+    bounds = settle(ranked.withColumn("place", place).where(F.col("place") <= each).groupBy("lang").agg(F.max("h").alias("bound")))
     own = cut.join(bounds, "lang").where(F.col("h") <= F.col("bound")).withColumn("th", F.xxhash64("text"))
     part = F.when(F.octet_length("text") <= max_bytes, F.col("text")).otherwise(F.expr(f"substring(text, int(k * {chars} + 1), {chars})"))
     own = own.select("lang", "h", "doc_id", "th", "k", part.alias("text"))
