@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import pace
 from ..operators import context, counters, ledger, quality, sessions, tally, transcripts
 from ..operators.quantile import exact_quantiles
 from ..plans import sections, snapshot, speed
+from ..session import cut, shared_dir
 from ..sources.once import computed_once
 from . import bridge, ingest, usage
 from .bridge import NOW_MS, with_events, with_histograms, with_points, with_spans
@@ -24,9 +27,8 @@ def _signals(spark, d):
 
 
 def _all_series(spark, d):
-    """Histogram-free metric feed without tool measurements, so events answer for tools and survival."""
-    points = bridge.points(spark, d).where(F.col("metric") != quality.EDIT_ACCEPTANCE)
-    return counters.all_series(counters.counter_series(points), _signals(spark, d))
+    """Every metric series; events answer for the instruments that no metric has measured."""
+    return counters.all_series(counters.counter_series(bridge.points(spark, d)), _signals(spark, d))
 
 
 def _runs(spark, d):
@@ -102,10 +104,16 @@ def _gauge(spark, d):
 
 
 def _snapshot(spark, d):
+    """The snapshot as its sink holds it after two writes of the same report."""
     spans, points = bridge.spans(spark, d), bridge.points(spark, d)
-    return snapshot.snapshot(
+    rows = cut(snapshot.snapshot(
         spans, counters.counter_series(points), _runs(spark, d), _signals(spark, d), counters.token_series(points, NOW_MS),
-        ledger.meter_totals(_ledgers(spark, d)), _compared(spark, d), NOW_MS)
+        ledger.meter_totals(_ledgers(spark, d)), _compared(spark, d), NOW_MS))
+    path = f"{shared_dir(spark).rstrip('/')}/snapshot-{uuid.uuid4()}"
+    for _ in range(2):
+        snapshot.write_snapshot(rows, path)
+    kept = spark.read.schema(rows.schema).parquet(path)
+    return kept.withColumn("value", F.round("value", 6))
 
 
 def _diagnostics(spark, d):
@@ -194,10 +202,10 @@ allser AS (
   SELECT metric, CASE metric WHEN 'copilot_chat.edit.acceptance.count' THEN 'copilot_chat.edit.outcome=' || tag WHEN 'copilot_chat.lines_of_code.count' THEN 'type=' || tag
       WHEN 'copilot_chat.tool.call.count' THEN 'success=' || tag
       ELSE 'gen_ai.request.model=' || req || chr(1) || coalesce('gen_ai.response.model=' || resp || chr(1), '') || 'gen_ai.token.type=' || tag END AS series_key,
-    total, 1.0::DOUBLE AS count, 'metrics' AS source FROM series WHERE metric <> 'copilot_chat.edit.acceptance.count'
+    total, 1.0::DOUBLE AS count, 'metrics' AS source FROM series
   UNION ALL
   SELECT metric, series_key, sum(value), count(*)::DOUBLE, 'events' FROM sig
-  WHERE metric NOT IN (SELECT metric FROM series WHERE metric <> 'copilot_chat.edit.acceptance.count') GROUP BY 1, 2)"""
+  WHERE metric NOT IN (SELECT metric FROM series) GROUP BY 1, 2)"""
 ALL_SERIES_SQL = "WITH " + bridge.SPANS_SQL.strip() + bridge.POINTS_SQL[len(bridge.EVENTS_SQL):] + bridge.SIGNALS_SQL[len(bridge.EVENTS_SQL):] + "," + SERIES_SQL
 
 
@@ -206,13 +214,19 @@ def _t(metric: str, key: str = "", how: str = "total") -> str:
     return f"coalesce(sum({how}) FILTER ({cond}), 0)"
 
 
+FURTHER = {
+    **{f"chat_edits_{o}": (quality.CHAT_EDIT_OUTCOME, f"{quality.OUTCOME}={o}") for o in ("accepted", "rejected", "saved")}, "pull_requests": (quality.PULL_REQUESTS,),
+    **{f"action_{a}": (quality.USER_ACTIONS, f"action={a}") for a in ("copy", "insert", "apply", "followup")},
+    "edit_response_errors": (quality.EDIT_RESPONSES, "outcome=error"), "summarizations_applied": (quality.SUMMARIZATIONS, "outcome=applied"),
+    "summarizations_failed": (quality.SUMMARIZATIONS, "outcome=failed"),
+}
 QUALITY_SQL = ALL_SERIES_SQL + f""",
 a AS (SELECT {_t(quality.EDIT_ACCEPTANCE, 'copilot_chat.edit.outcome=accepted')} AS ea, {_t(quality.EDIT_ACCEPTANCE, 'copilot_chat.edit.outcome=rejected')} AS er,
   {_t(quality.LINES_OF_CODE, 'type=added')} AS la, {_t(quality.LINES_OF_CODE, 'type=removed')} AS lr, {_t(quality.CLOUD_SESSIONS)} AS cs,
   {_t(quality.USER_FEEDBACK, 'rating=positive')} AS fp, {_t(quality.USER_FEEDBACK, 'rating=negative')} AS fn,
   {_t(quality.SURVIVAL_FOUR_GRAM)} / {_t(quality.SURVIVAL_FOUR_GRAM, how='count')} AS s4, {_t(quality.SURVIVAL_NO_REVERT)} / {_t(quality.SURVIVAL_NO_REVERT, how='count')} AS sn,
-  {_t(quality.TOOL_CALL_COUNT)} AS tc, {_t(quality.TOOL_CALL_COUNT, 'success=false')} AS tf FROM allser)
-SELECT CAST(ea AS BIGINT) AS edits_accepted, CAST(er AS BIGINT) AS edits_rejected, CAST(la AS BIGINT) AS lines_added, CAST(lr AS BIGINT) AS lines_removed,
+  {_t(quality.TOOL_CALL_COUNT)} AS tc, {_t(quality.TOOL_CALL_COUNT, 'success=false')} AS tf, {", ".join(f"CAST({_t(*args)} AS BIGINT) AS {name}" for name, args in FURTHER.items())} FROM allser)
+SELECT {", ".join(FURTHER)}, CAST(ea AS BIGINT) AS edits_accepted, CAST(er AS BIGINT) AS edits_rejected, CAST(la AS BIGINT) AS lines_added, CAST(lr AS BIGINT) AS lines_removed,
   CAST(cs AS BIGINT) AS cloud_sessions, CAST(fp AS BIGINT) AS feedback_positive, CAST(fn AS BIGINT) AS feedback_negative, round(s4, 9) AS survival_four_gram,
   round(sn, 9) AS survival_no_revert, ea / (ea + er) AS accept_rate, fp / (fp + fn) AS feedback_rate, CAST(tc AS BIGINT) AS tool_calls, CAST(tf AS BIGINT) AS tool_failures,
   (tc - tf) / tc AS tool_success_rate, 'metrics' AS tool_source, 'pull requests' AS missing, TRUE AS available FROM a"""
@@ -242,9 +256,7 @@ QUERIES = {
         "metric", "series_key", F.round("total", 6).alias("total"), "count"),
     "all_series": lambda spark, d: _all_series(spark, d).groupBy("source", "metric").agg(
         F.count(F.lit(1)).alias("series"), F.round(F.sum("total"), 6).alias("total")),
-    "quality_section": lambda spark, d: sections.quality_section(_all_series(spark, d), bridge.spans(spark, d)).drop(
-        "chat_edits_accepted", "chat_edits_rejected", "chat_edits_saved", "pull_requests", "action_copy", "action_insert", "action_apply",
-        "action_followup", "edit_response_errors", "summarizations_applied", "summarizations_failed").withColumns(
+    "quality_section": lambda spark, d: sections.quality_section(_all_series(spark, d), bridge.spans(spark, d)).withColumns(
         {c: F.round(c, 9) for c in ("survival_four_gram", "survival_no_revert")}),
     "trace_credits": lambda spark, d: sections.trace_credits(bridge.spans(spark, d)),
     "session_cost": lambda spark, d: transcripts.session_cost(bridge.requests(spark, d)),
@@ -330,6 +342,27 @@ DIAGNOSTICS_SQL = (
     + "".join(f" UNION ALL SELECT '{s}', '{m}', {e}::DOUBLE, NULL" for s, m, e in _MEASURES)
     + " UNION ALL SELECT 'reconciliation', 'source', NULL, 'otel'")
 
+_PERIOD = ["since_ms", "sessions", "credits", "credit_sessions", "trace_credit_sessions", "input", "output", "traced_sessions"]
+_QUALITY_TEXT = ["tool_source", "missing"]
+_QUALITY = [*FURTHER, "edits_accepted", "edits_rejected", "lines_added", "lines_removed", "cloud_sessions", "feedback_positive", "feedback_negative", "survival_four_gram",
+            "survival_no_revert", "accept_rate", "feedback_rate", "tool_calls", "tool_failures", "tool_success_rate", "available"]
+
+
+def _long(section: str, source: str, measures: list[str], texts: list[str]) -> str:
+    """The one row of `source` as (section, measure, value, text)."""
+    return " UNION ALL ".join(
+        [f"SELECT '{section}' AS section, '{c}' AS measure, CAST({c} AS DOUBLE) AS value, NULL AS text FROM {source}" for c in measures]
+        + [f"SELECT '{section}', '{c}', NULL, {c} FROM {source}" for c in texts])
+
+
+def _snapshot_sql() -> str:
+    sections_ = f"""
+SELECT section, measure, value, text FROM ({COST_SQL}) UNION ALL SELECT 'speed', measure, value, source FROM ({SPEED_SQL})
+UNION ALL SELECT 'credits', breakdown || coalesce(': ' || label, ''), credits, NULL FROM ({ORACLES['trace_credits']})
+UNION ALL {_long('quality', 'qu', _QUALITY, _QUALITY_TEXT)} UNION ALL {_long('period', 'pe', _PERIOD, [])}"""
+    return f"WITH qu AS MATERIALIZED ({QUALITY_SQL}), pe AS MATERIALIZED ({ORACLES['period_rollup']}) SELECT {NOW_MS} AS generated_ms, section, measure, round(value, 6) AS value, text FROM ({sections_})"
+
+
 ORACLES = {
     "latency_percentiles": with_spans(LATENCY_SQL + " SELECT name, q, value, n FROM pct"),
     "slowest_tools": with_spans("""
@@ -408,3 +441,4 @@ SELECT session_id, at_ms, {NOW_MS - DAY} - at_ms BETWEEN 0 AND 1800000 AS contex
     "cost_section": COST_SQL,
     "telemetry_diagnostics": DIAGNOSTICS_SQL,
 }
+ORACLES["snapshot_sink"] = _snapshot_sql()

@@ -243,7 +243,8 @@ def tokens_by_model(series: DataFrame) -> DataFrame:
         .select("model", round_half_up(F.col("i")).alias("input"), round_half_up(F.col("o")).alias("output"),
                 round_half_up(F.col("i") + F.col("o")).alias("total"))
     )
-    everything = per_model.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("t")).scalar()
+    # a row for each model: the grand total is a window over them, not a second pass over the series
+    everything = F.sum("total").over(Window.partitionBy(F.lit(0)))
     return per_model.withColumn("share", F.col("total") / F.when(everything == 0, F.lit(1)).otherwise(everything))
 
 
