@@ -6,7 +6,9 @@ The CLI session store is derived from `orders` (usage events, references) and
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import parsing
 from ..operators import actors, billing, context, coverage, cycles, tally
@@ -349,8 +351,21 @@ def _older_store(spark, d):
     return coverage.coverage_metrics(coverage.store_calls(usage), False, False)
 
 
+def _store_states(spark, d):
+    """The same store whole, of an older version, without the column that names sessions, and absent."""
+    whole = _store(spark, d)
+    events = whole["assistant_usage_events"]
+    stores_ = {
+        "whole": whole, "older": {"assistant_usage_events": events.drop("created_at", "total_nano_aiu"), "sessions": whole["sessions"]},
+        "unnamed": whole | {"assistant_usage_events": events.drop("session_id")}, "absent": {},
+    }
+    reports = [stores.session_store_report(spark, t, STORE_CUTOFF).select(F.lit(n).alias("store"), "*") for n, t in stores_.items()]
+    return reduce(DataFrame.unionByName, reports).withColumn("notes", F.concat_ws("; ", "notes"))
+
+
 QUERIES = {
     "session_store_scan": _older_store,
+    "session_store_status": _store_states,
     "session_store_window": lambda spark, d: _dated(spark, d).where(
         parsing.in_rolling_window(F.col("at_ms"), F.col("date_only"), WINDOW_CUTOFF)).select("id", "created_at"),
     "parse_timestamp": lambda spark, d: _dated(spark, d).select(
@@ -402,6 +417,13 @@ ORACLES = {
     "session_store_scan": """
 SELECT count(*) AS calls, 0 AS credited_calls, CAST(NULL AS DOUBLE) AS credits, 0.0::DOUBLE AS credit_coverage, CAST(NULL AS DOUBLE) AS credits_to_repo_share,
   CAST(NULL AS DOUBLE) AS credits_to_pr_share, CAST(NULL AS DOUBLE) AS credits_to_actor_share, CAST(NULL AS DOUBLE) AS sub_agent_share, CAST(NULL AS DOUBLE) AS cache_read_ratio, 0 AS cache_pairs FROM orders""",
+    "session_store_status": with_store("""
+SELECT 'whole' AS store, 'ok' AS status, 'No user identity is stored per session' AS notes, count(*) AS calls, count(at_ms) AS dated_calls, count(nano) AS credited_calls,
+  count(*) FILTER (has_work_ref) AS linked_calls FROM us
+UNION ALL SELECT 'older', 'ok', 'No user identity is stored per session; created_at is missing, so the window cannot be applied; session_refs is missing or lacks session_id / ref_type',
+  count(*), 0, 0, NULL FROM orders
+UNION ALL SELECT 'unnamed', 'schema', 'assistant_usage_events is missing or lacks session_id', NULL, NULL, NULL, NULL
+UNION ALL SELECT 'absent', 'missing', 'the session store was not found', NULL, NULL, NULL, NULL"""),
     "session_store_window": with_store(f"""
 SELECT ok AS id, CASE ok % 6 WHEN 0 THEN d || 'T' || c || '.000Z' WHEN 1 THEN d || ' ' || c WHEN 2 THEN d || 'T' || c || '+02:00' WHEN 3 THEN d WHEN 4 THEN 'garbage' ELSE d || 'T' || c || '-05:00' END AS created_at
 FROM (SELECT *, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(make_timestamp(clk * 1000), '%H:%M:%S') AS c FROM o1)

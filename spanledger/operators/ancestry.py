@@ -1,12 +1,14 @@
 """Root classification of runtime invocations by walking parent links.
 
 Pointer doubling: every span carries a summary of the ancestors walked so far
-and a pointer to the next one, so each join round doubles the distance. A round
-that settles nothing proves that what is left runs in a cycle.
+and a pointer to the next one, so each join round doubles the distance. Rounds carry
+the rows that are still open. A round that settles nothing proves that what is left runs in a cycle.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.values import credit_sum
@@ -44,15 +46,17 @@ def classify_roots(spans: DataFrame, ancestors: DataFrame | None = None) -> Data
         F.coalesce("p_agent", F.lit(False)).alias("nested"),
         F.col("p_trace").alias("lo"), F.col("p_trace").alias("hi"),
     )
+    walking = F.col("next").isNotNull() & ~F.col("bad")
     state = cut(state)
+    # what is settled is kept as it was written; a round writes open rows only
+    settled, left = [state.where(~walking)], state.where(walking)
     open_before = None
     while True:
-        left = state.where(F.col("next").isNotNull() & ~F.col("bad"))
         still_open = left.count()
         if still_open == 0 or still_open == open_before:
             break
         open_before = still_open
-        jump = state.select(
+        jump = reduce(DataFrame.unionByName, settled, left).select(
             F.col("span_id").alias("j_id"), F.col("next").alias("j_next"), F.col("bad").alias("j_bad"),
             F.col("nested").alias("j_nested"), F.col("lo").alias("j_lo"), F.col("hi").alias("j_hi"),
             F.col("trace_id").alias("j_trace"), F.col("self_agent").alias("j_agent"),
@@ -64,11 +68,12 @@ def classify_roots(spans: DataFrame, ancestors: DataFrame | None = None) -> Data
             (F.col("nested") | F.coalesce("j_nested", F.lit(False)) | F.coalesce("j_agent", F.lit(False))).alias("nested"),
             F.least("lo", "j_lo", "j_trace").alias("lo"), F.greatest("hi", "j_hi", "j_trace").alias("hi"),
         )
-        settled = state.where(F.col("next").isNull() | F.col("bad"))
-        state = cut(settled.unionByName(moved))
+        moved = cut(moved)
+        settled.append(moved.where(~walking))
+        left = moved.where(walking)
     foreign = F.col("trace_id").isNotNull() & ((F.col("lo") != F.col("trace_id")) | (F.col("hi") != F.col("trace_id")))
     unknown = F.col("bad") | F.col("next").isNotNull() | F.coalesce(foreign, F.lit(False))
-    return state.where("wanted").select(
+    return reduce(DataFrame.unionByName, settled, left).where("wanted").select(
         "span_id", F.when(unknown, "unknown").when(F.col("nested"), "nested").otherwise("root").alias("root")
     )
 

@@ -5,7 +5,7 @@ Columns vary by version; what a store lacks reads as NULL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .feed import span_columns, valid_spans
 from .once import computed_once
@@ -152,3 +152,21 @@ def usage_context(tables: dict[str, DataFrame], cutoff_ms: int | None) -> DataFr
         return out.join(flags, "session_id", "left").select(
             *out.columns, F.coalesce("has_work_ref", F.lit(False)).alias("has_work_ref"), F.coalesce("has_pr", F.lit(False)).alias("has_pr"))
     return out.selectExpr("*", "CAST(NULL AS BOOLEAN) AS has_work_ref", "CAST(NULL AS BOOLEAN) AS has_pr")
+
+
+def session_store_report(spark: SparkSession, tables: dict[str, DataFrame], cutoff_ms: int | None) -> DataFrame:
+    """One row of what a session store can tell: status, notes, and calls in the window with what they report.
+
+    A store that cannot be read tells so instead of reporting zero calls.
+    """
+    status, notes = store_status(tables)
+    told = [F.lit(status).alias("status"), F.array(*[F.lit(n) for n in notes]).alias("notes")]
+    if status != "ok":
+        unknown = [F.lit(None).cast("bigint").alias(c) for c in ("calls", "dated_calls", "credited_calls", "linked_calls")]
+        return spark.range(1).select(*told, *unknown)
+    usage = usage_context(tables, cutoff_ms)
+    linked = F.col("has_work_ref")
+    return usage.agg(
+        F.count(F.lit(1)).alias("calls"), F.count("at_ms").alias("dated_calls"), F.count("nano").alias("credited_calls"),
+        F.when(F.count(linked) == 0, F.lit(None).cast("bigint")).otherwise(F.count_if(linked)).alias("linked_calls"),
+    ).select(*told, "calls", "dated_calls", "credited_calls", "linked_calls")

@@ -54,6 +54,10 @@ def test_missing_columns_and_tables(spark):
     status, notes = stores.store_status({"assistant_usage_events": events})
     assert status == "ok" and any("created_at is missing" in n for n in notes) and any("session_refs is missing" in n for n in notes)
     assert stores.store_status({"other": events})[0] == "schema" and stores.store_status({})[0] == "missing"
+    told = stores.session_store_report(spark, {"assistant_usage_events": events}, None).first()
+    assert told.status == "ok" and told.calls == events.count() and told.linked_calls is None
+    gone = stores.session_store_report(spark, {}, None).first()
+    assert (gone.status, gone.calls) == ("missing", None)
 
 
 def test_exact_rolling_cutoff(spark):
