@@ -173,6 +173,51 @@ def test_host_runs_match_brute_force(spark, shard_tokens):
         assert r.text == " ".join(x for j, x in enumerate(w) if j not in gone)
 
 
+@pytest.mark.parametrize("given, text", [
+    ("<div class='layout with-sidebar'><article>body</article><div class=sidebar>x</div></div>", "body"),
+    ("<div class=widget><p>w</p><article>in<div class=share>s</div></article></div>", "in"),
+    ("<article><p class='ad-free'>keep</p><p class='ad'>no</p></article>", "keep"),
+    ("<h1>Head</h1><div>body</div><article class=teaser>tease</article>", "Head\n\nbody\n\ntease"),
+    ("<div class=comments><article>c</article></div><div role='main'>m<nav>n</nav></div>", "m"),
+    ("<article>own<article class='comment'>c</article></article><div hidden><main>x</main></div>", "own"),
+])
+def test_wrappers_and_blocks_beside_an_article(spark, given, text):
+    pages = spark.createDataFrame([(1, "http://a.org/1", given)], "page_id BIGINT, url STRING, html STRING")
+    assert html.extract(pages).first().text == text
+
+
+@pytest.mark.parametrize("shard_tokens", [1500, 1 << 20])
+def test_articles_against_brute_force(spark, shard_tokens):
+    """Notices printed into most articles of a shard go, copied articles and lines that few share stay, loose text goes by runs outside articles."""
+    rng = random.Random(12)
+    fresh = lambda i, n: sentences(rng, [f"{i}w{k}" for k in range(40)], n)
+    notice, line, banner, story = fresh("n", 14), fresh("l", 12), fresh("b", 10), fresh("s", 60)
+    made = {}
+    for i in range(60):
+        body = [fresh(i, 30), fresh(f"{i}x", 20)]
+        if i % 10:
+            body.insert(1, notice)
+        if i % 5 == 0:
+            body.insert(0, line)
+        if i in (7, 8):
+            body = [story, notice]
+        made[i] = ([banner, fresh(f"{i}y", 9)], body)
+    page = lambda loose, body: "<div>" + "</div><div>".join(loose) + "</div><article><p>" + "<p>".join(body) + "</article>"
+    given = [(i, "http://h.org/p", page(*m)) for i, m in made.items()] + [(100 + k, "http://h.org/q", page(*made[3])) for k in range(30)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(given, "page_id BIGINT, url STRING, html STRING"), shard_tokens=shard_tokens, common=0.5, common_pages=2).collect()}
+    assert len(got) == len(given)
+    for i, _, _ in given:
+        (_, own), body = made[3 if i >= 100 else i]
+        assert got[i] == "\n\n".join([own, *[x for x in body if x != notice]])
+
+
+def test_a_host_of_copied_articles_keeps_them(spark):
+    rng = random.Random(13)
+    story = sentences(rng, [f"w{k}" for k in range(50)], 80)
+    pages = spark.createDataFrame([(i, "http://h.org/", f"<nav>{i}</nav><article>{story}</article>") for i in range(20)], "page_id BIGINT, url STRING, html STRING")
+    assert {r.text for r in html.extract(pages).collect()} == {story}
+
+
 def test_suffix_runs_count_pages():
     a, b = "a b c d e".split(), "x b c d y b c d".split()
     runs, pages = html.suffix_runs([a, b, []], [0, 1, 2], 3)
