@@ -1,17 +1,20 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates; DataFrame functions only.
 
-Paragraphs are lines. Features are the distinct words and word pairs of a line;
+A paragraph ends at a blank line, or where a line ends with a sentence; the lines of
+a wrapped notice are one paragraph, and two notices on lines of their own are two. In the code a
+`line` is such a paragraph. Features are its distinct words and word pairs;
 a multinomial logistic regression with an elastic-net penalty, fitted on the
-lines of a bounded sample of documents, gives the classes: none, unknown (licence
-talk that no template covers) and one for each licence family. A temperature is
-fitted on a held-out part of the sample. A predicted family stands only if the
-line holds at least `cover` of the 5-word shingles of one of its templates (all
+paragraphs of a bounded sample of documents, gives the classes: none, unknown (licence
+talk that no template covers) and one for each licence family. Vocabulary, class weights and
+regression never see the fifth of the sample's paragraphs that is held out; a temperature is
+fitted on that fifth. A predicted family stands only if the
+paragraph holds at least `cover` of the 5-word shingles of one of its templates (all
 words of a shorter template); otherwise the licence is unknown.
 
-Only lines holding a feature that the weights make necessary for leaving class none
-are scored (see `required`); equal lines are scored once.
+Only paragraphs holding a feature that the weights make necessary for leaving class none
+are scored (see `required`); equal paragraphs are scored once.
 
-Defined results: a NULL or empty text has no licence; a line may be of any
+Defined results: a NULL or empty text has no licence; a paragraph may be of any
 length; ties between classes go to the first by name; repeated rows are reported
 each; without any licence line in the sample the templates alone train the
 model; an empty table gives no rows; further columns are not read.
@@ -41,7 +44,8 @@ TEMPLATES = {
 }
 #: Licence talk without a template teaches class unknown.
 TALK = r"\b(licen[cs]ed?|copyright|all rights reserved)\b"
-
+#: A blank line, or the line break after a sentence's end.
+PARAGRAPH_END = r"\r?\n[\t\r ]*\n\s*|(?<=[.!?:;][\"')\]]{0,2}[\t\r ]{0,4})\n"
 
 #: Letters and digits; characters beyond ASCII belong to words.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -95,11 +99,11 @@ def _plain_words(text: str) -> list[str]:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    return id_text(docs).select("doc_id", F.xxhash64("text").alias("h"), F.explode(F.split("text", "\n")).alias("line"))
+    return id_text(docs).select("doc_id", F.xxhash64("text").alias("h"), F.explode(F.split("text", PARAGRAPH_END)).alias("line"))
 
 
 def training_lines(docs: DataFrame, templates: dict[str, list[str]], sample: int, cover: float, max_bytes: int) -> DataFrame:
-    """Lines of the bounded sample and the templates, each with its class `label`."""
+    """Paragraphs of the bounded sample and the templates, each with its class `label` and whether it is held out (`aside`)."""
     spark = docs.sparkSession
     # ids first: a top-k that carried texts would send `sample` texts from every task
     near = id_text(docs).where(F.octet_length("text") <= max_bytes)
@@ -109,10 +113,12 @@ def training_lines(docs: DataFrame, templates: dict[str, list[str]], sample: int
     lines = lines_of(picked).select("line").where("line != ''").distinct()
     given = json.dumps([{"line": t} for texts in templates.values() for t in texts])
     told = spark.range(1).select(F.explode(F.from_json(F.lit(given), "array<struct<line:string>>")).alias("t")).select("t.line")
-    named = template_match(with_features(lines.unionByName(told)), templates, cover)
+    # templates always train
+    every = lines.withColumn("aside", F.pmod(F.xxhash64("line"), F.lit(5)) == 0).unionByName(told.withColumn("aside", F.lit(False)))
+    named = template_match(with_features(every), templates, cover)
     best = F.array_max("similarity")
     label = F.when(best["share"] >= cover, best["family"]).when(F.lower("line").rlike(TALK), "unknown").otherwise("none")
-    return named.select("line", "features", label.alias("label"))
+    return named.select("line", "features", "aside", label.alias("label"))
 
 
 class Model:
@@ -125,7 +131,8 @@ class Model:
 def train(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, sample: int = 4000, cover: float = 0.8, max_bytes: int = 32768, vocabulary: int = 8192, steps: int = 40) -> Model:
     classes = ["none", *sorted(templates), "unknown"]
     place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - 1
-    rows = settle(training_lines(docs, templates, sample, cover, max_bytes).withColumn("y", place.cast("double")).withColumn("aside", (F.pmod(F.xxhash64("line"), F.lit(5)) == 0)))
+    every = settle(training_lines(docs, templates, sample, cover, max_bytes).withColumn("y", place.cast("double")))
+    rows = every.where("NOT aside")
     spark = docs.sparkSession
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
@@ -143,7 +150,7 @@ def train(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, sample:
     weights = [{"f": t, "c": int(c), "w": float(matrix[c, i]), "n": common.get(t, 0)} for i, t in enumerate(terms) for c in range(matrix.shape[0]) if matrix[c, i] != 0]
     intercepts = [float(v) for v in model.interceptVector.toArray()] + [-50.0] * (len(classes) - matrix.shape[0])
     fitted = Model(classes, weights, intercepts, 1.0)
-    aside = scored(rows.where("aside").select("line", "features", "y"), fitted)
+    aside = scored(every.where("aside").select("line", "features", "y"), fitted)
     grid = [round(0.25 * 1.3**i, 4) for i in range(14)]
     loss = aside.select("y", "z", F.explode(F.array(*[F.lit(t) for t in grid])).alias("t")).select(
         "t", F.expr("ln(aggregate(z, 0D, (s, v) -> s + exp((v - array_max(z)) / t))) + (array_max(z) - z[int(y)]) / t AS loss")
@@ -201,7 +208,7 @@ def licence_lines(docs: DataFrame, model: Model, templates: dict[str, list[str]]
     if needed is not None:
         phrase = [r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+".join(f.split(" ")) for f in needed]
         lines = lines.where(F.lower("line").rlike(f"(?<!{WORD})(?:" + "|".join(phrase) + f")(?!{WORD})")) if phrase else lines.where(F.lit(False))
-    lines = settle(lines)
+    lines = settle(lines.withColumn("line", F.translate("line", "\r\n", "  ")))
     distinct = scored(settle(with_features(lines.select("line").distinct()).select("line", "words", "features")), model)
     p = F.expr(f"transform(z, v -> exp((v - array_max(z)) / {model.temperature}D))")
     probable = distinct.select("line", "words", F.explode(F.array(p)).alias("e")).withColumn("total", F.expr("aggregate(e, 0D, (s, v) -> s + v)"))

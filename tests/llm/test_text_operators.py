@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -319,6 +320,60 @@ def test_licences_of_whole_documents(spark):
     assert licences.scan(docs.limit(0), licences.train(docs.limit(0))).count() == 0
 
 
+NOTICES = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in it without restriction",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the foundation.",
+    "apache-2.0": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+}
+
+
+def plain_shares(text):
+    """Share of each family's best template in `text`, by plain loops."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+    grams = lambda w: {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+    words, out = split(text), {}
+    for family, templates in licences.TEMPLATES.items():
+        for t in templates:
+            w = split(t)
+            share = len(grams(w) & grams(words)) / len(grams(w)) if len(w) >= 5 else float(any(words[i:i + len(w)] == w for i in range(len(words))))
+            out[family] = max(out.get(family, 0.0), share)
+    return out
+
+
+def test_wrapped_notices_and_every_line_scored(spark):
+    """Notices wrapped at any width, with comment marks, are found; what `required` leaves unscored has no licence; shares match loops."""
+    rng = random.Random(21)
+    words = [f"v{i}" for i in range(60)]
+    given = [(i, "\n".join(sentences(rng, words, 14) + "." for _ in range(3))) for i in range(60)]
+    want = {}
+    for k, (family, notice) in enumerate(NOTICES.items()):
+        for width in (30, 72):
+            for mark in ("", "# ", " * "):
+                i = 1000 + len(want)
+                lines = [mark + x for x in textwrap.wrap(notice, width)]
+                given.append((i, "\n".join([sentences(rng, words, 9) + ".", "", *lines, "", sentences(rng, words, 9) + "."]).replace("\n", "\r\n" if k % 2 else "\n")))
+                want[i] = family
+    # talk of a licence that no template holds
+    given += [(2000 + i, f"{sentences(rng, words, 12)}.\nCopyright holders grant you a licence of their own {sentences(rng, words, 3)}.") for i in range(20)]
+    docs = docs_of(spark, given)
+    model = licences.train(docs, sample=200)
+    got = {r.doc_id: r for r in licences.scan(docs, model).collect()}
+    assert {i: got[i].licences for i in want} == want and all(got[i].n_licence_lines == 0 for i in range(60))
+    assert sum(got[2000 + i].n_unknown == 1 for i in range(20)) >= 19
+    every = licences.licence_lines
+    found = sorted(tuple(r)[2:4] for r in every(docs, model).collect())
+    needed, licences.required = licences.required, lambda *_: None
+    try:
+        assert sorted(tuple(r)[2:4] for r in every(docs, model).collect()) == found
+    finally:
+        licences.required = needed
+    lines = licences.with_features(licences.lines_of(docs).select("line"))
+    for r in licences.template_match(lines, licences.TEMPLATES, 0.8).collect():
+        plain = plain_shares(r.line)
+        assert max(plain.values()) == pytest.approx(max((s.share for s in r.similarity), default=0.0))
+
+
 def test_language_model_learns_from_long_texts_and_more_rows(spark):
     """Texts beyond the starting sample's bounds teach what follows what; the network's size is bounded."""
     rng = random.Random(8)
