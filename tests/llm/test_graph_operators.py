@@ -96,6 +96,28 @@ def test_vectors_match_brute_force(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("offset, chunk", [(0.0, 2048), (1.0, 2048), (2.0, 7)])
+def test_recall_at_the_threshold(spark, offset, chunk):
+    """Pairs with a cosine of 0.95 to 0.97, also of vectors about a common direction, against all pairs."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(500, 64)) / 8 + offset * np.eye(64)[0]
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    rows = np.concatenate([base, *[embeddings.at_threshold(base, c, rng) for c in (0.952, 0.96, 0.97)]])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    close = rows @ rows.T >= 0.95
+    want = close.sum(1) - 1
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df, chunk=chunk).collect()}
+    assert all(got[i] <= want[i] for i in range(len(rows)))
+    assert sum(got.values()) >= 0.95 * want.sum()
+
+
+def test_vectors_of_extreme_size(spark):
+    """Norms beyond the range of a double, and below it, compare like any other."""
+    given = [(1, [1e200, 2e200]), (2, [1e200, 2e200]), (3, [1.0, 2.0]), (4, [1e-200, 2e-200]), (5, [-1.0, 2.0]), (6, [5e-324, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(given, "vec_id BIGINT, embedding ARRAY<DOUBLE>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6)}
+
+
 @pytest.mark.parametrize("ranges", [1, 13])
 def test_revisits_match_brute_force(spark, ranges):
     rng = random.Random(5)
