@@ -76,11 +76,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials in place, of values up to 60, and their sums by row."""
+    np.exp(np.minimum(z, np.float32(60), out=z), out=z)
+    return z, z @ np.ones(z.shape[1], z.dtype)
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     """In place."""
-    z -= z.max(-1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(-1, keepdims=True)
+    z, total = _exp(z)
+    z *= (1 / total)[:, None]
     return z
 
 
@@ -99,7 +104,7 @@ class Network:
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         n = h.shape[1]
-        a, u = self.p["in"][x], h @ self.p["rec"]
+        a, u = self.p["in"].take(x, 0), h @ self.p["rec"]
         gate = _sigmoid(a[:, :2 * n] + u[:, :2 * n])
         r, z = gate[:, :n], gate[:, n:]
         m = np.tanh(a[:, 2 * n:] + r * u[:, 2 * n:])
@@ -108,20 +113,30 @@ class Network:
     def class_of(self, y: np.ndarray) -> np.ndarray:
         return y // self.width
 
+    def by_class(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An order of the codes in which each class lies together, and the bounds of the classes in it."""
+        c = self.class_of(y).astype(np.min_scalar_type(self.heads))  # few bits sort fast
+        return np.argsort(c, kind="stable"), np.cumsum([0, *np.bincount(c, minlength=self.heads)])
+
+    def outputs(self, h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Scores of the codes of each state's class; `cuts` bound the classes' states."""
+        z = np.empty((len(h), self.width), h.dtype)
+        for k in np.flatnonzero(np.diff(cuts)):
+            own = slice(cuts[k], cuts[k + 1])
+            np.matmul(h[own], self.p["out"][k], out=z[own])
+            z[own] += self.p["out_b"][k]
+        return z
+
     def score(self, h: np.ndarray, y: np.ndarray, most: int = 1 << 13) -> np.ndarray:
         """Natural log probability of codes `y` at states `h`. At most `most` rows at once."""
         if len(y) > most:
             return np.concatenate([self.score(h[at:at + most], y[at:at + most], most) for at in range(0, len(y), most)])
-        c = self.class_of(y)
-        z = h @ self.p["cls"] + self.p["cls_b"]
-        out = z[np.arange(len(y)), c] - np.log(np.exp(z).sum(1))
-        order = np.argsort(c, kind="stable")
-        cuts = np.searchsorted(c[order], np.arange(self.heads + 1))
-        for k in range(self.heads):
-            rows = order[cuts[k]:cuts[k + 1]]
-            if len(rows):
-                z = h[rows] @ self.p["out"][k] + self.p["out_b"][k]
-                out[rows] += z[np.arange(len(rows)), y[rows] % self.width] - np.log(np.exp(z).sum(1))
+        by, cuts = self.by_class(y)
+        h, y, every = h[by], y[by], np.arange(len(y))
+        out = np.empty(len(y), h.dtype)
+        z, own = h @ self.p["cls"] + self.p["cls_b"], self.outputs(h, cuts)
+        found = z[every, self.class_of(y)] + own[every, y % self.width]
+        out[by] = found - np.log(_exp(z)[1]) - np.log(_exp(own)[1])
         return out
 
 
@@ -193,6 +208,7 @@ class Learner:
         rng = np.random.default_rng(9)
         for _ in range(epochs):
             flat, fresh, starts, lengths = lay(docs, lanes, rng)
+            given = np.where(fresh, net.frequent + net.tails, np.roll(flat, 1))
             h = np.zeros((len(lengths), hidden), np.float32)
             at = 0
             while at < lengths[0]:
@@ -203,7 +219,7 @@ class Learner:
                     n = int(np.searchsorted(-lengths, -i, "left"))  # lanes longer than i
                     place = starts[:n] + i
                     reset = fresh[place]
-                    x = np.where(reset, net.frequent + net.tails, flat[np.maximum(place - 1, 0)])
+                    x = given[place]
                     before = np.where(reset[:, None], np.float32(0), h[:n])
                     h, r, z, m, u = net.step(x, before)
                     held.append((x, reset, before, r, z, m, u))
@@ -214,33 +230,34 @@ class Learner:
 
     def _update(self, held: list[tuple], states: list[np.ndarray], target: np.ndarray, rate: float) -> None:
         net, p, hidden = self.net, self.net.p, self.net.p["rec"].shape[0]
-        s, scale = np.concatenate(states), np.float32(1 / len(target))
+        by, cuts = net.by_class(target)
+        s, target, scale = np.concatenate(states)[by], target[by], np.float32(1 / len(target))
         c = net.class_of(target)
-        self.classes += np.bincount(c, minlength=len(self.classes))
-        ds = np.empty_like(s)
+        self.classes += np.diff(cuts)
+        dh = np.empty_like(s)
         g, g_b = np.zeros_like(p["cls"]), np.zeros_like(p["cls_b"])
-        for at in range(0, len(s), 1024):  # parts that stay in the cache
-            part = slice(at, at + 1024)
+        for at in range(0, len(s), 512):  # parts that stay in the cache
+            part = slice(at, at + 512)
             d = _softmax(s[part] @ p["cls"] + p["cls_b"])
             d[np.arange(len(d)), c[part]] -= 1
-            ds[part] = d @ p["cls"].T
+            dh[part] = d @ p["cls"].T
             g += s[part].T @ d
-            g_b += d.sum(0)
+            g_b += np.ones(len(d), d.dtype) @ d
         self.move("cls", slice(None), g * scale, rate)
         self.move("cls_b", slice(None), g_b * scale, rate)
-        by = np.argsort(c, kind="stable")
-        cuts = np.searchsorted(c[by], np.arange(net.heads + 1))
+        d = _softmax(net.outputs(s, cuts))
+        d[np.arange(len(d)), target % net.width] -= 1
+        g, g_b, ones = np.zeros_like(p["out"]), np.zeros_like(p["out_b"]), np.ones(len(d), d.dtype)
         for k in np.flatnonzero(np.diff(cuts)):
-            g, g_b = 0, 0
-            for at in range(cuts[k], cuts[k + 1], 1024):
-                own = by[at:min(at + 1024, cuts[k + 1])]
-                d = _softmax(s[own] @ p["out"][k] + p["out_b"][k])
-                d[np.arange(len(own)), target[own] % net.width] -= 1
-                ds[own] += d @ p["out"][k].T
-                g, g_b = g + s[own].T @ d, g_b + d.sum(0)
-            self.move("out", k, g * scale, rate)
-            self.move("out_b", k, g_b * scale, rate)
-        ds *= scale
+            own = slice(cuts[k], cuts[k + 1])
+            dh[own] += d[own] @ p["out"][k].T
+            np.matmul(s[own].T, d[own], out=g[k])
+            np.matmul(ones[own], d[own], out=g_b[k])
+        # classes without a target have no gradient and stay
+        self.move("out", slice(None), g * scale, rate)
+        self.move("out_b", slice(None), g_b * scale, rate)
+        ds = np.empty_like(dh)
+        ds[by] = dh * scale
         rec, moved = np.zeros_like(p["rec"]), []
         back = np.zeros((0, hidden), np.float32)
         end = len(s)
@@ -257,10 +274,12 @@ class Learner:
             back = np.where(reset[:, None], np.float32(0), g * z + gu @ p["rec"].T)
         self.move("rec", slice(None), rec, rate)
         x, g = np.concatenate([a for a, _ in moved]), np.concatenate([b for _, b in moved])
-        order = np.argsort(x, kind="stable")
-        rows, first = np.unique(x[order], return_index=True)
-        self.inputs[rows] += np.diff(np.append(first, len(x)))
-        self.move("in", rows, np.add.reduceat(g[order], first, axis=0), rate)
+        times = np.bincount(x, minlength=len(self.inputs))
+        rows, place = np.flatnonzero(times), np.cumsum(times > 0) - 1
+        self.inputs += times
+        place = place[x]
+        sums = [np.bincount(place, column, len(rows)) for column in g.T.astype(np.float64)]
+        self.move("in", rows, np.stack(sums, 1).astype(np.float32), rate)
 
     def weights(self) -> dict[str, np.ndarray]:
         """How much was seen by what each parameter belongs to, in the parameters' shapes or ones that broadcast to them."""
