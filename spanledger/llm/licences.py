@@ -44,8 +44,8 @@ TEMPLATES = {
 }
 #: Licence talk without a template teaches class unknown.
 TALK = r"\b(licen[cs]ed?|copyright|all rights reserved)\b"
-#: A blank line, or the line break after a sentence's end.
-PARAGRAPH_END = r"\r?\n[\t\r ]*\n\s*|(?<=[.!?:;][\"')\]]{0,2}[\t\r ]{0,4})\n"
+#: A blank line, or the line break after a sentence's end; looks back only where a line ends.
+PARAGRAPH_END = r"\r?\n[\t\r ]*\n\s*|\n(?<=[.!?:;][\"')\]]{0,2}[\t\r ]{0,4}\n)"
 
 #: Letters and digits; characters beyond ASCII belong to words.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -141,7 +141,8 @@ def train(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, sample:
     most = max(counts.values())
     weight = reduce(lambda acc, c: F.when(F.col("label") == c, min(50.0, (most / counts[c]) ** 0.5)).otherwise(acc), sorted(counts), F.lit(1.0))
     words = CountVectorizer(inputCol="features", outputCol="x", vocabSize=vocabulary, binary=True).fit(rows.where("label != 'none'").select("features"))
-    x = words.transform(rows.withColumn("weight", weight))
+    # the sample is bounded, and a fit takes a job for each step
+    x = words.transform(rows.withColumn("weight", weight)).coalesce(spark.sparkContext.defaultParallelism)
     model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", family="multinomial", maxIter=steps, regParam=2e-4, elasticNetParam=0.5, standardization=False).fit(x)
     matrix, terms = model.coefficientMatrix.toArray(), words.vocabulary
     named = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(terms)), "array<string>")).alias("f"))
@@ -201,13 +202,28 @@ def required(model: Model, least: float = 0.5) -> list[str] | None:
     return sorted(found)
 
 
+def holding(lines: DataFrame, features: list[str]) -> DataFrame:
+    """The rows of `lines` whose lower-cased `line` holds one of `features` as whole words.
+
+    Features that imply another one are left out. Plain searches for the parts of a feature come before the pattern.
+    """
+    words = {f for f in features if " " not in f}
+    least = [f for f in features if f in words or not words & set(f.split(" "))]
+    if not least:
+        return lines.where(F.lit(False))
+    low = lines.select("*", F.explode(F.array(F.lower("line"))).alias("low"))
+    parts = [reduce(Column.__and__, [F.contains(F.col("low"), F.lit(w)) for w in sorted(f.split(" "), key=len, reverse=True)]) for f in least]
+    phrase = [r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+".join(f.split(" ")) for f in least]
+    whole = F.col("low").rlike(f"(?<!{WORD})(?:" + "|".join(phrase) + f")(?!{WORD})")
+    return low.where(reduce(Column.__or__, parts) & whole).drop("low")
+
+
 def licence_lines(docs: DataFrame, model: Model, templates: dict[str, list[str]] = TEMPLATES, cover: float = 0.8, least: float = 0.5) -> DataFrame:
     """doc_id, h (text hash), line, licence (a family or `unknown`), probability, similarity for each licence line."""
     lines = lines_of(docs)
     needed = required(model, least)
     if needed is not None:
-        phrase = [r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+".join(f.split(" ")) for f in needed]
-        lines = lines.where(F.lower("line").rlike(f"(?<!{WORD})(?:" + "|".join(phrase) + f")(?!{WORD})")) if phrase else lines.where(F.lit(False))
+        lines = holding(lines, needed)
     lines = settle(lines.withColumn("line", F.translate("line", "\r\n", "  ")))
     distinct = scored(settle(with_features(lines.select("line").distinct()).select("line", "words", "features")), model)
     p = F.expr(f"transform(z, v -> exp((v - array_max(z)) / {model.temperature}D))")
