@@ -16,9 +16,11 @@ the distinct pages that hold it. Of a page then
   line that fewer pages share.
 
 A host is dealt into shards of about `shard_tokens` by page content; a shard is one
-suffix array. Runs outside articles that several shards hold are told to each of them, so that
-loose text comes out as from one array. Common runs are told from the pages of the
-shard, which a hash deals. Copies of one page that would fill a shard go through it once.
+suffix array. Shards change no result: runs outside articles that several shards hold are told
+to each of them, and common runs are counted over all pages of the host. A shard
+reports the runs that half of `common` of its pages hold; what the others may hold at most
+settles nearly every run, and the rest are counted again in every shard.
+Copies of one page that would fill a shard go through it once.
 Hosts are told apart by a hash of 64 bits.
 
 Defined results: NULL or empty html has empty text and no characters; a NULL URL
@@ -31,6 +33,7 @@ whole; an empty table gives no rows; further columns are not read.
 from __future__ import annotations
 
 import html as references
+import math
 import re
 from collections.abc import Iterator
 
@@ -272,46 +275,92 @@ def extract(
     full = 6 * shard_tokens  # bytes of a token and its markup, about
     contents = settle(rows.groupBy("site", "content").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("html")).cast("bigint").alias("size")))
     # both tables hold a row for each `full` bytes of input at most
-    large = settle(contents.groupBy("site").agg(F.ceil(F.sum("size") / full).cast("int").alias("shards")).where("shards > 1"))
+    large = settle(contents.groupBy("site").agg(F.ceil(F.sum("size") / full).cast("int").alias("shards"), F.count(F.lit(1)).alias("pages")).where("shards > 1"))
+    shard = F.pmod(F.col("content"), F.coalesce("shards", F.lit(1))).cast("int").alias("shard")
     many = settle(contents.where(F.col("n") * F.col("size") > full).select("site", "content"))
     forms = rows.join(many, ["site", "content"], "left_semi").groupBy("site", "content").agg(F.first("html").alias("html"))
     once = forms.select(F.lit(None).cast("bigint").alias("page_id"), F.lit(None).cast("string").alias("url"), "site", "content", "html", F.lit(True).alias("form"))
     flow = rows.join(many, ["site", "content"], "left_anti").withColumn("form", F.lit(False)).unionByName(once)
-    dealt = flow.join(large, "site", "left").withColumn("shard", F.pmod(F.col("content"), F.coalesce("shards", F.lit(1))).cast("int"))
+    dealt = flow.join(large.drop("pages"), "site", "left").select(*flow.columns, "shards", shard)
+    blocked = packed(dealt.select("page_id", "url", "site", "content", "form", "shards", "shard", "html"))
+    of_shard = blocked.groupBy("site", "shard")
 
-    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for site, shard, lines in zip(*(c.to_pylist() for c in batch.columns)):
-                found = Suffixes([two_streams(unpacked(lines))[0]], run)
-                told = np.unique(found.hashes(np.flatnonzero(found.full)))
-                n = len(told)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, site)), pa.array(np.full(n, shard, np.int32)), pa.array(told)], ["site", "shard", "run"])
-
-    told = packed(dealt.where("shards IS NOT NULL").select("site", "shard", "html")).mapInArrow(outside, "site bigint, shard int, run bigint").distinct()
-    over = Window.partitionBy("site", "run")
-    shared = told.withColumns({"lo": F.min("shard").over(over), "hi": F.max("shard").over(over)}).where("lo < hi").select("site", "shard", "run")
-
-    def cut(group: pa.Table, elsewhere: pa.Table) -> pa.Table:
-        names, row_of = np.unique(group.column("content").to_numpy(), return_inverse=True)
-        first = np.full(len(names), -1)
-        first[row_of[::-1]] = np.arange(len(row_of))[::-1]
+    def pages_of(group: pa.Table) -> tuple[list[list[tuple[str, list[str]]]], np.ndarray, Suffixes, np.ndarray, np.ndarray]:
+        """The blocks of the different pages, the page of each row, the suffixes, and for each stream its page and whether it is outside."""
+        names, first, row_of = np.unique(group.column("content").to_numpy(), return_index=True, return_inverse=True)
         lines = group.column("blocks")
         parts = [unpacked(lines[int(i)].as_py()) for i in first]
-        n = len(parts)
         found = Suffixes([s for p in parts for s in two_streams(p)], run)
-        page, is_outside = np.repeat(np.arange(n), 2), np.tile([True, False], n)
+        return parts, row_of, found, np.repeat(np.arange(len(names)), 2), np.tile([True, False], len(names))
+
+    def told_by(group: pa.Table) -> pa.Table:
+        """The runs outside articles, and those that enough pages hold for a report."""
+        if group.column("shards")[0].as_py() is None:
+            return reports.empty_table()
+        parts, _, found, page, is_outside = pages_of(group)
+        held = found.pages(page)
+        outside = np.zeros(len(found.rank) + 2, bool)
+        outside[found.rank[found.full & is_outside[found.stream]]] = True
+        at = np.flatnonzero(found.full)
+        at = at[np.unique(found.rank[at], return_index=True)[1]]
+        least = max(1, math.ceil(common * len(parts) / 2))
+        at = at[outside[found.rank[at]] | (held[at] >= least)]
+        n = len(at)
+        return pa.table([
+            pa.array(np.full(n, group.column("site")[0].as_py())), pa.array(np.full(n, group.column("shard")[0].as_py(), np.int32)), pa.array(found.hashes(at)),
+            pa.array(outside[found.rank[at]]), pa.array(held[at], mask=held[at] < least), pa.array(np.full(n, least - 1)),
+        ], schema=reports)
+
+    reports = pa.schema([("site", pa.int64()), ("shard", pa.int32()), ("run", pa.int64()), ("outside", pa.bool_()), ("held", pa.int64()), ("spare", pa.int64())])
+    told = of_shard.applyInArrow(told_by, "site bigint, shard int, run bigint, outside boolean, held bigint, spare bigint")
+    least = F.greatest(F.lit(1), F.ceil(F.lit(common) * F.count(F.lit(1)) / 2))
+    shards = settle(contents.join(large, "site").groupBy("site", "pages", shard).agg((least - 1).cast("bigint").alias("spare")))
+    sites = shards.groupBy("site").agg(F.greatest(F.lit(float(common_pages)), F.lit(common) * F.first("pages")).alias("needed"), F.sum("spare").alias("all_spare"))
+    over = Window.partitionBy("site", "run")
+    heard = told.withColumns({
+        "lo": F.min(F.when(F.col("outside"), F.col("shard"))).over(over), "hi": F.max(F.when(F.col("outside"), F.col("shard"))).over(over),
+        "known": F.sum("held").over(over), "spared": F.sum(F.when(F.col("held").isNotNull(), F.col("spare"))).over(over),
+    }).where("known IS NOT NULL OR lo < hi").join(sites, "site")
+    # a row for each run: known to be common, or possibly
+    likely = heard.where("known + all_spare - spared >= needed").groupBy("site", "run").agg(F.first("needed").alias("needed"), F.first("known").alias("known"))
+
+    def counted(group: pa.Table, asked: pa.Table) -> pa.Table:
+        """The pages of the shard that hold the runs asked for."""
+        if not asked.num_rows:
+            return pa.schema([("site", pa.int64()), ("run", pa.int64()), ("held", pa.int64()), ("needed", pa.float64())]).empty_table()
+        _, _, found, page, _ = pages_of(group)
+        at = np.flatnonzero(found.full)
+        at = at[np.unique(found.rank[at], return_index=True)[1]]
+        held = dict(zip(found.hashes(at).tolist(), found.pages(page)[at].tolist()))
+        return asked.select(["site", "run"]).append_column("held", pa.array([held.get(r, 0) for r in asked.column("run").to_pylist()], pa.int64())).append_column(
+            "needed", asked.column("needed"))
+
+    everywhere = shards.select("site", "shard")
+    asked = likely.where("known < needed").join(everywhere, "site").select("site", "shard", "run", "needed")
+    again = of_shard.cogroup(asked.groupBy("site", "shard")).applyInArrow(counted, "site bigint, run bigint, held bigint, needed double")
+    frequent = likely.where("known >= needed").select("site", "run").unionByName(
+        again.groupBy("site", "run").agg(F.sum("held").alias("held"), F.first("needed").alias("needed")).where("held >= needed").select("site", "run"))
+    shared = heard.where("outside AND lo < hi").select("site", "shard", "run", F.lit(False).alias("frequent")).unionByName(
+        frequent.join(everywhere, "site").select("site", "shard", "run", F.lit(True).alias("frequent")))
+
+    def cut(group: pa.Table, elsewhere: pa.Table) -> pa.Table:
+        parts, row_of, found, page, is_outside = pages_of(group)
         loose = found.pages(page, is_outside) >= 2
-        if elsewhere.num_rows:
-            at = np.flatnonzero(found.full & is_outside[found.stream])
-            loose[at] |= np.isin(found.hashes(at), elsewhere.column("run").to_numpy())
-        loose = found.covered(loose)
-        frequent = found.covered(found.pages(page) >= max(common_pages, common * n))
+        if group.column("shards")[0].as_py() is None:
+            frequent = found.pages(page) >= max(common_pages, common * len(parts))
+        else:
+            runs, is_frequent = elsewhere.column("run").to_numpy(), elsewhere.column("frequent").to_numpy()
+            at = np.flatnonzero(found.full)
+            hashes = found.hashes(at)
+            frequent = np.zeros(len(found.full), bool)
+            frequent[at] = np.isin(hashes, runs[is_frequent])
+            loose[at] |= is_outside[found.stream[at]] & np.isin(hashes, runs[~is_frequent])
+        loose, frequent = found.covered(loose), found.covered(frequent)
         b = found.bounds
         texts = [main_text(p, loose[b[2 * i]:b[2 * i + 1]], frequent[b[2 * i + 1]:b[2 * i + 2]], whole) for i, p in enumerate(parts)]
         return group.select(["page_id", "url", "site", "content", "form"]).append_column("text", pa.array(texts, pa.string()).take(pa.array(row_of)))
 
-    blocked = packed(dealt.select("page_id", "url", "site", "content", "form", "shard", "html"))
-    cuts = blocked.groupBy("site", "shard").cogroup(shared.groupBy("site", "shard")).applyInArrow(cut, "page_id bigint, url string, site bigint, content bigint, form boolean, text string")
+    cuts = of_shard.cogroup(shared.groupBy("site", "shard")).applyInArrow(cut, "page_id bigint, url string, site bigint, content bigint, form boolean, text string")
     texts = cuts.where("form").select("site", "content", "text")
     copies = rows.drop("html").join(many, ["site", "content"], "left_semi").join(texts, ["site", "content"])
     out = cuts.where("NOT form").select("page_id", "url", "text").unionByName(copies.select("page_id", "url", "text"))

@@ -212,6 +212,19 @@ def test_articles_against_brute_force(spark, shard_tokens):
         assert got[i] == "\n\n".join([own, *[x for x in body if x != notice]])
 
 
+@pytest.mark.parametrize("shard_tokens", [200, 900, 3000, 1 << 20])
+def test_shares_of_a_host_do_not_depend_on_its_shards(spark, shard_tokens):
+    """Of notices with shares about the bound those go that the pages of the whole host hold often enough."""
+    rng = random.Random(21)
+    fresh = lambda i, n: sentences(rng, [f"{i}w{k}" for k in range(40)], n)
+    held = {24: fresh("a", 12), 31: fresh("b", 12), 32: fresh("c", 12), 33: fresh("d", 12), 40: fresh("e", 12)}
+    made = {i: [fresh(i, 300 if i == 7 else 90), *[notice for n, notice in held.items() if (i * 7 + n) % 40 < n]] for i in range(40)}
+    given = [(i, "http://h.org/p", "<article><p>" + "<p>".join(m) + "</article>") for i, m in made.items()]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(given, "page_id BIGINT, url STRING, html STRING"), shard_tokens=shard_tokens).collect()}
+    gone = {notice for n, notice in held.items() if n >= 32}
+    assert got == {i: "\n\n".join(x for x in m if x not in gone) for i, m in made.items()}
+
+
 def test_a_host_of_copied_articles_keeps_them(spark):
     rng = random.Random(13)
     story = sentences(rng, [f"w{k}" for k in range(50)], 80)
