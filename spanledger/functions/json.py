@@ -34,18 +34,53 @@ def string_of(found: Column) -> Column:
     return F.when(kind_of(found) == "STRING", F.try_variant_get(found, "$", "string"))
 
 
-def text(v: Column, *names: str) -> Column:
+def fields(v: Column, *names: str, **inner: list[str]) -> Column:
+    """The members of an object in one pass: a STRUCT of variants, of structs for the objects in `inner`; NULL for what is no object."""
+    def listed(of: list[str]) -> str:
+        return ", ".join(f"`{n}`: variant" for n in of)
+
+    nested = "".join(f", `{n}`: struct<{listed(of)}>" for n, of in inner.items())
+    return F.try_variant_get(v, "$", f"struct<{listed(names)}{nested}>")
+
+
+# Readers of a member that is a column of its own; the readers below find it first.
+
+def text_of(found: Column) -> Column:
     """A JSON string no longer than retained text may be."""
-    def read(found: Column) -> Column:
-        word = F.try_variant_get(found, "$", "string")
-        return F.when((kind_of(found) == "STRING") & (F.length(word) <= MAX_ATTRIBUTE_CHARS), word)
+    word = F.try_variant_get(found, "$", "string")
+    return F.when((kind_of(found) == "STRING") & (F.length(word) <= MAX_ATTRIBUTE_CHARS), word)
+
+
+def number_of(found: Column) -> Column:
+    return F.when(kind_of(found).rlike(NUMBER_KINDS), F.try_variant_get(found, "$", "double"))
+
+
+def is_absent(found: Column) -> Column:
+    return found.isNull() | F.is_variant_null(found)
+
+
+def is_present(found: Column) -> Column:
+    return found.isNotNull() & ~F.coalesce(F.length(string_of(found)) > MAX_ATTRIBUTE_CHARS, F.lit(False))
 
-    return let(item(v, *names), read)
+
+def is_truthy(found: Column) -> Column:
+    plain, as_text = kind_of(found), F.try_variant_get(found, "$", "string")
+    falsy = (plain == "VOID") | ((plain == "STRING") & (as_text == "")) | ((plain == "BOOLEAN") & (as_text == "false")) | (number_of(found) == 0)
+    return is_present(found) & ~F.coalesce(falsy, F.lit(False))
+
+
+def clock_of(found: Column) -> Column:
+    return F.coalesce(hr_to_ms(F.try_variant_get(found, "$", "array<double>")), F.lit(0.0))
+
+
+def text(v: Column, *names: str) -> Column:
+    """A JSON string no longer than retained text may be."""
+    return let(item(v, *names), text_of)
 
 
 def absent(v: Column, *names: str) -> Column:
     """Missing or null."""
-    return let(item(v, *names), lambda found: found.isNull() | F.is_variant_null(found))
+    return let(item(v, *names), is_absent)
 
 
 def is_array(v: Column, *names: str) -> Column:
@@ -58,18 +93,12 @@ def is_object(v: Column, *names: str) -> Column:
 
 
 def number(v: Column, *names: str) -> Column:
-    def read(found: Column) -> Column:
-        return F.when(kind_of(found).rlike(NUMBER_KINDS), F.try_variant_get(found, "$", "double"))
-
-    return let(item(v, *names), read)
+    return let(item(v, *names), number_of)
 
 
 def present(v: Column, *names: str) -> Column:
     """The key survives redaction: it exists (even as null) and is no over-long string."""
-    def kept(found: Column) -> Column:
-        return found.isNotNull() & ~F.coalesce(F.length(string_of(found)) > MAX_ATTRIBUTE_CHARS, F.lit(False))
-
-    return let(item(v, *names), kept)
+    return let(item(v, *names), is_present)
 
 
 def flag(v: Column, *names: str) -> Column:
@@ -82,11 +111,7 @@ def flag(v: Column, *names: str) -> Column:
 
 
 def truthy(v: Column, *names: str) -> Column:
-    found, as_text = item(v, *names), F.try_variant_get(v, key_path(*names), "string")
-    plain = kind_of(found)
-    falsy = (plain == "VOID") | ((plain == "STRING") & (as_text == "")) | (
-        (plain == "BOOLEAN") & (as_text == "false")) | (number(v, *names) == 0)
-    return present(v, *names) & ~F.coalesce(falsy, F.lit(False))
+    return let(item(v, *names), is_truthy)
 
 
 def clock(v: Column, *names: str) -> Column:
@@ -101,9 +126,13 @@ def redacted_attributes(attributes: Column) -> Column:
 
 def resource_attribute(record: Column, name: str) -> Column:
     """A resource attribute as text; later pairs win, an object form is accepted too."""
-    pairs = F.try_variant_get(record, "$.resource._rawAttributes", "array<array<variant>>")
+    return attribute_of(item(record, "resource"), name)
+
+
+def attribute_of(resource: Column, name: str) -> Column:
+    pairs = F.try_variant_get(resource, "$._rawAttributes", "array<array<variant>>")
     named = F.filter(pairs, lambda p: (F.size(p) >= 2) & (F.get(p, F.lit(0)).cast("string") == name))
     # an absent match stays NULL: get() past the end is NULL
     last = F.get(F.reverse(named), F.lit(0))
-    from_object = F.try_variant_get(record, key_path("resource", "attributes", name), "string")
+    from_object = F.try_variant_get(resource, key_path("attributes", name), "string")
     return F.when(pairs.isNotNull(), F.get(last, F.lit(1)).cast("string")).otherwise(from_object)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import json as j
 from ..functions.names import endpoint_host, identity_name, repository_name
 from ..functions.parsing import reasoning_effort
-from ..functions.values import nonnegative, short_text, span_failed, token_count
+from ..functions.values import hr_to_ms, nonnegative, short_text, span_failed, token_count
 from .once import computed_once
 
 TOKEN_USAGE = "gen_ai.client.token.usage"
@@ -30,12 +30,15 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+KIND_FIELDS = ["scopeMetrics", "spanId", "startTime", "endTime", "attributes", "_body", "body"]
+
+
 def classify(record: Column) -> Column:
-    """Structural kind of a parsed, non-empty object. Containers are tested by cast, not by describing their schema."""
-    logged = j.is_object(record, "attributes") | j.present(record, "attributes") | j.present(record, "_body") | j.present(record, "body")
+    """Structural kind of the `KIND_FIELDS` of a parsed, non-empty object. Containers are tested by cast, not by describing their schema."""
+    logged = j.is_present(record["attributes"]) | j.is_present(record["_body"]) | j.is_present(record["body"])
     return (
-        F.when(j.is_array(record, "scopeMetrics"), F.lit("metrics"))
-        .when(j.text(record, "spanId").isNotNull() & j.truthy(record, "startTime") & j.truthy(record, "endTime"), F.lit("span"))
+        F.when(F.try_variant_get(record["scopeMetrics"], "$", "array<variant>").isNotNull(), F.lit("metrics"))
+        .when(j.text_of(record["spanId"]).isNotNull() & j.is_truthy(record["startTime"]) & j.is_truthy(record["endTime"]), F.lit("span"))
         .when(logged, F.lit("log")).otherwise(F.lit("unknown"))
     )
 
@@ -47,12 +50,12 @@ def feed_scan(lines: DataFrame) -> DataFrame:
     t = F.col("text")
     empty = t.rlike(r"^\{\s*\}$")
     parsed = computed_once(text, record=F.when(t.startswith("{") & ~empty, F.try_parse_json(t)))
-    r = F.col("record")
+    found = computed_once(parsed, found=j.fields(F.col("record"), *KIND_FIELDS))
     kind = (
-        F.when(~t.startswith("{"), F.lit("ignored")).when(empty, F.lit("span")).when(r.isNull(), F.lit("malformed"))
-        .otherwise(F.coalesce(classify(r), F.lit("unknown")))
+        F.when(~t.startswith("{"), F.lit("ignored")).when(empty, F.lit("span")).when(F.col("record").isNull(), F.lit("malformed"))
+        .otherwise(F.coalesce(classify(F.col("found")), F.lit("unknown")))
     )
-    return computed_once(parsed, kind=kind).drop("line", "text")
+    return computed_once(found, kind=kind).drop("line", "text", "found")
 
 
 def metric_points(records: DataFrame) -> DataFrame:
@@ -66,32 +69,45 @@ def metric_points(records: DataFrame) -> DataFrame:
                 F.try_variant_get("m", "$.dataPoints", "array<variant>").alias("points"))
     )
     points = metrics.where(F.col("metric") != "").select("feed", "rec", "session", "metric", "spos", "mpos", F.posexplode("points").alias("ppos", "p"))
-    p = F.col("p")
-    attrs = F.coalesce(j.redacted_attributes(j.item(p, "attributes")), F.create_map().cast("map<string,string>"))
-    value = j.item(p, "value")
-    is_hist = j.item(value, "sum").isNotNull()
-    listed = j.item(value, "buckets", "boundaries").isNotNull() & j.item(value, "buckets", "counts").isNotNull()
-    return points.select(
+    found = computed_once(points, f=j.fields(F.col("p"), "attributes", "startTime", "endTime", "value"))
+    value = F.col("f")["value"]
+    read = computed_once(
+        found, attrs=F.coalesce(j.redacted_attributes(F.col("f")["attributes"]), F.create_map().cast("map<string,string>")), own=value,
+        v=j.fields(value, "sum", "count", buckets=["boundaries", "counts"]),
+    )
+    own, v = F.col("own"), F.col("v")
+    boundaries, counts = v["buckets"]["boundaries"], v["buckets"]["counts"]
+    listed = boundaries.isNotNull() & counts.isNotNull()
+    return read.select(
         "feed", "rec", F.struct("rec", "spos", "mpos", "ppos").alias("seq"), "session", "metric",
-        F.map_filter(attrs, lambda k, v: v.isNotNull()).alias("attrs"), j.clock(p, "startTime").alias("start_ms"), j.clock(p, "endTime").alias("at_ms"),
-        F.coalesce(is_hist, F.lit(False)).alias("is_hist"), j.number(p, "value").alias("value"),
-        j.number(value, "sum").alias("h_sum"), j.number(value, "count").alias("h_count"),
-        F.when(listed, F.try_variant_get(value, "$.buckets.boundaries", "array<double>")).alias("boundaries"),
-        F.when(listed, F.try_variant_get(value, "$.buckets.counts", "array<double>")).alias("counts"),
+        F.map_filter("attrs", lambda k, v: v.isNotNull()).alias("attrs"), j.clock_of(F.col("f")["startTime"]).alias("start_ms"), j.clock_of(F.col("f")["endTime"]).alias("at_ms"),
+        F.coalesce(v["sum"].isNotNull(), F.lit(False)).alias("is_hist"), j.number_of(own).alias("value"),
+        j.number_of(v["sum"]).alias("h_sum"), j.number_of(v["count"]).alias("h_count"),
+        F.when(listed, F.try_variant_get(boundaries, "$", "array<double>")).alias("boundaries"),
+        F.when(listed, F.try_variant_get(counts, "$", "array<double>")).alias("counts"),
     )
 
 
 def log_events(records: DataFrame) -> DataFrame:
     """(feed, seq, name, time_ms, attributes VARIANT) of named log records."""
-    r = F.col("record")
-    body = F.coalesce(j.text(r, "_body"), j.text(r, "body"))
-    name = F.when(j.kind_of(j.item(r, "attributes", "event.name")) == "STRING", j.text(r, "attributes", "event.name")).otherwise(body)
-    time = F.coalesce(*[
-        F.when(~F.coalesce(j.kind_of(j.item(r, f)) == "VOID", F.lit(True)), j.clock(r, f)) for f in ("_hrTime", "hrTime", "_hrTimeObserved")
-    ], F.lit(0.0))
-    return records.where(F.col("kind") == "log").select(
-        "feed", "seq", name.alias("name"), time.alias("time_ms"), j.item(r, "attributes").alias("attributes")
-    ).where(F.col("name") != "")
+    read = _log_fields(records.where(F.col("kind") == "log"))
+    return read.select("feed", "seq", *_name_and_time(), F.col("f")["attributes"].alias("attributes")).where(F.col("name") != "")
+
+
+LOG_CLOCKS = ["_hrTime", "hrTime", "_hrTimeObserved"]
+
+
+def _log_fields(records: DataFrame) -> DataFrame:
+    found = computed_once(records, f=F.when(F.col("kind") == "log", j.fields(F.col("record"), "_body", "body", "attributes", *LOG_CLOCKS)))
+    return computed_once(found, given=j.item(F.col("f")["attributes"], "event.name"))
+
+
+def _name_and_time() -> list[Column]:
+    f, given = F.col("f"), F.col("given")
+    body = F.coalesce(j.text_of(f["_body"]), j.text_of(f["body"]))
+    name = F.when(j.kind_of(given) == "STRING", j.text_of(given)).otherwise(body)
+    time = F.coalesce(*[F.when(~F.coalesce(j.kind_of(f[c]) == "VOID", F.lit(True)), j.clock_of(f[c])) for c in LOG_CLOCKS], F.lit(0.0))
+    return [name.alias("name"), time.alias("time_ms")]
 
 
 def record_stats(records: DataFrame, points: DataFrame, events: DataFrame) -> DataFrame:
@@ -109,6 +125,28 @@ def record_stats(records: DataFrame, points: DataFrame, events: DataFrame) -> Da
     )
 
 
+def feed_stats(records: DataFrame) -> DataFrame:
+    """`record_stats` in one pass over the records, so that each is parsed once."""
+    name, time = _name_and_time()
+    scopes = F.when(F.col("kind") == "metrics", F.try_variant_get("record", "$.scopeMetrics", "array<variant>"))
+    said = _log_fields(records).select("feed", "kind", F.when(F.col("kind") == "log", name).alias("name"), time.alias("time_ms"), F.posexplode_outer(scopes).alias("spos", "scope"))
+    metrics = said.select("feed", "kind", "name", "time_ms", "spos", F.posexplode_outer(F.try_variant_get("scope", "$.metrics", "array<variant>")).alias("mpos", "m"))
+    points = computed_once(
+        metrics, metric=j.text_of(j.item(F.col("m"), "descriptor", "name")), points=F.try_variant_get("m", "$.dataPoints", "array<variant>"),
+    ).select("feed", "kind", "name", "time_ms", "spos", "mpos", "metric", F.posexplode_outer("points").alias("ppos", "p"))
+    read = computed_once(points, at_ms=F.when((F.col("metric") != "") & F.col("ppos").isNotNull(), j.clock(F.col("p"), "endTime")))
+    # of the rows that a record became
+    first = (F.coalesce("spos", F.lit(0)) == 0) & (F.coalesce("mpos", F.lit(0)) == 0) & (F.coalesce("ppos", F.lit(0)) == 0)
+    kinds = ["metrics", "log", "span", "unknown", "malformed", "ignored"]
+    per_feed = read.groupBy("feed").agg(
+        *[F.count_if(first & (F.col("kind") == k)).alias(k) for k in kinds], F.max("at_ms").alias("m"),
+        F.max(F.when(F.col("metric") == TOKEN_USAGE, F.col("at_ms"))).alias("t"), F.max(F.when(F.col("name") != "", F.col("time_ms"))).alias("e"))
+    return per_feed.select(
+        "feed", *kinds, F.coalesce(F.greatest("m", "e"), F.lit(0.0)).cast("bigint").alias("last_record_ms"),
+        F.coalesce("t", F.lit(0.0)).cast("bigint").alias("last_token_usage_ms"),
+    )
+
+
 def span_columns(read_text, read_number, operation: Column) -> list[Column]:
     """Canonical span columns from attribute readers; aliases are chosen by order, never added."""
     native = short_text(read_text("copilot_chat.chat_session_id"))
@@ -150,36 +188,60 @@ def span_columns(read_text, read_number, operation: Column) -> list[Column]:
     ]
 
 
+#: Attributes that `span_columns` reads as text and as numbers.
+SPAN_TEXTS = [
+    "gen_ai.operation.name", "copilot_chat.chat_session_id", "gen_ai.conversation.id", "gen_ai.response.model", "gen_ai.request.model", "gen_ai.tool.name",
+    "copilot_chat.parent_chat_session_id", "copilot_chat.debug_log_label", "gen_ai.agent.name", "copilot_chat.request.options", "gen_ai.request.reasoning.level",
+    "github.copilot.git.repository", "copilot_chat.repo.remote_url", "github.copilot.git.branch", "copilot_chat.repo.head_branch_name", "user.name", "enduser.pseudo.id",
+    "server.address",
+]
+SPAN_NUMBERS = [
+    "gen_ai.usage.input_tokens", "gen_ai.usage.output_tokens", "gen_ai.usage.cache_read.input_tokens", "gen_ai.usage.cache_creation.input_tokens",
+    "gen_ai.usage.cache_write.input_tokens", "gen_ai.usage.reasoning.output_tokens", "gen_ai.usage.reasoning_tokens", "copilot_chat.copilot_usage_nano_aiu",
+    "github.copilot.nano_aiu", "github.copilot.cost", "copilot_chat.time_to_first_token", "gen_ai.response.time_to_first_chunk", "copilot_chat.turn_count",
+    "github.copilot.turn_count", "copilot_chat.request.max_prompt_tokens",
+]
+SPAN_FIELDS = ["spanId", "traceId", "parentSpanId", "parentSpanContext", "startTime", "endTime", "ended", "status", "resource"]
+
+
 def file_spans(records: DataFrame) -> DataFrame:
-    """Canonical spans of the feed. The span's own user wins over a configured resource user."""
-    r = F.col("record")
-    spans = records.where(
-        (F.col("kind") == "span") & j.is_object(r, "attributes")
-        & ~F.coalesce((j.kind_of(j.item(r, "ended")) == "BOOLEAN") & ~F.try_variant_get(r, "$.ended", "boolean"), F.lit(False))
+    """Canonical spans of the feed. The span's own user wins over a configured resource user.
+
+    The members of a record are found in one pass, each is read once, and the rules work on plain columns.
+    """
+    f = F.col("f")
+    found = computed_once(
+        records.where(F.col("kind") == "span"), f=j.fields(F.col("record"), *SPAN_FIELDS, attributes=[*SPAN_TEXTS, *SPAN_NUMBERS]),
+    ).where(
+        f["attributes"].isNotNull()
+        & ~F.coalesce((j.kind_of(f["ended"]) == "BOOLEAN") & ~F.try_variant_get(f["ended"], "$", "boolean"), F.lit(False))
+    )
+    a = f["attributes"]
+    ids = {"span": f["spanId"], "trace": f["traceId"], "parent": f["parentSpanId"], "context": j.item(f["parentSpanContext"], "spanId")}
+    own_user = j.is_present(a.getField("user.name"))
+    read = computed_once(
+        found,
+        **{f"id_{n}": j.text_of(v) for n, v in ids.items()}, **{f"no_{n}": j.is_absent(v) for n, v in ids.items()}, no_parent_context=j.is_absent(f["parentSpanContext"]),
+        start_hr=F.try_variant_get(f["startTime"], "$", "array<double>"), end_hr=F.try_variant_get(f["endTime"], "$", "array<double>"),
+        **{f"t_{i}": j.text_of(a.getField(n)) for i, n in enumerate(SPAN_TEXTS)}, **{f"n_{i}": j.number_of(a.getField(n)) for i, n in enumerate(SPAN_NUMBERS)},
+        code=F.try_variant_get(f["status"], "$.code", "string"), own=own_user, resource_user=F.when(~own_user, j.attribute_of(f["resource"], "user.name")),
     )
-    own_user = j.present(r, "attributes", "user.name")
-    resource_user = j.resource_attribute(r, "user.name")
 
     def read_text(name: str) -> Column:
-        if name == "user.name":
-            return F.when(own_user, j.text(r, "attributes", name)).otherwise(resource_user)
-        return j.text(r, "attributes", name)
+        own = F.col(f"t_{SPAN_TEXTS.index(name)}")
+        return F.when(F.col("own"), own).otherwise(F.col("resource_user")) if name == "user.name" else own
 
-    def absent_or_text(*names: str) -> Column:
-        return j.absent(r, *names) | short_text(j.text(r, *names)).isNotNull()
+    def read_number(name: str) -> Column:
+        return F.col(f"n_{SPAN_NUMBERS.index(name)}")
 
-    no_context = j.absent(r, "parentSpanContext")
     operation = short_text(read_text("gen_ai.operation.name"))
-    parent = F.coalesce(j.text(r, "parentSpanId"), j.text(r, "parentSpanContext", "spanId"))
-    start, end = j.clock(r, "startTime"), j.clock(r, "endTime")
-    out = spans.select(
-        short_text(j.text(r, "spanId")).alias("span_id"), F.col("seq").alias("ord"), operation.alias("operation"),
-        short_text(j.text(r, "traceId")).alias("trace_id"), short_text(parent).alias("parent_span_id"),
-        ((no_context | short_text(j.text(r, "parentSpanContext", "spanId")).isNotNull()) & absent_or_text("parentSpanId")).alias("parent_known"),
-        start.alias("start_ms"), end.alias("end_ms"),
-        *span_columns(read_text, lambda n: j.number(r, "attributes", n), operation),
-        span_failed(F.try_variant_get(r, "$.status.code", "string")).alias("failed"),
-        own_user.alias("_own"),
+    out = read.select(
+        short_text(F.col("id_span")).alias("span_id"), F.col("seq").alias("ord"), operation.alias("operation"),
+        short_text(F.col("id_trace")).alias("trace_id"), short_text(F.coalesce("id_parent", "id_context")).alias("parent_span_id"),
+        ((F.col("no_parent_context") | short_text(F.col("id_context")).isNotNull()) & (F.col("no_parent") | short_text(F.col("id_parent")).isNotNull())).alias("parent_known"),
+        F.coalesce(hr_to_ms(F.col("start_hr")), F.lit(0.0)).alias("start_ms"), F.coalesce(hr_to_ms(F.col("end_hr")), F.lit(0.0)).alias("end_ms"),
+        *span_columns(read_text, read_number, operation),
+        span_failed(F.col("code")).alias("failed"), F.col("own").alias("_own"),
     )
     source = F.when(F.col("user_name").isNotNull(), F.when(F.col("_own"), F.lit("span")).otherwise(F.lit("resource")))
     return valid_spans(out.withColumn("user_source", source).drop("_own"))

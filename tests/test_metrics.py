@@ -159,6 +159,41 @@ def _usage(total, count, kind, model, at=1790190103, bounds=(0, 5)):
     return _export(USAGE, value, {"gen_ai.token.type": kind, "gen_ai.response.model": model}, end=(at, 0))
 
 
+def test_feed_is_parsed_once_and_counted_as_in_three_passes(spark):
+    """Records without scopes, metrics or points count once; the plan reads the lines once."""
+    point = lambda at: '{"attributes":{},"endTime":[%d,0],"value":1}' % at
+    metric = lambda name, *at: '{"descriptor":{"name":"%s"},"dataPoints":[%s]}' % (name, ",".join(map(point, at)))
+    export = lambda *scopes: '{"scopeMetrics":[%s]}' % ",".join('{"metrics":[%s]}' % ",".join(s) for s in scopes)
+    lines = [
+        export(), export([]), export([metric("x")]), export([metric("x", 5, 9), metric("", 99)], [metric(feed.TOKEN_USAGE, 7, 3)], []), '{"scopeMetrics":[{}]}', '{"scopeMetrics":[7,null]}',
+        '{"_body":"said","hrTime":[50,0]}', '{"_body":"","hrTime":[60,0]}', '{"attributes":{"event.name":"e"},"_hrTime":null,"hrTime":[8,0]}', '{"attributes":{"event.name":5},"body":7}',
+        '{"spanId":"s","startTime":[1,0],"endTime":[2,0]}', '{"spanId":"s","startTime":0,"endTime":[2,0],"attributes":null}', "{", "{}", "x", '{"y":1}',
+    ]
+    given = spark.createDataFrame([(f"f{i % 2}" if k else "all", i, t) for k in (0, 1) for i, t in enumerate(lines)] + [("logs", 0, lines[6])], "feed STRING, seq BIGINT, line STRING")
+    records = feed.feed_scan(given)
+    want = feed.record_stats(records, feed.metric_points(records), feed.log_events(records))
+    assert rows(feed.feed_stats(records), *want.columns) == rows(want, *want.columns)
+    # one scan of the lines, where the joined form has three
+    assert feed.feed_stats(records)._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
+
+
+def test_span_members_of_other_types_are_read_as_missing(spark):
+    """What one pass over a record finds equals what single reads find, for members of every type."""
+    odd = ["null", "7", "-1.5", "true", '"t"', '""', '"' + "x" * 513 + '"', "[1]", '{"k":1}', "1e400", '"5"']
+    made = []
+    for i, v in enumerate(odd):
+        for at, whole in enumerate(['"user.name":%s', '"gen_ai.usage.input_tokens":%s', '"gen_ai.response.model":%s,"gen_ai.request.model":"q"', '"server.address":%s']):
+            made.append('{"spanId":"s%d_%d","startTime":[5,0],"endTime":[6,0],"status":%s,"parentSpanId":%s,"parentSpanContext":%s,"ended":%s,"attributes":{"gen_ai.operation.name":"chat",%s}}' % (
+                i, at, v, v, v, v, whole % v))
+    made += ['{"spanId":"a%d","startTime":[5,0],"endTime":[6,0],"attributes":%s}' % (i, v) for i, v in enumerate(odd)]
+    records = feed.feed_scan(spark.createDataFrame([("f", i, t) for i, t in enumerate(made)], "feed STRING, seq BIGINT, line STRING"))
+    got = {r.span_id: r for r in feed.file_spans(records).collect()}
+    assert not [k for k in got if k.startswith("a")] and got["s4_0"].user_name == "t" and got["s10_1"].input is None and got["s1_1"].input == 7
+    assert {k: r.model for k, r in got.items() if k.endswith("_2")} == {f"s{i}_2": {4: "t", 10: "5"}.get(i, "q") for i in range(len(odd)) if f"s{i}_2" in got}
+    assert {k: r.parent_known for k, r in got.items() if k.endswith("_0")} == {f"s{i}_0": i == 0 for i in range(len(odd)) if f"s{i}_0" in got}
+
+
+
 def test_histograms_count_as_tokens(spark):
     first = [_usage(2380, 2, "input", "gpt-4o"), _usage(4200, 1, "input", "claude"), _usage(250, 1, "output", "gpt-4o"), _usage(140, 1, "output", "claude")]
     for exports in (first, first * 3):
