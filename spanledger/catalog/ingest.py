@@ -189,7 +189,7 @@ QUERIES = {
     "feed_scan": lambda spark, d: _records(spark, d).select("feed", "seq", "kind"),
     "classify_records": lambda spark, d: _records(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("records")),
     "feed_stream": _landed,
-    "feed_record_stats": lambda spark, d: feed.record_stats(_records(spark, d), feed.metric_points(_records(spark, d)), feed.log_events(_records(spark, d))),
+    "feed_record_stats": lambda spark, d: feed.feed_stats(_records(spark, d)),
     "metric_points": lambda spark, d: feed.metric_points(_records(spark, d)).select(
         "feed", "rec", "session", "metric", F.nullif(counters.series_key(F.col("attrs")), F.lit("")).alias("series_key"), "start_ms", "at_ms", "value"),
     "log_event_project": lambda spark, d: feed.log_events(_records(spark, d)).select(
