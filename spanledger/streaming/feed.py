@@ -20,21 +20,23 @@ def feed_stream(spark: SparkSession, path: str, max_bytes: int = 1 << 30) -> Dat
     )
 
 
-def silver_tables(batch: DataFrame) -> dict[str, DataFrame]:
+def parsed(batch: DataFrame) -> DataFrame:
+    """Records of one micro-batch."""
+    return feed.feed_scan(batch.select("feed", F.struct("segment", "block", F.monotonically_increasing_id().alias("row")).alias("seq"), "line"))
+
+
+def silver_tables(records: DataFrame) -> dict[str, DataFrame]:
     """Typed tables of one micro-batch; no raw text or content leaves here."""
-    lines = batch.select("feed", F.struct("segment", "block", F.monotonically_increasing_id().alias("row")).alias("seq"), "line")
-    records = feed.feed_scan(lines)
-    points, events = feed.metric_points(records), feed.log_events(records)
     return {
-        "stats": feed.record_stats(records, points, events), "points": points, "spans": feed.file_spans(records),
-        "signals": quality_signals(events),
+        "stats": feed.feed_stats(records), "points": feed.metric_points(records), "spans": feed.file_spans(records),
+        "signals": quality_signals(feed.log_events(records)),
     }
 
 
 def land(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Write every micro-batch under `<table>/batch=<id>`; a replayed batch replaces its own files."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        held = batch.persist()
+        held = parsed(batch).persist()
         try:
             for name, table in silver_tables(held).items():
                 table.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
