@@ -138,11 +138,12 @@ def histogram_runs(points: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per run: peak sum and count, and the run's newest buckets."""
     scan, rows = settle_histograms(points, hot_rows)
     has_buckets = F.col("counts").isNotNull() & F.col("boundaries").isNotNull()
-    return _runs(scan, rows.where(F.col("accepted"))).groupBy(*SERIES, "run").agg(
+    # stored, a row for each run: reports read runs several times, and each reading would scan all points again
+    return cut(_runs(scan, rows.where(F.col("accepted"))).groupBy(*SERIES, "run").agg(
         F.any_value("attrs").alias("attrs"), F.max("v").alias("total"), F.max("h_count").alias("count"),
         F.max_by(F.struct("boundaries", "counts"), F.when(has_buckets, F.col("seq"))).alias("buckets"),
         F.max("at_ms").alias("updated_ms"), F.min("seq").alias("first_seq"),
-    )
+    ))
 
 
 def histogram_series(runs: DataFrame) -> DataFrame:
