@@ -72,13 +72,24 @@ def word_counts(rows: DataFrame, most: int = 12 << 20) -> DataFrame:
     return rows.select("text").mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def starting(fresh: np.ndarray, sizes: np.ndarray) -> list[bool]:
+    """Which steps of a window start a lane anew."""
+    return (np.add.reduceat(fresh.astype(np.int32), np.cumsum([0, *sizes[:-1]])) > 0).tolist()
+
+
+def window_of(starts: np.ndarray, lengths: np.ndarray, at: int, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lanes in each step of a window over lanes that lie one after the other, longest first; lane and place of each of their tokens."""
+    steps = np.arange(at, upto)
+    sizes = np.searchsorted(-lengths, -steps, "left")  # lanes longer than the step
+    lane = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return sizes, lane, starts[lane] + np.repeat(steps, sizes)
 
 
 def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Exponentials in place, of values up to 60, and their sums by row."""
-    np.exp(np.minimum(z, np.float32(60), out=z), out=z)
+    if z.max(initial=0) > 60:
+        np.minimum(z, np.float32(60), out=z)
+    np.exp(z, out=z)
     return z, z @ np.ones(z.shape[1], z.dtype)
 
 
@@ -89,6 +100,26 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
+def grouped(rows: np.ndarray, times: np.ndarray, few: int = 8) -> np.ndarray:
+    """Sums of `times` rows each, one group after the other: groups of a few rows side by side, larger ones by themselves."""
+    first = np.cumsum(times) - times
+    sums = rows.take(first, 0)
+    for i in range(1, few):
+        more = np.flatnonzero(times > i)
+        sums[more] += rows.take(first[more] + i, 0)
+    ones = np.ones(times.max(), rows.dtype)
+    for k in np.flatnonzero(times > few).tolist():
+        sums[k] += ones[few:times[k]] @ rows[first[k] + few:first[k] + times[k]]
+    return sums
+
+
+def with_one(h: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Rows `by` of `h`, and a column of ones."""
+    out = np.ones((len(by), h.shape[1] + 1), h.dtype)
+    out[:, :-1] = h[by]
+    return out
+
+
 @dataclass
 class Network:
     """Parameters by name; codes are frequent words, then tails, then the start; `width` codes in a row are a class."""
@@ -102,13 +133,34 @@ class Network:
     def heads(self) -> int:
         return -(-(self.frequent + self.tails) // self.width)
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    def run(self, x: np.ndarray, fresh: np.ndarray, sizes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Steps of `sizes` lanes each, one after the other, on inputs `x` from states `h`; a lane starts anew where `fresh`.
+
+        States, states before, gates, candidates, and the recurrent part (its first two blocks halved), a row for each input.
+        """
         n = h.shape[1]
-        a, u = self.p["in"].take(x, 0), h @ self.p["rec"]
-        gate = _sigmoid(a[:, :2 * n] + u[:, :2 * n])
-        r, z = gate[:, :n], gate[:, n:]
-        m = np.tanh(a[:, 2 * n:] + r * u[:, 2 * n:])
-        return m + z * (h - m), r, z, m, u[:, 2 * n:]
+        halves = np.repeat(np.array([0.5, 0.5, 1], h.dtype), n)  # the logistic function is a tanh of half its argument
+        a, rec = self.p["in"].take(x, 0) * halves, self.p["rec"] * halves
+        u, gate, m = np.empty_like(a), np.empty((len(x), 2 * n), h.dtype), np.empty((len(x), n), h.dtype)
+        before, out = np.empty_like(m), np.empty_like(m)
+        bounds = np.cumsum([0, *sizes]).tolist()
+        for at, upto, anew in zip(bounds, bounds[1:], starting(fresh, sizes)):
+            own, old, w, g, c = a[at:upto], before[at:upto], u[at:upto], gate[at:upto], m[at:upto]
+            old[:] = h[:upto - at]
+            if anew:
+                old[fresh[at:upto]] = 0
+            np.matmul(old, rec, out=w)
+            np.add(w[:, :2 * n], own[:, :2 * n], out=g)
+            np.tanh(g, out=g)
+            g *= 0.5
+            g += 0.5
+            np.multiply(g[:, :n], w[:, 2 * n:], out=c)
+            c += own[:, 2 * n:]
+            np.tanh(c, out=c)
+            h = np.subtract(old, c, out=out[at:upto])
+            h *= g[:, n:]
+            h += c
+        return out, before, gate, m, u
 
     def class_of(self, y: np.ndarray) -> np.ndarray:
         return y // self.width
@@ -118,13 +170,16 @@ class Network:
         c = self.class_of(y).astype(np.min_scalar_type(self.heads))  # few bits sort fast
         return np.argsort(c, kind="stable"), np.cumsum([0, *np.bincount(c, minlength=self.heads)])
 
-    def outputs(self, h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-        """Scores of the codes of each state's class; `cuts` bound the classes' states."""
+    def layers(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of classes and of outputs, the bias as a further row: `with_one` states times these."""
+        return np.concatenate([self.p["cls"], self.p["cls_b"][None]]), np.concatenate([self.p["out"], self.p["out_b"][:, None]], 1)
+
+    def outputs(self, h: np.ndarray, cuts: np.ndarray, layer: np.ndarray) -> np.ndarray:
+        """Scores of the codes of the class of each state, `with_one`; `cuts` bound the classes' states."""
         z = np.empty((len(h), self.width), h.dtype)
-        for k in np.flatnonzero(np.diff(cuts)):
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
             own = slice(cuts[k], cuts[k + 1])
-            np.matmul(h[own], self.p["out"][k], out=z[own])
-            z[own] += self.p["out_b"][k]
+            np.matmul(h[own], layer[k], out=z[own])
         return z
 
     def score(self, h: np.ndarray, y: np.ndarray, most: int = 1 << 13) -> np.ndarray:
@@ -132,11 +187,19 @@ class Network:
         if len(y) > most:
             return np.concatenate([self.score(h[at:at + most], y[at:at + most], most) for at in range(0, len(y), most)])
         by, cuts = self.by_class(y)
-        h, y, every = h[by], y[by], np.arange(len(y))
+        h, y, every = with_one(h, by), y[by], np.arange(len(y))
         out = np.empty(len(y), h.dtype)
-        z, own = h @ self.p["cls"] + self.p["cls_b"], self.outputs(h, cuts)
-        found = z[every, self.class_of(y)] + own[every, y % self.width]
-        out[by] = found - np.log(_exp(z)[1]) - np.log(_exp(own)[1])
+        cls, own = self.layers()
+        own = self.outputs(h, cuts, own)
+        found = own[every, y % self.width]
+        found -= np.log(_exp(own)[1])
+        c, room = self.class_of(y), np.empty((512, self.heads), h.dtype)
+        for at in range(0, len(y), 512):  # parts that stay in the cache
+            part = slice(at, at + 512)
+            z = np.matmul(h[part], cls, out=room[:len(c[part])])
+            found[part] += z[every[:len(z)], c[part]]
+            found[part] -= np.log(_exp(z)[1])
+        out[by] = found
         return out
 
 
@@ -192,7 +255,9 @@ class Learner:
     def move(self, name: str, at, g: np.ndarray, rate: float) -> None:
         square = self.squares[name][at] + g * g
         self.squares[name][at] = square
-        self.net.p[name][at] -= (rate * g / (np.sqrt(square) + 1e-8)).astype(np.float32)
+        root = np.sqrt(square, out=square)
+        root += 1e-8
+        self.net.p[name][at] -= np.divide(rate * g, root, out=root)
 
     def learn(self, docs: list[np.ndarray], lanes: int = 512, window: int = 16, epochs: int = 1, rate: float = 0.1, most: int = 8192) -> None:
         """Truncated backpropagation over whole documents on lanes, state kept between windows, reset at starts.
@@ -208,78 +273,82 @@ class Learner:
         rng = np.random.default_rng(9)
         for _ in range(epochs):
             flat, fresh, starts, lengths = lay(docs, lanes, rng)
-            given = np.where(fresh, net.frequent + net.tails, np.roll(flat, 1))
+            given = np.where(fresh, flat.dtype.type(net.frequent + net.tails), np.roll(flat, 1))
             h = np.zeros((len(lengths), hidden), np.float32)
             at = 0
             while at < lengths[0]:
-                held, states, targets = [], [], []
                 left = int(np.searchsorted(-lengths, -at, "left"))
                 upto = min(at + max(window, min(most // left, 512)), int(lengths[0]))
-                for i in range(at, upto):
-                    n = int(np.searchsorted(-lengths, -i, "left"))  # lanes longer than i
-                    place = starts[:n] + i
-                    reset = fresh[place]
-                    x = given[place]
-                    before = np.where(reset[:, None], np.float32(0), h[:n])
-                    h, r, z, m, u = net.step(x, before)
-                    held.append((x, reset, before, r, z, m, u))
-                    states.append(h)
-                    targets.append(flat[place])
-                self._update(held, states, np.concatenate(targets), rate)
+                sizes, _, place = window_of(starts, lengths, at, upto)
+                x, anew = given[place], fresh[place]
+                held = net.run(x, anew, sizes, h)
+                h = held[0][len(x) - sizes[-1]:]
+                self._update(x, anew, sizes, held, flat[place], rate)
                 at = upto
 
-    def _update(self, held: list[tuple], states: list[np.ndarray], target: np.ndarray, rate: float) -> None:
-        net, p, hidden = self.net, self.net.p, self.net.p["rec"].shape[0]
+    def _update(self, x: np.ndarray, fresh: np.ndarray, sizes: np.ndarray, held: tuple[np.ndarray, ...], target: np.ndarray, rate: float) -> None:
+        net, p, n = self.net, self.net.p, self.net.p["rec"].shape[0]
+        states, before, gate, m, u = held
         by, cuts = net.by_class(target)
-        s, target, scale = np.concatenate(states)[by], target[by], np.float32(1 / len(target))
+        s, target, scale = with_one(states, by), target[by], np.float32(1 / len(target))
         c = net.class_of(target)
         self.classes += np.diff(cuts)
-        dh = np.empty_like(s)
-        g, g_b = np.zeros_like(p["cls"]), np.zeros_like(p["cls_b"])
+        dh = np.empty_like(states)
+        cls, out = net.layers()
+        g, turned, room = np.zeros_like(cls), np.ascontiguousarray(cls[:-1].T), np.empty((512, cls.shape[1]), s.dtype)
         for at in range(0, len(s), 512):  # parts that stay in the cache
             part = slice(at, at + 512)
-            d = _softmax(s[part] @ p["cls"] + p["cls_b"])
+            d = _softmax(np.matmul(s[part], cls, out=room[:len(s[part])]))
             d[np.arange(len(d)), c[part]] -= 1
-            dh[part] = d @ p["cls"].T
+            np.matmul(d, turned, out=dh[part])
             g += s[part].T @ d
-            g_b += np.ones(len(d), d.dtype) @ d
-        self.move("cls", slice(None), g * scale, rate)
-        self.move("cls_b", slice(None), g_b * scale, rate)
-        d = _softmax(net.outputs(s, cuts))
+        g *= scale
+        self.move("cls", slice(None), g[:-1], rate)
+        self.move("cls_b", slice(None), g[-1], rate)
+        d = _softmax(net.outputs(s, cuts, out))
         d[np.arange(len(d)), target % net.width] -= 1
-        g, g_b, ones = np.zeros_like(p["out"]), np.zeros_like(p["out_b"]), np.ones(len(d), d.dtype)
-        for k in np.flatnonzero(np.diff(cuts)):
+        g, turned, more = np.zeros_like(out), np.ascontiguousarray(p["out"].transpose(0, 2, 1)), np.empty_like(dh)
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
             own = slice(cuts[k], cuts[k + 1])
-            dh[own] += d[own] @ p["out"][k].T
+            np.matmul(d[own], turned[k], out=more[own])
             np.matmul(s[own].T, d[own], out=g[k])
-            np.matmul(ones[own], d[own], out=g_b[k])
+        dh += more
+        g *= scale
         # classes without a target have no gradient and stay
-        self.move("out", slice(None), g * scale, rate)
-        self.move("out_b", slice(None), g_b * scale, rate)
+        self.move("out", slice(None), g[:, :-1], rate)
+        self.move("out_b", slice(None), g[:, -1], rate)
         ds = np.empty_like(dh)
         ds[by] = dh * scale
-        rec, moved = np.zeros_like(p["rec"]), []
-        back = np.zeros((0, hidden), np.float32)
-        end = len(s)
-        for x, reset, before, r, z, m, u in reversed(held):
-            g = ds[end - len(x):end].copy()
+        # what a state's gradient becomes at each gate and at the candidate, for the whole window at once
+        r, z = gate[:, :n].copy(), gate[:, n:].copy()
+        shut = 1 - z
+        cand = 1 - m * m
+        cand *= shut
+        gu = np.empty((len(x), 3, n), ds.dtype)
+        gu[:, 2] = cand * r
+        gu[:, 0] = gu[:, 2] * u[:, 2 * n:] * (1 - r)
+        slope = before - m
+        slope *= z
+        slope *= shut
+        gu[:, 1] = slope
+        back, turned = np.zeros((0, n), ds.dtype), np.ascontiguousarray(p["rec"].T)
+        bounds = np.cumsum([0, *sizes]).tolist()
+        for at, upto, anew in zip(bounds[-2::-1], bounds[:0:-1], reversed(starting(fresh, sizes))):
+            g, own = ds[at:upto], gu[at:upto]
             g[:len(back)] += back
-            end -= len(x)
-            gm = g * (1 - z) * (1 - m * m)
-            gz = g * (before - m) * z * (1 - z)
-            gr = gm * u * r * (1 - r)
-            gu = np.concatenate([gr, gz, gm * r], axis=1)
-            rec += before.T @ gu
-            moved.append((x, np.concatenate([gr, gz, gm], axis=1)))
-            back = np.where(reset[:, None], np.float32(0), g * z + gu @ p["rec"].T)
-        self.move("rec", slice(None), rec, rate)
-        x, g = np.concatenate([a for a, _ in moved]), np.concatenate([b for _, b in moved])
+            own *= g[:, None]
+            back = own.reshape(len(g), -1) @ turned
+            back += g * z[at:upto]
+            if anew:
+                back[fresh[at:upto]] = 0
+        self.move("rec", slice(None), before.T @ gu.reshape(len(x), -1), rate)
+        cand *= ds
+        gu[:, 2] = cand  # the input's part, which the gate does not weigh
         times = np.bincount(x, minlength=len(self.inputs))
-        rows, place = np.flatnonzero(times), np.cumsum(times > 0) - 1
+        rows = np.flatnonzero(times)
         self.inputs += times
-        place = place[x]
-        sums = [np.bincount(place, column, len(rows)) for column in g.T.astype(np.float64)]
-        self.move("in", rows, np.stack(sums, 1).astype(np.float32), rate)
+        order = np.argsort(x.astype(np.min_scalar_type(len(times))), kind="stable")
+        self.move("in", rows, grouped(gu.reshape(len(x), -1).take(order, 0), times[rows]), rate)
 
     def weights(self) -> dict[str, np.ndarray]:
         """How much was seen by what each parameter belongs to, in the parameters' shapes or ones that broadcast to them."""
@@ -304,10 +373,11 @@ def averaged(base: Network, told: np.ndarray) -> Network:
     return sums.net
 
 
-def train_all(rows: DataFrame, net: Network, squares: dict[str, np.ndarray], words: list[bytes], codes: np.ndarray, n_tokens: int, block: int = 1 << 14) -> Network:
+def train_all(rows: DataFrame, net: Network, squares: dict[str, np.ndarray], words: list[bytes], codes: np.ndarray, n_tokens: int, block: int = 1 << 14, most: int = 1 << 22) -> Network:
     """One epoch over all `rows` (text), whole texts: a learner in each task, then the mean of the learners.
 
-    A task reads at least four tokens for each parameter, so that what is shuffled stays a share of the input.
+    A task reads at least four tokens for each parameter, so that what is shuffled stays a share of the input. Texts are
+    learned together once they have `most` tokens, which keeps the lanes beside long texts filled.
     """
     sc = rows.sparkSession.sparkContext
     shared = sc.broadcast((net, squares, words, codes))
@@ -317,12 +387,19 @@ def train_all(rows: DataFrame, net: Network, squares: dict[str, np.ndarray], wor
         base, squares, words, codes = shared.value
         table, own = _Lookup(zip(words, range(len(words)))), None
         table.tails, table.size = base.tails, len(words)
+        codes, docs, held = codes.astype(np.min_scalar_type(len(base.p["in"]))), [], 0
         for batch in batches:
             for piece in pieces(batch, most=12 << 20):
                 own = own or Learner.of(base, squares)
                 names, index, bounds = laid(piece.column(0))
                 coded = codes[np.fromiter(map(table.__getitem__, names), np.int64, len(names))][index]
-                own.learn([coded[a:b] for a, b in zip(bounds, bounds[1:])])
+                docs += [coded[a:b] for a, b in zip(bounds, bounds[1:])]
+                held += len(coded)
+                if held >= most:
+                    own.learn(docs)
+                    docs, held = [], 0
+        if docs:
+            own.learn(docs)
         told = own.told(base) if own else np.zeros(0, np.float32)
         for at in range(0, len(told), block):
             yield pa.RecordBatch.from_arrays([pa.array([at // block], pa.int32()), pa.array([told[at:at + block].tobytes()], pa.binary())], ["block", "part"])
@@ -355,28 +432,19 @@ def document_scores(net: Network, docs: list[np.ndarray], window: int = 32) -> n
     lengths = np.array([len(docs[i]) for i in order])
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     flat = np.concatenate([docs[i] for i in order])
-    x = np.full(len(docs), net.frequent + net.tails)
-    h = np.zeros((len(docs), net.p["rec"].shape[0]), np.float32)
+    given = np.roll(flat, 1)
+    given[starts] = net.frequent + net.tails
+    h = np.zeros((len(docs), net.p["rec"].shape[0]), net.p["rec"].dtype)
     total = np.zeros(len(docs))
     at = 0
     while at < lengths[0]:
-        states, targets, owners = [], [], []
         # longer windows where fewer sequences are left
         left = int(np.searchsorted(-lengths, -at, "left"))
-        upto = min(at + max(window, min(8192 // left, 512)), int(lengths[0]))
-        for i in range(at, upto):
-            n = int(np.searchsorted(-lengths, -i, "left"))  # sequences longer than i
-            h = net.step(x[:n], h[:n])[0]
-            y = flat[starts[:n] + i]
-            states.append(h)
-            targets.append(y)
-            owners.append(n)
-            x = y
-        score = net.score(np.concatenate(states), np.concatenate(targets))
-        k = 0
-        for n in owners:
-            total[:n] += score[k:k + n]
-            k += n
+        upto = min(at + max(min(window, 1 + 16384 // left), min(8192 // left, 512)), int(lengths[0]))
+        sizes, lane, place = window_of(starts, lengths, at, upto)
+        states = net.run(given[place], np.zeros(len(place), bool), sizes, h)[0]
+        h = states[len(place) - sizes[-1]:]
+        total[:left] += np.bincount(lane, net.score(states, flat[place]), left)
         at = upto
     out[order] = total
     return out

@@ -457,6 +457,40 @@ def test_gradients_match_differences():
     assert set(told) == set(net.p)
 
 
+def test_grouped_sums_and_windows_match_plain_loops():
+    rng = np.random.default_rng(3)
+    times = np.array([1, 30, 2, 8, 9, 1])
+    rows = rng.normal(size=(times.sum(), 3))
+    assert np.allclose(lm.grouped(rows, times), [part.sum(0) for part in np.split(rows, np.cumsum(times)[:-1])])
+    lengths, starts = np.array([5, 3, 3, 1]), np.array([0, 5, 8, 11])
+    sizes, lane, place = lm.window_of(starts, lengths, 1, 4)
+    assert sizes.tolist() == [3, 3, 1] and lane.tolist() == [0, 1, 2, 0, 1, 2, 0] and place.tolist() == [1, 6, 9, 2, 7, 10, 3]
+    fresh = np.array([False, False, True, False, False, False, False])
+    assert lm.starting(fresh, sizes) == [True, False, False]
+
+
+def test_texts_of_several_batches_are_learned_together(spark, tmp_path):
+    """A task's texts share their lanes beyond Arrow batches, so that long texts do not leave lanes empty batch after batch."""
+    net = lm.start(np.ones(13), 9, 4, 4, 5)
+    words = [f"w{k}".encode() for k in range(9)]
+    codes = np.arange(13)
+    squares = {k: np.zeros_like(v) for k, v in net.p.items()}
+    docs = [np.array([0, 1, 2, 3]), np.array([4, 5, 6])] * 20
+    texts = spark.createDataFrame([(" ".join(f"w{k}" for k in d[:-1]),) for d in docs], "text STRING").coalesce(1)
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = lm.train_all(texts, net, squares, words, codes, 200)
+        apart = lm.train_all(texts, net, squares, words, codes, 200, most=1)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    own = lm.Learner.of(net, squares)
+    end = codes[9 + lm.tail_of(lm.END, 4)]
+    own.learn([np.append(d[:-1], end) for d in docs])
+    assert all(np.allclose(got.p[k], own.net.p[k], atol=1e-5) for k in net.p)
+    assert not np.allclose(apart.p["out"], own.net.p["out"], atol=1e-5)
+
+
 def test_every_language_is_learned(spark):
     """More languages than 64, and one whose training texts are all longer than a sample."""
     rng = random.Random(12)
