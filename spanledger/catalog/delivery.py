@@ -304,9 +304,13 @@ def _lines(spark, d):
     return billing_parse(spark.sql(LINE, events=bridge.events(spark, d)))
 
 
-def _day_usage(spark, d):
-    """Usage at billing grain serves several joins of one query, so it is written once."""
-    return cut(actors.usage_by_day(cycles.keyed_calls(_cycle_calls(spark, d))))
+def _billed(spark, d):
+    """Lines (at most six a report) and usage of traces at billing grain. Both serve several joins of one query, so they are written once.
+
+    The source is chosen first: reports compare one, so nothing is computed for the other.
+    """
+    usage = actors.usage_by_day(cycles.keyed_calls(_cycle_calls(spark, d))).where(F.col("source") == "traces")
+    return cut(_lines(spark, d)), cut(usage), "traces"
 
 
 BILLING_SQL = """,
@@ -329,7 +333,7 @@ def _round(df, *columns, digits=6):
 def _story(spark, d):
     """Steps dated by place, one cycle in three with a late review, and each cycle's billing share."""
     steps = _steps(spark, d).withColumn("at_ms", F.col("place") * 1000 - F.when(F.col("step") == "review", F.length("cycle_key") % 3 * 1500).otherwise(0))
-    shares = billing.billing_allocate(_lines(spark, d), _day_usage(spark, d), "traces")
+    shares = billing.billing_allocate(*_billed(spark, d))
     facts = shares.groupBy("cycle_key").agg(F.max("day").alias("day"), F.sum("gross_quantity").alias("gross_quantity"), F.sum("net_amount").alias("net_amount")).selectExpr(
         "cycle_key", "day", f"{bridge.NOW_MS} AS retrieved_ms", "gross_quantity", "gross_quantity * 2 AS billed_quantity", "net_amount", "net_amount * 2 AS charge")
     return cycles.cycle_story_check(steps, facts)
@@ -406,10 +410,10 @@ QUERIES = {
     "work_balance": _work,
     "billing_parse": lambda spark, d: _lines(spark, d).groupBy("status").agg(
         F.count_distinct("report_id").alias("reports"), F.count("model").alias("lines"), F.round(F.sum("gross_quantity").cast("double"), 6).alias("gross")),
-    "billing_match": lambda spark, d: _round(billing.model_match(_lines(spark, d), _day_usage(spark, d), "traces"), "gross", "net", "observed"),
-    "billing_reconcile": lambda spark, d: _round(billing.billing_reconcile(_lines(spark, d), _day_usage(spark, d), "traces"), *MONEY),
-    "billing_allocate": lambda spark, d: _round(billing.billing_allocate(_lines(spark, d), _day_usage(spark, d), "traces"), "gross_quantity", "net_amount", digits=9).drop("method"),
-    "unallocated_net": lambda spark, d: _round(billing.unallocated_net(_lines(spark, d), _day_usage(spark, d), "traces"), "net", "allocated", "unallocated", digits=9),
+    "billing_match": lambda spark, d: _round(billing.model_match(*_billed(spark, d)), "gross", "net", "observed"),
+    "billing_reconcile": lambda spark, d: _round(billing.billing_reconcile(*_billed(spark, d)), *MONEY),
+    "billing_allocate": lambda spark, d: _round(billing.billing_allocate(*_billed(spark, d)), "gross_quantity", "net_amount", digits=9).drop("method"),
+    "unallocated_net": lambda spark, d: _round(billing.unallocated_net(*_billed(spark, d)), "net", "allocated", "unallocated", digits=9),
     "cycle_story_check": _story,
 }
 

@@ -305,3 +305,15 @@ def test_trace_store_scan(spark):
     assert set(got) == {"a", "b"}
     assert (a.nano, a.cache_write, a.turns, a.repository, a.effort, a.user_name, a.user_source, a.parent_known, a.input) == (0, 7, None, "o/new", "high", "mona", "span", True, None)
     assert rows(stores.span_ancestors(spans, 50), "span_id", "parent_span_id") == [("c", "x")]
+
+
+def test_billing_computes_one_source_and_its_lines_once(spark, monkeypatch):
+    from spanledger.catalog import delivery
+
+    from conftest import SF
+
+    plans, cut = [], delivery.cut
+    monkeypatch.setattr(delivery, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    found = delivery.QUERIES["billing_reconcile"](spark, SF)
+    assert len(plans) == 2 and not any("o_orderkey" in p for p in plans)
+    assert "event_id" not in found._jdf.queryExecution().optimizedPlan().toString()
