@@ -54,7 +54,8 @@ FROM @events
 def lines(spark, d):
     """The feed text. Square brackets stand for braces in the rule above, and < > for square brackets."""
     text = LINES.replace("@events", "{events}").replace("@<", "{{").replace("@>", "}}")
-    return spark.sql(text, events=bridge.events(spark, d)).withColumn("line", F.when(
+    # a split of the table holds far more rows than one of the lines would, and parsing them is the work
+    return spark.sql(text, events=bridge.events(spark, d).repartition("eid")).withColumn("line", F.when(
         F.col("line").rlike(r'^\s*\['), F.translate("line", "[]<>", "{}[]")).otherwise(F.col("line")))
 
 

@@ -281,3 +281,14 @@ def test_estimates_only_where_spans_are_silent(spark):
     exact = spark.createDataFrame([("llm", 0.5, 10.0)], "name STRING, q DOUBLE, value DOUBLE")
     guess = spark.createDataFrame([("llm", 0.5, 99.0), ("ttft", 0.5, 450.0)], "name STRING, q DOUBLE, value DOUBLE")
     assert rows(speed.prefer_exact(exact, guess), "name", "value", "source") == [("llm", 10.0, "spans"), ("ttft", 450.0, "metrics")]
+
+
+def test_feed_lines_are_dealt_out_before_they_are_built(spark):
+    """A split of the packed table must not become one task that parses all its lines."""
+    from spanledger.catalog import ingest
+
+    from conftest import SF
+
+    found = ingest.lines(spark, SF)
+    assert "RepartitionByExpression [eid" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.select("seq").distinct().count() == found.count() == spark.read.parquet(f"{SF}/events.parquet").count()
