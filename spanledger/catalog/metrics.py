@@ -58,7 +58,7 @@ QUERIES = {
     "metric_validity": lambda spark, d: counters.metric_validity(counters.judged(bridge.points(spark, d))[1]),
     "metric_total": lambda spark, d: counters.metric_total(_series(spark, d), EDITS, {"copilot_chat.edit.outcome": "accepted"}).select("total"),
     "metric_observations": lambda spark, d: _series(spark, d).groupBy("metric").agg(F.sum("count").alias("observations")),
-    "metric_mean": lambda spark, d: counters.histogram_series(counters.histogram_runs(bridge.histograms(spark, d)))
+    "metric_mean": lambda spark, d: counters.histogram_series(counters.histogram_runs(bridge.histograms(spark, d), buckets=False))
         .groupBy("metric").agg(F.sum("total").alias("total"), F.sum("count").alias("observations"),
                                F.try_divide(F.sum("total"), F.sum("count")).alias("mean")),
     "metric_has_attr": lambda spark, d: counters.has_attribute(_series(spark, d), "gen_ai.response.model"),
@@ -70,7 +70,7 @@ QUERIES = {
     "burn_rate": lambda spark, d: counters.burn_rate(counters.token_series(bridge.points(spark, d), bridge.NOW_MS)),
     "series_key": lambda spark, d: bridge.points(spark, d).groupBy(counters.series_key(F.col("attrs")).alias("series_key")).agg(
         F.count(F.lit(1)).alias("points")),
-    "histogram_series": lambda spark, d: counters.histogram_series(counters.histogram_runs(bridge.histograms(spark, d))).select(
+    "histogram_series": lambda spark, d: counters.histogram_series(counters.histogram_runs(bridge.histograms(spark, d), buckets=False)).select(
         *SHOWN, F.coalesce(F.col("attrs")["gen_ai.operation.name"], F.lit("none")).alias("op"), "total", "count"),
     "hist_quantile": _quantiles,
     "hist_quantile_chat": _chat_quantiles,

@@ -292,3 +292,16 @@ def test_feed_lines_are_dealt_out_before_they_are_built(spark):
     found = ingest.lines(spark, SF)
     assert "RepartitionByExpression [eid" in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.select("seq").distinct().count() == found.count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_histogram_scans_hold_no_buckets(spark):
+    from spanledger.catalog import bridge
+
+    from conftest import SF
+
+    _, settled = counters.settled_levels(bridge.histograms(spark, SF))
+    assert not {"attrs", "boundaries", "counts"} & set(settled.columns)
+    plain = counters.histogram_runs(bridge.histograms(spark, SF), buckets=False)
+    full = counters.histogram_runs(bridge.histograms(spark, SF))
+    shown = ["feed", "session", "start_ms", "metric", "series_key", "run", "total", "count", "updated_ms", "first_seq"]
+    assert "buckets" not in plain.columns and rows(plain, *shown) == rows(full, *shown) and full.where("buckets IS NULL").isEmpty()
