@@ -31,10 +31,11 @@ import heapq
 import math
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import LOWER, id_text, pieces, settle, utf8
@@ -45,19 +46,32 @@ LONGEST = 64
 _loaded: dict = {}
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return [*(text or b"").lower().split(), END]
-
-
 def tail_of(word: bytes, tails: int) -> int:
     return zlib.crc32(word[-3:]) % tails
 
 
-def laid(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+class Lookup:
+    """Places of words among `words`; of a word that is not there, its tail after them."""
+
+    def __init__(self, words: list[bytes], tails: int):
+        self.words, self.tails = pa.array(words, pa.large_binary()), tails
+
+    def __call__(self, names: pa.Array) -> np.ndarray:
+        found = pc.index_in(names, value_set=self.words)
+        at = found.fill_null(0).to_numpy().astype(np.int64)
+        if found.null_count:
+            gone = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+            last = pc.binary_slice(names.take(pa.array(gone)), -3).dictionary_encode()
+            of = np.array([tail_of(w, self.tails) for w in last.dictionary.to_pylist()], np.int64)
+            at[gone] = len(self.words) + of[last.indices.to_numpy()]
+        return at
+
+
+def laid(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct tokens of a text column (the end last), the index of every token among them, and the row bounds in tokens."""
     data, offsets = utf8(column)
     words, index, bounds = split(LOWER[data], offsets)
-    names = [*words.to_pylist(), END]
+    names = pa.concat_arrays([words, pa.array([END], words.type)])
     return names, np.insert(index, bounds[1:], len(names) - 1), bounds + np.arange(len(bounds))
 
 
@@ -67,7 +81,7 @@ def word_counts(rows: DataFrame, most: int = 12 << 20) -> DataFrame:
         for batch in batches:
             for piece in pieces(batch, most=most):
                 names, index, _ = laid(piece.column(0))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()).cast(pa.string()), pa.array(np.bincount(index, minlength=len(names)))], ["word", "c"])
+                yield pa.RecordBatch.from_arrays([names.cast(pa.string()), pa.array(np.bincount(index, minlength=len(names)))], ["word", "c"])
 
     return rows.select("text").mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -113,13 +127,35 @@ def grouped(rows: np.ndarray, times: np.ndarray, few: int = 8) -> np.ndarray:
     return sums
 
 
-def with_one(h: np.ndarray, by: np.ndarray) -> np.ndarray:
-    """Rows `by` of `h`, and a column of ones."""
-    out = np.ones((len(by), h.shape[1] + 1), h.dtype)
-    out[:, :-1] = h[by]
+def with_one(h: np.ndarray, by: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Rows `by` of `h`, and a column of ones, in `out`."""
+    out[:, :-1] = h.take(by, 0)
+    out[:, -1] = 1
     return out
 
 
+def together(cuts: np.ndarray, most: int = 2048) -> Iterator[list[int]]:
+    """Groups that are not empty, in order, in lists of about `most` rows: what is done with a list stays in the cache."""
+    some: list[int] = []
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        if some and cuts[k + 1] - cuts[some[0]] > most:
+            yield some
+            some = []
+        some.append(k)
+    if some:
+        yield some
+
+
+class Room(dict):
+    """Arrays by name that are used again, so that a window does not ask for its memory anew."""
+
+    def __call__(self, name: str, dtype: np.dtype, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self or self[name].size < size or self[name].dtype != dtype:
+            self[name] = np.empty(size, dtype)
+        return self[name][:size].reshape(shape)
+
+
 @dataclass
 class Network:
     """Parameters by name; codes are frequent words, then tails, then the start; `width` codes in a row are a class."""
@@ -133,35 +169,45 @@ class Network:
     def heads(self) -> int:
         return -(-(self.frequent + self.tails) // self.width)
 
-    def run(self, x: np.ndarray, fresh: np.ndarray, sizes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    def run(self, x: np.ndarray, fresh: np.ndarray, sizes: np.ndarray, h: np.ndarray, room: Room, keep: bool = True) -> tuple[np.ndarray, ...]:
         """Steps of `sizes` lanes each, one after the other, on inputs `x` from states `h`; a lane starts anew where `fresh`.
 
-        States, states before, gates, candidates, and the recurrent part (its first two blocks halved), a row for each input.
+        States, and with `keep` states before, gates, candidates, and the recurrent part (its first two blocks halved), a row
+        for each input in each of their blocks. They are arrays of `room`: the next call overwrites them.
         """
-        n = h.shape[1]
-        halves = np.repeat(np.array([0.5, 0.5, 1], h.dtype), n)  # the logistic function is a tanh of half its argument
-        a, rec = self.p["in"].take(x, 0) * halves, self.p["rec"] * halves
-        u, gate, m = np.empty_like(a), np.empty((len(x), 2 * n), h.dtype), np.empty((len(x), n), h.dtype)
-        before, out = np.empty_like(m), np.empty_like(m)
+        n, kind, held = h.shape[1], h.dtype, len(x) if keep else int(sizes.max(initial=0))
+        halves = np.array([0.5, 0.5, 1], kind)[:, None, None]  # the logistic function is a tanh of half its argument
+        rec = self.blocks() * halves
+        rows, a = room("rows", kind, len(x), 3, n), room("a", kind, 3, len(x), n)
+        np.take(self.p["in"], x, 0, rows.reshape(len(x), 3 * n), "clip")
+        np.multiply(rows.transpose(1, 0, 2), halves, out=a)
+        u, gate = room("u", kind, 3, held, n), room("gate", kind, 2, held, n)
+        m, before, out = room("m", kind, held, n), room("before", kind, held, n), room("out", kind, len(x), n)
         bounds = np.cumsum([0, *sizes]).tolist()
         for at, upto, anew in zip(bounds, bounds[1:], starting(fresh, sizes)):
-            own, old, w, g, c = a[at:upto], before[at:upto], u[at:upto], gate[at:upto], m[at:upto]
+            own = slice(at, upto) if keep else slice(0, upto - at)
+            given, old, w, g, c = a[:, at:upto], before[own], u[:, own], gate[:, own], m[own]
             old[:] = h[:upto - at]
             if anew:
                 old[fresh[at:upto]] = 0
             np.matmul(old, rec, out=w)
-            np.add(w[:, :2 * n], own[:, :2 * n], out=g)
+            np.add(w[:2], given[:2], out=g)
             np.tanh(g, out=g)
             g *= 0.5
             g += 0.5
-            np.multiply(g[:, :n], w[:, 2 * n:], out=c)
-            c += own[:, 2 * n:]
+            np.multiply(g[0], w[2], out=c)
+            c += given[2]
             np.tanh(c, out=c)
             h = np.subtract(old, c, out=out[at:upto])
-            h *= g[:, n:]
+            h *= g[1]
             h += c
         return out, before, gate, m, u
 
+    def blocks(self) -> np.ndarray:
+        """The recurrent weights of each gate and of the candidate."""
+        n = self.p["rec"].shape[0]
+        return np.ascontiguousarray(self.p["rec"].reshape(n, 3, n).transpose(1, 0, 2))
+
     def class_of(self, y: np.ndarray) -> np.ndarray:
         return y // self.width
 
@@ -187,7 +233,7 @@ class Network:
         if len(y) > most:
             return np.concatenate([self.score(h[at:at + most], y[at:at + most], most) for at in range(0, len(y), most)])
         by, cuts = self.by_class(y)
-        h, y, every = with_one(h, by), y[by], np.arange(len(y))
+        h, y, every = with_one(h, by, np.empty((len(y), h.shape[1] + 1), h.dtype)), y[by], np.arange(len(y))
         out = np.empty(len(y), h.dtype)
         cls, own = self.layers()
         own = self.outputs(h, cuts, own)
@@ -244,6 +290,7 @@ class Learner:
     squares: dict[str, np.ndarray]
     inputs: np.ndarray
     classes: np.ndarray
+    room: Room = field(default_factory=Room)
 
     @classmethod
     def of(cls, net: Network, squares: dict[str, np.ndarray] | None = None) -> Learner:
@@ -253,11 +300,14 @@ class Learner:
         return cls(own, made, np.zeros(len(net.p["in"])), np.zeros(net.heads))
 
     def move(self, name: str, at, g: np.ndarray, rate: float) -> None:
-        square = self.squares[name][at] + g * g
-        self.squares[name][at] = square
-        root = np.sqrt(square, out=square)
+        root = np.multiply(g, g, out=self.room("root", g.dtype, *g.shape))
+        root += self.squares[name][at]
+        self.squares[name][at] = root
+        np.sqrt(root, out=root)
         root += 1e-8
-        self.net.p[name][at] -= np.divide(rate * g, root, out=root)
+        np.divide(g, root, out=root)
+        root *= rate
+        self.net.p[name][at] -= root
 
     def learn(self, docs: list[np.ndarray], lanes: int = 512, window: int = 16, epochs: int = 1, rate: float = 0.1, most: int = 8192) -> None:
         """Truncated backpropagation over whole documents on lanes, state kept between windows, reset at starts.
@@ -274,15 +324,15 @@ class Learner:
         for _ in range(epochs):
             flat, fresh, starts, lengths = lay(docs, lanes, rng)
             given = np.where(fresh, flat.dtype.type(net.frequent + net.tails), np.roll(flat, 1))
-            h = np.zeros((len(lengths), hidden), np.float32)
+            h = np.zeros((len(lengths), hidden), net.p["rec"].dtype)
             at = 0
             while at < lengths[0]:
                 left = int(np.searchsorted(-lengths, -at, "left"))
                 upto = min(at + max(window, min(most // left, 512)), int(lengths[0]))
                 sizes, _, place = window_of(starts, lengths, at, upto)
                 x, anew = given[place], fresh[place]
-                held = net.run(x, anew, sizes, h)
-                h = held[0][len(x) - sizes[-1]:]
+                held = net.run(x, anew, sizes, h, self.room)
+                h = held[0][len(x) - sizes[-1]:].copy()
                 self._update(x, anew, sizes, held, flat[place], rate)
                 at = upto
 
@@ -290,65 +340,77 @@ class Learner:
         net, p, n = self.net, self.net.p, self.net.p["rec"].shape[0]
         states, before, gate, m, u = held
         by, cuts = net.by_class(target)
-        s, target, scale = with_one(states, by), target[by], np.float32(1 / len(target))
-        c = net.class_of(target)
+        s, target, scale = with_one(states, by, self.room("s", states.dtype, len(by), n + 1)), target[by], np.float32(1 / len(target))
+        c, spot = net.class_of(target), target % net.width
         self.classes += np.diff(cuts)
-        dh = np.empty_like(states)
+        room, kind, every = self.room, states.dtype, np.arange(len(s))
+        dh, more = room("dh", kind, *states.shape), room("more", kind, *states.shape)
         cls, out = net.layers()
-        g, turned, room = np.zeros_like(cls), np.ascontiguousarray(cls[:-1].T), np.empty((512, cls.shape[1]), s.dtype)
+        g, turned, z = np.zeros_like(cls), np.ascontiguousarray(cls[:-1].T), room("z", kind, 512, cls.shape[1])
         for at in range(0, len(s), 512):  # parts that stay in the cache
             part = slice(at, at + 512)
-            d = _softmax(np.matmul(s[part], cls, out=room[:len(s[part])]))
-            d[np.arange(len(d)), c[part]] -= 1
+            d = _softmax(np.matmul(s[part], cls, out=z[:len(s[part])]))
+            d[every[:len(d)], c[part]] -= 1
             np.matmul(d, turned, out=dh[part])
             g += s[part].T @ d
         g *= scale
         self.move("cls", slice(None), g[:-1], rate)
         self.move("cls_b", slice(None), g[-1], rate)
-        d = _softmax(net.outputs(s, cuts, out))
-        d[np.arange(len(d)), target % net.width] -= 1
-        g, turned, more = np.zeros_like(out), np.ascontiguousarray(p["out"].transpose(0, 2, 1)), np.empty_like(dh)
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
-            own = slice(cuts[k], cuts[k + 1])
-            np.matmul(d[own], turned[k], out=more[own])
-            np.matmul(s[own].T, d[own], out=g[k])
+        g, turned, z = room("g", kind, *out.shape), np.ascontiguousarray(p["out"].transpose(0, 2, 1)), room("own", kind, len(s), net.width)
+        g.fill(0)
+        for some in together(cuts):
+            part = slice(cuts[some[0]], cuts[some[-1] + 1])
+            d = z[part]
+            for k in some:
+                own = slice(cuts[k], cuts[k + 1])
+                np.matmul(s[own], out[k], out=z[own])
+            _softmax(d)
+            d[every[:len(d)], spot[part]] -= 1
+            for k in some:
+                own = slice(cuts[k], cuts[k + 1])
+                np.matmul(z[own], turned[k], out=more[own])
+                np.matmul(s[own].T, z[own], out=g[k])
         dh += more
         g *= scale
         # classes without a target have no gradient and stay
         self.move("out", slice(None), g[:, :-1], rate)
         self.move("out_b", slice(None), g[:, -1], rate)
-        ds = np.empty_like(dh)
-        ds[by] = dh * scale
+        dh *= scale
+        ds = more
+        ds[by] = dh
         # what a state's gradient becomes at each gate and at the candidate, for the whole window at once
-        r, z = gate[:, :n].copy(), gate[:, n:].copy()
-        shut = 1 - z
-        cand = 1 - m * m
+        r, z, gu = gate[0], gate[1], room("gu", kind, 3, len(x), n)
+        shut, cand = np.subtract(1, z, out=room("shut", kind, len(x), n)), np.multiply(m, m, out=room("cand", kind, len(x), n))
+        np.subtract(1, cand, out=cand)
         cand *= shut
-        gu = np.empty((len(x), 3, n), ds.dtype)
-        gu[:, 2] = cand * r
-        gu[:, 0] = gu[:, 2] * u[:, 2 * n:] * (1 - r)
-        slope = before - m
-        slope *= z
-        slope *= shut
-        gu[:, 1] = slope
-        back, turned = np.zeros((0, n), ds.dtype), np.ascontiguousarray(p["rec"].T)
+        np.multiply(cand, r, out=gu[2])
+        np.subtract(1, r, out=gu[0])
+        gu[0] *= gu[2]
+        gu[0] *= u[2]
+        np.subtract(before, m, out=gu[1])
+        gu[1] *= z
+        gu[1] *= shut
+        back, turned = np.zeros((0, n), kind), np.ascontiguousarray(net.blocks().transpose(0, 2, 1))
         bounds = np.cumsum([0, *sizes]).tolist()
         for at, upto, anew in zip(bounds[-2::-1], bounds[:0:-1], reversed(starting(fresh, sizes))):
-            g, own = ds[at:upto], gu[at:upto]
+            g, own = ds[at:upto], gu[:, at:upto]
             g[:len(back)] += back
-            own *= g[:, None]
-            back = own.reshape(len(g), -1) @ turned
-            back += g * z[at:upto]
+            own *= g
+            back, *rest = np.matmul(own, turned, out=room("back", kind, *own.shape))
+            for other in rest:
+                back += other
+            back += np.multiply(g, z[at:upto], out=rest[0])
             if anew:
                 back[fresh[at:upto]] = 0
-        self.move("rec", slice(None), before.T @ gu.reshape(len(x), -1), rate)
+        self.move("rec", slice(None), np.matmul(before.T, gu).transpose(1, 0, 2).reshape(n, 3 * n), rate)
         cand *= ds
-        gu[:, 2] = cand  # the input's part, which the gate does not weigh
         times = np.bincount(x, minlength=len(self.inputs))
         rows = np.flatnonzero(times)
         self.inputs += times
-        order = np.argsort(x.astype(np.min_scalar_type(len(times))), kind="stable")
-        self.move("in", rows, grouped(gu.reshape(len(x), -1).take(order, 0), times[rows]), rate)
+        order, wide, block = np.argsort(x.astype(np.min_scalar_type(len(times))), kind="stable"), room("rows", kind, len(x), 3, n), room("s", kind, len(x), n)
+        for k, part in enumerate((gu[0], gu[1], cand)):  # the input's part of the candidate, which the gate does not weigh
+            wide[:, k] = np.take(part, order, 0, block, "clip")
+        self.move("in", rows, grouped(wide.reshape(len(x), -1), times[rows]), rate)
 
     def weights(self) -> dict[str, np.ndarray]:
         """How much was seen by what each parameter belongs to, in the parameters' shapes or ones that broadcast to them."""
@@ -385,14 +447,13 @@ def train_all(rows: DataFrame, net: Network, squares: dict[str, np.ndarray], wor
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, squares, words, codes = shared.value
-        table, own = _Lookup(zip(words, range(len(words)))), None
-        table.tails, table.size = base.tails, len(words)
+        table, own = Lookup(words, base.tails), None
         codes, docs, held = codes.astype(np.min_scalar_type(len(base.p["in"]))), [], 0
         for batch in batches:
             for piece in pieces(batch, most=12 << 20):
                 own = own or Learner.of(base, squares)
                 names, index, bounds = laid(piece.column(0))
-                coded = codes[np.fromiter(map(table.__getitem__, names), np.int64, len(names))][index]
+                coded = codes[table(names)][index]
                 docs += [coded[a:b] for a, b in zip(bounds, bounds[1:])]
                 held += len(coded)
                 if held >= most:
@@ -435,15 +496,15 @@ def document_scores(net: Network, docs: list[np.ndarray], window: int = 32) -> n
     given = np.roll(flat, 1)
     given[starts] = net.frequent + net.tails
     h = np.zeros((len(docs), net.p["rec"].shape[0]), net.p["rec"].dtype)
-    total = np.zeros(len(docs))
+    total, room = np.zeros(len(docs)), Room()
     at = 0
     while at < lengths[0]:
         # longer windows where fewer sequences are left
         left = int(np.searchsorted(-lengths, -at, "left"))
         upto = min(at + max(min(window, 1 + 16384 // left), min(8192 // left, 512)), int(lengths[0]))
         sizes, lane, place = window_of(starts, lengths, at, upto)
-        states = net.run(given[place], np.zeros(len(place), bool), sizes, h)[0]
-        h = states[len(place) - sizes[-1]:]
+        states = net.run(given[place], np.zeros(len(place), bool), sizes, h, room, keep=False)[0]
+        h = states[len(place) - sizes[-1]:].copy()
         total[:left] += np.bincount(lane, net.score(states, flat[place]), left)
         at = upto
     out[order] = total
@@ -463,18 +524,10 @@ class Model:
     net: Network
 
 
-class _Lookup(dict):
-    tails, size = 1, 0
-
-    def __missing__(self, word: bytes) -> int:
-        return self.size + tail_of(word, self.tails)
-
-
-def _lookup(shared) -> tuple[Model, _Lookup]:
+def _lookup(shared) -> tuple[Model, Lookup]:
     if shared.id not in _loaded if hasattr(shared, "id") else True:
         model: Model = shared.value
-        table = _Lookup(zip(model.words, range(len(model.words))))
-        table.tails, table.size = model.net.tails, len(model.words)
+        table = Lookup(model.words, model.net.tails)
         _loaded.clear()
         _loaded[getattr(shared, "id", 0)] = (model, table)
     return _loaded[getattr(shared, "id", 0)]
@@ -506,11 +559,11 @@ def fit(docs: DataFrame, learn: Column, frequent: int = 4096, width: int | None
     codes = np.array([i if i < frequent else frequent + tail_of(w, tails) for i, w in enumerate(words)] + list(range(frequent, frequent + tails)), np.int64)
     net = start(np.concatenate([c[:frequent], tail_c]), frequent, width, tails, hidden)
     near = rows.where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
-    texts = near.orderBy(F.xxhash64(F.lit("lm"), "doc_id"), "doc_id", F.xxhash64("text")).limit(sample).select("text").toArrow().column("text").cast(pa.binary()).to_pylist()
-    ids = _Lookup(zip(words, range(len(words))))
-    ids.tails, ids.size = tails, len(words)
+    texts = near.orderBy(F.xxhash64(F.lit("lm"), "doc_id"), "doc_id", F.xxhash64("text")).limit(sample).select("text").toArrow().column("text").combine_chunks()
+    names, index, bounds = laid(texts)
+    coded = codes[Lookup(words, tails)(names)][index]
     first = Learner.of(net)
-    first.learn([codes[[ids[w] for w in tokens(t)]] for t in texts], lanes=128, epochs=3)
+    first.learn([coded[a:b] for a, b in zip(bounds, bounds[1:])], lanes=128, epochs=3)
     net = train_all(rows, first.net, first.squares, words, codes, n)
     # the least in the table: words after it by (count, word), and long ones, are found by a join
     in_table = F.lit(False)
@@ -535,7 +588,7 @@ def score(docs: DataFrame, model: Model, others: DataFrame) -> DataFrame:
         for batch in batches:
             for piece in pieces(batch, most=12 << 20):
                 names, index, bounds = laid(piece.column(1))
-                of = np.fromiter(map(table.__getitem__, names), np.int64, len(names))
+                of = table(names)
                 at, first, n_tokens = of[index], bounds[:-1], np.diff(bounds)
                 # every row has its end, so no sum is over nothing
                 sums = lambda x: np.add.reduceat(x, first)
@@ -546,7 +599,7 @@ def score(docs: DataFrame, model: Model, others: DataFrame) -> DataFrame:
                 row = np.searchsorted(bounds, rare, "right") - 1
                 pair, times = np.unique(row * np.int64(len(names)) + index[rare], return_counts=True)
                 cuts = pa.array(np.searchsorted(pair, np.arange(piece.num_rows + 1) * np.int64(len(names))), pa.int32())
-                words = pa.array(names, pa.binary()).cast(pa.string()).take(pa.array(pair % len(names)))
+                words = names.take(pa.array(pair % len(names))).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([
                     piece.column(0).cast(pa.int64()), pa.array(n_tokens), pa.array(sums(seen[at].astype(np.int64))), pa.array(sums(log_c[at]) - n_tokens * unit), pa.array(part),
                     pa.ListArray.from_arrays(cuts, words), pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int32))),

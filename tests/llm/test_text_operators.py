@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import textwrap
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -469,6 +470,33 @@ def test_grouped_sums_and_windows_match_plain_loops():
     assert lm.starting(fresh, sizes) == [True, False, False]
 
 
+def test_words_are_looked_up_together_like_one_by_one():
+    words = [lm.END, b"the", "\u00e4\u00f6".encode(), b"a"]
+    table = lm.Lookup(words, 8)
+    for texts in (["The a zz \u00c4\u00f6 x", None, "running \u5b57", "a " * 5], [None], []):
+        names, index, bounds = lm.laid(pa.array(texts, pa.string()))
+        cut = [[*lower(t or "").encode().split(), lm.END] for t in texts]
+        got = table(names)[index]
+        assert got.tolist() == [words.index(w) if w in words else len(words) + lm.tail_of(w, 8) for c in cut for w in c]
+        assert np.diff(bounds).tolist() == [len(c) for c in cut]
+
+
+def test_windows_use_their_memory_again():
+    """Once it has learned a window, a learner asks for little more: it holds its arrays of steps."""
+    rng = np.random.default_rng(4)
+    net = lm.start(np.ones(600), 500, 32, 100, 16)
+    docs = [rng.integers(0, 600, 64) for _ in range(256)]
+    own = lm.Learner.of(net)
+    own.learn(docs, lanes=256, window=32)
+    tracemalloc.start()
+    try:
+        own.learn(docs, lanes=256, window=32)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 500 * 8192
+
+
 def test_texts_of_several_batches_are_learned_together(spark, tmp_path):
     """A task's texts share their lanes beyond Arrow batches, so that long texts do not leave lanes empty batch after batch."""
     net = lm.start(np.ones(13), 9, 4, 4, 5)
