@@ -178,9 +178,15 @@ class Network:
         n, kind, held = h.shape[1], h.dtype, len(x) if keep else int(sizes.max(initial=0))
         halves = np.array([0.5, 0.5, 1], kind)[:, None, None]  # the logistic function is a tanh of half its argument
         rec = self.blocks() * halves
-        rows, a = room("rows", kind, len(x), 3, n), room("a", kind, 3, len(x), n)
-        np.take(self.p["in"], x, 0, rows.reshape(len(x), 3 * n), "clip")
-        np.multiply(rows.transpose(1, 0, 2), halves, out=a)
+        a = room("a", kind, 3, len(x), n)
+        if keep:
+            rows = room("rows", kind, len(x), 3, n)
+            np.take(self.p["in"], x, 0, rows.reshape(len(x), 3 * n), "clip")
+            np.multiply(rows.transpose(1, 0, 2), halves, out=a)
+        else:  # longer windows, for which the whole table is halved sooner than its rows
+            table = np.multiply(self.p["in"].reshape(-1, 3, n).transpose(1, 0, 2), halves, out=room("table", kind, 3, len(self.p["in"]), n))
+            for block, given in zip(table, a):
+                np.take(block, x, 0, given, "clip")
         u, gate = room("u", kind, 3, held, n), room("gate", kind, 2, held, n)
         m, before, out = room("m", kind, held, n), room("before", kind, held, n), room("out", kind, len(x), n)
         bounds = np.cumsum([0, *sizes]).tolist()
@@ -573,8 +579,11 @@ def fit(docs: DataFrame, learn: Column, frequent: int = 4096, width: int | None
     return Model(words, np.log10(c + 1.0), codes, np.log10(tail_c + tail_v + 1.0), n, v, net), others
 
 
-def score(docs: DataFrame, model: Model, others: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10) for every row of `docs`."""
+def score(docs: DataFrame, model: Model, others: DataFrame, most: int = 1 << 22) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10) for every row of `docs`.
+
+    Texts are scored together once they have `most` tokens, so that a long one does not take its steps almost alone.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -585,6 +594,17 @@ def score(docs: DataFrame, model: Model, others: DataFrame) -> DataFrame:
         share = np.where(model.codes >= frequent, log_c - model.tail_log[np.maximum(model.codes - frequent, 0)], 0.0)
         seen = np.concatenate([model.log_c > 0, np.zeros(model.net.tails, bool)])
         unit = np.log10(model.n + model.v + 1)
+        small, docs, held = np.min_scalar_type(len(model.net.p["in"])), [], []
+
+        def scored() -> Iterator[pa.RecordBatch]:
+            parts, at = document_scores(model.net, docs) / np.log(10), 0
+            for columns, shares in held:
+                part = shares + parts[at:at + len(shares)]
+                at += len(shares)
+                yield pa.RecordBatch.from_arrays([*columns[:4], pa.array(part), *columns[4:]], ["doc_id", "n_tokens", "n_known", "base", "part", "words", "times"])
+            docs.clear()
+            held.clear()
+
         for batch in batches:
             for piece in pieces(batch, most=12 << 20):
                 names, index, bounds = laid(piece.column(1))
@@ -592,18 +612,21 @@ def score(docs: DataFrame, model: Model, others: DataFrame) -> DataFrame:
                 at, first, n_tokens = of[index], bounds[:-1], np.diff(bounds)
                 # every row has its end, so no sum is over nothing
                 sums = lambda x: np.add.reduceat(x, first)
-                codes = model.codes[at]
-                part = sums(share[at]) + document_scores(model.net, [codes[a:b] for a, b in zip(bounds, bounds[1:])]) / np.log(10)
+                codes = model.codes[at].astype(small)
+                docs += [codes[a:b] for a, b in zip(bounds, bounds[1:])]
                 # words that the table lacks, with their counts in each row
                 rare = np.flatnonzero(at >= known)
                 row = np.searchsorted(bounds, rare, "right") - 1
                 pair, times = np.unique(row * np.int64(len(names)) + index[rare], return_counts=True)
                 cuts = pa.array(np.searchsorted(pair, np.arange(piece.num_rows + 1) * np.int64(len(names))), pa.int32())
                 words = names.take(pa.array(pair % len(names))).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([
-                    piece.column(0).cast(pa.int64()), pa.array(n_tokens), pa.array(sums(seen[at].astype(np.int64))), pa.array(sums(log_c[at]) - n_tokens * unit), pa.array(part),
+                held.append(([
+                    piece.column(0).cast(pa.int64()), pa.array(n_tokens), pa.array(sums(seen[at].astype(np.int64))), pa.array(sums(log_c[at]) - n_tokens * unit),
                     pa.ListArray.from_arrays(cuts, words), pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int32))),
-                ], ["doc_id", "n_tokens", "n_known", "base", "part", "words", "times"])
+                ], sums(share[at])))
+                if sum(map(len, docs)) >= most:
+                    yield from scored()
+        yield from scored()
 
     kind = "doc_id bigint, n_tokens bigint, n_known bigint, base double, part double, words array<string>, times array<int>"
     rows = settle(id_text(docs).mapInArrow(run, kind).withColumn("row", F.monotonically_increasing_id()))

@@ -497,6 +497,23 @@ def test_windows_use_their_memory_again():
     assert most < 500 * 8192
 
 
+def test_texts_of_several_batches_are_scored_together(spark):
+    """Every row gets its own score, whether texts wait for those of later Arrow batches or not."""
+    rng = random.Random(6)
+    texts = [None, "", *(" ".join(rng.choices(["a", "b", "the", "Zq", "rare%d" % i], k=rng.randint(1, 90))) for i in range(21))]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "a b")], "doc_id long, text string").coalesce(1)
+    model, others = lm.fit(docs, F.col("doc_id") < 9, frequent=4, width=8, tails=8, table=5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        apart, some, whole = ({r.doc_id: r for r in lm.score(docs, model, others, most=most).collect()} for most in (1, 100, 1 << 22))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(apart) == set(some) == set(whole) == {None, *range(len(texts))}
+    for other in (some, whole):
+        for k, r in apart.items():
+            assert np.allclose(r[1:], other[k][1:], rtol=1e-6)
+
+
 def test_texts_of_several_batches_are_learned_together(spark, tmp_path):
     """A task's texts share their lanes beyond Arrow batches, so that long texts do not leave lanes empty batch after batch."""
     net = lm.start(np.ones(13), 9, 4, 4, 5)
